@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociforge.llm.decontam import contamination_table
 from lociforge.llm.pii import pii_table
 from lociforge.llm.quality import quality_table
 from lociforge.llm.shared import table
@@ -24,6 +25,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_pii, op10_quality_rules)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_pii, op8_decontamination, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
