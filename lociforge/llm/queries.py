@@ -11,6 +11,7 @@ from lociforge.llm.decontam import contamination_table
 from lociforge.llm.pii import pii_table
 from lociforge.llm.quality import quality_table
 from lociforge.llm.shared import table
+from lociforge.llm.simhash import as_hex, near_duplicates
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_table(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_pii, op8_decontamination, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_simhash, op6_pii, op8_decontamination, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
