@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lociforge.llm.decontam import contamination_table
 from lociforge.llm.pii import pii_table
+from lociforge.llm.planes import read_documents, write_planes
 from lociforge.llm.quality import quality_table
-from lociforge.llm.shared import table
+from lociforge.llm.shared import new_folder, table
 from lociforge.llm.simhash import as_hex, near_duplicates
+from lociforge.llm.tokencount import document_counts, with_streams
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_streams(table(spark, sf_dir, "documents"))
+    return document_counts(docs, new_folder(spark, "stream"), _tokenizer("word_bpe_49k.json"), 49_407).select("doc_id", "n_tokens")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "planes")
+    write_planes(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), end_id=1)
+    return read_documents(spark, path)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -35,6 +54,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_simhash, op6_pii, op8_decontamination, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_token_files, op5_simhash, op6_pii, op8_decontamination, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
