@@ -13,6 +13,7 @@ from lociforge.llm.planes import read_documents, write_planes
 from lociforge.llm.quality import quality_table
 from lociforge.llm.shared import new_folder, table
 from lociforge.llm.simhash import as_hex, near_duplicates
+from lociforge.llm.suffixes import deduplicated
 from lociforge.llm.tokencount import document_counts, with_streams
 
 
@@ -35,6 +36,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_counts(docs, new_folder(spark, "stream"), _tokenizer("word_bpe_49k.json"), 49_407).select("doc_id", "n_tokens")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "planes")
     write_planes(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), end_id=1)
@@ -54,6 +59,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_token_files, op5_simhash, op6_pii, op8_decontamination, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_token_files, op5_simhash, op6_pii, op8_decontamination, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
