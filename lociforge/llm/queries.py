@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociforge.llm.automata import without_repeats
 from lociforge.llm.decontam import contamination_table
 from lociforge.llm.pii import pii_table
 from lociforge.llm.planes import read_documents, write_planes
@@ -55,10 +56,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_table(table(spark, sf_dir, "documents"))
 
 
+def op7_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept", "n_spans")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_token_files, op5_simhash, op6_pii, op8_decontamination, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_token_files, op5_simhash, op6_pii, op7_automata_dedup, op8_decontamination, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}

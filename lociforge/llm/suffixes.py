@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociforge.llm.anchors import anchors, shared_grams
@@ -53,26 +53,53 @@ def parts_of(window: int, gram: int) -> list[list[tuple[int, int]]]:
     return rounds
 
 
-def by_bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+def symbols_of(view: type):
+    return lambda text: view(text.encode("utf-8", "replace")).symbols()
 
 
-def slim(docs: DataFrame) -> DataFrame:
-    """A small row for each document; first: the least doc_id that has the same text.
+class Bytes:
+    """A text as its bytes."""
+
+    def __init__(self, text: bytes):
+        self.text, self.n = text, len(text)
+
+    def symbols(self) -> np.ndarray:
+        return np.frombuffer(self.text, np.uint8)
+
+    def cut(self, a: int, b: int) -> bytes:
+        return self.text[a:b]
+
+
+class Words:
+    """A text as its words, which ASCII white space parts; a run of them is joined by single spaces."""
+
+    def __init__(self, text: bytes):
+        self.words = text.split()
+        self.n = len(self.words)
+
+    def symbols(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, self.n)
+
+    def cut(self, a: int, b: int) -> bytes:
+        return b" ".join(self.words[a:b])
+
+
+def slim(docs: DataFrame, n: Column, kept: Column) -> DataFrame:
+    """A small row for each document: n and the hash of what is kept if nothing is removed.
 
     A null text counts as empty. k1 and k2 are hashes of the text.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        "doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text).alias("k2"),
-        F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha256"),
+    rows = docs.select("doc_id", text.alias("text")).select(
+        "doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("k2"), "text").alias("k2"),
+        n.cast("long").alias("n"), F.unhex(F.sha2(kept, 256)).alias("sha256"),
     )
     return staged(rows, "slim")
 
 
-def firsts(rows: DataFrame, least_bytes: int) -> DataFrame:
+def firsts(rows: DataFrame, least: int) -> DataFrame:
     """The distinct texts of slim rows: k1, k2, their least doc_id, and k, which tells apart texts of one doc_id."""
-    own = rows.filter((F.col("n_bytes") >= least_bytes) & F.col("doc_id").isNotNull())
+    own = rows.filter((F.col("n") >= least) & F.col("doc_id").isNotNull())
     own = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     return own.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("k1", "k2")) - 1)
 
@@ -99,9 +126,8 @@ def buckets_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _named(texts: DataFrame, todo: DataFrame, parts: list[tuple[int, int]], gram: int, window: int) -> DataFrame:
+def named(texts: DataFrame, todo: DataFrame, parts: list[tuple[int, int]], gram: int, window: int, view: type) -> DataFrame:
     """(name, around, doc_id, k, at, part) for each part of the suffixes in todo."""
-    back = window - gram
     first = "grams" in todo.columns
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,15 +135,15 @@ def _named(texts: DataFrame, todo: DataFrame, parts: list[tuple[int, int]], gram
         for batch in batches:
             docs, ks, ats, ps, names, around = [], [], [], [], [], []
             for doc, k, text, left in zip(batch["doc_id"].to_pylist(), batch["k"].to_pylist(), batch["text"], batch["left"].to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                n = len(raw)
+                own = view(text.as_buffer().to_pybytes())
+                n, cut = own.n, own.cut
                 if first:
-                    at, h = anchors(np.frombuffer(raw, np.uint8), gram, window)
+                    at, h = anchors(own.symbols(), gram, window)
                     wanted = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in left]))
-                    own = [(a, 0) for a in at[np.isin(h, wanted)].tolist()]
+                    wanted_at = [(a, 0) for a in at[np.isin(h, wanted)].tolist()]
                 else:
-                    own = sorted({(x["at"], x["child"]) for x in left})
-                for a, p in own:
+                    wanted_at = sorted({(x["at"], x["child"]) for x in left})
+                for a, p in wanted_at:
                     near, far = parts[p]
                     b, e = a - near, a - far + window
                     if b < 0 or e > n:
@@ -127,12 +153,11 @@ def _named(texts: DataFrame, todo: DataFrame, parts: list[tuple[int, int]], gram
                     ks.append(k)
                     ats.append(a)
                     ps.append(p)
-                    names.append(digest(raw[b:e]))
-                    around.append(digest(raw[lo:hi], b - lo))
+                    names.append(digest(cut(b, e)))
+                    around.append(digest(cut(lo, hi), b - lo))
             cols = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(around, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(ks, pa.int32()), pa.array(ats, pa.int32()), pa.array(ps, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["name", "around", "doc_id", "k", "at", "part"])
 
-    assert back >= 0
     if first:
         lists = todo.groupBy("doc_id").agg(F.collect_list("grams").alias("left"))
         rows = texts.join(lists, "doc_id")
@@ -142,11 +167,11 @@ def _named(texts: DataFrame, todo: DataFrame, parts: list[tuple[int, int]], gram
     return rows.select("doc_id", "k", "text", "left").mapInArrow(suffixes, "name long, around long, doc_id long, k int, at int, part int")
 
 
-def _reranked(rows: DataFrame) -> DataFrame:
-    """(doc_id, k, at, part, settled) of the rows that are not unique, from rows sorted within partitions."""
+def reranked(rows: DataFrame) -> DataFrame:
+    """(name, doc_id, k, at, part, settled) of the rows that are not unique, from rows sorted within partitions."""
     names = ["name", "around", "doc_id", "k", "at", "part"]
 
-    def one(c: dict[str, np.ndarray], open_: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+    def one(c: dict[str, np.ndarray], open_: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Settled rows, rows that go on, rows that wait for more of their name."""
         name, around, doc = c["name"], c["around"], c["doc_id"]
         n = len(name)
@@ -161,7 +186,7 @@ def _reranked(rows: DataFrame) -> DataFrame:
         waits = np.zeros(n, bool)
         if open_:
             waits[heads[-1] :] = True
-        return settled, several & ~settled, waits, {}
+        return settled, several & ~settled, waits
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -169,8 +194,8 @@ def _reranked(rows: DataFrame) -> DataFrame:
 
         def out(c, settled, going):
             keep = settled | going
-            cols = [pa.array(c[x][keep]) for x in ("doc_id", "k", "at", "part")] + [pa.array(settled[keep])]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "k", "at", "part", "settled"])
+            cols = [pa.array(c[x][keep]) for x in ("name", "doc_id", "k", "at", "part")] + [pa.array(settled[keep])]
+            return pa.RecordBatch.from_arrays(cols, ["name", "doc_id", "k", "at", "part", "settled"])
 
         for batch in batches:
             c = {x: batch[x].to_numpy() for x in names}
@@ -179,7 +204,7 @@ def _reranked(rows: DataFrame) -> DataFrame:
                 held = None
             if not len(c["name"]):
                 continue
-            settled, going, waits, _ = one(c, True)
+            settled, going, waits = one(c, True)
             if hot is not None:
                 going |= ~settled & (c["name"] == hot)
             if waits.sum() > HELD:
@@ -198,30 +223,38 @@ def _reranked(rows: DataFrame) -> DataFrame:
             yield out(c, settled & ~waits, going & ~waits)
             held = {x: c[x][waits] for x in names}
         if held is not None and len(held["name"]):
-            settled, going, _, _ = one(held, False)
+            settled, going, _ = one(held, False)
             if hot is not None:
                 going |= ~settled & (held["name"] == hot)
             yield out(held, settled, going)
 
-    return rows.mapInArrow(scan, "doc_id long, k int, at int, part int, settled boolean")
+    return rows.mapInArrow(scan, "name long, doc_id long, k int, at int, part int, settled boolean")
+
+
+def children_of(rounds: list[list[tuple[int, int]]], r: int) -> Column:
+    """The parts of the next round that a row's part of round r is split into."""
+    inside = [[i for i, (a, b) in enumerate(rounds[r + 1]) if a >= x and b <= y] for x, y in rounds[r]]
+    return F.get(F.array(*[F.array(*[F.lit(i) for i in own]) for own in inside]), F.col("part"))
+
+
+def settled_of(ranked: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+    at = F.array(*[F.struct(F.lit(a).alias("least"), F.lit(b).alias("greatest")) for a, b in parts])
+    rows = ranked.filter("settled").select("doc_id", "k", "at", F.get(at, F.col("part")).alias("p"))
+    return rows.select("doc_id", "k", "at", "p.*")
 
 
-def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> list[DataFrame]:
+def repeats(texts: DataFrame, window: int, gram: int) -> list[DataFrame]:
     """Settled rows (doc_id, k, at, least, greatest): windows that start so far before at are in a smaller document."""
     n = buckets_of(texts.sparkSession)
     rounds = parts_of(window, gram)
-    todo = shared_grams(texts, by_bytes, gram, window, n)
+    todo = shared_grams(texts, symbols_of(Bytes), gram, window, n)
     found = []
     for r, parts in enumerate(rounds):
-        named = _named(texts, todo, parts, gram, window)
-        rows = named.repartition(n, "name").sortWithinPartitions("name", "around", "doc_id")
-        ranked = staged(_reranked(rows), f"ranks{r}")
-        at = F.array(*[F.struct(F.lit(a).alias("least"), F.lit(b).alias("greatest")) for a, b in parts])
-        found.append(ranked.filter("settled").select("doc_id", "k", "at", F.get(at, F.col("part")).alias("p")).select("doc_id", "k", "at", "p.*"))
+        rows = named(texts, todo, parts, gram, window, Bytes).repartition(n, "name").sortWithinPartitions("name", "around", "doc_id")
+        ranked = staged(reranked(rows), f"ranks{r}")
+        found.append(settled_of(ranked, parts))
         if r + 1 < len(rounds):
-            inside = [[i for i, (a, b) in enumerate(rounds[r + 1]) if a >= x and b <= y] for x, y in parts]
-            children = F.get(F.array(*[F.array(*[F.lit(i) for i in own]) for own in inside]), F.col("part"))
-            todo = ranked.filter("not settled").select("doc_id", "k", "at", F.explode(children).alias("child"))
+            todo = ranked.filter("not settled").select("doc_id", "k", "at", F.explode(children_of(rounds, r)).alias("child"))
     return found
 
 
@@ -245,7 +278,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     and rows that share a doc_id never remove each other's bytes. An empty table gives an
     empty result.
     """
-    rows = slim(docs)
+    rows = slim(docs, F.octet_length("text"), F.col("text"))
     first = staged(firsts(rows, window), "firsts")
     texts = bucketed_texts(docs, first)
     found = None
@@ -269,19 +302,20 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
     changed = texts.join(spans.withColumnRenamed("k", "_k"), "doc_id").filter("k = _k").select("k1", "k2", "doc_id", "text", "spans")
     changed = changed.mapInArrow(cut, "k1 long, k2 long, first long, n_removed long, n_spans long, kept_sha binary, kept binary")
-    return _results(rows, first, changed, window)
+    return results(rows, first, changed).withColumnRenamed("n", "n_bytes")
 
 
-def _results(rows: DataFrame, first: DataFrame, changed: DataFrame, window: int) -> DataFrame:
+def results(rows: DataFrame, first: DataFrame, changed: DataFrame) -> DataFrame:
+    """One row per slim row: copies lose all, first texts what ``changed`` says, others nothing."""
     own = rows.join(first.select("k1", "k2", F.col("doc_id").alias("first")), ["k1", "k2"], "left")
     copy = F.col("first").isNotNull() & (F.col("doc_id") > F.col("first"))
     own = own.withColumn("copy", F.coalesce(copy, F.lit(False)))
     cut = F.when(~F.col("copy"), F.col("first"))
     own = own.withColumn("first", F.when(F.col("doc_id").isNotNull(), cut)).join(changed, ["k1", "k2", "first"], "left")
-    n = F.col("n_bytes")
+    n = F.col("n")
     pick = lambda yes, name, no: F.when(F.col("copy"), yes).otherwise(F.coalesce(name, no))
     return own.select(
-        "doc_id", "n_bytes",
+        "doc_id", "n",
         pick(n, "n_removed", F.lit(0)).alias("n_removed"), pick(F.lit(1), "n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.lower(F.hex(pick(F.lit(_EMPTY), "kept_sha", F.col("sha256")))).alias("kept_sha256"), "kept",
     )
