@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 
 from lociforge.llm.automata import without_repeats
 from lociforge.llm.decontam import contamination_table
+from lociforge.llm.html import main_text
 from lociforge.llm.pii import pii_table
 from lociforge.llm.planes import read_documents, write_planes
 from lociforge.llm.quality import quality_table
+from lociforge.llm.sentencepiece import encoded
 from lociforge.llm.shared import new_folder, table
 from lociforge.llm.simhash import as_hex, near_duplicates
 from lociforge.llm.suffixes import deduplicated
 from lociforge.llm.tokencount import document_counts, with_streams
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ids=False)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_table(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -47,6 +53,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = main_text(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -64,6 +75,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_token_files, op5_simhash, op6_pii, op7_automata_dedup, op8_decontamination, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_token_files, op4_html_text, op5_simhash, op6_pii, op7_automata_dedup, op8_decontamination, op9_sentencepiece, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
