@@ -21,7 +21,7 @@ from lociforge.llm.tokencount import document_counts, with_streams
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ids=False)
+    return encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), ids=False)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -40,7 +40,7 @@ def _tokenizer(name: str) -> str:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_streams(table(spark, sf_dir, "documents"))
-    return document_counts(docs, new_folder(spark, "stream"), _tokenizer("word_bpe_49k.json"), 49_407).select("doc_id", "n_tokens")
+    return document_counts(docs, new_folder(spark, "stream"), tokenizer_file("word_bpe_49k.json"), 49_407).select("doc_id", "n_tokens")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "planes")
-    write_planes(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), end_id=1)
+    write_planes(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=1)
     return read_documents(spark, path)
 
 
