@@ -7,25 +7,26 @@ only new ones go to the tokenizer. The store is emptied when it holds ``limit``
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class PieceEncoder:
     """encode: ids of each of a list of pieces. split: lists of pieces of an array of texts."""
 
-    def __init__(self, split: Callable[[pa.Array], pa.Array], encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000):
+    def __init__(self, split: Callable[[pa.Array], pa.Array], encode: Callable[[list[str]], list[list[int]]], limit: int = 700_000):
         self.split, self.encode, self.limit = split, encode, limit
         self._empty()
 
     def _empty(self) -> None:
         self.at: dict[str, int] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, pieces: list[str]) -> None:
@@ -53,11 +54,13 @@ class PieceEncoder:
         if new := [w for w in words if w not in self.at]:
             self._learn(new)
         get = self.at
-        place = np.fromiter((get[w] for w in words), np.int64, len(words))
-        k = place[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        place = np.fromiter(map(get.__getitem__, words), np.int32, len(words))
+        k = place[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int32)
         sizes = self.size[k]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.start[k] - upto[:-1], sizes) + np.arange(upto[-1])]
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        where = np.repeat((self.start[k] - upto[:-1]).astype(np.int32), sizes)
+        where += np.arange(len(where), dtype=np.int32)
+        ids = self.flat[where]
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
         return ids, np.diff(upto[offsets])
 
@@ -77,20 +80,56 @@ def plain(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
+#: A run of these between letters, digits or spaces of ASCII is a piece of its own.
+_MARKS = r"""([A-Za-z0-9\s])([.,;:!?*#%&$"()/]+)([A-Za-z0-9\s])"""
+_BETWEEN = "!"
+
+
+def _lower_words(texts: pa.Array) -> pa.Array:
+    """Texts as lists of words, in lower case and without the marks around them where no special token can be."""
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.replace_substring_regex(pc.ascii_lower(texts), _MARKS, r"\1 \2 \3")
+    return pc.ascii_split_whitespace(texts)
+
+
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
 def word_encoder(path: str, special: bool = True) -> PieceEncoder:
-    """For a tokenizer file that drops white space and cuts at it; one for each worker.
+    """For a tokenizer file that lower-cases, drops white space and cuts at it and at runs of marks; one for each worker.
 
     special: strings of special tokens in a text are those tokens, as is the library's default.
     """
     if (path, special) not in _encoders:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = not special
-        _encoders[path, special] = PieceEncoder(
-            pc.ascii_split_whitespace, lambda words: [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        )
+        (between,) = tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+
+        def one_by_one(words: list[str]) -> list[list[int]]:
+            return [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+        def encode(words: list[str]) -> list[list[int]]:
+            """All words as one text, a mark between them: a call for each costs more than its work."""
+            joined = [w for w in words if _BETWEEN not in w]
+            ids = tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(joined)], add_special_tokens=False)[0].ids if joined else []
+            found, own = [], []
+            for i in ids:
+                if i == between:
+                    found.append(own)
+                    own = []
+                else:
+                    own.append(i)
+            found.append(own)
+            if len(found) != len(joined):
+                return one_by_one(words)
+            if len(joined) == len(words):
+                return found
+            rest = iter(one_by_one([w for w in words if _BETWEEN in w]))
+            found = iter(found)
+            return [next(rest if _BETWEEN in w else found) for w in words]
+
+        _encoders[path, special] = PieceEncoder(_lower_words, encode)
     return _encoders[path, special]
