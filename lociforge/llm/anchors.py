@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 _BASE = 0x9E3779B97F4A7C15
 #: Symbols of a task's documents that are held before they are combined and shipped.
 HELD = 8 << 20
+#: Symbols of documents whose anchors are looked for in one go.
+TOGETHER = 1 << 18
 
 
 def _power(n: int) -> np.uint64:
@@ -59,17 +61,40 @@ def _sliding(f: Callable, a: np.ndarray, w: int) -> np.ndarray:
     return f(a[: len(a) - (w - size)], a[w - size :]) if size < w else a
 
 
-def anchors(symbols: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors and the hashes of their grams."""
+def anchors(symbols: np.ndarray, gram: int, window: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors and the hashes of their grams.
+
+    symbols may be several sequences one after another, then with the end of each; no window
+    is taken across an end.
+    """
     if len(symbols) < window:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h, w = gram_hashes(symbols, gram), window - gram + 1
     least = _sliding(np.minimum, h, w)
+    if ends is not None:
+        for e in ends[:-1].tolist():
+            least[max(0, e - window + 1) : e] = 0
     edge = np.zeros(w - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge]), w) == h)
+    most = _sliding(np.maximum, np.concatenate([edge, least, edge]), w)
+    at = np.flatnonzero((most == h) & (most > 0))
     return at, h[at]
 
 
+def batches_of(texts: pa.Array, view: type) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+    """(first row, views, their symbols one after another, ends) for runs of texts of about TOGETHER symbols."""
+    views, parts, held, first = [], [], 0, 0
+    for k, text in enumerate(texts):
+        own = view(text.as_buffer().to_pybytes())
+        views.append(own)
+        parts.append(own.symbols())
+        held += own.n
+        if held >= TOGETHER:
+            yield first, views, np.concatenate(parts), np.cumsum([v.n for v in views])
+            views, parts, held, first = [], [], 0, k + 1
+    if views:
+        yield first, views, np.concatenate(parts), np.cumsum([v.n for v in views])
+
+
 def _combined(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows ordered by (gram, document) without repeats, and whether several documents have the gram."""
     o = np.lexsort((doc, h))
@@ -93,7 +118,7 @@ def _by_doc(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(grams, pa.binary())], ["doc_id", "grams"])
 
 
-def shared_grams(docs: DataFrame, symbols: Callable[[str], np.ndarray], gram: int, window: int, buckets: int) -> DataFrame:
+def shared_grams(docs: DataFrame, view: type, gram: int, window: int, buckets: int) -> DataFrame:
     """(doc_id, grams): for each document the anchor grams that other documents have too.
 
     docs: (doc_id, text), no nulls. grams: binary, an array of 64-bit hashes; a document may
@@ -103,12 +128,12 @@ def shared_grams(docs: DataFrame, symbols: Callable[[str], np.ndarray], gram: in
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         hs, ids, held = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                s = symbols(text.as_py())
-                h = np.unique(anchors(s, gram, window)[1])
+            names = batch["doc_id"].to_numpy()
+            for first, views, symbols, ends in batches_of(batch["text"], view):
+                at, h = anchors(symbols, gram, window, ends)
                 hs.append(h)
-                ids.append(np.full(len(h), doc, np.int64))
-                held += len(s)
+                ids.append(names[first + np.searchsorted(ends, at, "right")])
+                held += len(symbols)
                 if held >= HELD:
                     yield _combined(np.concatenate(hs), np.concatenate(ids))
                     hs, ids, held = [], [], 0
@@ -147,7 +172,9 @@ def shared_grams(docs: DataFrame, symbols: Callable[[str], np.ndarray], gram: in
             h = np.concatenate([x for x, b in zip(hs, of, strict=True) if b == k])
             doc = np.concatenate([x for x, b in zip(ids, of, strict=True) if b == k])
             h, doc, shared = _combined(h, doc)
-            yield _by_doc(h[shared], doc[shared])
+            data = h[shared].astype("<u8").tobytes()
+            grams = [data[i : i + 8] for i in range(0, len(data), 8)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[shared], pa.int64()), pa.array(grams, pa.binary())], ["doc_id", "grams"])
 
     docs = docs.select("doc_id", "text")
     kind = "doc_id long, grams binary"

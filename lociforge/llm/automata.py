@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lociforge.llm.anchors import shared_grams
 from lociforge.llm.shared import staged
 from lociforge.llm.suffixes import (
-    Words, bucketed_texts, buckets_of, children_of, firsts, named, parts_of, reranked, results, settled_of, slim, symbols_of,
+    Words, bucketed_texts, buckets_of, children_of, firsts, named, parts_of, passages, reranked, results, settled_of, slim,
 )
 
 WINDOW, GRAM, SHARD = 50, 8, 256
@@ -109,28 +109,7 @@ def matched(passages: list[tuple[tuple, int, list]], least: int) -> list[tuple[t
     return out
 
 
-def _passages(texts: DataFrame, rows: DataFrame, parts: list[tuple[int, int]], window: int) -> DataFrame:
-    """(name, doc_id, k, at, part, begin, passage) of the rows (name, doc_id, k, at, part)."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, k, text, left in zip(batch["doc_id"].to_pylist(), batch["k"].to_pylist(), batch["text"], batch["left"].to_pylist(), strict=True):
-                view = Words(text.as_buffer().to_pybytes())
-                for x in left:
-                    near, far = parts[x["part"]]
-                    b, e = max(0, x["at"] - far), min(view.n, x["at"] - near + window)
-                    out.append((x["name"], doc, k, x["at"], x["part"], b, view.cut(b, e)))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            cols = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(cols, ["name", "doc_id", "k", "at", "part", "begin", "passage"])
-
-    lists = rows.groupBy("doc_id", F.col("k").alias("_k")).agg(F.collect_list(F.struct("name", "at", "part")).alias("left"))
-    both = texts.join(lists, "doc_id").filter("k = _k").select("doc_id", "k", "text", "left")
-    return both.mapInArrow(cut, "name long, doc_id long, k int, at int, part int, begin int, passage binary")
-
-
-def _streamed(passages: DataFrame, window: int, shard: int) -> DataFrame:
+def _streamed(own: DataFrame, window: int, shard: int) -> DataFrame:
     """Spans (begin, end) of passages, in order of (name, doc_id); begin is null for rows of too large a shard."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +121,8 @@ def _streamed(passages: DataFrame, window: int, shard: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
         def judged():
-            own = [((doc, k, at, part, begin), doc, words.split()) for doc, k, at, part, begin, words in held]
-            return [(*key[:4], key[4] + a, key[4] + b) for key, a, b in matched(own, window)]
+            rows = [((doc, k, at, part, begin), doc, words.split()) for doc, k, at, part, begin, words in held]
+            return [(*key[:4], key[4] + a, key[4] + b) for key, a, b in matched(rows, window)]
 
         for batch in batches:
             out = []
@@ -163,14 +142,14 @@ def _streamed(passages: DataFrame, window: int, shard: int) -> DataFrame:
             yield batch_of(out)
         yield batch_of(judged())
 
-    return passages.mapInArrow(scan, "doc_id long, k int, at int, part int, begin int, end int")
+    return own.mapInArrow(scan, "doc_id long, k int, at int, part int, begin int, end int")
 
 
 def repeated_passages(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(doc_id, k, begin, end): spans of words that smaller documents have, of ``window`` words or more."""
     n = buckets_of(texts.sparkSession)
     rounds = parts_of(window, gram)
-    todo = shared_grams(texts, symbols_of(Words), gram, window, n)
+    todo = shared_grams(texts, Words, gram, window, n)
     found = None
     for r, parts in enumerate(rounds):
         rows = named(texts, todo, parts, gram, window, Words).repartition(n, "name").sortWithinPartitions("name", "around", "doc_id")
@@ -181,11 +160,13 @@ def repeated_passages(texts: DataFrame, window: int = WINDOW, gram: int = GRAM,
         found = copies if found is None else found.unionByName(copies)
         if r + 1 == len(rounds):
             break  # a passage of these is a window, and a name has one
-        own = _passages(texts, ranked.filter("not settled"), parts, window)
+        own = passages(texts, ranked.filter("not settled"), parts, window, Words)
         own = own.repartition(n, "name").sortWithinPartitions("name", "doc_id")
         spans = staged(_streamed(own, window, shard), f"spans{r}")
         found = found.unionByName(spans.filter("begin is not null").select("doc_id", "k", "begin", "end"))
         todo = spans.filter("begin is null").select("doc_id", "k", "at", F.explode(children_of(rounds, r)).alias("child"))
+        if todo.isEmpty():
+            break
     return found
 
 

@@ -12,10 +12,13 @@ sorts (name, surroundings, document, position). Along that order
 - a name that one document has alone is dropped: its windows are unique;
 - rows of a name that agree on all that their windows cover are settled: each but those of
   the smallest document repeats it;
-- of the rest one row for each of the surroundings goes on, split in parts with longer names.
+- of the rest one row for each of the surroundings goes on. Up to ``MOST`` of a name are
+  finished where they meet, by naming and sorting their windows; a name with more is split
+  in parts with longer names for the next round.
 
-The last names are whole windows, so nothing is left. A task reads its sorted rows in order
-and holds no more than ``HELD`` of a name.
+The last names are whole windows, so nothing is left. A task settles what its own documents
+share before it ships anything, reads its sorted rows in order, and holds no more than
+``HELD`` rows or ``MOST`` passages of a name.
 """
 
 from __future__ import annotations
@@ -30,11 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociforge.llm.anchors import anchors, shared_grams
+from lociforge.llm.anchors import HELD as TOGETHER
+from lociforge.llm.anchors import anchors, batches_of, gram_hashes, mixed, shared_grams
 from lociforge.llm.shared import staged
 
 WINDOW, GRAM = 50, 20
 HELD = 1 << 20
+#: Passages of a name that a task finishes at once.
+MOST = 1 << 16
 _EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -53,8 +59,8 @@ def parts_of(window: int, gram: int) -> list[list[tuple[int, int]]]:
     return rounds
 
 
-def symbols_of(view: type):
-    return lambda text: view(text.encode("utf-8", "replace")).symbols()
+#: A number for each byte, so that sums of products of them tell strings apart.
+_NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 class Bytes:
@@ -64,7 +70,7 @@ class Bytes:
         self.text, self.n = text, len(text)
 
     def symbols(self) -> np.ndarray:
-        return np.frombuffer(self.text, np.uint8)
+        return _NUMBERS[np.frombuffer(self.text, np.uint8)]
 
     def cut(self, a: int, b: int) -> bytes:
         return self.text[a:b]
@@ -126,37 +132,81 @@ def buckets_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_NAMED = "name long, around long, doc_id long, k int, at int, part int, local boolean"
+
+
+def _settled_here(name: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Rows that agree with one of a smaller document on all that their windows cover."""
+    o = np.lexsort((doc, around, name))
+    new = np.append(True, (name[o][1:] != name[o][:-1]) | (around[o][1:] != around[o][:-1]))
+    run = np.flatnonzero(new)
+    least = np.repeat(doc[o][run], np.diff(np.append(run, len(o))))
+    out = np.empty(len(o), bool)
+    out[o] = doc[o] > least
+    return out
+
+
 def named(texts: DataFrame, todo: DataFrame, parts: list[tuple[int, int]], gram: int, window: int, view: type) -> DataFrame:
-    """(name, around, doc_id, k, at, part) for each part of the suffixes in todo."""
+    """Rows _NAMED for each part of the suffixes in todo.
+
+    Rows that a task can settle among its own documents are local: their names are replaced
+    by any number, so that they don't crowd where a common name is dealt with.
+    """
     first = "grams" in todo.columns
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
+        held, size = [], 0
+
+        def out():
+            name, around, doc, k, at, part = (np.concatenate([x[i] for x in held]) for i in range(6))
+            local = _settled_here(name, around, doc)
+            with np.errstate(over="ignore"):
+                name = np.where(local, mixed(around ^ doc.view(np.uint64) ^ at.astype(np.uint64)), name)
+            cols = [name.view(np.int64), around.view(np.int64), doc, k, at, part, local]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "around", "doc_id", "k", "at", "part", "local"])
+
+        def rows_of(own, doc, k, at, part, names):
+            cut, far, near, n = own.cut, part[1], part[2], own.n
+            lo = np.maximum(0, at - far)
+            hi = np.minimum(n, at - near + window)
+            around = [digest(cut(a, b), c) for a, b, c in zip(lo.tolist(), hi.tolist(), (at - near - lo).tolist(), strict=True)]
+            m = len(at)
+            held.append((names, np.array(around, np.uint64), np.full(m, doc, np.int64), np.full(m, k, np.int32), at.astype(np.int32), part[0].astype(np.int32)))
+
         for batch in batches:
-            docs, ks, ats, ps, names, around = [], [], [], [], [], []
-            for doc, k, text, left in zip(batch["doc_id"].to_pylist(), batch["k"].to_pylist(), batch["text"], batch["left"].to_pylist(), strict=True):
-                own = view(text.as_buffer().to_pybytes())
-                n, cut = own.n, own.cut
-                if first:
-                    at, h = anchors(own.symbols(), gram, window)
-                    wanted = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in left]))
-                    wanted_at = [(a, 0) for a in at[np.isin(h, wanted)].tolist()]
-                else:
-                    wanted_at = sorted({(x["at"], x["child"]) for x in left})
-                for a, p in wanted_at:
-                    near, far = parts[p]
-                    b, e = a - near, a - far + window
-                    if b < 0 or e > n:
-                        continue
-                    lo, hi = max(0, a - far), min(n, a - near + window)
-                    docs.append(doc)
-                    ks.append(k)
-                    ats.append(a)
-                    ps.append(p)
-                    names.append(digest(cut(b, e)))
-                    around.append(digest(cut(lo, hi), b - lo))
-            cols = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(around, np.uint64).view(np.int64)), pa.array(docs, pa.int64()), pa.array(ks, pa.int32()), pa.array(ats, pa.int32()), pa.array(ps, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["name", "around", "doc_id", "k", "at", "part"])
+            docs, ks, left = batch["doc_id"].to_pylist(), batch["k"].to_pylist(), batch["left"]
+            starts, items = left.offsets.to_numpy(), left.values
+            if first:
+                for row, views, symbols, ends in batches_of(batch["text"], view):
+                    at, h = anchors(symbols, gram, window, ends)
+                    cuts = np.searchsorted(at, np.append(0, ends))
+                    for i, own in enumerate(views):
+                        b, e = cuts[i], cuts[i + 1]
+                        wanted = np.frombuffer(b"".join(items[int(starts[row + i]) : int(starts[row + i + 1])].to_pylist()), "<u8")
+                        here = np.flatnonzero(np.isin(h[b:e], wanted)) + b
+                        p = at[here] - (ends[i - 1] if i else 0)
+                        none = np.zeros(len(p), np.int64)
+                        rows_of(own, docs[row + i], ks[row + i], p, (none, none + parts[0][1], none + parts[0][0]), h[here])
+                        size += own.n
+            else:
+                places, children = items.field("at").to_numpy().astype(np.int64), items.field("child").to_numpy().astype(np.int64)
+                bounds = np.array(parts, np.int64)
+                for i, text in enumerate(batch["text"]):
+                    own = view(text.as_buffer().to_pybytes())
+                    both = np.unique(np.stack([places[starts[i] : starts[i + 1]], children[starts[i] : starts[i + 1]]], 1), axis=0)
+                    near, far = bounds[both[:, 1], 0], bounds[both[:, 1], 1]
+                    fits = (both[:, 0] - near >= 0) & (both[:, 0] - far + window <= own.n)
+                    at, part, near, far = both[fits, 0], both[fits, 1], near[fits], far[fits]
+                    names = np.array([digest(own.cut(a, b)) for a, b in zip((at - near).tolist(), (at - far + window).tolist(), strict=True)], np.uint64)
+                    rows_of(own, docs[i], ks[i], at, (part, far, near), names)
+                    size += own.n
+            if size >= TOGETHER:
+                yield out()
+                held.clear()
+                size = 0
+        if held:
+            yield out()
 
     if first:
         lists = todo.groupBy("doc_id").agg(F.collect_list("grams").alias("left"))
@@ -164,7 +214,7 @@ def named(texts: DataFrame, todo: DataFrame, parts: list[tuple[int, int]], gram:
     else:
         lists = todo.groupBy("doc_id", "k").agg(F.collect_list(F.struct("at", "child")).alias("left"))
         rows = texts.join(lists.withColumnRenamed("k", "_k"), "doc_id").filter("k = _k")
-    return rows.select("doc_id", "k", "text", "left").mapInArrow(suffixes, "name long, around long, doc_id long, k int, at int, part int")
+    return rows.select("doc_id", "k", "text", "left").mapInArrow(suffixes, _NAMED)
 
 
 def reranked(rows: DataFrame) -> DataFrame:
@@ -198,7 +248,11 @@ def reranked(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, ["name", "doc_id", "k", "at", "part", "settled"])
 
         for batch in batches:
+            local = batch["local"].to_numpy(zero_copy_only=False)
             c = {x: batch[x].to_numpy() for x in names}
+            if local.any():
+                yield out({x: c[x][local] for x in names}, np.ones(local.sum(), bool), np.zeros(local.sum(), bool))
+                c = {x: c[x][~local] for x in names}
             if held is not None:
                 c = {x: np.concatenate([held[x], c[x]]) for x in names}
                 held = None
@@ -243,29 +297,141 @@ def settled_of(ranked: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
     return rows.select("doc_id", "k", "at", "p.*")
 
 
-def repeats(texts: DataFrame, window: int, gram: int) -> list[DataFrame]:
-    """Settled rows (doc_id, k, at, least, greatest): windows that start so far before at are in a smaller document."""
+def passages(texts: DataFrame, rows: DataFrame, parts: list[tuple[int, int]], window: int, view: type) -> DataFrame:
+    """(name, doc_id, k, at, part, begin, passage) of the rows (name, doc_id, k, at, part): all that their windows cover."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.array(parts, np.int64)
+        for batch in batches:
+            left = batch["left"]
+            starts, items = left.offsets.to_numpy(), left.values
+            at, part = items.field("at").to_numpy().astype(np.int64), items.field("part").to_numpy()
+            begin, end = np.maximum(0, at - bounds[part, 1]), at - bounds[part, 0] + window
+            own = []
+            for i, text in enumerate(batch["text"]):
+                v = view(text.as_buffer().to_pybytes())
+                a, b = starts[i], starts[i + 1]
+                own += [v.cut(x, y) for x, y in zip(begin[a:b].tolist(), np.minimum(end[a:b], v.n).tolist(), strict=True)]
+            n = np.diff(starts)
+            lo, hi = starts[0], starts[-1]
+            cols = [
+                items.field("name")[lo:hi], pa.array(np.repeat(batch["doc_id"].to_numpy(), n)), pa.array(np.repeat(batch["k"].to_numpy(), n)),
+                items.field("at")[lo:hi], items.field("part")[lo:hi], pa.array(begin[lo:hi].astype(np.int32)), pa.array(own, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["name", "doc_id", "k", "at", "part", "begin", "passage"])
+
+    lists = rows.groupBy("doc_id", F.col("k").alias("_k")).agg(F.collect_list(F.struct("name", "at", "part")).alias("left"))
+    both = texts.join(lists, "doc_id").filter("k = _k").select("doc_id", "k", "text", "left")
+    return both.mapInArrow(cut, "name long, doc_id long, k int, at int, part int, begin int, passage binary")
+
+
+def _windows_again(name: np.ndarray, doc: np.ndarray, shift: np.ndarray, own: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last): runs of window starts in passages, sorted by (name, document), that a smaller document of the name has.
+
+    Windows are named by doubling and sorted with the name and their place beside the anchor.
+    """
+    offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
+    data = np.frombuffer(own.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    size = np.maximum(0, np.diff(offsets) - window + 1)
+    row = np.repeat(np.arange(len(own)), size)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    h = gram_hashes(_NUMBERS[data], window)[offsets[row] + start] if len(row) else np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        key = mixed(h ^ mixed(name[row].view(np.uint64) + (start - shift[row]).astype(np.uint64)))
+    o = np.argsort(key, kind="stable")  # rows are in order of document
+    new = np.flatnonzero(np.append(True, key[o][1:] != key[o][:-1])) if len(o) else o
+    least = np.repeat(doc[row[o[new]]], np.diff(np.append(new, len(o))))
+    again = np.zeros(len(row), bool)
+    again[o] = doc[row[o]] > least
+    at = np.flatnonzero(again)
+    row, start = row[at], start[at]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))) if len(at) else at
+    last = np.append(first[1:], len(at)) - 1 if len(at) else at
+    return row[first], start[first], start[last]
+
+
+def finished(own: DataFrame, window: int, most: int) -> DataFrame:
+    """(doc_id, k, at, part, first, last): runs of window starts that smaller documents have, of passages sorted by (name, doc_id).
+
+    first is null for the rows of names with more than ``most`` passages: those need longer names.
+    """
+    names = ["name", "doc_id", "k", "at", "part", "begin", "passage"]
+    schema = "doc_id long, k int, at int, part int, first int, last int"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None
+
+        def rows(b: pa.RecordBatch, pick: np.ndarray, first, last) -> pa.RecordBatch:
+            cols = [b[c].take(pa.array(pick)) for c in ("doc_id", "k", "at", "part")]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc_id", "k", "at", "part", "first", "last"])
+
+        def judged(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal large
+            name = b["name"].to_numpy()
+            cuts = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            size = np.repeat(np.diff(np.append(cuts, len(name))), np.diff(np.append(cuts, len(name))))
+            big = size > most
+            if large is not None:
+                big |= name == large
+            large = int(name[-1]) if big[-1] else None
+            if big.any():
+                pick = np.flatnonzero(big)
+                yield rows(b, pick, [None] * len(pick), [None] * len(pick))
+                b = b.filter(pa.array(~big))
+            if len(b):
+                begin, at = b["begin"].to_numpy(), b["at"].to_numpy()
+                pick, first, last = _windows_again(b["name"].to_numpy(), b["doc_id"].to_numpy(), at - begin, b["passage"], window)
+                yield rows(b, pick, begin[pick] + first, begin[pick] + last)
+
+        for batch in batches:
+            batch = batch.select(names)
+            if held is not None and len(held):
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if len(batch) else held
+            if not len(batch):
+                continue
+            name = batch["name"].to_numpy()
+            tail = int(np.searchsorted(name, name[-1]))
+            if len(batch) - tail > most:
+                yield from judged(batch)
+                held = None
+            else:
+                if tail:
+                    yield from judged(batch.slice(0, tail))
+                held = batch.slice(tail)
+        if held is not None and len(held):
+            yield from judged(held)
+
+    return own.mapInArrow(scan, schema)
+
+
+def repeats(texts: DataFrame, window: int, gram: int, most: int = MOST) -> DataFrame:
+    """(doc_id, k, first, last): runs of window starts whose windows are in a smaller document."""
     n = buckets_of(texts.sparkSession)
     rounds = parts_of(window, gram)
-    todo = shared_grams(texts, symbols_of(Bytes), gram, window, n)
-    found = []
+    todo = shared_grams(texts, Bytes, gram, window, n)
+    found = None
     for r, parts in enumerate(rounds):
         rows = named(texts, todo, parts, gram, window, Bytes).repartition(n, "name").sortWithinPartitions("name", "around", "doc_id")
         ranked = staged(reranked(rows), f"ranks{r}")
-        found.append(settled_of(ranked, parts))
-        if r + 1 < len(rounds):
-            todo = ranked.filter("not settled").select("doc_id", "k", "at", F.explode(children_of(rounds, r)).alias("child"))
+        own = settled_of(ranked, parts).select("doc_id", "k", F.greatest(F.col("at") - F.col("greatest"), F.lit(0)).alias("first"), (F.col("at") - F.col("least")).alias("last"))
+        found = own if found is None else found.unionByName(own)
+        if r + 1 == len(rounds):
+            break  # these names are windows; rows of one agree
+        own = passages(texts, ranked.filter("not settled"), parts, window, Bytes)
+        runs = staged(finished(own.repartition(n, "name").sortWithinPartitions("name", "doc_id"), window, most), f"runs{r}")
+        found = found.unionByName(runs.filter("first is not null").select("doc_id", "k", "first", "last"))
+        todo = runs.filter("first is null").select("doc_id", "k", "at", F.explode(children_of(rounds, r)).alias("child"))
+        if todo.isEmpty():
+            break
     return found
 
 
-def removed_mask(n: int, spans: list[dict], window: int) -> np.ndarray:
-    """Which of n places lie in a window that is named by spans."""
-    edge = np.zeros(n + 1, np.int64)
-    for s in spans:
-        a, b = max(0, s["at"] - s["greatest"]), min(n - window, s["at"] - s["least"])
-        if b >= a:
-            edge[a] += 1
-            edge[b + window] -= 1
+def removed_mask(n: int, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
+    """Which of n places lie in a window that starts in one of the runs."""
+    last = np.minimum(last, n - window)
+    ok = last >= first
+    edge = np.bincount(first[ok], minlength=n + 1) - np.bincount(last[ok] + window, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -281,17 +447,16 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     rows = slim(docs, F.octet_length("text"), F.col("text"))
     first = staged(firsts(rows, window), "firsts")
     texts = bucketed_texts(docs, first)
-    found = None
-    for part in repeats(texts, window, gram):
-        found = part if found is None else found.unionByName(part)
-    spans = found.groupBy("doc_id", "k").agg(F.collect_list(F.struct("at", "least", "greatest")).alias("spans"))
+    spans = repeats(texts, window, gram).groupBy("doc_id", "k").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, own in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
+            starts, runs_of = batch["spans"].offsets.to_numpy(), batch["spans"].values
+            first, last = runs_of.field("first").to_numpy(), runs_of.field("last").to_numpy()
+            for i, text in enumerate(batch["text"]):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
-                mask = removed_mask(len(raw), own, window)
+                mask = removed_mask(len(raw), first[starts[i] : starts[i + 1]], last[starts[i] : starts[i + 1]], window)
                 kept = raw[~mask].tobytes()
                 runs = int(mask[0]) + int((np.diff(mask.astype(np.int8)) == 1).sum())
                 out.append((int(mask.sum()), runs, hashlib.sha256(kept).digest(), kept))
