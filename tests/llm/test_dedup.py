@@ -99,7 +99,11 @@ def test_words_of_a_hot_gram_are_refined(spark):
 def test_bytes_of_a_hot_name_are_split_in_order(spark, monkeypatch):
     df, rows = _crowd(spark)
     monkeypatch.setattr(suffixes, "HELD", 4)
-    check_bytes(df, rows, window=12, gram=4)
+    expected = brute(rows, lambda t: t.encode(), 12)
+    for most in (3, 1000):
+        monkeypatch.setattr(suffixes.repeats, "__defaults__", (most,))
+        got = {r["doc_id"]: r["n_removed"] for r in deduplicated(df, 12, 4).collect()}
+        assert got == {k: e[1] for k, e in expected.items()}
 
 
 @pytest.mark.parametrize("op,n", [(deduplicated, "n_bytes"), (without_repeats, "n_words")])
