@@ -4,7 +4,8 @@ Every rule votes good (1), bad (0) or abstains (-1) on a document. The votes of
 documents are counted by pattern (at most 3 ** rules of them, whatever the corpus size);
 expectation-maximisation over these counts estimates how often each rule is right and how
 many documents are good; a document is kept if its posterior probability of being good is
-at least ``threshold``.
+at least ``threshold``. Documents that no rule votes against are good: they anchor the
+estimate, which decides about the others.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) -> tuple
 
     patterns: votes and how many documents cast them. Starts from: bad if any rule says so.
     Rules are rarely wrong about the good and miss most kinds of bad, so the two accuracies
-    are apart, and the first is held at 0.995 at least: else the classes may become any two
+    are apart, and the first is held at 0.999 at least: else the classes may become any two
     kinds of document.
     """
     if not patterns:
@@ -117,13 +118,14 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) -> tuple
     votes = np.array([p for p, _ in patterns])
     n = np.array([k for _, k in patterns], float)[:, None]
     says = np.stack([votes == 0, votes == 1]).astype(float)
-    p = np.where((votes == 0).any(1), 0.1, 0.9)[:, None]
+    opposed = (votes == 0).any(1)[:, None]
+    p = np.where(opposed, 0.1, 1.0)
     for _ in range(rounds):
         cast = np.stack([((1 - p) * n * (says[0] + says[1])).sum(0), (p * n * (says[0] + says[1])).sum(0)])
         right = (np.stack([((1 - p) * n * says[0]).sum(0), (p * n * says[1]).sum(0)]) + 0.5) / (cast + 1)
-        right = np.clip(right, [[0.05], [0.995]], [[0.95], [0.9999]])
-        prior = float(np.clip((p * n).sum() / n.sum(), 0.02, 0.98))
-        new = 1 / (1 + np.exp(-_odds(votes, prior, right)))[:, None]
+        right = np.clip(right, [[0.05], [0.999]], [[0.95], [0.99999]])
+        prior = float(np.clip((p * n).sum() / n.sum(), 0.02, 0.95))
+        new = np.where(opposed, 1 / (1 + np.exp(-_odds(votes, prior, right)))[:, None], 1.0)
         done, p = np.abs(new - p).max() < 1e-9, new
         if done:
             break
@@ -154,7 +156,8 @@ def verdicts(rows: DataFrame, measures: str = "measures", threshold: float = 0.5
         odds = odds + F.when(vote == 1, yes).when(vote == 0, no).otherwise(0.0)
     m = F.col(measures)
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    rows = rows.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
+    opposed = F.array_contains(votes, 0)
+    rows = rows.withColumn("quality", F.when(opposed, 1 / (1 + F.exp(-odds))).otherwise(1.0)).withColumn("base_failed", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 

@@ -147,8 +147,10 @@ class Codec:
 
             def encode(pieces: list[str]) -> list[list[int]]:
                 ids = [x.ids for x in part.encode_batch_fast(pieces, add_special_tokens=False)]
-                # sentencepiece adds the first space itself
-                self.differs += sum(a != b for a, b in zip(ids, self.plain.encode([p[1:] for p in pieces], num_threads=1), strict=True) if a)
+                # sentencepiece adds the first space itself, but to no empty text
+                plain = self.plain.encode([p[1:] for p in pieces], num_threads=1)
+                mark = [self.plain.piece_to_id(MARK)]
+                self.differs += sum(a != (b if p != " " else mark) for p, a, b in zip(pieces, ids, plain, strict=True))
                 return ids
 
             self.cached = PieceEncoder(_cut, encode)
