@@ -5,11 +5,12 @@ models) or merges (BPE models) and byte fallback are rebuilt. No piece has a mar
 another character, so a text can be cut before each run of markers and its pieces encoded
 one by one (see wordcache.py); this is checked on the model, and whole texts are encoded
 where it does not hold. Every piece that a worker meets first is compared with the
-sentencepiece library, and every text is decoded again.
+sentencepiece library and decoded again: a text comes back if all of its pieces do.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -137,6 +138,7 @@ class Codec:
     def __init__(self, path: str, data: bytes | None = None):
         import sentencepiece
 
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # threads of a batch; a task's neighbours have their own
         self.model = Model.parse(data or open(path, "rb").read())
         self.whole = self.model.tokenizer()
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=data) if data else sentencepiece.SentencePieceProcessor(model_file=path)
@@ -153,16 +155,22 @@ class Codec:
                 self.differs += sum(a != (b if p != " " else mark) for p, a, b in zip(pieces, ids, plain, strict=True))
                 return ids
 
-            self.cached = PieceEncoder(_cut, encode)
+            def comes_back(pieces: list[str], ids: list[list[int]]) -> list[bool]:
+                return [a == p[1:] for p, a in zip(pieces, self.whole.decode_batch(ids, skip_special_tokens=False), strict=True)]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            self.cached = PieceEncoder(_cut, encode, comes_back)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, how many each text has, and which texts decoding gives back."""
         if self.cached and not pc.any(pc.match_substring(texts, "\x00")).as_py():
-            return self.cached(texts)
+            ids, sizes = self.cached(texts)
+            return ids, sizes, self.cached.passed
         own = texts.to_pylist()
         found = [x.ids for x in self.whole.encode_batch_fast(own, add_special_tokens=False)]
         self.differs += sum(a != b for a, b in zip(found, self.plain.encode(own, num_threads=1), strict=True))
         sizes = np.array([len(x) for x in found], np.int64)
-        return np.array([i for x in found for i in x], np.uint32), sizes
+        ids = np.array([i for x in found for i in x], np.uint32)
+        return ids, sizes, np.array([a == b for a, b in zip(self.decode(ids, sizes), own, strict=True)], bool)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         upto = np.concatenate([[0], np.cumsum(sizes)]).tolist()
@@ -194,12 +202,11 @@ def encoded(docs: DataFrame, model: str, text: str = "text", ids: bool = True) -
             for part in slices(batch, text):
                 texts = plain(part[text])
                 before = own.differs
-                flat, n = own.encode(texts)
+                flat, n, back = own.encode(texts)
                 same = own.differs == before
-                back = pc.equal(pa.array(own.decode(flat, n), pa.string()), texts)
                 data, upto = memoryview(flat.astype("<u4")).cast("B"), np.concatenate([[0], np.cumsum(n)])
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-                cols = [part["doc_id"], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), back, pa.array([same] * len(n), pa.bool_())]
+                cols = [part["doc_id"], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back), pa.array([same] * len(n), pa.bool_())]
                 names = ["doc_id", "n_tokens", "ids_crc32", "round_trip", "parity"]
                 if ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat.astype(np.int32))))
