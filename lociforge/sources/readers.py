@@ -114,7 +114,7 @@ def with_rates(stats: DataFrame) -> DataFrame:
 
 def read_duplication(spark: SparkSession, path: str, suffix: str = r"\..*") -> DataFrame:
     """Per sample the percentage in the ninth field of the row after the LIBRARY header."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("value"), _sample(suffix).alias("sample"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("value"), _sample(suffix).alias("sample"))
     row = F.regexp_extract("value", r"(?m)^LIBRARY\t[^\n]*\n([^\n]*)", 1)
     return whole.select("sample", (100 * F.get(F.split(row, "\t"), F.lit(8)).try_cast("double")).alias("pct_duplication"))
 
@@ -133,7 +133,7 @@ def read_windows(spark: SparkSession, path: str, suffix: str = r"\..*", partitio
 
 
 def read_flagstat(spark: SparkSession, path: str, suffix: str = r"\..*") -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("value"), _sample(suffix).alias("sample"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("value"), _sample(suffix).alias("sample"))
     return whole.select("sample", F.regexp_extract("value", r"(\d+) \+ \d+ primary mapped", 1).try_cast("long").alias("n_primary_mapped"))
 
 
