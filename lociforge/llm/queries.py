@@ -77,4 +77,43 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_token_files, op4_html_text, op5_simhash, op6_pii, op7_automata_dedup, op8_decontamination, op9_sentencepiece, op10_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FOLDED = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_REMOVED = """
+least as (select w, min(doc_id) as first from windows group by w),
+again as (select doc_id, p from windows join least using (w) where doc_id > first),
+gone as (select distinct doc_id, unnest(range(p, p + 50)) as p from again)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": rf"""
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+parts as (select doc_id, n, s, substr(h, 2 * s + 1, 1122) as g from (select *, unnest(range(0, n, 512)) as s from docs)),
+windows as (select doc_id, s + o as p, substr(g, 2 * o + 1, 100) as w from (select *, unnest(range(0, least(512, n - 49 - s))) as o from parts)),
+{_REMOVED},
+bytes as (select doc_id, s + o as p, substr(g, 2 * o + 1, 2) as b from (select *, unnest(range(0, least(512, n - s))) as o from parts)),
+kept as (select doc_id, string_agg(b, '' order by p) as k from bytes anti join gone using (doc_id, p) group by doc_id),
+runs as (select g.doc_id, count(*) as n_removed, count(*) filter (where q.p is null) as n_spans from gone g left join gone q on q.doc_id = g.doc_id and q.p = g.p - 1 group by g.doc_id)
+select d.doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, ''))) as kept_sha256
+from docs d left join runs r on d.doc_id = r.doc_id left join kept k on d.doc_id = k.doc_id""",
+    "op7_automata_dedup": rf"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as t from documents),
+windows as (select doc_id, p, array_to_string(t[p + 1 : p + 50], ' ') as w from (select *, unnest(range(0, len(t) - 49)) as p from docs)),
+{_REMOVED},
+words as (select doc_id, p, t[p + 1] as b from (select *, unnest(range(0, len(t))) as p from docs)),
+kept as (select doc_id, string_agg(b, ' ' order by p) as k from words anti join gone using (doc_id, p) group by doc_id),
+runs as (select doc_id, count(*) as n_removed from gone group by doc_id)
+select d.doc_id, len(t) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from docs d left join runs r on d.doc_id = r.doc_id left join kept k on d.doc_id = k.doc_id""",
+    "op8_decontamination": rf"""
+with docs as (select doc_id, {_FOLDED} as t from documents),
+items as (select item_id::varchar as item, {_FOLDED} as t from benchmark where item_id is not null),
+windows as (select distinct item, len(w) as n, array_to_string(w, ' ') as w from (select item, t[p + 1 : p + 10] as w from (select *, unnest(range(0, greatest(len(t) - 9, 1))) as p from items where len(t) > 0))),
+sizes as (select distinct n from windows),
+places as (select doc_id, p, n, array_to_string(t[p + 1 : p + n], ' ') as w from (select *, unnest(range(0, len(t) - n + 1)) as p from docs, sizes)),
+hits as (select distinct doc_id, p, n, item from places join windows using (n, w)),
+words as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(p, p + n)) from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, len(t) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join words w on d.doc_id = w.doc_id left join found f on d.doc_id = f.doc_id""",
+}
