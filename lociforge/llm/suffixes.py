@@ -118,7 +118,9 @@ def bucketed_texts(docs: DataFrame, first: DataFrame) -> DataFrame:
     rows = rows.dropDuplicates(["doc_id", "k1", "k2"]) if _repeated(first, docs) else rows
     n = buckets_of(spark)
     name = f"texts_{uuid.uuid4().hex}"
-    kept = rows.repartition(n, "doc_id").join(first.repartition(n, "doc_id"), ["doc_id", "k1", "k2"])
+    # joined on the bucket's key alone, so that each task holds one bucket and writes one file
+    own = first.select("doc_id", "k", F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).repartition(n, "doc_id")
+    kept = rows.repartition(n, "doc_id").join(own, "doc_id").filter("k1 = _k1 and k2 = _k2")
     kept.select("doc_id", "k", "k1", "k2", "text").write.bucketBy(n, "doc_id").format("parquet").saveAsTable(name)
     return spark.table(name)
 
