@@ -158,7 +158,7 @@ class Codec:
             def comes_back(pieces: list[str], ids: list[list[int]]) -> list[bool]:
                 return [a == p[1:] for p, a in zip(pieces, self.whole.decode_batch(ids, skip_special_tokens=False), strict=True)]
 
-            self.cached = PieceEncoder(_cut, encode, comes_back)
+            self.cached = PieceEncoder(_cut, encode, comes_back, limit=700_000)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, how many each text has, and which texts decoding gives back."""

@@ -26,7 +26,7 @@ class PieceEncoder:
 
     def __init__(
         self, split: Callable[[pa.Array], pa.Array], encode: Callable[[list[str]], list[list[int]]],
-        check: Callable[[list[str], list[list[int]]], list[bool]] | None = None, limit: int = 700_000,
+        check: Callable[[list[str], list[list[int]]], list[bool]] | None = None, limit: int = 450_000,
     ):
         self.split, self.encode, self.check, self.limit = split, encode, check, limit
         self._empty()
