@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lociforge.llm.anchors import shared_grams
 from lociforge.llm.shared import staged
 from lociforge.llm.suffixes import (
-    Words, bucketed_texts, buckets_of, children_of, firsts, named, parts_of, passages, reranked, results, settled_of, slim,
+    SAME_K, Words, bucketed_texts, buckets_of, children_of, firsts, named, parts_of, passages, reranked, results, settled_of, slim,
 )
 
 WINDOW, GRAM, SHARD = 50, 8, 256
@@ -178,10 +178,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     or greater than none; of equal texts the one with the smallest doc_id counts, and rows
     that share a doc_id never remove each other's words. An empty table gives an empty result.
     """
-    bare = F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    one = F.regexp_replace(bare, r"[\x20\x09-\x0D]+", " ")
-    n_words = F.when(F.length(one) == 0, 0).otherwise(F.length(one) - F.length(F.replace(one, F.lit(" "), F.lit(""))) + 1)
-    rows = slim(docs, n_words, one)
+    one = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    rows = slim(docs, lambda x: F.when(F.length(x) == 0, 0).otherwise(F.size(F.split(x, " "))), one)
     first = staged(firsts(rows, window), "firsts")
     texts = bucketed_texts(docs, first)
     found = repeated_passages(texts, window, gram, shard)
@@ -207,6 +205,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
             cols += [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "first", "n_removed", "n_spans", "kept_sha", "kept"])
 
-    changed = texts.join(spans, "doc_id").filter("k = _k").select("k1", "k2", "doc_id", "text", "spans")
+    changed = texts.join(spans, "doc_id").filter(SAME_K).select("k1", "k2", "doc_id", "text", "spans")
     changed = changed.mapInArrow(cut, "k1 long, k2 long, first long, n_removed long, n_spans long, kept_sha binary, kept binary")
     return results(rows, first, changed).withColumnRenamed("n", "n_words")

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ from lociforge.llm.shared import staged
 
 WINDOW, GRAM = 50, 20
 HELD = 1 << 20
+#: k = _k in a form that is no key of a join, so that bucketed texts stay where they are.
+SAME_K = "(k ^ _k) = 0"
 #: Passages of a name that a task finishes at once.
 MOST = 1 << 16
 _EMPTY = hashlib.sha256(b"").digest()
@@ -90,15 +92,15 @@ class Words:
         return b" ".join(self.words[a:b])
 
 
-def slim(docs: DataFrame, n: Column, kept: Column) -> DataFrame:
-    """A small row for each document: n and the hash of what is kept if nothing is removed.
+def slim(docs: DataFrame, n: Callable[[Column], Column], kept: Column) -> DataFrame:
+    """A small row for each document: n of, and the hash of, what is kept if nothing is removed.
 
     A null text counts as empty. k1 and k2 are hashes of the text.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).select(
+    rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", kept.alias("kept")).select(
         "doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("k2"), "text").alias("k2"),
-        n.cast("long").alias("n"), F.unhex(F.sha2(kept, 256)).alias("sha256"),
+        n(F.col("kept")).cast("long").alias("n"), F.unhex(F.sha2("kept", 256)).alias("sha256"),
     )
     return staged(rows, "slim")
 
@@ -118,9 +120,10 @@ def bucketed_texts(docs: DataFrame, first: DataFrame) -> DataFrame:
     rows = rows.dropDuplicates(["doc_id", "k1", "k2"]) if _repeated(first, docs) else rows
     n = buckets_of(spark)
     name = f"texts_{uuid.uuid4().hex}"
-    # joined on the bucket's key alone, so that each task holds one bucket and writes one file
+    # joined on the bucket's key alone, so that each task holds one bucket and writes one file; an
+    # equality of columns would become a key too
     own = first.select("doc_id", "k", F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).repartition(n, "doc_id")
-    kept = rows.repartition(n, "doc_id").join(own, "doc_id").filter("k1 = _k1 and k2 = _k2")
+    kept = rows.repartition(n, "doc_id").join(own, "doc_id").filter("(k1 ^ _k1) = 0 and (k2 ^ _k2) = 0")
     kept.select("doc_id", "k", "k1", "k2", "text").write.bucketBy(n, "doc_id").format("parquet").saveAsTable(name)
     return spark.table(name)
 
@@ -215,7 +218,7 @@ def named(texts: DataFrame, todo: DataFrame, parts: list[tuple[int, int]], gram:
         rows = texts.join(lists, "doc_id")
     else:
         lists = todo.groupBy("doc_id", "k").agg(F.collect_list(F.struct("at", "child")).alias("left"))
-        rows = texts.join(lists.withColumnRenamed("k", "_k"), "doc_id").filter("k = _k")
+        rows = texts.join(lists.withColumnRenamed("k", "_k"), "doc_id").filter(SAME_K)
     return rows.select("doc_id", "k", "text", "left").mapInArrow(suffixes, _NAMED)
 
 
@@ -323,7 +326,7 @@ def passages(texts: DataFrame, rows: DataFrame, parts: list[tuple[int, int]], wi
             yield pa.RecordBatch.from_arrays(cols, ["name", "doc_id", "k", "at", "part", "begin", "passage"])
 
     lists = rows.groupBy("doc_id", F.col("k").alias("_k")).agg(F.collect_list(F.struct("name", "at", "part")).alias("left"))
-    both = texts.join(lists, "doc_id").filter("k = _k").select("doc_id", "k", "text", "left")
+    both = texts.join(lists, "doc_id").filter(SAME_K).select("doc_id", "k", "text", "left")
     return both.mapInArrow(cut, "name long, doc_id long, k int, at int, part int, begin int, passage binary")
 
 
@@ -446,7 +449,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     and rows that share a doc_id never remove each other's bytes. An empty table gives an
     empty result.
     """
-    rows = slim(docs, F.octet_length("text"), F.col("text"))
+    rows = slim(docs, F.octet_length, F.col("text"))
     first = staged(firsts(rows, window), "firsts")
     texts = bucketed_texts(docs, first)
     spans = repeats(texts, window, gram).groupBy("doc_id", "k").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
@@ -467,7 +470,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
             cols += [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "first", "n_removed", "n_spans", "kept_sha", "kept"])
 
-    changed = texts.join(spans.withColumnRenamed("k", "_k"), "doc_id").filter("k = _k").select("k1", "k2", "doc_id", "text", "spans")
+    changed = texts.join(spans.withColumnRenamed("k", "_k"), "doc_id").filter(SAME_K).select("k1", "k2", "doc_id", "text", "spans")
     changed = changed.mapInArrow(cut, "k1 long, k2 long, first long, n_removed long, n_spans long, kept_sha binary, kept binary")
     return results(rows, first, changed).withColumnRenamed("n", "n_bytes")
 
