@@ -15,7 +15,7 @@ from lociforge.llm.quality import judged
 from lociforge.llm.queries import tokenizer_file
 from lociforge.llm.sentencepiece import encoded
 from lociforge.llm.shared import staged, table
-from lociforge.llm.simhash import one_of_each
+from lociforge.llm.similar import one_of_similar
 
 MODEL = "piece_bpe_32k.model"
 
@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    return one_of_each(_packed(docs)).select("_row.*")
+    """Of each group of near-duplicates (4/5 of all shingles of five words alike) the document with the smallest doc_id."""
+    return one_of_similar(_packed(docs)).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
