@@ -55,6 +55,25 @@ def test_judgement_keeps_clean_documents(spark, words):
     assert got[71]["base_failed"] and got[72]["base_failed"]
 
 
+def test_the_posterior_outvotes_a_rule_that_opposes_clean_documents(spark, words):
+    rng = np.random.default_rng(1)
+    loud = lambda w: [x.upper() if rng.random() < 0.7 else x for x in w]
+    texts = [" ".join(loud(rng.choice(words, 120)) if i % 10 < 3 else rng.choice(words, 120)) for i in range(200)]
+    junk = [" ".join(f"{w}#!" for w in rng.choice(words, 80)) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate([*texts, *junk])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in judged(rows).collect()}
+    assert sum(100 * got[i]["measures"]["n_upper"] > 40 * got[i]["measures"]["n_words"] for i in range(200)) > 50
+    assert all(got[i]["kept"] for i in range(200)) and not any(got[i]["kept"] for i in range(200, 220))
+    assert max(got[i]["quality"] for i in range(200)) < 1
+
+
+def test_variety_does_not_fall_with_length(spark, words):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(words, 120)) for _ in range(60)] + [" ".join(rng.choice(words, 9000)), "one two three four five " * 40]
+    got = {r["doc_id"]: r["kept"] for r in judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[60] and not got[61]
+
+
 def test_quality_of_awkward_and_no_documents(awkward, empty):
     assert quality_table(awkward).count() == 7
     assert judged(awkward).count() == 7 and judged(empty).count() == 0 and quality_table(empty).count() == 0
