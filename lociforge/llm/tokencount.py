@@ -35,23 +35,32 @@ def write_stream(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
     Each document is followed by end_id; a stream's documents are in order of place, in a
     folder of its own. Rows stay in their partition: a stream is to be part of one partition
     (of several, its order is by file). Special tokens in a text are ordinary text, so end_id
-    ends documents only; null and empty texts are an end_id alone.
+    ends documents only; null and empty texts are an end_id alone. Where docs have a file_key,
+    folders are named by it and the first place of the stream instead.
     """
+    runs = "file_key" in docs.columns
+    names = ["file_key", "first"] if runs else ["stream"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer, special=False)
+        first: dict[int, int] = {}  # of each stream, whose rows come in order of place
         for batch in batches:
             for part in slices(batch, text):
                 ids, n = encoder(plain(part[text]))
                 data = ids.astype("<u2").tobytes()
                 upto = np.concatenate([[0], 2 * np.cumsum(n)]).tolist()
                 own = pa.array([data[a:b] for a, b in zip(upto, upto[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part["stream"], part["place"], own], ["stream", "place", "ids"])
-
-    rows = docs.select("stream", "place", text).mapInArrow(encode, "stream long, place long, ids binary")
-    rows = rows.sortWithinPartitions("stream", "place").select("stream", F.col("ids").cast("string").alias("value"))
+                cols = [part["stream"]]
+                if runs:
+                    pairs = zip(part["stream"].to_pylist(), part["place"].to_pylist(), strict=True)
+                    cols = [part["file_key"], pa.array([first.setdefault(s, p) for s, p in pairs], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, part["place"], own], [*names, "place", "ids"])
+
+    schema = ", ".join(f"{x} long" for x in names) + ", place long, ids binary"
+    rows = docs.select("stream", *names[:1] * runs, "place", text).mapInArrow(encode, schema)
+    rows = rows.sortWithinPartitions(*names, "place").select(*names, F.col("ids").cast("string").alias("value"))
     end = end_id.to_bytes(2, "little").decode("latin-1")
-    rows.write.partitionBy("stream").option("encoding", "ISO-8859-1").option("lineSep", end).option("compression", "gzip").text(path)
+    rows.write.partitionBy(*names).option("encoding", "ISO-8859-1").option("lineSep", end).option("compression", "gzip").text(path)
 
 
 def ends_by_block(files: DataFrame, end_id: int, width: int = 2, block: int = BLOCK) -> DataFrame:
@@ -100,19 +109,34 @@ def token_counts(files: DataFrame, end_id: int, width: int = 2, block: int = BLO
 
 
 def document_counts(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens) of docs (doc_id, text, stream, place), written to path and counted there."""
+    """(doc_id, stream, start, n_tokens) of docs (doc_id, text, stream, place[, file_key]), written to path and counted there.
+
+    docs are read twice, for the texts and for the ids. With a file_key, (file_key, place) name a
+    document and the streams may differ between the two; without, they must be the same. A
+    document that isn't found fails the run.
+    """
     spark = docs.sparkSession
+    runs = "file_key" in docs.columns
     write_stream(docs, path, tokenizer, end_id)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    if "stream" not in files.columns:  # no rows, no folders
-        files = files.withColumn("stream", F.lit(None).cast("long"))
-    counted = token_counts(files.withColumn("stream", F.col("stream").cast("long")), end_id)
-    order = Window.partitionBy("stream").orderBy("place")
-    named = docs.select("doc_id", "stream", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
-    return named.join(counted, ["stream", "ordinal"]).select("doc_id", "stream", "start", "n_tokens")
+    for name in ["file_key", "first"] if runs else ["stream"]:
+        files = files.withColumn(name, (F.col(name) if name in files.columns else F.lit(None)).cast("long"))  # no rows, no folders
+    if runs:
+        files = files.withColumn("stream", F.xxhash64("file_key", "first"))
+    counted = token_counts(files, end_id).withColumn("_found", F.lit(True))
+    if runs:
+        streams = files.select("stream", "file_key", "first").distinct()
+        counted = counted.join(F.broadcast(streams), "stream").withColumn("place", F.col("first") + F.col("ordinal"))
+        rows = docs.select("doc_id", "file_key", "place").join(counted, ["file_key", "place"], "left")
+    else:
+        order = Window.partitionBy("stream").orderBy("place")
+        named = docs.select("doc_id", "stream", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
+        rows = named.join(counted, ["stream", "ordinal"], "left")
+    lost = F.raise_error(F.lit("a document is not in the files of its stream")).cast("long")
+    return rows.select("doc_id", "stream", "start", F.when(F.col("_found"), F.col("n_tokens")).otherwise(lost).alias("n_tokens"))
 
 
 def with_streams(docs: DataFrame) -> DataFrame:
-    """docs of a Parquet table with stream, one for each part of a file that a task reads, and place in it."""
+    """docs of a Parquet table with file_key and place, which name a row of a file, and stream, a part of it that a task reads."""
     meta = F.col("_metadata")
-    return docs.select("*", F.xxhash64(meta["file_path"], meta["file_block_start"]).alias("stream"), meta["row_index"].alias("place"))
+    return docs.select("*", F.xxhash64(meta["file_path"]).alias("file_key"), F.xxhash64(meta["file_path"], meta["file_block_start"]).alias("stream"), meta["row_index"].alias("place"))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lociforge.llm.planes import TRAILER, Segment, pack, read_documents, segments, write_planes
 from lociforge.llm.shared import new_folder
-from lociforge.llm.tokencount import document_counts, token_counts
+from lociforge.llm.tokencount import document_counts, token_counts, with_streams
 from lociforge.llm.wordcache import plain, word_encoder
 
 NAME = "word_bpe_49k.json"
@@ -106,3 +107,21 @@ def test_written_streams_are_counted(spark, docs, texts, empty, tokenizer, token
     assert {r["doc_id"]: r["n_tokens"] for r in own.collect()} == {k: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
     none = empty.withColumn("stream", F.lit(1).cast("long")).withColumn("place", F.lit(1).cast("long"))
     assert document_counts(none, new_folder(spark, "stream"), tokenizers_dir.path(NAME), 49_407).count() == 0
+
+
+def test_counts_do_not_depend_on_how_the_input_is_split(spark, texts, tokenizer, tokenizers_dir, tmp_path):
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "source": "x"}).to_parquet(tmp_path / "documents.parquet", row_group_size=3)
+    docs = with_streams(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    expected = {k: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    conf = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    try:
+        for before, after in ((1, 9), (9, 1), (5, 8)):
+            for key, value in conf.items():
+                spark.conf.set(key, value)
+            spark.conf.set("spark.sql.files.minPartitionNum", str(before))
+            own = document_counts(docs.select("*"), new_folder(spark, "stream"), tokenizers_dir.path(NAME), 49_407)
+            spark.conf.set("spark.sql.files.minPartitionNum", str(after))
+            assert {r["doc_id"]: r["n_tokens"] for r in own.collect()} == expected
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
