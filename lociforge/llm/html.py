@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: A subtree is of the template if it is on so many pages of its host, and on such a share.
 MIN_PAGES, MIN_SHARE = 10, 0.5
+#: Pages of a host that are many at any size of the host: no share is needed then.
+MANY = 100
 #: Recurring subtrees (host and hash) up to which the list of them is broadcast.
 MAX_BROADCAST = 500_000
 
@@ -167,11 +169,13 @@ _PARSED = T.StructType([
 
 @F.pandas_udf(_PARSED)
 def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Blocks of each page, the subtrees around each but not around all of them, and all subtrees."""
     for part in pages:
         rows = [parse(x) for x in part]
+        whole = [set.intersection(*(set(h) for _, h in blocks)) if blocks else set() for blocks, _ in rows]
         yield pd.DataFrame({
             "texts": [[s for s, _ in blocks] for blocks, _ in rows],
-            "owners": [[h for _, h in blocks] for blocks, _ in rows],
+            "owners": [[[x for x in h if x not in every] for _, h in blocks] for (blocks, _), every in zip(rows, whole, strict=True)],
             "subtrees": [trees for _, trees in rows],
         })
 
@@ -183,14 +187,15 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, recurring): hashes of the subtrees that recur on a host's pages, from pages (host, subtrees).
+    """(host, recurring): hashes of the subtrees that recur on a host's pages, from pages (host, body, subtrees).
 
-    There are at most 1 / min_share times as many as a page of the host has on average.
+    Pages of one body count once. A subtree recurs on min_pages and on min_share of the
+    host's pages or MANY of them.
     """
-    pages = pages.filter("host is not null")
+    pages = pages.filter("host is not null").dropDuplicates(["host", "body"])
     seen = pages.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
     total = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    often = seen.filter(F.col("n") >= min_pages).join(total, "host").filter(F.col("n") >= min_share * F.col("pages"))
+    often = seen.filter(F.col("n") >= min_pages).join(total, "host").filter(F.col("n") >= F.least(min_share * F.col("pages"), F.lit(float(MANY))))
     return often.groupBy("host").agg(F.collect_list("subtree").alias("recurring"))
 
 
@@ -205,7 +210,7 @@ def main_text(
     an empty result; a column of pages named as ``into`` is replaced.
     """
     rows = pages.drop(into).withColumn("_parsed", parsed(F.col(page))).withColumn("_host", host_of(F.col(url)))
-    found = templates(rows.select(F.col("_host").alias("host"), F.col("_parsed.subtrees").alias("subtrees")), min_pages, min_share)
+    found = templates(rows.select(F.col("_host").alias("host"), F.xxhash64("_parsed.texts").alias("body"), F.col("_parsed.subtrees").alias("subtrees")), min_pages, min_share)
     found = found.select(F.col("host").alias("_of"), "recurring")
     found.persist()  # a row a host; computed again if an executor is lost
     n = found.agg(F.sum(F.size("recurring"))).first()[0] or 0

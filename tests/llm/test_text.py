@@ -199,6 +199,17 @@ def test_templates_go_by_recurrence(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_count_distinct_pages(spark):
+    story = "<body><div><p>The story</p><ul><li>that mirrors hold</li></ul></div></body>"
+    rows = [(k, "https://a.org/", story) for k in range(12)] + [(k, "https://a.org/", f"<div><p>Page {k}</p></div><div>x</div>") for k in range(12, 20)]
+    rows += [(k, "https://b.org/", f"<div><p>Page {k}</p></div>" + "<div>Join our club</div>" * (k % 5 < 2)) for k in range(100, 400)]
+    rows += [(k, "https://c.org/", "<div><p>Whole text</p></div>" + f"<p> {k}</p>" * (k < 512)) for k in range(500, 513)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "The story\nthat mirrors hold" and got[15] == "Page 15\nx"
+    assert got[100] == "Page 100" and got[102] == "Page 102"
+    assert got[500] == "500" and got[512] == "Whole text"
+
+
 @pytest.fixture(scope="session")
 def model(tokenizers_dir):
     return tokenizers_dir.path("piece_bpe_32k.model")
