@@ -270,6 +270,7 @@ def reranked(rows: DataFrame) -> DataFrame:
                 # All but the last surroundings of the name can be judged; its own rows are many, so it goes on.
                 last = c["around"] == c["around"][-1]
                 last &= waits & (c["doc_id"] == c["doc_id"][np.flatnonzero(last & waits)[0]])
+                going |= waits & ~last & ~settled  # of one document so far, but others may follow
                 hot = int(c["name"][-1]) if going[waits].any() else hot
                 done = ~waits | ~last
                 yield out(c, settled & done, going & done & ~last)

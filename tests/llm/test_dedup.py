@@ -106,6 +106,18 @@ def test_bytes_of_a_hot_name_are_split_in_order(spark, monkeypatch):
         assert got == {k: e[1] for k, e in expected.items()}
 
 
+def test_rows_of_one_document_wait_for_those_of_others(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HELD", 4)
+    rows = [(7, around, 1, 0, around, 0, False) for around in range(5)] + [(7, 9, 2, 0, 0, 0, False)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        df = spark.createDataFrame(rows, "name long, around long, doc_id long, k int, at int, part int, local boolean").coalesce(1)
+        got = sorted((r["doc_id"], r["at"], r["settled"]) for r in suffixes.reranked(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(1, k, False) for k in range(5)] + [(2, 0, False)]
+
+
 @pytest.mark.parametrize("op,n", [(deduplicated, "n_bytes"), (without_repeats, "n_words")])
 def test_awkward_and_no_documents(op, n, awkward, empty, texts):
     rows = op(awkward, 6, 2).collect()
