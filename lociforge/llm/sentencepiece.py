@@ -143,31 +143,37 @@ class Codec:
         self.whole = self.model.tokenizer()
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=data) if data else sentencepiece.SentencePieceProcessor(model_file=path)
         self.differs = 0
+        self.agreed = np.empty(0, bool)
         self.cached = None
         if self.model.splits_at_marks():
             part = self.model.tokenizer(prefix=False)
 
             def encode(pieces: list[str]) -> list[list[int]]:
-                ids = [x.ids for x in part.encode_batch_fast(pieces, add_special_tokens=False)]
+                return [x.ids for x in part.encode_batch_fast(pieces, add_special_tokens=False)]
+
+            def agrees(pieces: list[str], ids: list[list[int]]) -> list[bool]:
                 # sentencepiece adds the first space itself, but to no empty text
                 plain = self.plain.encode([p[1:] for p in pieces], num_threads=1)
                 mark = [self.plain.piece_to_id(MARK)]
-                self.differs += sum(a != (b if p != " " else mark) for p, a, b in zip(pieces, ids, plain, strict=True))
-                return ids
+                same = [a == (b if p != " " else mark) for p, a, b in zip(pieces, ids, plain, strict=True)]
+                self.differs += same.count(False)
+                return same
 
             def comes_back(pieces: list[str], ids: list[list[int]]) -> list[bool]:
                 return [a == p[1:] for p, a in zip(pieces, self.whole.decode_batch(ids, skip_special_tokens=False), strict=True)]
 
-            self.cached = PieceEncoder(_cut, encode, comes_back, limit=700_000)
+            self.cached = PieceEncoder(_cut, encode, (comes_back, agrees), limit=700_000)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, how many each text has, and which texts decoding gives back."""
+        """All ids, how many each text has, and which texts decoding gives back; ``agreed`` then says which have sentencepiece's ids."""
         if self.cached and not pc.any(pc.match_substring(texts, "\x00")).as_py():
             ids, sizes = self.cached(texts)
-            return ids, sizes, self.cached.passed
+            back, self.agreed = self.cached.passed
+            return ids, sizes, back
         own = texts.to_pylist()
         found = [x.ids for x in self.whole.encode_batch_fast(own, add_special_tokens=False)]
-        self.differs += sum(a != b for a, b in zip(found, self.plain.encode(own, num_threads=1), strict=True))
+        self.agreed = np.array([a == b for a, b in zip(found, self.plain.encode(own, num_threads=1), strict=True)], bool)
+        self.differs += int((~self.agreed).sum())
         sizes = np.array([len(x) for x in found], np.int64)
         ids = np.array([i for x in found for i in x], np.uint32)
         return ids, sizes, np.array([a == b for a, b in zip(self.decode(ids, sizes), own, strict=True)], bool)
@@ -192,7 +198,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", ids: bool = True) -
 
     ids_crc32 is that of the ids as little-endian numbers of 32 bits. round_trip: decoding
     gives the text back. parity: the sentencepiece library gives the same ids for every
-    piece that was new in the text's batch. Null and empty texts have no ids and come back
+    piece of the text. Null and empty texts have no ids and come back
     empty; doc_id may be null or repeated; an empty table gives an empty result.
     """
 
@@ -201,12 +207,10 @@ def encoded(docs: DataFrame, model: str, text: str = "text", ids: bool = True) -
         for batch in batches:
             for part in slices(batch, text):
                 texts = plain(part[text])
-                before = own.differs
                 flat, n, back = own.encode(texts)
-                same = own.differs == before
                 data, upto = memoryview(flat.astype("<u4")).cast("B"), np.concatenate([[0], np.cumsum(n)])
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-                cols = [part["doc_id"], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back), pa.array([same] * len(n), pa.bool_())]
+                cols = [part["doc_id"], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back), pa.array(own.agreed)]
                 names = ["doc_id", "n_tokens", "ids_crc32", "round_trip", "parity"]
                 if ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat.astype(np.int32))))

@@ -20,22 +20,22 @@ SLICE_BYTES = 2 << 20
 class PieceEncoder:
     """encode: ids of each of a list of pieces. split: lists of pieces of an array of texts.
 
-    check, if given, judges each new piece and its ids; ``passed`` then says for each text of
-    the last call whether all of its pieces passed.
+    Each of checks judges new pieces and their ids; ``passed`` has for each of them, and for
+    each text of the last call, whether all pieces passed it, whenever they were new.
     """
 
     def __init__(
         self, split: Callable[[pa.Array], pa.Array], encode: Callable[[list[str]], list[list[int]]],
-        check: Callable[[list[str], list[list[int]]], list[bool]] | None = None, limit: int = 450_000,
+        checks: tuple[Callable[[list[str], list[list[int]]], list[bool]], ...] = (), limit: int = 450_000,
     ):
-        self.split, self.encode, self.check, self.limit = split, encode, check, limit
+        self.split, self.encode, self.checks, self.limit = split, encode, checks, limit
         self._empty()
 
     def _empty(self) -> None:
         self.at: dict[str, int] = {}
         self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-        self.failed = np.zeros(1 << 16, bool)
+        self.failed = [np.zeros(1 << 16, bool) for _ in self.checks]
 
     def _learn(self, pieces: list[str]) -> None:
         found = self.encode(pieces)
@@ -44,12 +44,13 @@ class PieceEncoder:
         total = int(sizes.sum())
         while k + n > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-            self.failed = np.resize(self.failed, len(self.size))
+            self.failed = [np.resize(x, len(self.size)) for x in self.failed]
         if self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + total))
         self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.size[k : k + n] = sizes
-        self.failed[k : k + n] = ~np.array(self.check(pieces, found), bool) if self.check else False
+        for failed, check in zip(self.failed, self.checks, strict=True):
+            failed[k : k + n] = ~np.array(check(pieces, found), bool)
         self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
         self.used += total
         self.at.update(zip(pieces, range(k, k + n), strict=True))
@@ -72,8 +73,7 @@ class PieceEncoder:
         where += np.arange(len(where), dtype=np.int32)
         ids = self.flat[where]
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
-        if self.check:
-            self.passed = np.diff(np.concatenate([[0], np.cumsum(self.failed[k])])[offsets]) == 0
+        self.passed = [np.diff(np.concatenate([[0], np.cumsum(x[k])])[offsets]) == 0 for x in self.failed]
         return ids, np.diff(upto[offsets])
 
 

@@ -12,7 +12,7 @@ from lociforge.llm.decontam import contaminated, contamination_table
 from lociforge.llm.html import main_text, parse
 from lociforge.llm.pii import KINDS, PLAIN, masked, pii_table, with_spans
 from lociforge.llm.quality import fit, judged, measure, quality_table
-from lociforge.llm.sentencepiece import Model, codec, encoded
+from lociforge.llm.sentencepiece import Codec, Model, codec, encoded
 from lociforge.llm.wordcache import plain
 
 
@@ -239,6 +239,25 @@ def test_ids_are_those_of_sentencepiece(spark, model, texts):
         assert r["round_trip"] == ("▁" not in own[r["doc_id"]]), own[r["doc_id"]]
 
 
+def test_parity_is_kept_with_a_piece(model):
+    import pyarrow as pa
+
+    own = Codec(model)
+    right = own.plain.encode
+
+    class Wrong:
+        piece_to_id = own.plain.piece_to_id
+
+        def encode(self, texts, **kwargs):
+            return [[0] if t == "other" else x for t, x in zip(texts, right(texts, **kwargs))]
+
+    own.plain = Wrong()
+    own.encode(pa.array(["one other", "one two"]))
+    assert own.agreed.tolist() == [False, True]
+    own.encode(pa.array(["two one", "two other", ""]))
+    assert own.agreed.tolist() == [True, False, True]
+
+
 def test_encoding_of_awkward_and_no_documents(awkward, empty, model):
     assert encoded(awkward, model).count() == 7 and encoded(empty, model).count() == 0
 
