@@ -132,13 +132,14 @@ def _finder(shared):
     return find
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, max_words: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of about max_words words; each is small enough to broadcast."""
+def _blocks(benchmark: DataFrame, item: str, text: str, max_words: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of about max_words words, each small enough to broadcast and collected when it is needed."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).dropna()
     size = rows.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     n = int(size // max_words) + 1
     block = F.pmod(F.xxhash64("item"), F.lit(n))
-    return [[tuple(r) for r in rows.filter(block == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [tuple(r) for r in rows.filter(block == k).collect()]
 
 
 def contaminated(
@@ -154,14 +155,18 @@ def contaminated(
     spark = docs.sparkSession
     names = []
     docs = docs.drop("hits")
+    found = None
     for k, items in enumerate(_blocks(benchmark, item, item_text, max_words)):
+        if found:
+            docs = staged(docs, "decontam")
+            found.unpersist()
         windows = Windows(items, size)
-        counts = _counts(docs, text, spark.sparkContext.broadcast(windows)) if windows.owners else {}
-        keyed = windows.keyed(counts)
+        shared = spark.sparkContext.broadcast(windows)
+        keyed = windows.keyed(_counts(docs, text, shared) if windows.owners else {})
+        shared.unpersist()
+        found = spark.sparkContext.broadcast((windows, keyed))
         names.append(f"_hits{k}")
-        docs = docs.withColumn(names[-1], _finder(spark.sparkContext.broadcast((windows, keyed)))(F.col(text)))
-        if k:
-            docs = staged(docs, "decontam")
+        docs = docs.withColumn(names[-1], _finder(found)(F.col(text)))
     join = lambda f: F.flatten(F.array(*[F.col(f"{x}.{f}") for x in names]))
     hits = F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), join("starts").alias("starts"), join("ends").alias("ends"), F.array_distinct(join("items")).alias("items"))
     return docs.withColumn("hits", hits).drop(*names)

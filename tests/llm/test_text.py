@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lociforge.llm.decontam import contaminated, contamination_table
+from lociforge.llm.decontam import _blocks, contaminated, contamination_table
 from lociforge.llm.html import main_text, parse
 from lociforge.llm.pii import KINDS, PLAIN, masked, pii_table, with_spans
 from lociforge.llm.quality import fit, judged, measure, quality_table
@@ -169,6 +169,13 @@ def test_contamination_of_awkward_and_no_documents(spark, awkward, empty):
     assert contaminated(awkward, none).filter(F.size("hits.starts") > 0).count() == 0
 
 
+def test_blocks_are_collected_one_at_a_time(spark):
+    blocks = _blocks(spark.createDataFrame(ITEMS, "item_id long, text string"), "item_id", "text", 8)
+    assert iter(blocks) is blocks
+    items = [x for b in blocks for x in b]
+    assert sorted(items) == sorted((str(i), t) for i, t in ITEMS if i is not None and t is not None)
+
+
 PAGES = {
     "<html><body><nav><ul><li>Home</li></ul></nav><article><h1>T &amp; t</h1><p>One <b>two\n three<br>four<p>five</article><footer>x</footer>": "T & t\nOne two three four\nfive",
     "<main><p>a</p><div class='cookie-notice'>no</div><div class='content'>b<div>c</div>d</div><form><p>f</p></form></main>": "a\nb\nc\nd",
