@@ -1,11 +1,12 @@
 """SentencePiece models encoded and decoded with the tokenizers library.
 
 The model file is parsed from its protobuf; normaliser, metaspace marker, scores (unigram
-models) or merges (BPE models) and byte fallback are rebuilt. No piece has a marker after
-another character, so a text can be cut before each run of markers and its pieces encoded
-one by one (see wordcache.py); this is checked on the model, and whole texts are encoded
-where it does not hold. Every piece that a worker meets first is compared with the
-sentencepiece library and decoded again: a text comes back if all of its pieces do.
+models) or merges (BPE models) and byte fallback are rebuilt. Batches of whole texts go to
+the library's threads; the ids of every text are compared with those of the sentencepiece
+library and decoded again through the table of pieces.
+
+Where no piece of the model has a marker after another character, a very long text is encoded
+in runs that begin with a space, which bounds the memory it takes.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lociforge.llm.wordcache import PieceEncoder, plain, slices
+from lociforge.llm.wordcache import plain, slices
 
 MARK = "▁"
+#: Characters of a text from which on it is encoded in runs of about as many.
+LONG = 1 << 18
 #: Numbers of fields and kinds of pieces in the protobuf of a model.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -125,63 +127,68 @@ class Model:
         return out
 
 
-def _cut(texts: pa.Array) -> pa.Array:
-    """Texts as lists of pieces, each a run of spaces (the first with one more) and what follows it."""
-    marked = pc.replace_substring_regex(pc.binary_join_element_wise("", texts, " "), "( +)", "\x00\\1")
-    marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.utf8_slice_codeunits(marked, 1))
-    return pc.split_pattern(marked, "\x00")
+def runs_of(text: str, size: int = LONG) -> list[str]:
+    """text in runs of ``size`` characters or a little more; all but the first begin with a space and go on with none."""
+    cuts, at = [0], size
+    while at < len(text):
+        at = text.find(" ", at)
+        while 0 <= at < len(text) - 1 and (text[at + 1] == " " or text[at - 1] == " "):
+            at = text.find(" ", at + 1)
+        if at < 0 or at >= len(text) - 1:
+            break
+        cuts.append(at)
+        at += size
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
 
 class Codec:
-    """Encodes and decodes arrays of texts; ``differs`` counts new pieces whose ids sentencepiece gives otherwise."""
+    """Encodes and decodes texts by a model file, and compares the ids with those of the sentencepiece library."""
 
-    def __init__(self, path: str, data: bytes | None = None):
+    def __init__(self, path: str, data: bytes | None = None, long: int = LONG):
         import sentencepiece
 
         os.environ.setdefault("RAYON_NUM_THREADS", "2")  # threads of a batch; a task's neighbours have their own
         self.model = Model.parse(data or open(path, "rb").read())
         self.whole = self.model.tokenizer()
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=data) if data else sentencepiece.SentencePieceProcessor(model_file=path)
-        self.differs = 0
-        self.agreed = np.empty(0, bool)
-        self.cached = None
-        if self.model.splits_at_marks():
-            part = self.model.tokenizer(prefix=False)
-
-            def encode(pieces: list[str]) -> list[list[int]]:
-                return [x.ids for x in part.encode_batch_fast(pieces, add_special_tokens=False)]
-
-            def agrees(pieces: list[str], ids: list[list[int]]) -> list[bool]:
-                # sentencepiece adds the first space itself, but to no empty text
-                plain = self.plain.encode([p[1:] for p in pieces], num_threads=1)
-                mark = [self.plain.piece_to_id(MARK)]
-                same = [a == (b if p != " " else mark) for p, a, b in zip(pieces, ids, plain, strict=True)]
-                self.differs += same.count(False)
-                return same
-
-            def comes_back(pieces: list[str], ids: list[list[int]]) -> list[bool]:
-                return [a == p[1:] for p, a in zip(pieces, self.whole.decode_batch(ids, skip_special_tokens=False), strict=True)]
-
-            self.cached = PieceEncoder(_cut, encode, (comes_back, agrees), limit=700_000)
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, how many each text has, and which texts decoding gives back; ``agreed`` then says which have sentencepiece's ids."""
-        if self.cached and not pc.any(pc.match_substring(texts, "\x00")).as_py():
-            ids, sizes = self.cached(texts)
-            back, self.agreed = self.cached.passed
-            return ids, sizes, back
-        own = texts.to_pylist()
-        found = [x.ids for x in self.whole.encode_batch_fast(own, add_special_tokens=False)]
-        self.agreed = np.array([a == b for a, b in zip(found, self.plain.encode(own, num_threads=1), strict=True)], bool)
-        self.differs += int((~self.agreed).sum())
-        sizes = np.array([len(x) for x in found], np.int64)
-        ids = np.array([i for x in found for i in x], np.uint32)
-        return ids, sizes, np.array([a == b for a, b in zip(self.decode(ids, sizes), own, strict=True)], bool)
-
-    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
-        upto = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        flat = ids.tolist()
-        return self.whole.decode_batch([flat[a:b] for a, b in zip(upto, upto[1:], strict=False)], skip_special_tokens=False)
+        self.long = long if self.model.splits_at_marks() else None
+        self.later = None  # for runs after the first, when there are any
+        byte = {i: bytes([int(p[3:5], 16)]) for i, (p, _, kind) in enumerate(self.model.pieces) if kind == _BYTE}
+        byte |= {i: "\ufffd".encode() for i in self.model.of(_UNKNOWN)}
+        self.table = pa.array([byte.get(i, p.replace(MARK, " ").encode()) for i, (p, _, _) in enumerate(self.model.pieces)], pa.large_binary())
+
+    def _encode_long(self, text: str) -> tuple[list[int], bool]:
+        first, *rest = runs_of(text, self.long)
+        self.later = self.later or self.model.tokenizer(prefix=False)
+        own = [self.whole.encode(first, add_special_tokens=False).ids]
+        plain = [self.plain.encode(first)]
+        for run in rest:
+            own.append(self.later.encode(run, add_special_tokens=False).ids)
+            plain.append(self.plain.encode(run[1:]))  # sentencepiece adds the space itself
+        return [i for x in own for i in x], own == plain
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        """The ids of each text, and whether sentencepiece gives the same."""
+        long = [k for k, x in enumerate(texts) if self.long and len(x) > self.long]
+        short = [x for x in texts if not (self.long and len(x) > self.long)] if long else texts
+        ids = [x.ids for x in self.whole.encode_batch_fast(short, add_special_tokens=False)]
+        same = [a == b for a, b in zip(ids, self.plain.encode(short, num_threads=1), strict=True)]
+        for k in long:
+            own, agreed = self._encode_long(texts[k])
+            ids.insert(k, own)
+            same.insert(k, agreed)
+        return ids, np.array(same, bool)
+
+    def decode(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The UTF-8 texts of the ids, a run of sizes[k] for each: pieces joined, markers as spaces, the first one dropped."""
+        if not len(sizes):
+            return []
+        pieces = self.table.take(pa.array(flat.astype(np.int64)))
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+        data = memoryview(pieces.buffers()[2])[int(offsets[0]) : int(offsets[-1])] if len(pieces) and pieces.buffers()[2] else memoryview(b"")
+        upto = (offsets[np.concatenate([[0], np.cumsum(sizes)])] - offsets[0]).tolist()
+        out = [bytes(data[a:b]) for a, b in zip(upto, upto[1:], strict=False)]
+        return [x[1:] if x[:1] == b" " else x for x in out] if self.model.dummy_prefix else out
 
 
 _codecs: dict[str, Codec] = {}
@@ -196,21 +203,26 @@ def codec(path: str) -> Codec:
 def encoded(docs: DataFrame, model: str, text: str = "text", ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, round_trip, parity[, ids]) for each row of docs.
 
-    ids_crc32 is that of the ids as little-endian numbers of 32 bits. round_trip: decoding
-    gives the text back. parity: the sentencepiece library gives the same ids for every
-    piece of the text. Null and empty texts have no ids and come back
-    empty; doc_id may be null or repeated; an empty table gives an empty result.
+    ids_crc32 is that of the ids as little-endian numbers of 32 bits. round_trip: decoding the
+    ids of the text gives it back. parity: the sentencepiece library gives the same ids for it.
+    Null and empty texts have no ids and come back empty; doc_id may be null or repeated;
+    repeated rows are encoded alike; other columns of docs are not read, so their names may be
+    any; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
             for part in slices(batch, text):
-                texts = plain(part[text])
-                flat, n, back = own.encode(texts)
+                texts = plain(part[text]).to_pylist()
+                found, same = own.encode(texts)
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
+                del found
+                back = [a == b.encode() for a, b in zip(own.decode(flat, n), texts, strict=True)]
                 data, upto = memoryview(flat.astype("<u4")).cast("B"), np.concatenate([[0], np.cumsum(n)])
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-                cols = [part["doc_id"], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back), pa.array(own.agreed)]
+                cols = [part["doc_id"], pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.bool_()), pa.array(same)]
                 names = ["doc_id", "n_tokens", "ids_crc32", "round_trip", "parity"]
                 if ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat.astype(np.int32))))
