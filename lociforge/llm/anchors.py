@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lociforge.llm.shared import staged
+
 _BASE = 0x9E3779B97F4A7C15
 #: Symbols of a task's documents that are held before they are combined and shipped.
 HELD = 8 << 20
@@ -109,13 +111,13 @@ def _combined(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return h, doc, shared
 
 
-def _by_doc(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+def _by_doc(h: np.ndarray, doc: np.ndarray) -> tuple[pa.Array, pa.Array]:
     o = np.lexsort((h, doc))
     h, doc = h[o], doc[o]
     at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
     data, ends = h.astype("<u8").tobytes(), np.append(at[1:], len(doc))
     grams = [data[8 * a : 8 * b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)] if len(at) else []
-    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(grams, pa.binary())], ["doc_id", "grams"])
+    return pa.array(doc[at], pa.int64()), pa.array(grams, pa.binary())
 
 
 def shared_grams(docs: DataFrame, view: type, gram: int, window: int, buckets: int) -> DataFrame:
@@ -125,14 +127,16 @@ def shared_grams(docs: DataFrame, view: type, gram: int, window: int, buckets: i
     have several rows. Hashes that collide add grams that are not shared and lose none.
     """
 
+    names = ["doc_id", "grams", "bucket", "data"]
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         hs, ids, held = [], [], 0
         for batch in batches:
-            names = batch["doc_id"].to_numpy()
+            docs_of = batch["doc_id"].to_numpy()
             for first, views, symbols, ends in batches_of(batch["text"], view):
                 at, h = anchors(symbols, gram, window, ends)
                 hs.append(h)
-                ids.append(names[first + np.searchsorted(ends, at, "right")])
+                ids.append(docs_of[first + np.searchsorted(ends, at, "right")])
                 held += len(symbols)
                 if held >= HELD:
                     yield _combined(np.concatenate(hs), np.concatenate(ids))
@@ -140,12 +144,11 @@ def shared_grams(docs: DataFrame, view: type, gram: int, window: int, buckets: i
         if hs:
             yield _combined(np.concatenate(hs), np.concatenate(ids))
 
-    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, doc, shared in own(batches):
-            yield _by_doc(h[shared], doc[shared])
-
-    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, grams) of what is shared here, and rows (bucket, data) to ship: a document for each gram."""
         for h, doc, shared in own(batches):
+            ids, grams = _by_doc(h[shared], doc[shared])
+            yield pa.RecordBatch.from_arrays([ids, grams, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names)
             first = np.append(True, h[1:] != h[:-1]) if len(h) else shared
             h, doc = h[first], doc[first]
             bucket = (h >> np.uint64(32)) % np.uint64(buckets)
@@ -158,7 +161,7 @@ def shared_grams(docs: DataFrame, view: type, gram: int, window: int, buckets: i
                 if b > a:
                     keys.append(k)
                     data.append(h[a:b].astype("<u8").tobytes() + doc[a:b].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, ids, of = [], [], []
@@ -176,9 +179,7 @@ def shared_grams(docs: DataFrame, view: type, gram: int, window: int, buckets: i
             grams = [data[i : i + 8] for i in range(0, len(data), 8)]
             yield pa.RecordBatch.from_arrays([pa.array(doc[shared], pa.int64()), pa.array(grams, pa.binary())], ["doc_id", "grams"])
 
-    docs = docs.select("doc_id", "text")
-    kind = "doc_id long, grams binary"
-    among = docs.mapInArrow(ship, "bucket long, data binary").repartition(buckets, "bucket").mapInArrow(meet, kind)
-    return docs.mapInArrow(here, kind).unionByName(among)
-
-
+    dealt = docs.select("doc_id", "text").mapInArrow(deal, "doc_id long, grams binary, bucket long, data binary")
+    dealt = staged(dealt, "grams")
+    among = dealt.filter("bucket is not null").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, grams binary")
+    return dealt.filter("bucket is null").select("doc_id", "grams").unionByName(among)

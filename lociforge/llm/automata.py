@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from lociforge.llm.anchors import shared_grams
 from lociforge.llm.shared import staged
 from lociforge.llm.suffixes import (
-    SAME_K, Words, bucketed_texts, buckets_of, children_of, firsts, named, parts_of, passages, reranked, results, settled_of, slim,
+    SAME_K, Words, bucketed_texts, buckets_of, children_of, firsts, going, named, names_of, parts_of, passages, ranked, results, settled_of, slim,
 )
 
-WINDOW, GRAM, SHARD = 50, 8, 256
+WINDOW, GRAM, SHARD = 50, 25, 4096
 
 
 class Automaton:
@@ -84,6 +84,15 @@ class Automaton:
                 length += 1
             yield length
 
+    def knows(self, words: list) -> bool:
+        """Whether words stand in one of the sequences."""
+        at = 0
+        for word in words:
+            at = self.next[at].get(word)
+            if at is None:
+                return False
+        return True
+
     def spans(self, words: list, least: int) -> list[tuple[int, int]]:
         """Maximal spans of words in matches of at least ``least`` words."""
         out: list[tuple[int, int]] = []
@@ -96,7 +105,7 @@ class Automaton:
         return out
 
 
-def matched(passages: list[tuple[tuple, int, list]], least: int) -> list[tuple[tuple, int, int]]:
+def matched(passages: list[tuple[object, int, list]], least: int) -> list[tuple[object, int, int]]:
     """(key, begin, end) of what each of the passages (key, doc_id, words) repeats of those of smaller documents."""
     known, out, waiting, doc = Automaton(), [], [], None
     for key, own, words in passages:  # ascending doc_id
@@ -104,45 +113,30 @@ def matched(passages: list[tuple[tuple, int, list]], least: int) -> list[tuple[t
             for w in waiting:
                 known.add(w)
             waiting, doc = [], own
-        out += [(key, a, b) for a, b in known.spans(words, least)]
-        waiting.append(words)
+        spans = known.spans(words, least)
+        out += [(key, a, b) for a, b in spans]
+        if spans != [(0, len(words))] or not known.knows(words):
+            waiting.append(words)
     return out
 
 
-def _streamed(own: DataFrame, window: int, shard: int) -> DataFrame:
-    """Spans (begin, end) of passages, in order of (name, doc_id); begin is null for rows of too large a shard."""
+def _streamed(own: DataFrame, window: int) -> DataFrame:
+    """Spans (doc_id, k, begin, end) of passages in order of (name, doc_id)."""
+    columns = ["name", "doc_id", "k", "begin", "passage"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name, large = [], None, False
-        names = ["doc_id", "k", "at", "part", "begin", "end"]
-
-        def batch_of(rows):
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+        for b in names_of(x.select(columns) for x in batches):
+            name, out = b["name"].to_numpy(), []
+            cuts = [*np.flatnonzero(np.append(True, name[1:] != name[:-1])).tolist(), len(name)]
+            doc, words = b["doc_id"].to_pylist(), [x.split() for x in b["passage"].to_pylist()]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                out += matched([(p, doc[p], words[p]) for p in range(i, j)], window)
+            row = np.array([x[0] for x in out], np.int64)
+            begin = b["begin"].to_numpy()[row]
+            ends = [pa.array(begin + np.array([x[i] for x in out], np.int64), pa.int32()) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(row)), b["k"].take(pa.array(row)), *ends], ["doc_id", "k", "begin", "end"])
 
-        def judged():
-            rows = [((doc, k, at, part, begin), doc, words.split()) for doc, k, at, part, begin, words in held]
-            return [(*key[:4], key[4] + a, key[4] + b) for key, a, b in matched(rows, window)]
-
-        for batch in batches:
-            out = []
-            for row in zip(*[batch[c].to_pylist() for c in ("name", "doc_id", "k", "at", "part", "begin", "passage")], strict=True):
-                if row[0] != name:
-                    out += judged()
-                    held, name, large = [], row[0], False
-                if not large:
-                    held.append(row[1:])
-                    if len(held) <= shard:
-                        continue
-                    large = True
-                    out += [(*x[:4], None, None) for x in held]
-                    held = []
-                else:
-                    out.append((*row[1:5], None, None))
-            yield batch_of(out)
-        yield batch_of(judged())
-
-    return own.mapInArrow(scan, "doc_id long, k int, at int, part int, begin int, end int")
+    return own.mapInArrow(scan, "doc_id long, k int, begin int, end int")
 
 
 def repeated_passages(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -152,19 +146,17 @@ def repeated_passages(texts: DataFrame, window: int = WINDOW, gram: int = GRAM,
     todo = shared_grams(texts, Words, gram, window, n)
     found = None
     for r, parts in enumerate(rounds):
-        rows = named(texts, todo, parts, gram, window, Words).repartition(n, "name").sortWithinPartitions("name", "around", "doc_id")
-        ranked = staged(reranked(rows), f"passages{r}")
-        copies = settled_of(ranked, parts)
+        ranks = staged(ranked(named(texts, todo, parts, gram, window, Words)), f"passages{r}")
+        copies = settled_of(ranks, parts)
         begin = F.greatest(F.col("at") - F.col("greatest"), F.lit(0))
         copies = copies.select("doc_id", "k", begin.alias("begin"), (F.col("at") - F.col("least") + window).alias("end"))
         found = copies if found is None else found.unionByName(copies)
         if r + 1 == len(rounds):
             break  # a passage of these is a window, and a name has one
-        own = passages(texts, ranked.filter("not settled"), parts, window, Words)
-        own = own.repartition(n, "name").sortWithinPartitions("name", "doc_id")
-        spans = staged(_streamed(own, window, shard), f"spans{r}")
-        found = found.unionByName(spans.filter("begin is not null").select("doc_id", "k", "begin", "end"))
-        todo = spans.filter("begin is null").select("doc_id", "k", "at", F.explode(children_of(rounds, r)).alias("child"))
+        left = staged(going(ranks, shard), f"left{r}")
+        own = passages(texts, left.filter("not many"), parts, window, Words).repartition(n, "name").sortWithinPartitions("name", "doc_id")
+        found = found.unionByName(staged(_streamed(own, window), f"spans{r}"))
+        todo = left.filter("many").select("doc_id", "k", "at", F.explode(children_of(rounds, r)).alias("child"))
         if todo.isEmpty():
             break
     return found

@@ -17,8 +17,8 @@ sorts (name, surroundings, document, position). Along that order
   in parts with longer names for the next round.
 
 The last names are whole windows, so nothing is left. A task settles what its own documents
-share before it ships anything, reads its sorted rows in order, and holds no more than
-``HELD`` rows or ``MOST`` passages of a name.
+share before it ships anything; rows meet by name and surroundings, never by a common name
+alone; and a task holds no more than ``MOST`` passages of a name.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ from lociforge.llm.anchors import anchors, batches_of, gram_hashes, mixed, share
 from lociforge.llm.shared import staged
 
 WINDOW, GRAM = 50, 20
-HELD = 1 << 20
 #: k = _k in a form that is no key of a join, so that bucketed texts stay where they are.
 SAME_K = "(k ^ _k) = 0"
 #: Passages of a name that a task finishes at once.
@@ -222,73 +221,22 @@ def named(texts: DataFrame, todo: DataFrame, parts: list[tuple[int, int]], gram:
     return rows.select("doc_id", "k", "text", "left").mapInArrow(suffixes, _NAMED)
 
 
-def reranked(rows: DataFrame) -> DataFrame:
-    """(name, doc_id, k, at, part, settled) of the rows that are not unique, from rows sorted within partitions."""
-    names = ["name", "around", "doc_id", "k", "at", "part"]
-
-    def one(c: dict[str, np.ndarray], open_: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Settled rows, rows that go on, rows that wait for more of their name."""
-        name, around, doc = c["name"], c["around"], c["doc_id"]
-        n = len(name)
-        new_name = np.append(True, name[1:] != name[:-1])
-        new = new_name | np.append(True, around[1:] != around[:-1])
-        run = np.flatnonzero(new)
-        least = np.repeat(doc[run], np.diff(np.append(run, n)))
-        settled = doc > least
-        heads = np.flatnonzero(new_name)
-        size = np.diff(np.append(heads, n))
-        several = np.repeat((np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)) & (np.add.reduceat(new, heads) > 1), size)
-        waits = np.zeros(n, bool)
-        if open_:
-            waits[heads[-1] :] = True
-        return settled, several & ~settled, waits
+def ranked(rows: DataFrame) -> DataFrame:
+    """(name, doc_id, k, at, part, settled): settled are rows that a smaller document has with the same surroundings.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        hot: int | None = None  # a name whose rows have gone on before its end
+    Rows meet by name and surroundings, so a common name is spread over many tasks; of equal
+    surroundings only one row of each run of a task's documents comes here.
+    """
+    least = F.min("doc_id").over(Window.partitionBy("name", "around"))
+    return rows.select("name", "doc_id", "k", "at", "part", (F.col("local") | (F.col("doc_id") > least)).alias("settled"))
 
-        def out(c, settled, going):
-            keep = settled | going
-            cols = [pa.array(c[x][keep]) for x in ("name", "doc_id", "k", "at", "part")] + [pa.array(settled[keep])]
-            return pa.RecordBatch.from_arrays(cols, ["name", "doc_id", "k", "at", "part", "settled"])
 
-        for batch in batches:
-            local = batch["local"].to_numpy(zero_copy_only=False)
-            c = {x: batch[x].to_numpy() for x in names}
-            if local.any():
-                yield out({x: c[x][local] for x in names}, np.ones(local.sum(), bool), np.zeros(local.sum(), bool))
-                c = {x: c[x][~local] for x in names}
-            if held is not None:
-                c = {x: np.concatenate([held[x], c[x]]) for x in names}
-                held = None
-            if not len(c["name"]):
-                continue
-            settled, going, waits = one(c, True)
-            if hot is not None:
-                going |= ~settled & (c["name"] == hot)
-            if waits.sum() > HELD:
-                # All but the last surroundings of the name can be judged; its own rows are many, so it goes on.
-                last = c["around"] == c["around"][-1]
-                last &= waits & (c["doc_id"] == c["doc_id"][np.flatnonzero(last & waits)[0]])
-                going |= waits & ~last & ~settled  # of one document so far, but others may follow
-                hot = int(c["name"][-1]) if going[waits].any() else hot
-                done = ~waits | ~last
-                yield out(c, settled & done, going & done & ~last)
-                held = {x: c[x][last] for x in names}
-                if last.sum() > HELD:  # one document repeats itself; it goes on as a whole
-                    yield out(held, np.zeros(last.sum(), bool), np.ones(last.sum(), bool))
-                    hot = int(c["name"][-1])
-                    held = {x: c[x][last][:1] for x in names}
-                continue
-            yield out(c, settled & ~waits, going & ~waits)
-            held = {x: c[x][waits] for x in names}
-        if held is not None and len(held["name"]):
-            settled, going, _ = one(held, False)
-            if hot is not None:
-                going |= ~settled & (held["name"] == hot)
-            yield out(held, settled, going)
-
-    return rows.mapInArrow(scan, "name long, doc_id long, k int, at int, part int, settled boolean")
+def going(ranks: DataFrame, most: int) -> DataFrame:
+    """(name, doc_id, k, at, part, many) of unsettled rows whose name several documents have; many: of a name with over ``most``."""
+    left = ranks.filter("not settled").drop("settled")
+    names = left.groupBy("name").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    names = names.filter("a < b").select("name", (F.col("n") > most).alias("many"))
+    return left.join(names, "name")
 
 
 def children_of(rounds: list[list[tuple[int, int]]], r: int) -> Column:
@@ -357,58 +305,36 @@ def _windows_again(name: np.ndarray, doc: np.ndarray, shift: np.ndarray, own: pa
     return row[first], start[first], start[last]
 
 
-def finished(own: DataFrame, window: int, most: int) -> DataFrame:
-    """(doc_id, k, at, part, first, last): runs of window starts that smaller documents have, of passages sorted by (name, doc_id).
+def names_of(batches: Iterator[pa.RecordBatch], least: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """Batches of whole names, of ``least`` rows or more but for the last, from rows in order of name."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if sum(map(len, held)) >= least:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            name = whole["name"].to_numpy()
+            tail = int(np.searchsorted(name, name[-1]))
+            if tail:
+                yield whole.slice(0, tail)
+            held = [whole.slice(tail)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    first is null for the rows of names with more than ``most`` passages: those need longer names.
-    """
-    names = ["name", "doc_id", "k", "at", "part", "begin", "passage"]
-    schema = "doc_id long, k int, at int, part int, first int, last int"
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = None, None
-
-        def rows(b: pa.RecordBatch, pick: np.ndarray, first, last) -> pa.RecordBatch:
-            cols = [b[c].take(pa.array(pick)) for c in ("doc_id", "k", "at", "part")]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc_id", "k", "at", "part", "first", "last"])
-
-        def judged(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            nonlocal large
-            name = b["name"].to_numpy()
-            cuts = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-            size = np.repeat(np.diff(np.append(cuts, len(name))), np.diff(np.append(cuts, len(name))))
-            big = size > most
-            if large is not None:
-                big |= name == large
-            large = int(name[-1]) if big[-1] else None
-            if big.any():
-                pick = np.flatnonzero(big)
-                yield rows(b, pick, [None] * len(pick), [None] * len(pick))
-                b = b.filter(pa.array(~big))
-            if len(b):
-                begin, at = b["begin"].to_numpy(), b["at"].to_numpy()
-                pick, first, last = _windows_again(b["name"].to_numpy(), b["doc_id"].to_numpy(), at - begin, b["passage"], window)
-                yield rows(b, pick, begin[pick] + first, begin[pick] + last)
+def finished(own: DataFrame, window: int) -> DataFrame:
+    """(doc_id, k, first, last): runs of window starts that smaller documents have, of passages sorted by (name, doc_id)."""
 
-        for batch in batches:
-            batch = batch.select(names)
-            if held is not None and len(held):
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if len(batch) else held
-            if not len(batch):
-                continue
-            name = batch["name"].to_numpy()
-            tail = int(np.searchsorted(name, name[-1]))
-            if len(batch) - tail > most:
-                yield from judged(batch)
-                held = None
-            else:
-                if tail:
-                    yield from judged(batch.slice(0, tail))
-                held = batch.slice(tail)
-        if held is not None and len(held):
-            yield from judged(held)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in names_of(x.select(["name", "doc_id", "k", "at", "begin", "passage"]) for x in batches):
+            begin, at = b["begin"].to_numpy(), b["at"].to_numpy()
+            pick, first, last = _windows_again(b["name"].to_numpy(), b["doc_id"].to_numpy(), at - begin, b["passage"], window)
+            cols = [b[c].take(pa.array(pick)) for c in ("doc_id", "k")]
+            runs = [pa.array(begin[pick] + x, pa.int32()) for x in (first, last)]
+            yield pa.RecordBatch.from_arrays([*cols, *runs], ["doc_id", "k", "first", "last"])
 
-    return own.mapInArrow(scan, schema)
+    return own.mapInArrow(scan, "doc_id long, k int, first int, last int")
 
 
 def repeats(texts: DataFrame, window: int, gram: int, most: int = MOST) -> DataFrame:
@@ -418,16 +344,15 @@ def repeats(texts: DataFrame, window: int, gram: int, most: int = MOST) -> DataF
     todo = shared_grams(texts, Bytes, gram, window, n)
     found = None
     for r, parts in enumerate(rounds):
-        rows = named(texts, todo, parts, gram, window, Bytes).repartition(n, "name").sortWithinPartitions("name", "around", "doc_id")
-        ranked = staged(reranked(rows), f"ranks{r}")
-        own = settled_of(ranked, parts).select("doc_id", "k", F.greatest(F.col("at") - F.col("greatest"), F.lit(0)).alias("first"), (F.col("at") - F.col("least")).alias("last"))
+        ranks = staged(ranked(named(texts, todo, parts, gram, window, Bytes)), f"ranks{r}")
+        own = settled_of(ranks, parts).select("doc_id", "k", F.greatest(F.col("at") - F.col("greatest"), F.lit(0)).alias("first"), (F.col("at") - F.col("least")).alias("last"))
         found = own if found is None else found.unionByName(own)
         if r + 1 == len(rounds):
             break  # these names are windows; rows of one agree
-        own = passages(texts, ranked.filter("not settled"), parts, window, Bytes)
-        runs = staged(finished(own.repartition(n, "name").sortWithinPartitions("name", "doc_id"), window, most), f"runs{r}")
-        found = found.unionByName(runs.filter("first is not null").select("doc_id", "k", "first", "last"))
-        todo = runs.filter("first is null").select("doc_id", "k", "at", F.explode(children_of(rounds, r)).alias("child"))
+        left = staged(going(ranks, most), f"left{r}")
+        own = passages(texts, left.filter("not many"), parts, window, Bytes).repartition(n, "name").sortWithinPartitions("name", "doc_id")
+        found = found.unionByName(staged(finished(own, window), f"runs{r}"))
+        todo = left.filter("many").select("doc_id", "k", "at", F.explode(children_of(rounds, r)).alias("child"))
         if todo.isEmpty():
             break
     return found

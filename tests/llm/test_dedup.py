@@ -45,7 +45,7 @@ def test_shared_windows_share_an_anchor(symbols, a, b):
 
 
 def test_parts_cover_every_window_in_each_round():
-    for window, gram in ((50, 20), (50, 8), (6, 2)):
+    for window, gram in ((50, 20), (50, 25), (6, 2)):
         for parts in parts_of(window, gram):
             assert [x for a, b in parts for x in range(a, b + 1)] == list(range(window - gram + 1))
         assert all(a == b for a, b in parts_of(window, gram)[-1])
@@ -61,7 +61,7 @@ def check_bytes(df, rows, window=50, gram=20):
     assert len(got) == len(expected)
 
 
-def check_words(df, rows, window=50, gram=8, shard=256):
+def check_words(df, rows, window=50, gram=25, shard=4096):
     expected = brute(rows, lambda t: (t or "").encode().split(), window)
     got = {r["doc_id"]: r for r in without_repeats(df, window, gram, shard).collect()}
     for doc, (n, gone, kept, _) in expected.items():
@@ -98,7 +98,6 @@ def test_words_of_a_hot_gram_are_refined(spark):
 
 def test_bytes_of_a_hot_name_are_split_in_order(spark, monkeypatch):
     df, rows = _crowd(spark)
-    monkeypatch.setattr(suffixes, "HELD", 4)
     expected = brute(rows, lambda t: t.encode(), 12)
     for most in (3, 1000):
         monkeypatch.setattr(suffixes.repeats, "__defaults__", (most,))
@@ -106,16 +105,22 @@ def test_bytes_of_a_hot_name_are_split_in_order(spark, monkeypatch):
         assert got == {k: e[1] for k, e in expected.items()}
 
 
-def test_rows_of_one_document_wait_for_those_of_others(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "HELD", 4)
-    rows = [(7, around, 1, 0, around, 0, False) for around in range(5)] + [(7, 9, 2, 0, 0, 0, False)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
-    try:
-        df = spark.createDataFrame(rows, "name long, around long, doc_id long, k int, at int, part int, local boolean").coalesce(1)
-        got = sorted((r["doc_id"], r["at"], r["settled"]) for r in suffixes.reranked(df).collect())
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == [(1, k, False) for k in range(5)] + [(2, 0, False)]
+def test_rows_are_settled_by_surroundings_and_names_by_documents(spark):
+    rows = [(7, a, 1, 0, a, 0, False) for a in range(3)] + [(7, 1, 2, 0, 9, 0, False), (7, 8, 3, 0, 5, 0, False), (8, 1, 4, 0, 0, 0, False), (9, 0, 5, 0, 0, 0, True)]
+    df = spark.createDataFrame(rows, "name long, around long, doc_id long, k int, at int, part int, local boolean")
+    ranks = suffixes.ranked(df)
+    assert {(r["doc_id"], r["at"]) for r in ranks.filter("settled").collect()} == {(2, 9), (5, 0)}
+    assert {(r["doc_id"], r["at"], r["many"]) for r in suffixes.going(ranks, 4).collect()} == {(1, 0, False), (1, 1, False), (1, 2, False), (3, 5, False)}
+    assert all(r["many"] for r in suffixes.going(ranks, 3).collect())
+
+
+def test_most_words_go_by_matching_statistics(spark, words):
+    """Copies that differ around the shared passage are found by automata, not by equal surroundings."""
+    rng = random.Random(8)
+    passage = [rng.choice(words) for _ in range(30)]
+    rows = [(k, " ".join([rng.choice(words) for _ in range(9)] + passage + [rng.choice(words) for _ in range(9)])) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_words(df, rows, window=20, gram=8)
 
 
 @pytest.mark.parametrize("op,n", [(deduplicated, "n_bytes"), (without_repeats, "n_words")])
