@@ -6,7 +6,11 @@ in a sample of documents, so few texts share a first one by chance; the sample m
 only, never a result. Texts that share a first shingle are compared in two rounds: each with
 the text of the least key there, then those that are still in different components with each
 other. A large group of near copies so costs a comparison or a few a text, not all pairs, and
-no pair is left out. Every candidate is verified on the whole sets.
+no pair is left out.
+
+A pair is judged by its sizes, then by parity sketches (a bit for each element of a set or
+more, which says whether an odd number fell on it): two sets differ in as many elements as
+their sketches in bits, at least. Few pairs are left by that, and only their whole sets move.
 
 The fingerprints of simhash.py give further links beside these.
 """
@@ -19,13 +23,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociforge.llm.anchors import gram_hashes
 from lociforge.llm.shared import staged
 from lociforge.llm.simhash import RADIUS, contracted, fingerprint, linked
+from lociforge.llm.wordcache import slices
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
@@ -79,40 +84,60 @@ def _common(docs: DataFrame, text: str, n_docs: int) -> np.ndarray:
     return np.sort(out, order="shingle")
 
 
-@F.pandas_udf(T.LongType())
-def _keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in texts:
-        yield pd.Series([key_of(_words(x)) for x in part], dtype="int64")
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of the elements of a set by their low bits: a power of two of bits, 64 at least, one for each element or more."""
+    m = 1 << max(6, int(len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-@F.pandas_udf(T.StructType([T.StructField("k", T.LongType()), T.StructField("fp", T.LongType())]))
-def _slim(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for part in texts:
-        yield pd.DataFrame([(key_of(_words(x)), fingerprint(x, SHINGLE)) for x in part], columns=["k", "fp"], dtype="int64")
+def may_be_similar(a: bytes, b: bytes, n: int) -> bool:
+    """Whether sets of n elements together can be similar, by their sketches; the larger one is folded to the size of the other."""
+    num, den = LEAST
+    a, b = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    apart = int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+    return (num + den) * apart <= (den - num) * n
 
 
-def _shared(docs: DataFrame, text: str, common: np.ndarray) -> DataFrame:
-    """(token, k, centre) of the first shingles that several texts have; centre is the least k there."""
+_OWN = "doc_id long, h long, k long, fp long, n long, sketch binary, tokens array<long>"
+
+
+def _slim(docs: DataFrame, text: str, common: np.ndarray) -> DataFrame:
+    """A row _OWN for each of docs, without its text; sketch and tokens are null where the task has met the text before.
+
+    h is a hash of the text as it is, k one of its words.
+    """
     spread = docs.sparkSession.sparkContext.broadcast(common)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for x in batch[text].to_pylist():
-                words = _words(x)
-                k = key_of(words)
-                if k not in seen:
+            for part in slices(batch, text):
+                rows = []
+                for x in part[text].to_pylist():
+                    words = _words(x)
+                    k = key_of(words)
+                    own = shingles(words)
+                    known = k in seen
                     seen.add(k)
-                    tokens.append(first_ones(shingles(words), spread.value))
-                    keys.append(np.full(len(tokens[-1]), k))
-            cols = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys))]
-            yield pa.RecordBatch.from_arrays(cols, ["token", "k"])
+                    rows.append((k, fingerprint(x, SHINGLE), len(own), None if known else sketch(own), None if known else first_ones(own, spread.value).view(np.int64)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], *cols], ["doc_id", "h", "k", "fp", "n", "sketch", "tokens"])
 
-    rows = docs.select(text).mapInArrow(deal, "token long, k long")
-    w = Window.partitionBy("token")
-    rows = rows.select("token", "k", F.min("k").over(w).alias("centre"), F.max("k").over(w).alias("_most"))
-    return staged(rows.filter("centre < _most").select("token", "k", "centre").distinct(), "shared")
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), text).mapInArrow(run, _OWN)
+
+
+def _shared(own: DataFrame) -> DataFrame:
+    """(token, k, n, centre) of the first shingles that several texts have; centre is the least k there."""
+    rows = own.select("k", "n", F.explode("tokens").alias("token"))
+    centres = rows.groupBy("token").agg(F.min("k").alias("centre"), F.max("k").alias("most")).filter("centre < most").drop("most")
+    return staged(rows.join(centres, "token").select("token", "k", "n", "centre").distinct(), "shared")
+
+
+@F.pandas_udf(T.BooleanType())
+def _near(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([may_be_similar(*x) for x in zip(a, b, n, strict=True)], dtype="bool")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -133,31 +158,38 @@ def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingles(_words(x)).tobytes() for x in part], dtype="object")
 
 
-def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of keys those of similar texts."""
-    pairs = staged(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    texts = docs.select(text, _keys(F.col(text)).alias("k")).join(needed, "k", "left_semi").dropDuplicates(["k"])
-    sets = staged(texts.select("k", _sets(F.col(text)).alias("own")), "sets").withColumn("size", F.length("own"))
-    a, b = (sets.select(F.col("k").alias(x), F.col("own").alias(f"own_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+def _fits(a: str, b: str) -> Column:
+    """Whether sets of these sizes can be similar."""
     num, den = LEAST
-    fits = den * F.least("size_a", "size_b").cast("long") >= num * F.greatest("size_a", "size_b").cast("long")
-    return staged(pairs.join(a, "a").join(b, "b").filter(fits).filter(_similar("own_a", "own_b")).select("a", "b"), "links")
+    return den * F.least(a, b) >= num * F.greatest(a, b)
 
 
-def similar_links(docs: DataFrame, text: str, n_docs: int) -> DataFrame:
-    """Links (a, b), b < a, of keys of texts: their closure joins all that are similar."""
-    shared = _shared(docs, text, _common(docs, text, n_docs))
+def _verified(docs: DataFrame, text: str, own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of keys those of similar texts."""
+    slim = own.filter("sketch is not null").dropDuplicates(["k"]).select("k", "n", "sketch")
+    a, b = (slim.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    near = pairs.join(a, "a").join(b, "b").filter(_fits("n_a", "n_b")).filter(_near("sketch_a", "sketch_b", F.col("n_a") + F.col("n_b")))
+    near = staged(near.select("a", "b"), "near")
+    needed = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
+    needed = staged(own.join(needed, "k", "left_semi").groupBy("k").agg(F.min("h").alias("h")), "needed")
+    texts = docs.select(text, F.xxhash64(text).alias("h")).join(needed, "h").dropDuplicates(["k"])
+    sets = staged(texts.select("k", _sets(F.col(text)).alias("own")), "sets")
+    a, b = (sets.select(F.col("k").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+    return staged(near.join(a, "a").join(b, "b").filter(_similar("own_a", "own_b")).select("a", "b"), "links")
+
+
+def similar_links(docs: DataFrame, text: str, own: DataFrame) -> DataFrame:
+    """Links (a, b), b < a, of keys of texts: their closure joins all that are similar. own: _slim of docs."""
+    shared = _shared(own)
     first = shared.filter("k > centre").select(F.col("k").alias("a"), F.col("centre").alias("b")).distinct()
-    links = _verified(docs, text, first)
+    links = _verified(docs, text, own, first)
     parts = contracted(links).withColumnsRenamed({"a": "k", "b": "part"})
-    left = shared.join(parts, "k", "left").select("token", "k", "centre", F.coalesce("part", "k").alias("part"))
-    w = Window.partitionBy("token")
-    left = left.select("*", F.min("part").over(w).alias("_a"), F.max("part").over(w).alias("_b")).filter("_a < _b")
-    left = staged(left.select("token", "k", "centre", "part"), "left")
-    other = left.select("token", F.col("k").alias("b"), F.col("part").alias("_part"))
-    both = left.join(other, "token").filter("k > b and part != _part and centre != b").select(F.col("k").alias("a"), "b").distinct()
-    return links.union(_verified(docs, text, both))
+    left = shared.join(parts, "k", "left").select("token", "k", "n", "centre", F.coalesce("part", "k").alias("part"))
+    several = left.groupBy("token").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b").select("token")
+    left = staged(left.join(several, "token", "left_semi").filter("k > centre"), "left")
+    other = left.select("token", F.col("k").alias("b"), F.col("n").alias("_n"), F.col("part").alias("_part"))
+    both = left.join(other, "token").filter("k > b and part != _part").filter(_fits("n", "_n")).select(F.col("k").alias("a"), "b").distinct()
+    return links.union(_verified(docs, text, own, both))
 
 
 def one_of_similar(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -166,24 +198,23 @@ def one_of_similar(docs: DataFrame, text: str = "text", radius: int = RADIUS) ->
     Linked are texts of the same words, those with a similarity of 4/5 or more over shingles
     of five words, and those whose fingerprints differ in ``radius`` bits at most. Case and
     white space don't count. Null and empty texts are alike; a component without ids keeps
-    one row; an empty table gives an empty result.
+    one row, as do repeated rows; an empty table gives an empty result.
     """
-    slim = staged(docs.select("doc_id", _slim(F.col(text)).alias("_own")).select("doc_id", "_own.*"), "similar")
-    prints = staged(slim.groupBy("fp").agg(F.min("k").alias("least")), "fps")
-    same = slim.select("fp", "k").distinct().join(prints, "fp").filter("k > least").select(F.col("k").alias("a"), F.col("least").alias("b"))
+    own = staged(_slim(docs, text, _common(docs, text, docs.count())), "similar")
+    prints = staged(own.groupBy("fp").agg(F.min("k").alias("least")), "fps")
+    same = own.select("fp", "k").distinct().join(prints, "fp").filter("k > least").select(F.col("k").alias("a"), F.col("least").alias("b"))
     trees = linked(prints.select("fp"), radius)
     a, b = prints.select(F.col("fp").alias("a"), F.col("least").alias("_a")), prints.select(F.col("fp").alias("b"), F.col("least").alias("_b"))
     trees = trees.join(a, "a").join(b, "b").select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b"))
-    links = similar_links(docs, text, slim.count()).union(same).union(trees).filter("a > b").distinct()
+    links = similar_links(docs, text, own).union(same).union(trees).filter("a > b").distinct()
     stars = contracted(links).withColumnsRenamed({"a": "k", "b": "root"})
-    keys = slim.groupBy("k").agg(F.min("doc_id").alias("first"))
-    rooted = staged(keys.join(stars, "k", "left").select("k", "first", F.coalesce("root", "k").alias("root")), "rooted")
-    ids = rooted.groupBy("root").agg(F.min("first").alias("_component"))
-    groups = staged(rooted.select("k", "root").join(ids, "root").select(F.col("k").alias("_k"), F.col("root").alias("_root"), "_component"), "groups")
-    kept = slim.join(groups, F.col("k") == F.col("_k")).filter(F.col("doc_id").eqNullSafe(F.col("_component")))
-    repeated = kept.count() > kept.select("_root").distinct().count()
-    rows = docs.withColumn("_key", _keys(F.col(text))).join(groups, F.col("_key") == F.col("_k"))
-    rows = rows.filter(F.col("doc_id").eqNullSafe(F.col("_component")))
-    if repeated:  # rows that share a doc_id
-        rows = rows.dropDuplicates(["_root"])
-    return rows.select(*docs.columns)
+    rows = own.select("doc_id", "h", "k").join(stars, "k", "left").select("doc_id", "h", F.coalesce("root", "k").alias("root"))
+    rows = staged(rows, "rooted")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    firsts = rows.groupBy("root").agg(F.min(least).alias("first"))
+    gone = rows.join(firsts, "root").filter(least != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    gone = staged(gone, "gone")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left_anti")
+    if not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():  # rows that are alike in doc_id and text
+        kept = kept.withColumn("_h", F.xxhash64(text)).dropDuplicates(["doc_id", "_h"])
+    return kept.select(*docs.columns)

@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from lociforge.llm import similar
-from lociforge.llm.similar import one_of_similar
+from lociforge.llm.similar import may_be_similar, one_of_similar, sketch
 
 
 def plain_kept(texts):
@@ -59,6 +62,20 @@ def test_similar_texts_against_all_pairs(spark, copies):
     assert _kept(spark, copies) == expected and 20 < len(expected) < len(copies) - 20
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 1 << 30))
+def test_sketches_lose_no_similar_pair(common, one, two, seed):
+    own = np.random.default_rng(seed).integers(0, 1 << 63, common + one + two, np.uint64)
+    a, b = np.unique(own[: common + one]), np.unique(np.concatenate([own[:common], own[common + one :]]))
+    if 5 * common >= 4 * (common + one + two):
+        assert may_be_similar(sketch(a), sketch(b), len(a) + len(b))
+
+
+def test_sketches_tell_most_pairs_apart():
+    sets = np.random.default_rng(1).integers(0, 1 << 63, (40, 300), np.uint64)
+    assert not any(may_be_similar(sketch(a), sketch(b), 600) for a in sets for b in sets if a is not b and (a != b).any())
+
+
 def test_the_sample_moves_no_result(spark, copies, monkeypatch):
     monkeypatch.setattr(similar, "COMMON", 1)
     assert _kept(spark, copies) == plain_kept(copies)
@@ -77,3 +94,10 @@ def test_awkward_and_no_documents(awkward, empty):
     kept = one_of_similar(awkward)
     assert kept.columns == awkward.columns and kept.filter("doc_id = 5").count() == 1
     assert one_of_similar(empty).count() == 0
+
+
+def test_repeated_rows_and_rows_without_ids(spark):
+    text, other = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(None, text), (None, text.upper()), (4, other), (4, other), (4, other.upper()), (7, other), (4, "alone"), (None, "")]
+    kept = one_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["text"].lower()) for r in kept) == sorted([(True, text.lower()), (False, other.lower()), (False, "alone"), (True, "")])
