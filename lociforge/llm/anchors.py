@@ -120,11 +120,12 @@ def _by_doc(h: np.ndarray, doc: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(doc[at], pa.int64()), pa.array(grams, pa.binary())
 
 
-def shared_grams(docs: DataFrame, view: type, gram: int, window: int, buckets: int) -> DataFrame:
+def shared_grams(docs: DataFrame, view: type, gram: int, window: int, buckets: int, again: bool = False) -> DataFrame:
     """(doc_id, grams): for each document the anchor grams that other documents have too.
 
     docs: (doc_id, text), no nulls. grams: binary, an array of 64-bit hashes; a document may
-    have several rows. Hashes that collide add grams that are not shared and lose none.
+    have several rows. Hashes that collide add grams that are not shared and lose none. again:
+    look for the anchors a second time rather than store them all (16 bytes each).
     """
 
     names = ["doc_id", "grams", "bucket", "data"]
@@ -180,6 +181,6 @@ def shared_grams(docs: DataFrame, view: type, gram: int, window: int, buckets: i
             yield pa.RecordBatch.from_arrays([pa.array(doc[shared], pa.int64()), pa.array(grams, pa.binary())], ["doc_id", "grams"])
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, "doc_id long, grams binary, bucket long, data binary")
-    dealt = staged(dealt, "grams")
+    dealt = dealt if again else staged(dealt, "grams")
     among = dealt.filter("bucket is not null").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, grams binary")
     return dealt.filter("bucket is null").select("doc_id", "grams").unionByName(among)

@@ -341,7 +341,7 @@ def repeats(texts: DataFrame, window: int, gram: int, most: int = MOST) -> DataF
     """(doc_id, k, first, last): runs of window starts whose windows are in a smaller document."""
     n = buckets_of(texts.sparkSession)
     rounds = parts_of(window, gram)
-    todo = shared_grams(texts, Bytes, gram, window, n)
+    todo = shared_grams(texts, Bytes, gram, window, n, again=True)  # an anchor for 16 bytes: stored, they'd be as large as the texts
     found = None
     for r, parts in enumerate(rounds):
         ranks = staged(ranked(named(texts, todo, parts, gram, window, Bytes)), f"ranks{r}")
