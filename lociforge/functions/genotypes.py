@@ -82,6 +82,22 @@ def region_name(chrom: Column, start: Column, end: Column) -> Column:
     return F.concat(chrom, F.lit(":"), (start + 1).cast("string"), F.lit("-"), end.cast("string"))
 
 
+def interval_of_region(name: Column) -> Column:
+    """struct(chrom, start, end) of a name as region_name gives it; any other name fails."""
+    return _interval(name, r"^(.+):([0-9]+)-([0-9]+)$")
+
+
+def interval_of_locus(name: Column) -> Column:
+    """struct(chrom, start, end) of a locus name that ends in _<chrom>_<first>-<last>, both 1-based, maybe with a file ending."""
+    return _interval(F.regexp_replace(name, r"\.fa(sta)?$", ""), r"_([^_]+(?:_[0-9.]+)?)_([0-9]+)-([0-9]+)$")
+
+
+def _interval(name: Column, pattern: str) -> Column:
+    part = lambda k: F.regexp_extract(name, pattern, k)
+    found = F.struct(part(1).alias("chrom"), (part(2).try_cast("bigint") - 1).alias("start"), part(3).try_cast("bigint").alias("end"))
+    return F.when(name.rlike(pattern), found).otherwise(F.raise_error(F.concat(F.lit("no interval in the name "), name)))
+
+
 def distance_bin(dist: Column, width: int) -> Column:
     """Lower bound of the bin of a signed distance to an edge; 1 and up inside, 0 and down outside."""
     inside = F.floor((dist - 1) / width) * width

@@ -128,26 +128,48 @@ def drop_multi_record(calls: DataFrame) -> DataFrame:
 
 
 def merge_records(calls: DataFrame) -> DataFrame:
-    """One row per position: the first record's, with the alleles of all and a gt that is missing if any is."""
-    order = F.struct("ref", F.array_join("alt", ","))
-    merged = calls.groupBy("sample", "chrom", "pos").agg(
-        F.min_by("ref", order).alias("ref"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("alt")))).alias("alt"),
-        F.max_by("gt", F.when(F.col("gt").isNull(), 2).otherwise(F.coalesce(F.array_max("gt"), F.lit(0)).cast("int") * 0 + F.size("alt"))).alias("gt"),
-        F.min("dp").alias("dp"),
-    )
-    return merged
+    """One row per sample and position: records joined, their ALT lists made one, allele numbers following it.
+
+    Records count in order of REF, ALT and their other fields, equal ones once. REF is the longest; ALTs of
+    shorter ones get what they lack. Each place of the genotype has the first ALT that a record
+    has there, else REF if one calls it, else it is missing. ao follows the ALTs; dp, gq, qual and ro are the
+    first record's; filter has the tags of all.
+    """
+    order = ["ref", "_alts", "dp", "gq", "qual", "ro", "alt", "gt", "ao", "filter"]
+    keyed = calls.withColumn("_alts", F.array_join("alt", ",")).select("sample", "chrom", "pos", F.struct(*order).alias("r"))
+    rows = keyed.groupBy("sample", "chrom", "pos").agg(F.sort_array(F.collect_set("r")).alias("rs"))
+    longest = F.aggregate("rs", F.lit(""), lambda a, r: F.when(F.length(r["ref"]) > F.length(a), r["ref"]).otherwise(a))
+    rows = rows.withColumn("ref", longest)
+    own_alts = lambda r: F.transform(r["alt"], lambda x: F.when(x == "*", x).otherwise(F.concat(x, F.substr(F.col("ref"), F.length(r["ref"]) + 1, F.length("ref")))))
+    rows = rows.withColumn("rs", F.transform("rs", lambda r: r.withField("alt", own_alts(r))))
+    rows = rows.withColumn("alt", F.array_distinct(F.flatten(F.transform("rs", lambda r: r["alt"]))))
+    ploidy = F.array_max(F.transform("rs", lambda r: F.coalesce(F.size(r["gt"]), F.lit(0))))
+
+    def allele(i: Column) -> Column:
+        found = F.transform("rs", lambda r: F.when(F.get(r["gt"], i) == 0, F.lit("")).otherwise(F.get(r["alt"], F.get(r["gt"], i) - 1)))
+        first = F.get(F.filter(found, lambda x: x.isNotNull() & (x != "")), F.lit(0))
+        ref = F.coalesce(F.exists(found, lambda x: x == ""), F.lit(False))
+        return F.when(first.isNotNull(), F.array_position(F.col("alt"), first).cast("int")).when(ref, 0)
+
+    gt = F.when(ploidy > 0, F.transform(F.sequence(F.lit(0), ploidy - 1), allele))
+    of = lambda x: F.get(F.filter(F.transform("rs", lambda r: F.get(r["ao"], (F.array_position(r["alt"], x) - 1).cast("int"))), lambda y: y.isNotNull()), F.lit(0))
+    first = F.col("rs")[0]
+    fields = {
+        "gt": gt, "ao": F.when(F.size("alt") > 0, F.transform("alt", of)).otherwise(first["ao"]),
+        "filter": F.array_distinct(F.flatten(F.transform("rs", lambda r: r["filter"]))), **{c: first[c] for c in ("qual", "dp", "gq", "ro")},
+    }
+    return rows.withColumns(fields).select("sample", "chrom", "pos", "ref", "alt", "qual", "filter", "gt", "dp", "gq", "ro", "ao")
 
 
 def filter_chain(
     calls: DataFrame, min_dp: int = 5, min_gq: float = 20, min_qual: float = 30, snp_gap: int = 5,
     low: float = 0.25, high: float = 0.75, tolerance: int = 2, drop_multi: bool = True,
 ) -> DataFrame:
-    """The whole chain: blocks, masks, allele split, indels, allele balance, multi-record positions."""
+    """The whole chain: blocks, masks, allele split, indels, allele balance; positions with several records go or are merged."""
     calls = mask_low_qual(mask_low_gt(split_blocks(calls), min_dp, min_gq), min_qual)
     calls = drop_indels(atomize(split_multiallelic(mask_snp_gap(calls, snp_gap))))
     calls = mask_allele_balance(calls, low, high, tolerance)
-    return drop_multi_record(calls) if drop_multi else calls
+    return drop_multi_record(calls) if drop_multi else merge_records(calls)
 
 
 def with_code(calls: DataFrame) -> DataFrame:
@@ -159,3 +181,12 @@ def genotype_summary(calls: DataFrame) -> DataFrame:
     n = {c: F.count_if(F.col("code") == c).alias(f"n_{c}") for c in ("alt", "het", "ref", "miss")}
     rows = calls.groupBy("sample").agg(F.count("*").alias("n_records"), *n.values())
     return rows.select("*", *[percent(F.col(f"n_{c}"), F.col("n_records")).alias(f"pct_{c}") for c in n])
+
+
+def run_counters(raw: DataFrame, filtered: DataFrame) -> DataFrame:
+    """Per sample: block records and records before the chain, records after it, and those tagged SnpGap."""
+    block = (F.size("alt") == 0) & (F.length("ref") > 1)
+    before = raw.groupBy("sample").agg(F.count("*").alias("n_raw"), F.count_if(block).alias("n_blocks"))
+    after = filtered.groupBy("sample").agg(F.count("*").alias("n_filtered"), F.count_if(F.array_contains("filter", "SnpGap")).alias("n_snp_gap"))
+    rows = before.join(after, "sample", "left").fillna(0, ["n_filtered", "n_snp_gap"])
+    return rows.withColumn("n_removed", F.col("n_raw") - F.col("n_filtered"))

@@ -71,6 +71,19 @@ def flagged_by_both(excess: DataFrame, skewed: DataFrame) -> DataFrame:
     return excess.select("locus").intersect(skewed.select("locus"))
 
 
+def removal_list(*lists: DataFrame) -> DataFrame:
+    """(sample): those of any of the lists, once each."""
+    rows = lists[0].select("sample")
+    for x in lists[1:]:
+        rows = rows.union(x.select("sample"))
+    return rows.distinct()
+
+
+def first_samples(samples: DataFrame, n: int) -> DataFrame:
+    """The first n samples by name, for a quick run."""
+    return samples.select("sample").distinct().orderBy("sample").limit(n)
+
+
 def drop_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(ids.select(column).distinct(), column, "left_anti")
 

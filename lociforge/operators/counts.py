@@ -26,16 +26,26 @@ def counts_per_locus(calls: DataFrame, loci: DataFrame, samples: DataFrame) -> D
     dp = F.when(called, F.col("dp"))
     own = calls.groupBy("sample", "locus").agg(n("het"), n("alt"), n("ref"), F.avg(dp).alias("mean_dp"), F.count(dp).alias("n_dp"))
     lengths = with_length(loci).select("locus", "length")
-    pairs = samples.select("sample").join(F.broadcast(lengths) if _small(lengths) else lengths)
+    pairs = samples.select("sample").join(F.broadcast(lengths) if small(lengths) else lengths)
     rows = pairs.join(own, ["sample", "locus"], "left").fillna(0, ["n_het", "n_alt", "n_ref", "n_dp"])
     n_miss = F.col("length") - F.col("n_het") - F.col("n_alt") - F.col("n_ref")
     return rows.select("sample", "locus", "n_het", "n_alt", "n_ref", n_miss.alias("n_miss"), "mean_dp", "n_dp")
 
 
-def _small(df: DataFrame, limit: int = 100_000) -> bool:
+def small(df: DataFrame, limit: int = 100_000) -> bool:
+    """Whether df has few enough rows to be broadcast."""
     return df.limit(limit + 1).count() <= limit
 
 
+def variable_counters(calls: DataFrame, loci: DataFrame) -> DataFrame:
+    """Per sample: rows of each code that is not ref, their mean number per locus, and loci without a variable site."""
+    n = {c: F.count_if(F.col("code") == c).alias(f"n_{c}") for c in ("het", "alt", "miss")}
+    total = loci.count()
+    variable = F.count_distinct(F.when(F.col("code").isin("het", "alt"), F.col("locus")))
+    rows = calls.groupBy("sample").agg(*n.values(), (F.lit(total) - variable).alias("n_loci_without"))
+    return rows.select("*", *[F.try_divide(f"n_{c}", F.lit(total)).alias(f"mean_{c}") for c in n])
+
+
 def depth_per_sample(calls: DataFrame) -> DataFrame:
     called = F.when(F.col("code") != "miss", F.col("dp"))
     return calls.groupBy("sample").agg(F.avg(called).alias("mean_dp"), F.count(called).alias("n_dp"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Intervals up to which a join broadcasts them; beyond it, both sides meet in bins.
+#: Intervals up to which a join broadcasts them. Both sides meet in bins either way, so a point is
+#: compared with the intervals near it, not with all of its chromosome.
 MAX_BROADCAST = 100_000
 
 
@@ -30,12 +31,11 @@ def assign_locus(points: DataFrame, loci: DataFrame, bin: int = 5000, every: boo
     if not every:
         # loci that overlap an earlier one give up their shared positions to it
         loci = _without_shadowed(loci)
-    if _few(loci, limit):
-        at = F.broadcast(loci)
-        return points.join(at, (points["chrom"] == at["chrom"]) & within(points["pos"], at["start"], at["end"])).drop(at["chrom"], at["start"], at["end"])
+    few = _few(loci, limit)
     binned = loci.withColumn("_bin", _bins(F.col("start"), F.col("end"), bin))
     keyed = points.withColumn("_bin", F.floor((F.col("pos") - 1) / bin))
-    return keyed.join(binned, ["chrom", "_bin"]).filter(within(F.col("pos"), F.col("start"), F.col("end"))).drop("_bin", "start", "end")
+    joined = keyed.join(F.broadcast(binned) if few else binned, ["chrom", "_bin"])
+    return joined.filter(within(F.col("pos"), F.col("start"), F.col("end"))).drop("_bin", "start", "end")
 
 
 def _without_shadowed(loci: DataFrame) -> DataFrame:
@@ -52,13 +52,10 @@ def overlaps(a: DataFrame, b: DataFrame, bin: int = 100_000, limit: int = MAX_BR
     """
     b = b.select("chrom", *[F.col(c).alias(f"b_{c}") for c in b.columns if c != "chrom"])
     length = F.least("end", "b_end") - F.greatest("start", "b_start")
-    if _few(b, limit):
-        own = F.broadcast(b)
-        joined = a.join(own, (a["chrom"] == own["chrom"]) & (own["b_start"] < a["end"]) & (a["start"] < own["b_end"])).drop(own["chrom"])
-        return joined.withColumn("overlap", length)
+    few = _few(b, limit)
     a = a.withColumn("_bin", _bins(F.col("start"), F.col("end"), bin))
     b = b.withColumn("_bin", _bins(F.col("b_start"), F.col("b_end"), bin))
-    joined = a.join(b, ["chrom", "_bin"]).filter(length > 0)
+    joined = a.join(F.broadcast(b) if few else b, ["chrom", "_bin"]).filter(length > 0)
     return joined.filter(F.col("_bin") == F.floor(F.greatest("start", "b_start") / bin)).withColumn("overlap", length).drop("_bin")
 
 

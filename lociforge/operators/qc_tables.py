@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociforge.functions.genotypes import percent
 
@@ -44,7 +45,7 @@ def ab_per_sample(het_ab: DataFrame, low: float = 0.35) -> DataFrame:
     )
 
 
-def stage_label(rules: list[tuple[str, Column]], otherwise: str) -> Column:
+def stage_label(rules: list[tuple[str | Column, Column]], otherwise: str) -> Column:
     """The name of the first rule that holds."""
     out = F.when(F.lit(False), "")
     for name, rule in rules:
@@ -53,10 +54,10 @@ def stage_label(rules: list[tuple[str, Column]], otherwise: str) -> Column:
 
 
 def stage_locus(df: DataFrame, min_length: int = 150) -> DataFrame:
-    """df (locus, retained, excess_het, ab_skew, z_class, length, kept_03) with the stage at which a locus went."""
+    """df (locus, retained, excess_het, ab_skew, z_class, length, kept_missing) with the stage at which a locus went."""
     rules = [
         ("retained", F.col("retained")), ("excess het", F.col("excess_het")), ("allele balance", F.col("ab_skew")),
-        ("sex class", F.col("z_class").isNotNull()), ("too short", F.col("length") < min_length), ("missingness", ~F.col("kept_missing")),
+        (F.concat(F.lit("Z ("), "z_class", F.lit(")")), F.col("z_class").isNotNull()), ("too short", F.col("length") < min_length), ("missingness", ~F.col("kept_missing")),
     ]
     return df.withColumn("stage", stage_label(rules, "other"))
 
@@ -67,14 +68,58 @@ def stage_sample(df: DataFrame, max_pct: float = 10) -> DataFrame:
     return df.withColumn("stage", stage_label(rules, "no data"))
 
 
-def per_locus_table(parts: list[tuple[DataFrame, str]]) -> DataFrame:
-    """Tables with a row per locus joined to one; each comes with its join type, the first one's is not used."""
-    rows = parts[0][0]
-    for part, how in parts[1:]:
-        rows = rows.join(part, "locus", how)
+def with_contam(meta: DataFrame, listed: DataFrame) -> DataFrame:
+    """meta with contam also for samples of a list (sample), and contam_source: metadata, QC, or null."""
+    rows = meta.join(listed.select("sample").distinct().withColumn("_qc", F.lit(True)), "sample", "left")
+    own, qc = F.coalesce("contam", F.lit(False)), F.coalesce("_qc", F.lit(False))
+    return rows.withColumns({"contam": own | qc, "contam_source": F.when(own, "metadata").when(qc, "QC")}).drop("_qc")
+
+
+def join_optional(df: DataFrame, part: DataFrame | None, by: str, columns: str = "") -> DataFrame:
+    """df with the columns of part; where part is None (its input is absent) with null ``columns`` (names and types)."""
+    if part is not None:
+        return df.join(part, by, "left")
+    absent = T.StructType.fromDDL(columns) if columns else T.StructType()
+    return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in absent])
+
+
+def per_locus_table(missingness: DataFrame, lengths: DataFrame, kept: DataFrame, parts: list[DataFrame | None], absent: list[str] = ()) -> DataFrame:
+    """A row for each locus of missingness or lengths, also of those that are not kept.
+
+    kept: (locus, ...) of the loci kept by missingness and length, told by kept_missing. parts: tables by
+    locus; None where an input is absent, with its columns in ``absent`` at the same place.
+    """
+    rows = missingness.join(lengths, "locus", "full")
+    rows = rows.join(kept.withColumn("kept_missing", F.lit(True)), "locus", "left").withColumn("kept_missing", F.coalesce("kept_missing", F.lit(False)))
+    for part, columns in zip(parts, [*absent, *[""] * (len(parts) - len(absent))], strict=True):
+        rows = join_optional(rows, part, "locus", columns)
+    return rows
+
+
+def per_sample_table(meta: DataFrame, retained: DataFrame, parts: list[DataFrame | None], absent: list[str] = ()) -> DataFrame:
+    """A row for each sample of meta, with whether it is retained, from tables by sample; see per_locus_table."""
+    rows = meta.join(retained.select("sample").distinct().withColumn("retained", F.lit(True)), "sample", "left")
+    rows = rows.withColumn("retained", F.coalesce("retained", F.lit(False)))
+    for part, columns in zip(parts, [*absent, *[""] * (len(parts) - len(absent))], strict=True):
+        rows = join_optional(rows, part, "sample", columns)
     return rows
 
 
+def depth_called_vs_target(df: DataFrame) -> DataFrame:
+    """df (mean_dp, target_mean_dp) with their ratio: depth over called sites by that over whole targets."""
+    return df.withColumn("dp_called_vs_target", F.try_divide("mean_dp", "target_mean_dp"))
+
+
+def flagged_vs_retained(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """Medians of metrics of retained and of flagged samples; others are left out."""
+    group = F.when(F.col("retained"), "retained").when(F.col("contam"), "flagged")
+    return group_summary(df.withColumn("group", group).filter("group is not null"), "group", [], metrics)
+
+
+def depth_per_million(df: DataFrame, depth: str = "mean_dp", reads: str = "n_reads") -> DataFrame:
+    return df.withColumn("dp_per_million", F.try_divide(1e6 * F.col(depth), F.col(reads)))
+
+
 def counts_long(counts: DataFrame) -> DataFrame:
     """(sample, locus, metric, value, pct): n_miss in percent of the locus, the others of the called; n_diff = alt + het / 2."""
     called = F.col("n_het") + F.col("n_alt") + F.col("n_ref")
@@ -121,16 +166,26 @@ def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return df.groupBy(row).pivot(column, values).count().fillna(0)
 
 
-def watch_flags(df: DataFrame, by: str, checks: dict[str, str], low: float = 0.05, high: float = 0.95) -> DataFrame:
+#: Columns that are checked within a batch, and the side on which a sample stands out.
+WATCHED = {
+    "mean_dp": "low", "mean_pct_n": "high", "ts_tv": "low", "n_singletons": "high", "pct_duplication": "high",
+    "pct_mapped": "low", "pct_blanked": "high", "median_ab": "low",
+}
+
+
+def watch_flags(df: DataFrame, by: str, checks: dict[str, str] = WATCHED, low: float = 0.05, high: float = 0.95, unsure: bool = False) -> DataFrame:
     """df with a flag per column of checks (``low``: under the group's quantile, ``high``: over it), and their number.
 
-    Quantiles are exact, interpolated between neighbours.
+    Quantiles are exact, interpolated between neighbours. unsure: one more flag, for samples that are not
+    confident.
     """
     wanted = {c: F.percentile(c, low if side == "low" else high).alias(f"_{c}_q") for c, side in checks.items()}
     rows = df.join(df.groupBy(by).agg(*wanted.values()), by)
     bad = {c: F.coalesce(F.col(c) < F.col(f"_{c}_q") if side == "low" else F.col(c) > F.col(f"_{c}_q"), F.lit(False)) for c, side in checks.items()}
+    if unsure:
+        bad["confident"] = F.coalesce(~F.col("confident"), F.lit(False))
     rows = rows.withColumns({f"flag_{c}": x for c, x in bad.items()}).drop(*[f"_{c}_q" for c in checks])
-    n = sum((F.col(f"flag_{c}").cast("int") for c in checks), F.lit(0))
+    n = sum((F.col(f"flag_{c}").cast("int") for c in bad), F.lit(0))
     return rows.withColumn("n_flags", n)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociforge.functions.genotypes import iupac, percent, safe_name
-from lociforge.operators.counts import with_length
+from lociforge.operators.counts import small, with_length
 
 
 def consensus(calls: DataFrame, loci: DataFrame, samples: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def consensus(calls: DataFrame, loci: DataFrame, samples: DataFrame) -> DataFram
     places = loci.select("locus", F.col("start").alias("_start"), (F.col("end") - F.col("start")).cast("int").alias("_n"))
     own = calls.select("sample", "locus", "pos", F.coalesce(base, F.lit("N")).alias("base"))
     own = own.groupBy("sample", "locus").agg(F.map_from_entries(F.collect_list(F.struct("pos", "base"))).alias("_bases"))
-    rows = samples.select("sample").join(F.broadcast(places)).join(own, ["sample", "locus"], "left")
+    rows = samples.select("sample").join(F.broadcast(places) if small(places) else places).join(own, ["sample", "locus"], "left")
     letters = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.coalesce(F.try_element_at("_bases", F.col("_start") + i), F.lit("N")))
     return rows.select("sample", "locus", F.array_join(letters, "").alias("seq"))
 
@@ -112,6 +112,16 @@ def consensus_summary(seqs: DataFrame, loci: DataFrame) -> DataFrame:
     )
 
 
+def seq_lengths(seqs: DataFrame, key: str = "locus") -> DataFrame:
+    """(key, length) of each sequence."""
+    return seqs.select(key, F.length("seq").alias("length"))
+
+
+def samples_by_missingness(stats: DataFrame) -> DataFrame:
+    """Samples with their missingness, the most incomplete first."""
+    return stats.orderBy(F.desc("mean_pct_n"), "sample")
+
+
 def length_summary(seqs: DataFrame) -> DataFrame:
     n = F.length("seq")
     return seqs.agg(F.min(n).alias("min"), F.avg(n).alias("mean"), F.median(n).alias("median"), F.max(n).alias("max"))

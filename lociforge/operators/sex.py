@@ -16,9 +16,9 @@ def depth_long(counts: DataFrame, sex_loci: DataFrame) -> DataFrame:
     )
 
 
-def depth_ratio(counts: DataFrame, sex_loci: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(sample, auto_depth, sex_depth, depth_ratio); the ratio only where both depths are positive."""
-    rows = depth_long(counts, sex_loci)
+def ratio_of(depths: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(sample, auto_depth, sex_depth, depth_ratio) of depth_long, of the sex loci in ``only`` if given; the ratio only where both depths are positive."""
+    rows = depths
     if only is not None:
         rows = rows.filter("not is_sex").unionByName(rows.filter("is_sex").join(only.select("locus").distinct(), "locus", "left_semi").select(*rows.columns))
     mean = lambda c: F.try_divide(F.sum(F.when(c, F.col("mean_dp") * F.col("n_dp"))), F.sum(F.when(c, F.col("n_dp"))))
@@ -27,6 +27,10 @@ def depth_ratio(counts: DataFrame, sex_loci: DataFrame, only: DataFrame | None =
     return out.withColumn("depth_ratio", F.when(both, F.col("sex_depth") / F.col("auto_depth")))
 
 
+def depth_ratio(counts: DataFrame, sex_loci: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    return ratio_of(depth_long(counts, sex_loci), only)
+
+
 def split_at_gap(ratios: DataFrame, column: str = "depth_ratio") -> DataFrame:
     """ratios with sex: samples below the largest gap in the middle 60 % are hetero, the others homo.
 
@@ -78,8 +82,17 @@ def classify_sex_loci(
     return rows.withColumn("class", kind).drop("hetero_total_het", "homo_total_het")
 
 
+def sex_loci(loci: DataFrame, chrom: str) -> DataFrame:
+    """The loci of one chromosome; an error if there are none."""
+    own = loci.filter(F.col("chrom") == chrom)
+    if own.isEmpty():
+        raise ValueError(f"no locus lies on {chrom!r}")
+    return own
+
+
 def exclusion_list(classes: DataFrame, policy: str) -> DataFrame:
-    kinds = {"all": None, "paralogs": ["paralog"], "gametologs": ["gametolog", "paralog"], "none": []}
+    """(locus) to leave out: all sex loci, gametologs and paralogs (``paralogs``), gametologs alone, or none."""
+    kinds = {"all": None, "paralogs": ["gametolog", "paralog"], "gametologs": ["gametolog"], "none": []}
     if policy not in kinds:
         raise ValueError(f"policy {policy!r} is not one of {', '.join(kinds)}")
     wanted = kinds[policy]
@@ -97,11 +110,29 @@ def robust_z(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     return out.withColumns(z).drop(*[f"_{c}_{x}" for c in columns for x in "mds"])
 
 
-def sex_calls(samples: DataFrame, columns: list[str], min_depth: float = 15, max_z: float = 3) -> DataFrame:
-    """samples (sample, sex, auto_depth, columns) with flags (``-`` if none) and confident."""
-    rows = robust_z(samples, columns, "sex")
-    flags = [F.when(F.col("auto_depth") < min_depth, "low_depth")]
-    flags += [F.when(F.col(f"{c}_z") > max_z, F.concat(F.lit(f"{c}(z="), F.format_string("%.1f", f"{c}_z"), F.lit(")"))) for c in columns]
+def sex_statistics(counts: DataFrame, loci: DataFrame, sexes: DataFrame, classes: DataFrame) -> DataFrame:
+    """sexes with het_density over hemizygous loci (of their length) and n_gametolog_het; 0 where there is no such locus."""
+    length = F.col("end") - F.col("start")
+    own = counts.join(classes.filter(F.col("class").isin("hemizygous", "gametolog")).select("locus", "class"), "locus")
+    own = own.join(loci.select("locus", length.alias("_length")), "locus")
+    hemi, het = F.col("class") == "hemizygous", F.col("n_het")
+    rows = own.groupBy("sample").agg(
+        F.try_divide(F.sum(F.when(hemi, het)), F.sum(F.when(hemi, F.col("_length")))).alias("het_density"),
+        F.sum(F.when(~hemi, het)).alias("n_gametolog_het"),
+    )
+    return sexes.join(rows, "sample", "left").fillna(0, ["het_density", "n_gametolog_het"])
+
+
+#: Statistics that flag a sample far from the rest of its sex, with the names of their flags.
+SEX_CHECKS = {"depth_ratio": "depth_ratio", "het_density": "het_density", "n_gametolog_het": "gametolog_hets"}
+
+
+def sex_calls(samples: DataFrame, checks: dict[str, str] = SEX_CHECKS, min_depth: float = 15, max_z: float = 3) -> DataFrame:
+    """samples (sample, sex, auto_depth, the columns of checks) with flags (``-`` if none) and confident."""
+    rows = robust_z(samples, list(checks), "sex")
+    told = lambda name, what, x: F.concat(F.lit(f"{name}({what}"), F.format_string("%.1f", F.col(x)), F.lit(")"))
+    flags = [F.when(F.coalesce(F.col("auto_depth"), F.lit(0.0)) < min_depth, told("low_depth", "", "auto_depth"))]
+    flags += [F.when(F.col(f"{c}_z") > max_z, told(name, "z=", f"{c}_z")) for c, name in checks.items()]
     joined = F.concat_ws(",", *flags)
     return rows.withColumns({"flags": F.when(joined == "", "-").otherwise(joined), "confident": joined == ""})
 
@@ -115,10 +146,11 @@ def n_switched(a: DataFrame, b: DataFrame) -> DataFrame:
 def two_passes(counts: DataFrame, calls: DataFrame, sex_loci: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     """Sexes and locus classes: from all sex loci, then again from those the first pass finds hemizygous, if any."""
     own_calls = calls.join(sex_loci.select("locus"), "locus", "left_semi")
-    first = split_at_gap(depth_ratio(counts, sex_loci))
-    classes = classify_sex_loci(own_calls, sex_loci, first, **limits)
+    depths = depth_long(counts, sex_loci).persist()  # sex loci only, and one row a sample for the rest
+    first = split_at_gap(ratio_of(depths)).persist()  # a row a sample
+    classes = classify_sex_loci(own_calls, sex_loci, first, **limits).persist()  # a row a sex locus
     only = classes.filter(F.col("class") == "hemizygous").select("locus")
     if only.isEmpty():
         return first, classes
-    second = split_at_gap(depth_ratio(counts, sex_loci, only))
-    return second, classify_sex_loci(own_calls, sex_loci, second, **limits)
+    second = split_at_gap(ratio_of(depths, only)).persist()
+    return second, classify_sex_loci(own_calls, sex_loci, second, **limits).persist()

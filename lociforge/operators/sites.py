@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociforge.functions.genotypes import distance_bin, is_transition, length_class
+from lociforge.functions.genotypes import balance, distance_bin, is_transition, judged, length_class
 from lociforge.operators.counts import with_length
-from lociforge.operators.intervals import overlaps
+from lociforge.operators.intervals import overlaps, restrict_to
+
+#: Bases of a bin in which positions and probes meet.
+OVERLAP_BIN = 2_000
 
 
 def locus_informativeness(calls: DataFrame, loci: DataFrame, n_samples: int, min_call_frac: float = 0.25) -> DataFrame:
@@ -44,21 +47,27 @@ def allele_counts(calls: DataFrame) -> DataFrame:
     return calls.filter("code <> 'miss'").groupBy("chrom", "pos", "ref", "alt").agg(F.sum(copies).alias("ac"), (2 * F.count("*")).alias("an"))
 
 
-def sample_variant_stats(calls: DataFrame, samples: DataFrame) -> DataFrame:
-    """Per sample: genotype counts, transitions and transversions of non-reference genotypes, singletons, mean depth.
+def sample_variant_stats(calls: DataFrame, samples: DataFrame, bed: DataFrame | None = None) -> DataFrame:
+    """Per sample: genotype counts, transitions and transversions of non-reference genotypes, singletons, indels, mean depth.
 
-    A singleton is an allele with one copy in all samples; only such sites are joined back.
+    calls: sample, chrom, pos, ref, alt, code, dp; REF and ALT of unequal length are an indel,
+    which counts for neither transitions nor transversions. A singleton is an allele with one
+    copy in all samples; only such sites are joined back. bed restricts all of it.
     """
+    if bed is not None:
+        calls = restrict_to(calls.drop("locus"), bed)
     variant = F.col("code").isin("het", "alt")
+    indel = F.coalesce(F.length("ref") != F.length("alt"), F.lit(False))
     single = allele_counts(calls).filter("ac = 1").select("chrom", "pos", "ref", "alt").withColumn("_single", F.lit(1))
     ts = is_transition(F.col("ref"), F.col("alt"))
     base = calls.groupBy("sample").agg(
         *[F.count_if(F.col("code") == c).alias(f"n_{c}") for c in ("ref", "het", "alt", "miss")],
-        F.count_if(variant & ts).alias("n_ts"), F.count_if(variant & ~ts).alias("n_tv"), F.avg(F.when(F.col("code") != "miss", F.col("dp"))).alias("mean_dp"),
+        F.count_if(variant & ~indel & ts).alias("n_ts"), F.count_if(variant & ~indel & ~ts).alias("n_tv"),
+        F.count_if(variant & indel).alias("n_indels"), F.avg(F.when(F.col("code") != "miss", F.col("dp"))).alias("mean_dp"),
     )
     carriers = calls.filter("code = 'het'").join(single, ["chrom", "pos", "ref", "alt"]).groupBy("sample").agg(F.count("*").alias("n_singletons"))
     rows = samples.select("sample").join(base, "sample", "left").join(carriers, "sample", "left")
-    rows = rows.fillna(0, ["n_ref", "n_het", "n_alt", "n_miss", "n_ts", "n_tv", "n_singletons"])
+    rows = rows.fillna(0, ["n_ref", "n_het", "n_alt", "n_miss", "n_ts", "n_tv", "n_indels", "n_singletons"])
     return rows.withColumn("ts_tv", F.try_divide("n_ts", "n_tv"))
 
 
@@ -79,11 +88,12 @@ def depth_profile(calls: DataFrame, probes: DataFrame, buffer: int = 300, bin: i
     """
     wide = probes.select("chrom", F.greatest(F.col("start") - buffer, F.lit(0)).alias("start"), (F.col("end") + buffer).alias("end"), "locus",
                          F.col("start").alias("_s"), F.col("end").alias("_e"))
-    points = calls.withColumn("_id", F.monotonically_increasing_id()).select("_id", "chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), "pos", "code", "dp")
-    rows = overlaps(points, wide)
+    points = calls.select("chrom", "pos").distinct().select("chrom", "pos", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"))
+    rows = overlaps(points, wide, bin=OVERLAP_BIN)
     dist = F.least(F.col("pos") - F.col("b__s"), F.col("b__e") - F.col("pos") + 1)
     rows = rows.withColumns({"dist": dist, "class": length_class(F.col("b__e") - F.col("b__s"), long_from)})
-    nearest = rows.groupBy("_id").agg(F.min_by(F.struct("dist", "class", "code", "dp"), F.struct(F.abs("dist"), "b_start", "b_locus")).alias("r")).select("r.*")
+    nearest = rows.groupBy("chrom", "pos").agg(F.min_by(F.struct("dist", "class"), F.struct(F.abs("dist"), "b_start", "b_locus")).alias("_r"))
+    nearest = calls.select("chrom", "pos", "code", "dp").join(nearest, ["chrom", "pos"]).select("_r.*", "code", "dp")
     called = (F.col("code") != "miss") & F.col("dp").isNotNull()
     key = F.when(F.col("dist") > 0, "probe").otherwise("flank").alias("region") if by_region else distance_bin(F.col("dist"), bin).alias("bin")
     out = nearest.groupBy("class", key).agg(F.count("*").alias("n_pos"), F.count_if(called).alias("n_called"), F.avg(F.when(called, F.col("dp"))).alias("mean_dp"))
@@ -110,14 +120,41 @@ def on_target_stats(windows: DataFrame, targets: DataFrame, genome_dp: Column |
 
 
 def nearest_indel(sites: DataFrame) -> DataFrame:
-    """sites (sample, chrom, pos, is_indel, ...) with the distance to the nearest indel of their sample and chromosome."""
-    w = Window.partitionBy("sample", "chrom").orderBy("pos")
+    """sites (sample, chrom, pos, is_indel, ...) with the distance to the nearest indel of their sample and chromosome.
+
+    Two running windows, one in each direction.
+    """
+    by = Window.partitionBy("sample", "chrom")
     at = F.when(F.col("is_indel"), F.col("pos"))
-    before = F.last(at, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(at, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    before = F.last(at, ignorenulls=True).over(by.orderBy("pos").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.last(at, ignorenulls=True).over(by.orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0))
     return sites.withColumn("indel_dist", F.least(F.col("pos") - before, after - F.col("pos")))
 
 
+#: Upper bounds of the distance classes to an indel, and the name of each; beyond the last is the background.
+DISTANCES = {3: "1-3", 5: "4-5", 10: "6-10", 20: "11-20", 50: "21-50", 100: "51-100", 200: "101-200"}
+
+
+def rates_by_indel_distance(sites: DataFrame) -> DataFrame:
+    """(distance, n_callable, n_snps, snps_per_kb, rel_rate, pct_het, rel_het) of records that are no indel, called and with a distance.
+
+    sites: sample, chrom, pos, is_indel, code. Rates are by callable records of the class; rel_
+    columns are by those of the background, beyond the last class.
+    """
+    own = nearest_indel(sites).filter(~F.col("is_indel") & (F.col("code") != "miss") & (F.coalesce("indel_dist", F.lit(1 << 40)) > 0))
+    kind = F.when(F.lit(False), "")
+    for upto, name in DISTANCES.items():
+        kind = kind.when(F.col("indel_dist") <= upto, name)
+    snp = F.col("code").isin("het", "alt")
+    rows = own.groupBy(kind.otherwise("background").alias("distance")).agg(
+        F.count("*").alias("n_callable"), F.count_if(snp).alias("n_snps"),
+        F.try_divide(1000 * F.count_if(snp), F.count("*")).alias("snps_per_kb"), F.try_divide(100 * F.count_if(F.col("code") == "het"), F.count_if(snp)).alias("pct_het"),
+    )
+    base = rows.filter("distance = 'background'").select(F.col("snps_per_kb").alias("_rate"), F.col("pct_het").alias("_het"))
+    rows = rows.join(F.broadcast(base), how="left")  # one row
+    return rows.withColumns({"rel_rate": F.try_divide("snps_per_kb", "_rate"), "rel_het": F.try_divide("pct_het", "_het")}).drop("_rate", "_het")
+
+
 def blanked_by_gap(sites: DataFrame, gaps: tuple[int, ...] = (0, 3, 5, 10)) -> DataFrame:
     """(gap, n_sites, n_blanked): variant sites other than indels that each gap would blank."""
     own = nearest_indel(sites).filter(~F.col("is_indel") & F.col("is_variant"))
@@ -129,3 +166,25 @@ def blanked_by_gap(sites: DataFrame, gaps: tuple[int, ...] = (0, 3, 5, 10)) -> D
 def rarefied(samples: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n samples in the order of a seeded hash."""
     return samples.select("sample").orderBy(F.xxhash64(F.lit(seed), F.col("sample").cast("string")), "sample").limit(n)
+
+
+def rarefaction(calls: DataFrame, loci: DataFrame, samples: DataFrame, sizes: tuple[int, ...], seed: int = 0, min_call_frac: float = 0.25) -> DataFrame:
+    """(n, pct_variable, pct_pi): informativeness of the first n samples in the order of a seeded hash, for each of a few sizes."""
+    out = None
+    for n in sizes:
+        own = calls.join(rarefied(samples, n, seed), "sample", "left_semi")
+        total = informativeness_totals(locus_informativeness(own, loci, n, min_call_frac)).select(F.lit(n).alias("n"), "pct_variable", "pct_pi")
+        out = total if out is None else out.union(total)
+    return out
+
+
+def balance_by_tolerance(hets: DataFrame, tolerances: tuple[int, ...] = (0, 1, 2, 3), low: float = 0.25, high: float = 0.75) -> DataFrame:
+    """(tolerance, n_het, pct_unjudged, pct_blanked): heterozygotes (ao, ro, dp) that can't be judged, and of the others those outside of [low, high]."""
+    rows = hets.withColumn("tolerance", F.explode(F.array(*[F.lit(t) for t in tolerances])))
+    ok = judged(F.col("ao"), F.col("ro"), F.col("dp"), F.col("tolerance"))
+    ab = balance(F.col("ao"), F.col("ro"))
+    out = ok & ((ab < low) | (ab > high))
+    return rows.groupBy("tolerance").agg(
+        F.count("*").alias("n_het"), F.try_divide(100 * F.count_if(~ok), F.count("*")).alias("pct_unjudged"),
+        F.try_divide(100 * F.count_if(out), F.count_if(ok)).alias("pct_blanked"),
+    )

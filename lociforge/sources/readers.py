@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,10 +13,15 @@ from lociforge.functions.genotypes import short_sample
 from lociforge.sources import schemas
 
 
-def _sample(suffix: str) -> Column:
-    """The sample of a file: its name without suffix, then the text after the last underscore."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return short_sample(F.regexp_replace(F.url_decode(name), rf"{suffix}$", ""))
+def _sample(suffix: str, key: str = "sample") -> Column:
+    """The sample of a file: its name without suffix, then the text after the last underscore; of a file in a folder sample=... that."""
+    return _sample_of(F.col("_metadata.file_path"), suffix, key)
+
+
+def _sample_of(path: Column, suffix: str, key: str = "sample") -> Column:
+    folder = F.url_decode(F.regexp_extract(path, f"/{key}=([^/]*)/", 1))
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(folder != "", folder).otherwise(short_sample(F.regexp_replace(F.url_decode(name), rf"{suffix}$", "")))
 
 
 def _list(values: Column) -> Column:
@@ -27,7 +30,7 @@ def _list(values: Column) -> Column:
 
 def read_vcf(spark: SparkSession, path: str, suffix: str = r"\.vcf(\.gz)?") -> DataFrame:
     """Raw calls of single-sample VCF files; the sample is the file's name. Header lines are skipped."""
-    lines = spark.read.text(path).select("value", _sample(suffix).alias("sample")).filter(~F.startswith("value", F.lit("#")))
+    lines = spark.read.text(path).select("value", _sample(suffix).alias("sample")).filter(~F.startswith("value", F.lit("#")) & (F.col("value") != ""))
     f = F.split("value", "\t")
     rows = lines.select(
         "sample", f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[3].alias("ref"), _list(f[4]).alias("alt"),
@@ -51,9 +54,9 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, schemas.LOCI, header=False, null="")
 
 
-def read_fasta(spark: SparkSession, path: str, suffix: str = r"\.fa(sta)?(\.gz)?") -> DataFrame:
-    """(sample, locus, seq): file and record of each sequence; white space inside is dropped."""
-    records = spark.read.option("lineSep", ">").text(path).select("value", _sample(suffix).alias("sample")).filter(F.trim("value") != "")
+def read_fasta(spark: SparkSession, path: str, suffix: str = r"\.fa(sta)?(\.gz)?", key: str = "sample") -> DataFrame:
+    """(sample, locus, seq): file and record of each sequence; white space inside is dropped. key: of a folder key=... that names its files."""
+    records = spark.read.option("lineSep", ">").text(path).select("value", _sample(suffix, key).alias("sample")).filter(F.trim("value") != "")
     parts = F.split("value", "\n", 2)
     return records.select("sample", F.trim(parts[0]).alias("locus"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
 
@@ -138,17 +141,27 @@ def read_flagstat(spark: SparkSession, path: str, suffix: str = r"\..*") -> Data
 
 
 def _first_names(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
     for part in parts:
         lines = []
-        for data in part["content"]:
-            stream = io.BytesIO(data)
-            lines.append((gzip.open(stream) if data[:2] == b"\x1f\x8b" else stream).readline().decode().strip())
+        for path in part["path"]:
+            store, place = fs.FileSystem.from_uri(path if "://" in path else path.replace(":/", ":///", 1))
+            with store.open_input_stream(place, compression="gzip" if place.endswith(".gz") else None, buffer_size=1 << 16) as stream:
+                data = b""
+                while b"\n" not in data and (more := stream.read(1 << 12)):
+                    data += more
+            lines.append(data.split(b"\n")[0].decode().strip())
         yield pd.DataFrame({"sample": part["sample"], "name": lines})
 
 
 def read_seq_batch(spark: SparkSession, path: str, suffix: str = r"[_.]R?1?.*") -> DataFrame:
-    """(sample, instrument, run, flowcell, run_flowcell) from the first read name of each FASTQ file."""
-    files = spark.read.format("binaryFile").load(path).select(_file_sample(suffix).alias("sample"), "content")
+    """(sample, instrument, run, flowcell, run_flowcell) from the first read name of each FASTQ file.
+
+    Only the head of each file is read, in tasks. A file without reads, or a name with under seven fields, fails;
+    files of no bytes at all are not listed by Spark and have no row.
+    """
+    files = spark.read.format("binaryFile").load(path).select(_sample_of(F.col("path"), suffix).alias("sample"), "path")
     names = files.mapInPandas(_first_names, "sample string, name string")
     f = F.split(F.regexp_replace("name", "^@", ""), ":")
     checked = F.when(F.size(f) >= 7, f).otherwise(F.raise_error(F.concat(F.lit("read name with under 7 fields: "), F.col("name"))))
@@ -158,15 +171,21 @@ def read_seq_batch(spark: SparkSession, path: str, suffix: str = r"[_.]R?1?.*")
     )
 
 
-def _file_sample(suffix: str) -> Column:
-    return short_sample(F.regexp_replace(F.element_at(F.split("path", "/"), -1), rf"{suffix}$", ""))
-
+def build_samplesheet(paths: DataFrame, known: DataFrame | None = None, lane: int = 1) -> DataFrame:
+    """(patient, sample, lane, fastq_1, fastq_2) of read pairs in paths (path); names end in _R1/_R2 or _1/_2.
 
-def build_samplesheet(paths: DataFrame) -> DataFrame:
-    """(patient, sample, lane, fastq_1, fastq_2) of read pairs in paths (path); names end in _R1/_R2 or _1/_2."""
+    Files without their mate are left out. A sample with several files of one read fails, and so does one that is
+    not in known (sample), where that is given.
+    """
     name = F.element_at(F.split("path", "/"), -1)
-    rows = paths.select("path", F.regexp_extract(name, r"^(.*?)_R?([12])(?:_001)?\.f(?:ast)?q(?:\.gz)?$", 1).alias("stem"),
-                        F.regexp_extract(name, r"^(.*?)_R?([12])(?:_001)?\.f(?:ast)?q(?:\.gz)?$", 2).alias("read"))
-    pairs = rows.filter("stem <> ''").groupBy("stem").agg(F.max(F.when(F.col("read") == "1", F.col("path"))).alias("fastq_1"), F.max(F.when(F.col("read") == "2", F.col("path"))).alias("fastq_2"))
-    short = short_sample(F.col("stem"))
-    return pairs.filter("fastq_1 is not null and fastq_2 is not null").select(short.alias("patient"), short.alias("sample"), F.lit(1).alias("lane"), "fastq_1", "fastq_2")
+    pattern = r"^(.*?)_R?([12])(?:_001)?\.f(?:ast)?q(?:\.gz)?$"
+    rows = paths.select("path", short_sample(F.regexp_extract(name, pattern, 1)).alias("sample"), F.regexp_extract(name, pattern, 2).alias("read"))
+    of = lambda r: F.when(F.col("read") == r, F.col("path"))
+    pairs = rows.filter("sample <> ''").groupBy("sample").agg(*[f(of(r)).alias(f"{n}_{r}") for r in "12" for n, f in (("fastq", F.max), ("n", F.count))])
+    wrong = F.raise_error(F.concat(F.lit("several files of one read: "), F.col("sample"))).cast("string")
+    pairs = pairs.withColumn("sample", F.when(F.greatest("n_1", "n_2") > 1, wrong).otherwise(F.col("sample"))).filter("n_1 > 0 and n_2 > 0")
+    if known is not None:
+        pairs = pairs.join(known.select(F.col("sample").alias("_known")).distinct(), F.col("sample") == F.col("_known"), "left")
+        unknown = F.raise_error(F.concat(F.lit("sample without metadata: "), F.col("sample"))).cast("string")
+        pairs = pairs.withColumn("sample", F.when(F.col("_known").isNull(), unknown).otherwise(F.col("sample")))
+    return pairs.select(F.col("sample").alias("patient"), "sample", F.lit(lane).alias("lane"), "fastq_1", "fastq_2")

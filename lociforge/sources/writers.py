@@ -35,3 +35,20 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
 
 def write_calls(calls: DataFrame, path: str) -> None:
     calls.repartition("sample").sortWithinPartitions("sample", "chrom", "pos").write.partitionBy("sample").parquet(path)
+
+
+def write_vcf(calls: DataFrame, path: str) -> None:
+    """Raw calls as VCF text, a folder for each sample; files are sorted by chromosome and position, each with a header."""
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("."))
+    joined = lambda xs, sep: F.when(F.size(xs) > 0, F.array_join(F.transform(xs, text), sep)).otherwise(".")
+    gt = F.when(F.col("gt").isNull(), "./.").otherwise(F.array_join(F.transform("gt", text), "/"))
+    fields = F.concat_ws(":", gt, text(F.col("dp")), text(F.col("gq")), text(F.col("ro")), joined(F.col("ao"), ","))
+    qual = F.regexp_replace(text(F.col("qual")), r"\.0$", "")
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", joined(F.col("alt"), ","), qual, joined(F.col("filter"), ";"), F.lit("."), F.lit("GT:DP:GQ:RO:AO"), fields)
+    rows = calls.select("sample", "chrom", "pos", line.alias("value"))
+    heads = calls.select("sample").distinct().select(
+        "sample", F.lit("").alias("chrom"), F.lit(-1).cast("long").alias("pos"),
+        F.concat(F.lit("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"), F.col("sample").cast("string")).alias("value"),
+    )
+    rows = rows.unionByName(heads).repartition("sample").sortWithinPartitions("sample", "chrom", "pos", "value")
+    rows.select("sample", "value").write.partitionBy("sample").text(path)

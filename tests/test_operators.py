@@ -46,7 +46,28 @@ def test_alleles_split_and_positions_with_two_records_go(spark):
     split = oc.atomize(oc.split_multiallelic(df)).orderBy("pos", "gt").collect()
     assert [(r["pos"], r["ref"], r["alt"], r["gt"]) for r in split] == [(10, "C", ["T"], [1, 0]), (14, "G", ["A"], [0, 1]), (14, "G", ["A"], [1, 0])]
     assert [r["pos"] for r in oc.drop_multi_record(oc.atomize(oc.split_multiallelic(df))).collect()] == [10]
-    assert {r["pos"]: r["alt"] for r in oc.merge_records(df.unionByName(df)).collect()} == {10: ["CTATA", "TTATA"]}
+    assert {r["pos"]: r["alt"] for r in oc.merge_records(df.unionByName(df)).collect()} == {10: ["TTATA", "CTATA"]}
+
+
+def merged(spark, *rows):
+    (r,) = oc.merge_records(raw(spark, *rows)).collect()
+    return r
+
+
+def test_merged_records_have_their_alleles_renumbered(spark):
+    a, b = {"alt": ["C"], "gt": [0, 0], "ao": [3], "dp": 9}, {"alt": ["G"], "gt": [1, 1], "ao": [7], "dp": 12, "filter": ["SnpGap"]}
+    for rows in ((a, b), (b, a)):
+        r = merged(spark, *rows)
+        assert (r["alt"], r["gt"], r["ao"], r["dp"], r["filter"], r["qual"], r["ro"]) == (["C", "G"], [2, 2], [3, 7], 9, ["SnpGap"], 50.0, 5)
+    split = oc.atomize(oc.split_multiallelic(raw(spark, {"pos": 10, "alt": ["C", "G"], "gt": [1, 2]})))
+    (r,) = oc.merge_records(split).collect()
+    assert (r["alt"], r["gt"]) == (["C", "G"], [1, 2])
+    missing = {"alt": ["C"], "gt": [None, None]}
+    assert merged(spark, missing)["gt"] == [None, None] and merged(spark, missing | {"gt": None})["gt"] is None
+    assert merged(spark, missing, {"alt": ["G"], "gt": [0, 1]})["gt"] == [0, 2]
+    long = merged(spark, {"alt": ["C"], "gt": [0, 1]}, {"ref": "AT", "alt": ["A", "*"], "gt": [0, 1]})
+    assert (long["ref"], long["alt"], long["gt"]) == ("AT", ["CT", "A", "*"], [0, 1])
+    assert oc.filter_chain(raw(spark, {"alt": ["C", "G"], "gt": [1, 2], "gq": 60.0}), drop_multi=False).count() == 1
 
 
 def test_balance_is_judged_within_the_tolerance(spark):
@@ -153,7 +174,12 @@ def test_gap_split_spread_and_policies(spark):
     flat = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 1.0), ("c", "x", 9.0)], "sample string, sex string, v double")
     assert {r["v_z"] for r in sex.robust_z(flat, ["v"], "sex").collect()} == {0.0}
     classes = spark.createDataFrame([("a", "paralog"), ("b", "gametolog"), ("c", "PAR-like")], "locus string, class string")
-    assert [sex.exclusion_list(classes, p).count() for p in ("all", "paralogs", "gametologs", "none")] == [3, 1, 2, 0]
+    lists = {p: {r["locus"] for r in sex.exclusion_list(classes, p).collect()} for p in ("all", "paralogs", "gametologs", "none")}
+    assert lists == {"all": {"a", "b", "c"}, "paralogs": {"a", "b"}, "gametologs": {"b"}, "none": set()}
+    loci = spark.createDataFrame([("chrZ", 0, 5, "l")], schemas.LOCI)
+    assert sex.sex_loci(loci, "chrZ").count() == 1
+    with pytest.raises(ValueError):
+        sex.sex_loci(loci, "chrW")
     with pytest.raises(ValueError):
         sex.exclusion_list(classes, "some")
 
@@ -197,6 +223,14 @@ def test_readers(spark, tmp_path):
     assert readers.read_ids(spark, str(tmp_path / "absent.txt")).count() == 0
     paths = spark.createDataFrame([("/d/x_s1_R1.fq.gz",), ("/d/x_s1_R2.fq.gz",), ("/d/y_s2_R1.fq.gz",)], "path string")
     assert [tuple(r) for r in readers.build_samplesheet(paths).collect()] == [("s1", "s1", 1, "/d/x_s1_R1.fq.gz", "/d/x_s1_R2.fq.gz")]
+    with pytest.raises(Exception, match="several files"):
+        readers.build_samplesheet(paths.unionByName(paths)).collect()
+    with pytest.raises(Exception, match="without metadata"):
+        readers.build_samplesheet(paths, known=spark.createDataFrame([("s2",)], "sample string")).collect()
+    with gzip.open(tmp_path / "s8_R1.fastq.gz", "wt") as f:
+        f.write("")
+    with pytest.raises(Exception, match="under 7 fields"):
+        readers.read_seq_batch(spark, str(tmp_path / "s8_R1.fastq.gz")).collect()
 
 
 def test_writers_and_stream(spark, tmp_path):
@@ -214,3 +248,29 @@ def test_writers_and_stream(spark, tmp_path):
     for _ in range(2):
         count_arrivals(spark, str(tmp_path / "in"), calls.schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [tuple(r)[:5] for r in spark.read.parquet(str(tmp_path / "out") + "/*").collect()] == [("l", "c", 1, 1, 2)]
+
+
+def test_names_of_intervals(spark):
+    row = spark.range(1).select(g.interval_of_region(F.lit("chr:1:5-9")).alias("a"), g.interval_of_locus(F.lit("X_y_L10_NC_01.1_5-9.fa")).alias("b")).first()
+    assert tuple(row["a"]) == ("chr:1", 4, 9) and tuple(row["b"]) == ("NC_01.1", 4, 9)
+    with pytest.raises(Exception, match="no interval"):
+        spark.range(1).select(g.interval_of_region(F.lit("chr1"))).collect()
+
+
+def test_optional_tables_and_contamination(spark):
+    meta = spark.createDataFrame([("a", True), ("b", None), ("c", False)], "sample string, contam boolean")
+    got = qc_tables.with_contam(meta, spark.createDataFrame([("a",), ("c",)], "sample string")).orderBy("sample").collect()
+    assert [(r["contam"], r["contam_source"]) for r in got] == [(True, "metadata"), (False, None), (True, "QC")]
+    assert qc_tables.join_optional(meta, None, "sample", "x long").schema["x"].dataType.simpleString() == "bigint"
+    stages = spark.createDataFrame([(False, False, False, "paralog", 9, True), (False, False, False, None, 9, True), (False, False, False, None, 900, False)], "retained boolean, excess_het boolean, ab_skew boolean, z_class string, length int, kept_missing boolean")
+    assert [r["stage"] for r in qc_tables.stage_locus(stages).collect()] == ["Z (paralog)", "too short", "missingness"]
+
+
+def test_nearest_indels_in_both_directions(spark):
+    rng = random.Random(6)
+    rows = [("s", "c", p, rng.random() < 0.2) for p in sorted(rng.sample(range(300), 60))]
+    at = [p for _, _, p, x in rows if x]
+    got = sites.nearest_indel(spark.createDataFrame(rows, "sample string, chrom string, pos long, is_indel boolean")).collect()
+    for r in got:
+        before, after = max((p for p in at if p <= r["pos"]), default=None), min((p for p in at if p >= r["pos"]), default=None)
+        assert r["indel_dist"] == min(abs(r["pos"] - x) for x in (before, after) if x is not None)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lociforge.jobs.queries import ORACLE_SQL, QUERIES
+from lociforge.jobs.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
