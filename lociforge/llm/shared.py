@@ -13,10 +13,13 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    Where it is unset (local runs, tests) a temporary folder of this machine is made once.
+    Where it is unset in a local run (tests) a temporary folder of this machine is made once; on a
+    cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         app = spark.sparkContext.applicationId
         folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lociforge-"))
     return folder.rstrip("/")
