@@ -1,9 +1,11 @@
-"""Main text of web pages: site templates go by their recurrence, the rest of the furniture by its markup.
+"""Main text of web pages: site templates go by their recurrence, what is left of the furniture by its markup.
 
-Every page is parsed into blocks of text; each element subtree that may be furniture gets a
-hash of its tags and text. Spark counts on how many pages of a host each hash occurs, and
-subtrees that recur on many of them are deleted from those pages. What is left of menus,
-adverts, forms and the like is told by tag, role and class.
+Every page is parsed into blocks of text. Element subtrees get a hash of their tags and text,
+and those beside the text of the page also one of their structure alone: tags, classes,
+depth, share of links. Spark counts on how many pages of a host each hash occurs, and
+subtrees that recur on many of them are deleted from those pages. Menus and adverts whose
+words vary from page to page recur by structure; on pages without an article this goes for lists of links only. Tags, roles, classes and the article element tell what
+is left of menus, adverts, forms and the like, and decide alone on hosts of a few pages.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociforge.llm.shared import staged
+
 #: A subtree is of the template if it is on so many pages of its host, and on such a share.
-MIN_PAGES, MIN_SHARE = 10, 0.5
+MIN_PAGES, MIN_SHARE = 5, 0.5
 #: Pages of a host that are many at any size of the host: no share is needed then.
 MANY = 100
 #: Recurring subtrees (host and hash) up to which the list of them is broadcast.
 MAX_BROADCAST = 500_000
+#: Tasks over which the pages of a host are spread where it is not.
+SALTS = 32
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -54,10 +60,11 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dia
 
 
 class _Element:
-    __slots__ = ("tag", "furniture", "parts", "index")
+    __slots__ = ("tag", "name", "furniture", "core", "index", "parts", "kids", "size", "linked")
 
-    def __init__(self, tag: str, furniture: bool, index: int):
-        self.tag, self.furniture, self.index, self.parts = tag, furniture, index, [tag]
+    def __init__(self, tag: str, name: str, furniture: bool, core: str, index: int):
+        self.tag, self.name, self.furniture, self.core, self.index = tag, name, furniture, core, index
+        self.parts, self.kids, self.size, self.linked = [tag], set(), 0, 0
 
 
 def _furniture(tag: str, attributes: str) -> bool:
@@ -74,16 +81,25 @@ def _furniture(tag: str, attributes: str) -> bool:
     return False
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks (text, hashes of the subtrees around it that may be furniture), and all such hashes of the page.
+_NAME = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
+
+def _signed(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+    return h - (1 << 64) if h >> 63 else h
+
 
-    Blocks of what markup tells to be furniture are left out, and so is, where the page has
-    an article or else a main element, what is outside of it.
+def parse(page: str | None) -> tuple[list[tuple[str, list[int], bool]], list[int]]:
+    """Blocks (text, hashes of the subtrees around it that may be furniture, whether markup tells that it is), and all such hashes of the page.
+
+    By markup furniture is also what lies outside of the articles of a page, or else of its main elements.
     """
     page = page or ""
-    stack = [_Element("html", False, 0)]
-    hashes: list[int | None] = [None]
-    blocks: list[tuple[str, list[int], str]] = []  # text, elements, core element
+    stack = [_Element("html", "", False, "", 0)]
+    parents, sizes, texts, shapes = [-1], [0], [None], [None]  # by element
+    linked: dict[int, bool] = {}  # elements whose text is links for the most part
+    opened: dict[str, int] = {}
+    blocks: list[tuple[str, int, str, bool]] = []  # text, element, core element around it, furniture
     buffer: list[str] = []
     at, size = 0, len(page)
 
@@ -92,23 +108,37 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
             s = html.unescape(s)
             buffer.append(s)
             if s := s.strip():
-                stack[-1].parts.append(s)
+                e = stack[-1]
+                e.parts.append(s)
+                e.size += len(s)
 
     def flush() -> None:
         if buffer:
             s = _SPACE.sub(" ", "".join(buffer)).strip()
             buffer.clear()
-            if s and not any(e.furniture for e in stack):
-                core = next((e.tag for e in reversed(stack) if e.tag in ("article", "main")), "")
-                blocks.append((s, [e.index for e in stack], core))
+            if s:
+                e = stack[-1]
+                blocks.append((s, e.index, e.core, e.furniture))
 
     def close() -> None:
-        e = stack.pop()
-        h = xxhash.xxh64_intdigest("\0".join(e.parts).encode("utf-8", "replace"))
-        stack[-1].parts.append(f"\1{h}")
-        inside = any(x.tag in ("article", "main") for x in stack)
-        if e.tag not in _CORE and e.tag not in _INLINE and not (inside and e.tag in _PARAGRAPHS):
-            hashes[e.index] = h - (1 << 64) if h >> 63 else h
+        e, up = stack.pop(), stack[-1]
+        opened[e.tag] -= 1
+        h = _signed("\0".join(e.parts))
+        up.parts.append(f"\1{h}")
+        up.size += e.size
+        up.linked += e.size if e.tag == "a" else e.linked
+        sizes[e.index] = e.size
+        if e.tag in _INLINE:
+            up.kids.add(e.tag)
+            return
+        if e.tag not in _CORE:
+            if not (e.core and e.tag in _PARAGRAPHS):
+                texts[e.index] = h
+            links = 0 if not e.linked else 1 if 2 * e.linked < e.size else 2
+            shape = _signed(f"\2{e.name}\0{len(stack)}\0{links}\0" + "\0".join(sorted(e.kids)))
+            if e.tag not in _PARAGRAPHS:
+                shapes[e.index], linked[e.index] = shape, links == 2
+            up.kids.add(str(shape))
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -125,7 +155,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
         elif tag == "br":
             buffer.append(" ")
         if m[1]:
-            if any(e.tag == tag for e in stack[1:]):
+            if opened.get(tag):
                 while True:
                     done = stack[-1].tag == tag
                     close()
@@ -148,34 +178,69 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
                     break
                 if kind not in _INLINE:
                     break
-        hashes.append(None)
-        stack.append(_Element(tag, _furniture(tag, m[3]), len(hashes) - 1))
+        up = stack[-1]
+        name = f"{tag} {' '.join(''.join(x) for x in _NAME.findall(m[3]))}" if m[3] and tag not in _INLINE else tag
+        stack.append(_Element(tag, name, up.furniture or _furniture(tag, m[3]), tag if tag in ("article", "main") else up.core, len(parents)))
+        parents.append(up.index)
+        for x in (sizes, texts, shapes):
+            x.append(None)
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     while len(stack) > 1:
         close()
-    for core in ("article", "main", ""):
-        own = [b for b in blocks if not core or b[2] == core]
-        if own:
-            break
-    return [(s, [hashes[i] for i in inside if hashes[i] is not None]) for s, inside, _ in own], sorted({h for h in hashes if h is not None})
+    sizes[0] = stack[0].size
+    core = next((c for c in ("article", "main") if any(b[2] == c for b in blocks)), "")
+    judged = _beside_text(parents, sizes, {b[1] for b in blocks if core and b[2] == core})
+    # without an article text and furniture may look alike, so there only lists of links are told by their structure
+    shapes = [h if h is not None and judged[i] and (core or linked[i]) else None for i, h in enumerate(shapes)]
+    around: dict[int, list[int]] = {-1: []}
+    for i, up in enumerate(parents):
+        own = [h for h in (texts[i], shapes[i]) if h is not None]
+        around[i] = around[up] + own if own else around[up]
+    return [(s, around[i], furniture or kind != core) for s, i, kind, furniture in blocks], sorted({h for x in (texts, shapes) for h in x if h is not None})
+
+
+def _beside_text(parents: list[int], sizes: list[int | None], core: set[int]) -> list[bool]:
+    """Which elements neither hold nor lie in the text of the page: its core blocks, or else the smallest element with over half of all text."""
+    n = len(parents)
+    if not core:
+        at, total = 0, sizes[0] or 0
+        for i in range(1, n):  # parents come before their children
+            if parents[i] == at and 2 * (sizes[i] or 0) > total:
+                at = i
+        core = {at}
+        inside = [i == at for i in range(n)]
+        for i in range(1, n):
+            inside[i] = inside[i] or inside[parents[i]]
+    else:
+        inside = [False] * n
+    holds = [False] * n
+    for i in core:
+        while i >= 0 and not holds[i]:
+            holds[i] = True
+            i = parents[i]
+    return [not a and not b for a, b in zip(inside, holds, strict=True)]
 
 
 _PARSED = T.StructType([
     T.StructField("texts", T.ArrayType(T.StringType())),
     T.StructField("owners", T.ArrayType(T.ArrayType(T.LongType()))),
+    T.StructField("marked", T.ArrayType(T.BooleanType())),
     T.StructField("subtrees", T.ArrayType(T.LongType())),
 ])
 
 
 @F.pandas_udf(_PARSED)
 def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Blocks of each page, the subtrees around each but not around all of them, and all subtrees."""
+    """Blocks of each page, the subtrees around each but not around all of its text, and all subtrees."""
     for part in pages:
         rows = [parse(x) for x in part]
-        whole = [set.intersection(*(set(h) for _, h in blocks)) if blocks else set() for blocks, _ in rows]
+        own = [[set(h) for _, h, marked in blocks if not marked] or [set(h) for _, h, _ in blocks] for blocks, _ in rows]
+        whole = [set.intersection(*x) if x else set() for x in own]
         yield pd.DataFrame({
-            "texts": [[s for s, _ in blocks] for blocks, _ in rows],
-            "owners": [[[x for x in h if x not in every] for _, h in blocks] for (blocks, _), every in zip(rows, whole, strict=True)],
+            "texts": [[s for s, _, _ in blocks] for blocks, _ in rows],
+            "owners": [[[x for x in h if x not in every] for _, h, _ in blocks] for (blocks, _), every in zip(rows, whole, strict=True)],
+            "marked": [[m for _, _, m in blocks] for blocks, _ in rows],
             "subtrees": [trees for _, trees in rows],
         })
 
@@ -201,21 +266,26 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
 def main_text(
     pages: DataFrame, url: str = "url", page: str = "html", into: str = "text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
-    max_broadcast: int = MAX_BROADCAST,
+    max_broadcast: int = MAX_BROADCAST, markup: bool = True,
 ) -> DataFrame:
-    """pages with the column ``into``: blocks of the main text in page order, joined by \\n.
+    """The columns of pages but for the page itself, and ``into``: blocks of the main text in page order, joined by \\n.
 
+    Pages are parsed once; their blocks are stored. markup=False leaves everything to the templates.
     Null and empty pages have an empty text; pages whose URL has no host keep what markup
     doesn't tell to be furniture; repeated rows are pages of their own; an empty table gives
-    an empty result; a column of pages named as ``into`` is replaced.
+    an empty result; a column of pages named as ``into`` is replaced; other columns may have any name.
     """
-    rows = pages.drop(into).withColumn("_parsed", parsed(F.col(page))).withColumn("_host", host_of(F.col(url)))
-    found = templates(rows.select(F.col("_host").alias("host"), F.xxhash64("_parsed.texts").alias("body"), F.col("_parsed.subtrees").alias("subtrees")), min_pages, min_share)
-    found = found.select(F.col("host").alias("_of"), "recurring")
-    found.persist()  # a row a host; computed again if an executor is lost
+    other = [c for c in pages.columns if c not in (page, into)]
+    row = F.struct(*[F.col(f"`{c}`") for c in other] or [F.lit(True).alias("none")])
+    rows = staged(pages.select(row.alias("row"), host_of(F.col(url)).alias("host"), parsed(F.col(page)).alias("p")), "blocks")
+    found = staged(templates(rows.select("host", F.xxhash64("p.texts").alias("body"), "p.subtrees"), min_pages, min_share), "templates")
     n = found.agg(F.sum(F.size("recurring"))).first()[0] or 0
-    rows = rows.join(F.broadcast(found) if n <= max_broadcast else found, F.col("_host") == F.col("_of"), "left")
-    blocks = F.arrays_zip(F.col("_parsed.texts").alias("text"), F.col("_parsed.owners").alias("owners"))
-    kept = F.filter(blocks, lambda b: ~F.coalesce(F.arrays_overlap(b["owners"], F.col("recurring")), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return rows.withColumn(into, F.coalesce(text, F.lit(""))).drop("_parsed", "_host", "_of", "recurring")
+    if n <= max_broadcast:
+        rows = rows.join(F.broadcast(found), "host", "left")
+    else:  # a host may have a large share of all pages, so its templates go to several tasks
+        spread = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("p.texts"), F.lit(SALTS)).cast("int")).join(found.withColumn("salt", spread), ["host", "salt"], "left")
+    blocks = F.arrays_zip(F.col("p.texts").alias("text"), F.col("p.owners").alias("owners"), F.col("p.marked").alias("marked"))
+    gone = lambda b: F.coalesce(F.arrays_overlap(b["owners"], F.col("recurring")), F.lit(False)) | (b["marked"] & F.lit(markup))
+    text = F.array_join(F.transform(F.filter(blocks, lambda b: ~gone(b)), lambda b: b["text"]), "\n")
+    return rows.select(*[F.col("row")[c].alias(c) for c in other], F.coalesce(text, F.lit("")).alias(into))

@@ -1,6 +1,8 @@
 import hashlib
+import os
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lociforge.llm.decontam import _blocks, contaminated, contamination_table
-from lociforge.llm.html import main_text, parse
+from lociforge.llm.html import host_of, main_text, parse
 from lociforge.llm.pii import KINDS, PLAIN, masked, pii_table, with_spans
 from lociforge.llm.quality import fit, judged, measure, quality_table
 from lociforge.llm.sentencepiece import Codec, Model, codec, encoded, runs_of
@@ -187,7 +189,7 @@ PAGES = {
 
 @pytest.mark.parametrize("page", list(PAGES))
 def test_blocks(page):
-    assert "\n".join(s for s, _ in parse(page)[0]) == PAGES[page]
+    assert "\n".join(s for s, _, marked in parse(page)[0] if not marked) == PAGES[page]
 
 
 def test_templates_go_by_recurrence(spark):
@@ -211,11 +213,88 @@ def test_templates_count_distinct_pages(spark):
     rows += [(k, "https://b.org/", f"<div><p>Page {k}</p></div>" + "<div>Join our club</div>" * (k % 5 < 2)) for k in range(100, 400)]
     rows += [(k, "https://c.org/", "<div><p>Whole text</p></div>" + f"<p> {k}</p>" * (k < 512)) for k in range(500, 513)]
     got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "The story\nthat mirrors hold" and got[15] == "Page 15\nx"
+    assert got[3] == "The story\nthat mirrors hold" and got[15] == "Page 15"
     assert got[100] == "Page 100" and got[102] == "Page 102"
     assert got[500] == "500" and got[512] == "Whole text"
 
 
+class PlainPage(HTMLParser):
+    """Blocks of the articles of a page, by another parser and without templates."""
+
+    INLINE = {"a", "b", "i", "em", "strong", "span", "br", "img"}
+
+    def __init__(self, page):
+        super().__init__()
+        self.blocks, self.text, self.depth, self.skip = [], "", 0, 0
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if t := " ".join(self.text.split()):
+            self.blocks.append(t)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.INLINE:
+            self.end()
+        self.text += " " * (tag == "br")
+        self.depth += tag == "article"
+        self.skip += tag in ("aside", "nav", "form", "script", "style")
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.end()
+        self.depth -= tag == "article"
+        self.skip -= tag in ("aside", "nav", "form", "script", "style")
+
+    def handle_data(self, data):
+        if self.depth > 0 and self.skip == 0:
+            self.text += data
+
+
+@pytest.fixture(scope="session")
+def given_pages(spark):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    return spark.read.parquet(path)
+
+
+def test_given_pages_against_a_plain_version(given_pages):
+    got = {r["page_id"]: r["text"] for r in main_text(given_pages).collect()}
+    assert got == {r["page_id"]: "\n".join(PlainPage(r["html"] or "").blocks) for r in given_pages.collect()}
+
+
+def test_templates_alone_remove_the_furniture(spark, given_pages):
+    """Without markup and article rules, on hosts with pages enough: the given ones, and one site whose links and adverts vary."""
+    site = []
+    for k in range(40):
+        links = "".join(f"<li><a href='/{x}'>{x} {k}</a></li>" for x in range(k % 4 + 2))
+        site.append((k, f"http://site.org/{k}", f"<body><div class=top><ul>{links}</ul></div><article><p>Words {k}</p><p>More {k} words of it</p></article><div class=b>Buy {k} now</div></body>"))
+        site.append((100 + k, f"http://other.org/{k}", f"<body><div class=top><ul>{links}</ul></div><div class=c><p>Words {k}</p><p>More {k} words of it</p></div></body>"))
+    got = main_text(spark.createDataFrame(site, "page_id long, url string, html string"), markup=False).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {k: f"Words {k % 100}\nMore {k % 100} words of it" for k, _, _ in site}
+    rows = given_pages.withColumn("host", host_of(F.col("url")))
+    rows = rows.join(rows.groupBy("host").count().filter("count >= 5"), "host", "left_semi").drop("host")
+    whole = {r["page_id"]: r["text"].split("\n") for r in main_text(rows).collect()}
+    left = {r["page_id"]: r["text"].split("\n") for r in main_text(rows, markup=False).collect()}
+    furniture = sum(sum(m for _, _, m in parse(r["html"])[0]) for r in rows.collect())
+    stayed = sum(len(left[k]) - len(whole[k]) for k in whole)
+    assert len(whole) > 50 and all(set(whole[k]) <= set(left[k]) for k in whole) and stayed < 0.1 * furniture
+
+
+def test_pages_with_clashing_names_and_deep_ones(spark):
+    rows = [(1, "http://a.org/", "<article><p>x</p></article>", "r", "h", 5, "p"), (None, None, None, None, None, None, None), (1, "http://a.org/", "<article><p>x</p></article>", "r", "h", 5, "p")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, recurring string, host string, text long, row string")
+    got = main_text(df).collect()
+    assert [r["text"] for r in got if r["page_id"]] == ["x", "x"] and {r["recurring"] for r in got} == {"r", None} and {r["row"] for r in got} == {"p", None}
+    deep = "<div>" * 3000 + "<p>end" + "</div>" * 3000
+    long = "<article>" + "<p>word</p>" * 50_000 + "</article>"
+    got = main_text(spark.createDataFrame([(1, "http://a.org", deep), (2, "http://a.org", long)], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: len(r["text"]) for r in got} == {1: 3, 2: 249_999}
+
+
 @pytest.fixture(scope="session")
 def model(tokenizers_dir):
     return tokenizers_dir.path("piece_bpe_32k.model")
