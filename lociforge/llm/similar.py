@@ -1,12 +1,19 @@
 """Texts with a Jaccard similarity of 4/5 or more over their shingles of five words, as an exact set join.
 
 Two sets of at least that similarity share an element among the first n - ceil(4n/5) + 1 of
-each, in any order that holds for all sets. The order used puts shingles last that are common
-in a sample of documents, so few texts share a first one by chance; the sample moves work
-only, never a result. Texts that share a first shingle are compared in two rounds: each with
-the text of the least key there, then those that are still in different components with each
-other. A large group of near copies so costs a comparison or a few a text, not all pairs, and
-no pair is left out.
+each, in any order that holds for all sets. Elements that one text has alone should come first,
+so that texts which only share a passage never meet. How many texts have an element is
+counted in two steps:
+
+- Every text shows the least ``SHOWN`` of its shingles. If enough of them for its first ones
+  are shown by no other text, it has no similar one and is done. Most texts are.
+- Of the rest, the hard ones, all shingles are counted; their first ones are those that the
+  fewest hard texts have, and of these only what several have can lead to another text.
+
+Texts that share a first shingle are compared: each with the text of the least key that it
+shares one with, then with that of each of its shingles, then those that are still in
+different components with each other. A large group of near copies so costs a comparison or a
+few a text, not all pairs, and no pair is left out.
 
 A pair is judged by its sizes, then by parity sketches (a bit for each element of a set or
 more, which says whether an odd number fell on it): two sets differ in as many elements as
@@ -35,8 +42,12 @@ from lociforge.llm.wordcache import slices
 SHINGLE = 5
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-#: Documents of the sample that orders the shingles, and shingles that it may put last.
-SAMPLE, COMMON = 5_000, 200_000
+#: Share of its shingles that a text shows at first, as a fraction.
+SHOWN = (3, 10)
+#: Shingles that a task holds before it ships them; documents of a task that have a shingle, from which on it ships one of them.
+HELD, HOT = 4 << 20, 64
+#: Rows up to which a list of texts is broadcast.
+MAX_BROADCAST = 1_000_000
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -56,32 +67,109 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(symbols, min(shingle, len(words))))
 
 
-def first_ones(own: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Of a set the elements of which a similar set has one among its own; those of ``common`` come last."""
+def n_first(n: np.ndarray | int):
+    """How many first elements of a set of n: a similar set has one of them among its own."""
     num, den = LEAST
-    n = len(own) - -(-num * len(own) // den) + 1 if len(own) else 0
-    if len(common):
-        hashes, ranks = common["shingle"], common["rank"]
-        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-        rank = np.where(hashes[at] == own, ranks[at], 0)
-        own = own[np.lexsort((own, rank))]
-    return own[:n]
+    return n - -(-num * n // den) + (n > 0)
 
 
-def _common(docs: DataFrame, text: str, n_docs: int) -> np.ndarray:
-    """(shingle, rank) of shingles that several texts of a sample have, by shingle; the most common have the greatest rank."""
+def n_shown(n: int, share: tuple[int, int] = SHOWN) -> int:
+    num, den = share
+    return min(n, -(-num * n // den) + 2)
 
-    def own(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            sets = [shingles(w) for w in map(_words, part[text].drop_duplicates())]
-            yield pd.DataFrame({"shingle": np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)})
 
-    every = max(1, n_docs // SAMPLE)
-    some = docs.select("doc_id", text).filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    rows = some.select(text).mapInPandas(own, "shingle long").groupBy("shingle").count().filter("count > 1")
-    rows = rows.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
-    out = np.array([(np.int64(r["shingle"]).view(np.uint64), r["count"]) for r in rows], [("shingle", np.uint64), ("rank", np.int64)])
-    return np.sort(out, order="shingle")
+def _runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal sorted tokens begin, and for each token how long its run is."""
+    at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, np.int64)
+    size = np.diff(np.append(at, len(tokens)))
+    return at, np.repeat(size, size)
+
+
+def _shipped(rows: DataFrame, sets_of, buckets: int, hot: int) -> DataFrame:
+    """Rows (bucket, data) of tokens that several texts may have, and (k, tokens, counts) of what is settled within a task.
+
+    sets_of: gives (k, tokens) of the distinct texts of a batch. A token of ``hot`` or more texts of a task ships for
+    one of them, whose count tells that. hot is 255 at most.
+    """
+    names = ["k", "tokens", "counts", "bucket", "data"]
+
+    def flush(ks: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        size = [len(x) for x in sets]
+        t, k = np.concatenate(sets), np.repeat(np.array(ks, np.int64), size)
+        o = np.lexsort((k, t))
+        t, k = t[o], k[o]
+        at, n = _runs(t)
+        many = n >= hot
+        if many.any():
+            yield from _by_text(t[many], k[many], n[many], names)
+        first = np.zeros(len(t), bool)
+        first[at] = True
+        go = ~many | first
+        t, k, n = t[go], k[go], np.where(many, n, 0)[go]
+        bucket = (t >> np.uint64(20)) % np.uint64(buckets)
+        o = np.argsort(bucket, kind="stable")
+        t, k, n = t[o], k[o], n[o]
+        cuts = np.searchsorted(bucket[o], np.arange(buckets + 1)).tolist()
+        keys = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
+        n = np.minimum(n, hot).astype("u1")
+        data = [t[i:j].astype("<u8").tobytes() + k[i:j].astype("<i8").tobytes() + n[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
+        none = [pa.nulls(len(keys), kind) for kind in (pa.int64(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ks, sets, held = [], [], 0
+        for batch in batches:
+            for k, own in sets_of(batch):
+                ks.append(k)
+                sets.append(own)
+                held += len(own)
+            if held >= HELD:
+                yield from flush(ks, sets)
+                ks, sets, held = [], [], 0
+        if held:
+            yield from flush(ks, sets)
+
+    return rows.mapInArrow(run, "k long, tokens binary, counts binary, bucket long, data binary")
+
+
+def _by_text(t: np.ndarray, k: np.ndarray, n: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    if not len(k):
+        return
+    o = np.argsort(k, kind="stable")
+    t, k, n = t[o].astype("<u8").tobytes(), k[o], np.minimum(n[o], 1 << 30).astype("<i4").tobytes()
+    cuts = [*np.flatnonzero(np.append(True, k[1:] != k[:-1])).tolist(), len(k)]
+    ends = list(zip(cuts, cuts[1:], strict=False))
+    cols = [pa.array(k[cuts[:-1]]), pa.array([t[8 * a : 8 * b] for a, b in ends], pa.binary()), pa.array([n[4 * a : 4 * b] for a, b in ends], pa.binary())]
+    yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(ends), kind) for kind in (pa.int64(), pa.binary())][: len(names) - 3]], names)
+
+
+def _counted(rows: DataFrame, sets_of, hot: int) -> DataFrame:
+    """(k, tokens, counts): for each text tokens that others have too and how many do; a text may have several rows, and a token two counts,
+    of which all are right up to ``hot`` or at least that."""
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for x in batch["data"]:
+                data, m = x.as_buffer(), len(x.as_buffer()) // 17
+                parts.append((np.frombuffer(data, "<u8", m), np.frombuffer(data, "<i8", m, 8 * m), np.frombuffer(data, "u1", m, 16 * m)))
+        if not parts:
+            return
+        t, k, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        n = n.astype(np.int64)
+        o = np.lexsort((n, k, t))
+        t, k, n = t[o], k[o], n[o]
+        last = np.append((t[1:] != t[:-1]) | (k[1:] != k[:-1]), True) if len(t) else np.empty(0, bool)
+        t, k, n = t[last], k[last], n[last]  # a text that several tasks have counts once
+        at, size = _runs(t)
+        total = np.repeat(np.add.reduceat(np.maximum(n, 1), at), size[at]) if len(at) else size
+        several = total > 1
+        yield from _by_text(t[several], k[several], total[several], ["k", "tokens", "counts"])
+
+    dealt = _shipped(rows, sets_of, buckets, hot)  # run twice: stored, the tokens would be as large as the texts
+    among = dealt.filter("bucket is not null").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(meet, "k long, tokens binary, counts binary")
+    return dealt.filter("bucket is null").select("k", "tokens", "counts").unionByName(among)
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -99,40 +187,88 @@ def may_be_similar(a: bytes, b: bytes, n: int) -> bool:
     return (num + den) * apart <= (den - num) * n
 
 
-_OWN = "doc_id long, h long, k long, fp long, n long, sketch binary, tokens array<long>"
+_OWN = "doc_id long, h long, k long, fp long, n long, sketch binary"
 
 
-def _slim(docs: DataFrame, text: str, common: np.ndarray) -> DataFrame:
-    """A row _OWN for each of docs, without its text; sketch and tokens are null where the task has met the text before.
-
-    h is a hash of the text as it is, k one of its words.
-    """
-    spread = docs.sparkSession.sparkContext.broadcast(common)
+def _slim(docs: DataFrame, text: str) -> DataFrame:
+    """A row _OWN for each of docs, without its text. h is a hash of the text as it is, k one of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, text):
                 rows = []
                 for x in part[text].to_pylist():
                     words = _words(x)
-                    k = key_of(words)
                     own = shingles(words)
-                    known = k in seen
-                    seen.add(k)
-                    rows.append((k, fingerprint(x, SHINGLE), len(own), None if known else sketch(own), None if known else first_ones(own, spread.value).view(np.int64)))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], *cols], ["doc_id", "h", "k", "fp", "n", "sketch", "tokens"])
+                    rows.append((key_of(words), fingerprint(x, SHINGLE), len(own), sketch(own)))
+                cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], *cols], ["doc_id", "h", "k", "fp", "n", "sketch"])
 
     return docs.select("doc_id", F.xxhash64(text).alias("h"), text).mapInArrow(run, _OWN)
 
 
-def _shared(own: DataFrame) -> DataFrame:
-    """(token, k, n, centre) of the first shingles that several texts have; centre is the least k there."""
-    rows = own.select("k", "n", F.explode("tokens").alias("token"))
+def _hard(docs: DataFrame, text: str, own: DataFrame) -> DataFrame:
+    """(k, h) of the texts whose first shingles other texts may have, h being one text's with these words."""
+
+    share = SHOWN
+
+    def shown(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for x in batch[text].to_pylist():
+            words = _words(x)
+            if words:
+                all_ = shingles(words)
+                yield key_of(words), all_[: n_shown(len(all_), share)]
+
+    found = _counted(docs.select(text), shown, HOT).select("k", (F.length("tokens") / 8).cast("long").alias("c"))
+    seen = found.groupBy("k").agg(F.sum("c").alias("c"))
+    num, den = LEAST
+    first = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den) + 1
+    show = F.least("n", F.ceil(F.lit(share[0]) * F.col("n") / share[1]) + 2)
+    texts = own.filter("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.min("h").alias("h"))
+    return staged(texts.join(seen, "k").filter(show - F.col("c") < first).select("k", "h"), "hard")
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows are few enough; else a join shuffles it."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+
+
+def _hard_sets(docs: DataFrame, text: str, hard: DataFrame) -> DataFrame:
+    """(k, own) of the hard texts: all shingles, sorted."""
+    texts = docs.select(text, F.xxhash64(text).alias("h")).join(few(hard), "h").dropDuplicates(["k"])
+    return staged(texts.select("k", _sets(F.col(text)).alias("own")), "sets")
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(token, k, n, centre) of the first shingles of hard texts that several of them have; centre is the least k there."""
+
+    hot = HOT
+
+    def whole(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for k, x in zip(batch["k"].to_pylist(), batch["own"], strict=True):
+            yield k, np.frombuffer(x.as_buffer(), np.uint64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, keys, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for k, x, counted in zip(batch["k"].to_pylist(), batch["own"], batch["counted"], strict=True):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                count = np.ones(len(own), np.int64)
+                for part in counted:
+                    at = np.searchsorted(own, np.frombuffer(part["tokens"].as_buffer(), "<u8"))
+                    np.maximum.at(count, at, np.frombuffer(part["counts"].as_buffer(), "<i4"))
+                o = np.lexsort((own, np.minimum(count, hot)))[: n_first(len(own))]  # counts are the same for all texts up to hot
+                o = o[count[o] > 1]
+                tokens.append(own[o])
+                keys.append(np.full(len(o), k, np.int64))
+                sizes.append(np.full(len(o), len(own), np.int64))
+            cols = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))]
+            yield pa.RecordBatch.from_arrays(cols, ["token", "k", "n"])
+
+    counted = _counted(sets, whole, hot).groupBy("k").agg(F.collect_list(F.struct("tokens", "counts")).alias("counted"))
+    rows = staged(sets.join(counted, "k").mapInArrow(first, "token long, k long, n long"), "first")
     centres = rows.groupBy("token").agg(F.min("k").alias("centre"), F.max("k").alias("most")).filter("centre < most").drop("most")
-    return staged(rows.join(centres, "token").select("token", "k", "n", "centre").distinct(), "shared")
+    return staged(rows.join(centres, "token").select("token", "k", "n", "centre"), "shared")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -164,32 +300,37 @@ def _fits(a: str, b: str) -> Column:
     return den * F.least(a, b) >= num * F.greatest(a, b)
 
 
-def _verified(docs: DataFrame, text: str, own: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of keys those of similar texts."""
-    slim = own.filter("sketch is not null").dropDuplicates(["k"]).select("k", "n", "sketch")
+def _verified(sets: DataFrame, slim: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of keys those of similar texts. slim: (k, n, sketch), sets: (k, own)."""
     a, b = (slim.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").filter(_fits("n_a", "n_b")).filter(_near("sketch_a", "sketch_b", F.col("n_a") + F.col("n_b")))
     near = staged(near.select("a", "b"), "near")
-    needed = near.select(F.col("a").alias("k")).union(near.select("b")).distinct()
-    needed = staged(own.join(needed, "k", "left_semi").groupBy("k").agg(F.min("h").alias("h")), "needed")
-    texts = docs.select(text, F.xxhash64(text).alias("h")).join(needed, "h").dropDuplicates(["k"])
-    sets = staged(texts.select("k", _sets(F.col(text)).alias("own")), "sets")
     a, b = (sets.select(F.col("k").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
     return staged(near.join(a, "a").join(b, "b").filter(_similar("own_a", "own_b")).select("a", "b"), "links")
 
 
 def similar_links(docs: DataFrame, text: str, own: DataFrame) -> DataFrame:
     """Links (a, b), b < a, of keys of texts: their closure joins all that are similar. own: _slim of docs."""
-    shared = _shared(own)
-    first = shared.filter("k > centre").select(F.col("k").alias("a"), F.col("centre").alias("b")).distinct()
-    links = _verified(docs, text, own, first)
-    parts = contracted(links).withColumnsRenamed({"a": "k", "b": "part"})
-    left = shared.join(parts, "k", "left").select("token", "k", "n", "centre", F.coalesce("part", "k").alias("part"))
-    several = left.groupBy("token").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b").select("token")
-    left = staged(left.join(several, "token", "left_semi").filter("k > centre"), "left")
+    hard = _hard(docs, text, own)
+    sets = _hard_sets(docs, text, hard)
+    slim = staged(own.join(few(hard.select("k")), "k", "left_semi").dropDuplicates(["k"]).select("k", "n", "sketch"), "sketches")
+    shared = _shared(sets)
+
+    def parted(links: DataFrame) -> DataFrame:
+        parts = contracted(links).withColumnsRenamed({"a": "k", "b": "part"})
+        rows = shared.join(parts, "k", "left").select("token", "k", "n", "centre", F.coalesce("part", "k").alias("part"))
+        several = rows.groupBy("token").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.min_by("part", "k").alias("_of_centre")).filter("_a < _b")
+        return staged(rows.join(several.select("token", "_of_centre"), "token").filter("k > centre"), "left")
+
+    one = shared.groupBy("k").agg(F.min("centre").alias("b")).filter("k > b").select(F.col("k").alias("a"), "b")
+    links = _verified(sets, slim, one)
+    left = parted(links)
+    each = left.filter("part != _of_centre").select(F.col("k").alias("a"), F.col("centre").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
+    links = staged(links.union(_verified(sets, slim, each)), "links")
+    left = parted(links)
     other = left.select("token", F.col("k").alias("b"), F.col("n").alias("_n"), F.col("part").alias("_part"))
     both = left.join(other, "token").filter("k > b and part != _part").filter(_fits("n", "_n")).select(F.col("k").alias("a"), "b").distinct()
-    return links.union(_verified(docs, text, own, both))
+    return links.union(_verified(sets, slim, both))
 
 
 def one_of_similar(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -200,7 +341,7 @@ def one_of_similar(docs: DataFrame, text: str = "text", radius: int = RADIUS) ->
     white space don't count. Null and empty texts are alike; a component without ids keeps
     one row, as do repeated rows; an empty table gives an empty result.
     """
-    own = staged(_slim(docs, text, _common(docs, text, docs.count())), "similar")
+    own = staged(_slim(docs, text), "similar")
     prints = staged(own.groupBy("fp").agg(F.min("k").alias("least")), "fps")
     same = own.select("fp", "k").distinct().join(prints, "fp").filter("k > least").select(F.col("k").alias("a"), F.col("least").alias("b"))
     trees = linked(prints.select("fp"), radius)
@@ -214,7 +355,7 @@ def one_of_similar(docs: DataFrame, text: str = "text", radius: int = RADIUS) ->
     firsts = rows.groupBy("root").agg(F.min(least).alias("first"))
     gone = rows.join(firsts, "root").filter(least != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     gone = staged(gone, "gone")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left_anti")
+    kept = docs.join(few(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left_anti")
     if not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():  # rows that are alike in doc_id and text
         kept = kept.withColumn("_h", F.xxhash64(text)).dropDuplicates(["doc_id", "_h"])
     return kept.select(*docs.columns)

@@ -76,8 +76,24 @@ def test_sketches_tell_most_pairs_apart():
     assert not any(may_be_similar(sketch(a), sketch(b), 600) for a in sets for b in sets if a is not b and (a != b).any())
 
 
-def test_the_sample_moves_no_result(spark, copies, monkeypatch):
-    monkeypatch.setattr(similar, "COMMON", 1)
+@pytest.mark.parametrize("hot", [2, 3, 64])
+def test_counts_of_tokens(spark, hot):
+    """What is settled within a task and what meets by token give the counts of a plain look."""
+    rng = np.random.default_rng(3)
+    sets = {k: np.unique(rng.integers(0, 40, 12).astype(np.uint64) << np.uint64(50)) for k in range(30)}
+    rows = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in sets.items()], "k long, own binary").repartition(3)
+    got = {}
+    for r in similar._counted(rows, lambda b: ((k, np.frombuffer(x.as_buffer(), np.uint64)) for k, x in zip(b["k"].to_pylist(), b["own"])), hot).collect():
+        for t, n in zip(np.frombuffer(r["tokens"], "<u8").tolist(), np.frombuffer(r["counts"], "<i4").tolist()):
+            got[r["k"], t] = max(n, got.get((r["k"], t), 0))
+    plain = {t: sum(t in x for x in sets.values()) for t in {int(t) for x in sets.values() for t in x}}
+    assert got.keys() == {(k, int(t)) for k, x in sets.items() for t in x if plain[int(t)] > 1}
+    assert all(min(n, hot) == min(plain[t], hot) for (_, t), n in got.items())
+
+
+@pytest.mark.parametrize("name,value", [("SHOWN", (1, 4)), ("SHOWN", (1, 1)), ("HOT", 2), ("HELD", 1), ("MAX_BROADCAST", 0)])
+def test_bounds_move_no_result(spark, copies, monkeypatch, name, value):
+    monkeypatch.setattr(similar, name, value)
     assert _kept(spark, copies) == plain_kept(copies)
 
 
