@@ -47,6 +47,8 @@ def write_stream(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
         for batch in batches:
             for part in slices(batch, text):
                 ids, n = encoder(plain(part[text]))
+                if len(ids) and int(ids.max()) >= 1 << 16:
+                    raise ValueError("ids of two bytes cannot hold this vocabulary")
                 data = ids.astype("<u2").tobytes()
                 upto = np.concatenate([[0], 2 * np.cumsum(n)]).tolist()
                 own = pa.array([data[a:b] for a, b in zip(upto, upto[1:], strict=False)], pa.binary())
@@ -83,7 +85,9 @@ def token_counts(files: DataFrame, end_id: int, width: int = 2, block: int = BLO
     """(stream, ordinal, start, n_tokens, ended) of each document of files (stream, path, content).
 
     start counts the stream's ids before it, ends included; n_tokens is without its end. Ids
-    after the last end are a document with ended false. A stream without ids has no documents.
+    after the last end are a document with ended false. A stream without ids has no documents,
+    two ends in a row have an empty one between them; files of one path count once for each row;
+    other columns of files are left out; no files give no rows.
     """
     blocks = ends_by_block(files, end_id, width, block)
     w = Window.partitionBy("stream").orderBy("path", "block")
@@ -113,9 +117,11 @@ def document_counts(docs: DataFrame, path: str, tokenizer: str, end_id: int) ->
 
     docs are read twice, for the texts and for the ids. With a file_key, (file_key, place) name a
     document and the streams may differ between the two; without, they must be the same. A
-    document that isn't found fails the run.
+    document that isn't found fails the run. Null and empty texts have no tokens; doc_id may be null or
+    repeated, and each row has a row; other columns are left out; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", *[c for c in ("file_key", "stream", "place") if c in docs.columns])
     runs = "file_key" in docs.columns
     write_stream(docs, path, tokenizer, end_id)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
@@ -137,6 +143,12 @@ def document_counts(docs: DataFrame, path: str, tokenizer: str, end_id: int) ->
 
 
 def with_streams(docs: DataFrame) -> DataFrame:
-    """docs of a Parquet table with file_key and place, which name a row of a file, and stream, a part of it that a task reads."""
-    meta = F.col("_metadata")
-    return docs.select("*", F.xxhash64(meta["file_path"]).alias("file_key"), F.xxhash64(meta["file_path"], meta["file_block_start"]).alias("stream"), meta["row_index"].alias("place"))
+    """doc_id and text of a Parquet table with file_key and place, which name a row of a file, and stream, a part of it that a task reads.
+
+    Other columns of docs are left out, so their names may be any.
+    """
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(
+        "doc_id", "text", F.xxhash64(meta["file_path"]).alias("file_key"),
+        F.xxhash64(meta["file_path"], meta["file_block_start"]).alias("stream"), meta["row_index"].alias("place"),
+    )

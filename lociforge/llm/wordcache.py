@@ -104,6 +104,8 @@ def _lower_words(texts: pa.Array) -> pa.Array:
     return pc.ascii_split_whitespace(texts)
 
 
+#: Texts on which the ids of pieces must be those of the whole, for a tokenizer that is to be used by pieces.
+_PROBES = ["The Quick, brown.Fox (jumped) it's 3.5% A1 b#c", "ÉTÉ\u0301 ﬁn  x\ty\n\nz!!", "don't 'S 12,345 a.b.c $5 é(ß)", " lead and trail "]
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
@@ -143,5 +145,9 @@ def word_encoder(path: str, special: bool = True) -> PieceEncoder:
             found = iter(found)
             return [next(rest if _BETWEEN in w else found) for w in words]
 
-        _encoders[path, special] = PieceEncoder(_lower_words, encode)
+        own = PieceEncoder(_lower_words, encode)
+        ids, n = own(pa.array(_PROBES))
+        if [x.ids for x in tokenizer.encode_batch_fast(_PROBES, add_special_tokens=False)] != [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]:
+            raise ValueError(f"{path} does not lower-case texts and cut them at white space and marks")
+        _encoders[path, special] = own
     return _encoders[path, special]

@@ -125,3 +125,17 @@ def test_counts_do_not_depend_on_how_the_input_is_split(spark, texts, tokenizer,
     finally:
         for key in conf:
             spark.conf.unset(key)
+
+
+def test_counts_of_awkward_documents_and_clashing_names(spark, tokenizer, tokenizers_dir, tmp_path):
+    texts = [None, "", "a b", "a b", "word " * 30_000]
+    pd.DataFrame({"doc_id": pd.array([None, 2, 3, 3, 4], "Int64"), "text": texts, "stream": 1, "place": 2, "file_key": 3, "n_tokens": 4, "start": 5}).to_parquet(tmp_path / "documents.parquet")
+    docs = with_streams(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    got = document_counts(docs, new_folder(spark, "stream"), tokenizers_dir.path(NAME), 49_407).collect()
+    expected = [(d, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t in zip([None, 2, 3, 3, 4], texts)]
+    assert sorted(((r["doc_id"] or 0, r["n_tokens"]) for r in got)) == sorted((d or 0, n) for d, n in expected)
+
+
+def test_other_tokenizers_are_refused(tokenizers_dir):
+    with pytest.raises(ValueError):
+        word_encoder(tokenizers_dir.path("byte_bpe_50k.json"))
