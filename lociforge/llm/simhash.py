@@ -1,7 +1,7 @@
 """SimHash near-duplicates, found with vantage-point trees.
 
 Distinct fingerprints are dealt to shards by a vantage-point tree whose points come from a
-bounded sample: at each node the fingerprints at distance mu + radius or less from the
+sample, some for each shard: at each node the fingerprints at distance mu + radius or less from the
 vantage point go inside, those farther than mu go outside. By the triangle inequality two
 fingerprints within the radius are together on at least one side, so those near the boundary
 go to both shards, and every pair meets somewhere. Within a shard the same splitting goes on
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from lociforge.llm.shared import staged
 
 RADIUS, SHINGLE = 2, 3
-#: Fingerprints of the sample from which the top of the tree is built; a bound of memory only.
-SAMPLE = 100_000
+#: Fingerprints of a sample for each shard, from which the top of the tree is built, and of all of it at most.
+A_SHARD, SAMPLE = 64, 1_000_000
 SHARD, BLOCK = 16_000, 256
 _SEED = 42
 _CHUNK = 1 << 16
@@ -145,8 +145,10 @@ def linked(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFram
     """Links (a, b), b < a, of distinct fingerprints ``fp``: their closure joins all within radius."""
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard))))
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE) if n > SAMPLE else fps
-    points = np.array([r["fp"] for r in sample.collect()], np.int64).view(np.uint64) if depth else np.empty(0, np.uint64)
+    points = np.empty(0, np.uint64)
+    if depth:
+        sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, A_SHARD << depth))
+        points = sample.select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
     depth = min(depth, max(0, int(np.log2(max(len(points), 1) / 16))))
     nodes = grow(np.sort(points), depth)
 
