@@ -8,7 +8,8 @@ the rest of the window on both sides (positional and length bounds), and is then
 word by word.
 
 The windows are broadcast in blocks of at most ``MAX_WORDS`` benchmark words: a larger
-benchmark takes more passes over the documents, not more memory.
+benchmark takes more passes over the documents, not more memory. Then documents are stored
+once with a number for each row, and a pass writes the numbers and matches of rows that match.
 """
 
 from __future__ import annotations
@@ -132,14 +133,20 @@ def _finder(shared):
     return find
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, max_words: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about max_words words, each small enough to broadcast and collected when it is needed."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).dropna()
-    size = rows.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    n = int(size // max_words) + 1
+def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    return benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).dropna()
+
+
+def _n_blocks(benchmark: DataFrame, item: str, text: str, max_words: int) -> int:
+    size = _items(benchmark, item, text).agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
+    return int(size // max_words) + 1
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, n: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in n blocks, each small enough to broadcast and collected when it is needed."""
     block = F.pmod(F.xxhash64("item"), F.lit(n))
     for k in range(n):
-        yield [tuple(r) for r in rows.filter(block == k).collect()]
+        yield [tuple(r) for r in _items(benchmark, item, text).filter(block == k).collect()]
 
 
 def contaminated(
@@ -153,23 +160,38 @@ def contaminated(
     nothing; a column of docs named hits is replaced.
     """
     spark = docs.sparkSession
-    names = []
-    docs = docs.drop("hits")
-    found = None
-    for k, items in enumerate(_blocks(benchmark, item, item_text, max_words)):
-        if found:
-            docs = staged(docs, "decontam")
-            found.unpersist()
+    other = [c for c in docs.columns if c not in (text, "hits")]
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in other] or [F.lit(True).alias("none")]).alias("row"))
+
+    def found_in(source: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
         windows = Windows(items, size)
         shared = spark.sparkContext.broadcast(windows)
-        keyed = windows.keyed(_counts(docs, text, shared) if windows.owners else {})
+        keyed = windows.keyed(_counts(source, "text", shared) if windows.owners else {})
         shared.unpersist()
-        found = spark.sparkContext.broadcast((windows, keyed))
-        names.append(f"_hits{k}")
-        docs = docs.withColumn(names[-1], _finder(found)(F.col(text)))
-    join = lambda f: F.flatten(F.array(*[F.col(f"{x}.{f}") for x in names]))
-    hits = F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), join("starts").alias("starts"), join("ends").alias("ends"), F.array_distinct(join("items")).alias("items"))
-    return docs.withColumn("hits", hits).drop(*names)
+        return source.withColumn("hits", _finder(spark.sparkContext.broadcast((windows, keyed)))(F.col("text")))
+
+    n = _n_blocks(benchmark, item, item_text, max_words)
+    blocks = _blocks(benchmark, item, item_text, n)
+    if n == 1:
+        rows = found_in(rows, next(blocks))
+    else:
+        rows = staged(rows.withColumn("id", F.monotonically_increasing_id()), "decontam")
+        found = None
+        for items in blocks:
+            own = found_in(rows.select("id", "text"), items).select("id", "hits").filter(F.size("hits.starts") > 0)
+            own = staged(own, "hits")
+            found = own if found is None else found.union(own)
+        all_ = lambda f: F.flatten(F.collect_list(f"hits.{f}"))
+        found = found.groupBy("id").agg(all_("starts").alias("starts"), all_("ends").alias("ends"), F.array_distinct(all_("items")).alias("items"))
+        none = F.array().cast("array<int>")
+        hits = F.struct(_n_words(F.col("text")).alias("n_words"), F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        rows = rows.join(found, "id", "left").select("text", "row", hits.alias("hits"))
+    return rows.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != "hits"], "hits")
+
+
+@F.pandas_udf(T.LongType())
+def _n_words(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(words_of(x)) for x in texts], dtype="int64")
 
 
 @F.pandas_udf(T.LongType())

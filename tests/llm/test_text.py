@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lociforge.llm.decontam import _blocks, contaminated, contamination_table
+from lociforge.llm import quality
+from lociforge.llm.decontam import _blocks, _n_blocks, contaminated, contamination_table
 from lociforge.llm.html import host_of, main_text, parse
 from lociforge.llm.pii import KINDS, PLAIN, masked, pii_table, with_spans
 from lociforge.llm.quality import fit, judged, measure, quality_table
@@ -56,6 +57,42 @@ def test_judgement_keeps_clean_documents(spark, words):
     assert got[71]["base_failed"] and got[72]["base_failed"]
 
 
+def test_the_estimate_is_that_of_a_plain_expectation_maximisation():
+    """Document by document and rule by rule, with the priors as so many more votes."""
+    rng = np.random.default_rng(5)
+    good = rng.random(300) < 0.85
+    votes = np.where(rng.random((300, 4)) < 0.3, -1, np.where(rng.random((300, 4)) < np.where(good, 0.97, 0.3)[:, None], 1, 0))
+    patterns = {}
+    for v in map(tuple, votes.tolist()):
+        patterns[v] = patterns.get(v, 0) + 1
+    prior, right = fit(sorted(patterns.items()))
+    p = [0.1 if 0 in v else 0.95 for v in votes.tolist()]
+    for _ in range(500):
+        acc = []
+        for rule in range(4):
+            both = []
+            for kind, (worth, mean) in ((0, quality.BAD), (1, quality.GOOD)):
+                weight = [x if kind else 1 - x for x in p]
+                cast = sum(w for w, v in zip(weight, votes) if v[rule] >= 0)
+                hit = sum(w for w, v in zip(weight, votes) if v[rule] == kind)
+                both.append((hit + worth * 300 * mean) / (cast + worth * 300))
+            acc.append(both)
+        share = (sum(p) / 300 + quality.SHARE[0] * quality.SHARE[1]) / (1 + quality.SHARE[0])
+        new = []
+        for v in votes.tolist():
+            yes, no = share, 1 - share
+            for rule, (bad, ok) in enumerate(acc):
+                if v[rule] >= 0:
+                    yes *= ok if v[rule] else 1 - ok
+                    no *= 1 - bad if v[rule] else bad
+            new.append(yes / (yes + no))
+        done = max(abs(a - b) for a, b in zip(p, new)) < 1e-9
+        p = new
+        if done:
+            break
+    assert prior == pytest.approx(share, abs=1e-6) and right == pytest.approx(np.array(acc).T, abs=1e-6)
+
+
 def test_the_posterior_outvotes_a_rule_that_opposes_clean_documents(spark, words):
     rng = np.random.default_rng(1)
     loud = lambda w: [x.upper() if rng.random() < 0.7 else x for x in w]
@@ -166,12 +203,16 @@ def test_contamination_against_brute_force(spark, texts, max_words):
 
 def test_contamination_of_awkward_and_no_documents(spark, awkward, empty):
     items, none = spark.createDataFrame(ITEMS, "item_id long, text string"), spark.createDataFrame([], "item_id long, text string")
-    assert contaminated(awkward, items).count() == 7 and contaminated(empty, items).count() == 0
+    for most in (1_000_000, 8):
+        rows = contaminated(awkward.withColumn("_hits0", F.lit(5)), items, max_words=most)
+        assert rows.count() == 7 and {r["_hits0"] for r in rows.collect()} == {5} and rows.columns == [*[c for c in awkward.columns if c != "hits"], "_hits0", "hits"]
+        assert contaminated(empty, items, max_words=most).count() == 0
     assert contaminated(awkward, none).filter(F.size("hits.starts") > 0).count() == 0
 
 
 def test_blocks_are_collected_one_at_a_time(spark):
-    blocks = _blocks(spark.createDataFrame(ITEMS, "item_id long, text string"), "item_id", "text", 8)
+    rows = spark.createDataFrame(ITEMS, "item_id long, text string")
+    blocks = _blocks(rows, "item_id", "text", _n_blocks(rows, "item_id", "text", 8))
     assert iter(blocks) is blocks
     items = [x for b in blocks for x in b]
     assert sorted(items) == sorted((str(i), t) for i, t in ITEMS if i is not None and t is not None)
