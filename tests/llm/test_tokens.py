@@ -60,7 +60,7 @@ def test_a_cut_segment_is_refused():
 
 def test_files_hold_all_ids_in_order(spark, docs, texts, tokenizer, tokenizers_dir):
     path = new_folder(spark, "planes")
-    write_planes(docs.repartition(3), path, tokenizers_dir.path(NAME), 1, chunk=64, segment_ids=500)
+    write_planes(docs.repartition(3), path, tokenizers_dir.path(NAME), 1, chunk=64, segment_ids=500, file_segments=2)
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in read_documents(spark, path).collect()}
     start, expected = 0, {}
     for k, t in enumerate(texts):
