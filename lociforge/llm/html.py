@@ -224,7 +224,7 @@ def _beside_text(parents: list[int], sizes: list[int | None], core: set[int]) ->
 
 _PARSED = T.StructType([
     T.StructField("texts", T.ArrayType(T.StringType())),
-    T.StructField("owners", T.ArrayType(T.ArrayType(T.LongType()))),
+    T.StructField("owners", T.ArrayType(T.ArrayType(T.IntegerType()))),
     T.StructField("marked", T.ArrayType(T.BooleanType())),
     T.StructField("subtrees", T.ArrayType(T.LongType())),
 ])
@@ -232,14 +232,15 @@ _PARSED = T.StructType([
 
 @F.pandas_udf(_PARSED)
 def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Blocks of each page, the subtrees around each but not around all of its text, and all subtrees."""
+    """Blocks of each page, the subtrees around each (by place) but not around all of its text, and all subtrees."""
     for part in pages:
         rows = [parse(x) for x in part]
         own = [[set(h) for _, h, marked in blocks if not marked] or [set(h) for _, h, _ in blocks] for blocks, _ in rows]
         whole = [set.intersection(*x) if x else set() for x in own]
+        places = [{h: i for i, h in enumerate(trees)} for _, trees in rows]
         yield pd.DataFrame({
             "texts": [[s for s, _, _ in blocks] for blocks, _ in rows],
-            "owners": [[[x for x in h if x not in every] for _, h, _ in blocks] for (blocks, _), every in zip(rows, whole, strict=True)],
+            "owners": [[[at[x] for x in h if x not in every] for _, h, _ in blocks] for (blocks, _), every, at in zip(rows, whole, places, strict=True)],
             "marked": [[m for _, _, m in blocks] for blocks, _ in rows],
             "subtrees": [trees for _, trees in rows],
         })
@@ -286,7 +287,8 @@ def main_text(
         spread = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("p.texts"), F.lit(SALTS)).cast("int")).join(found.withColumn("salt", spread), ["host", "salt"], "left")
     blocks = F.arrays_zip(F.col("p.texts").alias("text"), F.col("p.owners").alias("owners"), F.col("p.marked").alias("marked"))
-    gone = lambda b: F.coalesce(F.arrays_overlap(b["owners"], F.col("recurring")), F.lit(False)) | (b["marked"] & F.lit(markup))
+    rows = rows.withColumn("hit", F.filter(F.sequence(F.lit(0), F.size("p.subtrees")), lambda i: F.coalesce(F.array_contains("recurring", F.get("p.subtrees", i)), F.lit(False))))
+    gone = lambda b: F.arrays_overlap(b["owners"], F.col("hit")) | (b["marked"] & F.lit(markup))
     text = F.array_join(F.transform(F.filter(blocks, lambda b: ~gone(b)), lambda b: b["text"]), "\n")
     rows = rows.select("row", F.coalesce(text, F.lit("")).alias("text"))  # apart, so that no name of the user's is in sight
     return rows.select(*[F.col("row")[c].alias(c) for c in other], F.col("text").alias(into))
