@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lociforge.functions import genotypes as g
 from lociforge.jobs import views as v
-from lociforge.jobs.queries import _AB, _COUNTS, _INFO, _RANKED, _SEQS, _SEX, _SITES, _TARGET, _VAR, _balanced, _sex_loci, _sexes, _with_indels
+from lociforge.jobs.queries import _AB, _COUNTS, _SEQS, _SEX, _SITES, _TARGET, _VAR, _balanced, _sex_loci, _sexes, _with_indels
 from lociforge.jobs.registry import query, rounded, sample_count
 from lociforge.operators import cohort, counts, hits, intervals, qc_tables, sequences, sex, sites
 from lociforge.sources import readers
@@ -173,8 +174,6 @@ def probe_lengths(spark, d):
 def samples_by_missingness(spark, d):
     """Samples, the most incomplete first (K5)."""
     rows = sequences.samples_by_missingness(sequences.missingness_per_sample(_seqs(spark, d)))
-    from pyspark.sql import Window
-
     return rounded(rows.select("sample", "mean_pct_n", F.row_number().over(Window.orderBy(F.desc("mean_pct_n"), "sample")).alias("place")))
 
 
