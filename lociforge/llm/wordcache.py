@@ -8,6 +8,7 @@ only new ones go to the tokenizer. The store is emptied when it holds ``limit``
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -151,3 +152,71 @@ def word_encoder(path: str, special: bool = True) -> PieceEncoder:
             raise ValueError(f"{path} does not lower-case texts and cut them at white space and marks")
         _encoders[path, special] = own
     return _encoders[path, special]
+
+
+#: White space of the byte-level pattern, for a class of RE2; marks of pieces, which texts must not hold.
+_WHITE = r"\s\x0b\x{85}\p{Z}"
+_LITERAL, _CUT = "\x01", "\x02"
+#: A space with white space (or the end) on both sides: the pattern may join it with what is before it.
+_JOINED = rf"[{_WHITE}] (?:[{_WHITE}]|\z)"
+_BEFORE_WHITE = rf"([^{_WHITE}])([{_WHITE}])"
+#: Texts that go to the tokenizer whole go in runs of so many characters, cut before a space between ASCII marks, letters or digits.
+RUN = 1 << 16
+_RUN_END = re.compile(r"(?<=[!-~]) (?=[!-~])")
+
+
+def _runs(text: str) -> list[str]:
+    cuts = [0]
+    while len(text) - cuts[-1] > RUN and (m := _RUN_END.search(text, cuts[-1] + RUN)):
+        cuts.append(m.start())
+    return [_LITERAL + text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True) if b > a]
+
+
+def _byte_pieces(specials: list[str]) -> Callable[[pa.Array], pa.Array]:
+    """Pieces of texts for the byte-level pattern; one that begins with _LITERAL stands for what follows it, others for a space and themselves.
+
+    A cut before the first white space of a run is always a border of the pattern. Most texts
+    are cut at every space, which is the same unless a space has white space on both sides.
+    """
+
+    def split(texts: pa.Array) -> pa.Array:
+        n = len(texts)
+        whole = np.zeros(n, bool)
+        for x in (_LITERAL, _CUT, *specials):
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        joined = ~whole & pc.match_substring_regex(texts, _JOINED).to_numpy(zero_copy_only=False)
+        marked = lambda x: pc.binary_join_element_wise(pa.scalar(_LITERAL), x, "")
+        if not (whole | joined).any():
+            return pc.split_pattern(marked(texts), " ")
+        rows = [np.flatnonzero(x) for x in (~whole & ~joined, joined, whole)]
+        plain, cut, rest = (texts.take(pa.array(x)) for x in rows)
+        cut = pc.replace_substring_regex(marked(cut), _BEFORE_WHITE, rf"\1{_CUT}{_LITERAL}\2")
+        own = pa.array([_runs(x) for x in rest.to_pylist()], pa.list_(pa.string()))
+        lists = pa.concat_arrays([pc.split_pattern(marked(plain), " "), pc.split_pattern(cut, _CUT), own])
+        return lists.take(pa.array(np.argsort(np.concatenate(rows), kind="stable")))
+
+    return split
+
+
+_BYTE_PROBES = [" a", "a  b", "a   b \n\n c", "it's 12 x\u00a0 y  ", "", " ", "\t\tif x:\n        y = 'z'\n", "é\u2028 ß   ", "don't<|endoftext|> stop", "\x01 a\x02b"]
+
+
+def byte_encoder(path: str) -> PieceEncoder:
+    """For a byte-level BPE file with the usual pattern (words with the space before them); one for each worker."""
+    if (path, "bytes") not in _encoders:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores
+        tokenizer = Tokenizer.from_file(path)
+        specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+        def encode(pieces: list[str]) -> list[list[int]]:
+            texts = [p[1:] if p.startswith(_LITERAL) else f" {p}" for p in pieces]
+            return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        own = PieceEncoder(_byte_pieces(specials), encode)
+        ids, n = own(pa.array(_BYTE_PROBES))
+        if [x.ids for x in tokenizer.encode_batch_fast(_BYTE_PROBES, add_special_tokens=False)] != [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]:
+            raise ValueError(f"{path} does not cut texts before white space")
+        _encoders[path, "bytes"] = own
+    return _encoders[path, "bytes"]
