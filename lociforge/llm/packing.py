@@ -29,6 +29,8 @@ LENGTH = 2048
 LINEAR, QUADRATIC = 6 * 1024, 1
 #: Tokens of a block, which a task holds at once; a longer document is a block.
 BLOCK_TOKENS = 4 << 20
+#: Bytes of text that are cut into words at once.
+SLICE = 8 << 20
 #: Numbers of sequences that a task may use.
 TASK_SEQUENCES = 1 << 40
 
@@ -119,7 +121,7 @@ def packed(
             return pa.RecordBatch.from_arrays(cols, schema.names)
 
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 own, n = encoder(plain(part[text]))
                 if end_id is not None:
                     own = np.insert(own, np.cumsum(n), end_id)

@@ -78,10 +78,10 @@ class PieceEncoder:
         return ids, np.diff(upto[offsets])
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """batch in runs of rows with about SLICE_BYTES of text each."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows with about so many bytes of text each."""
     sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
-    run = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    run = np.cumsum(sizes, dtype=np.int64) // size
     cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
@@ -162,6 +162,8 @@ _JOINED = rf"[{_WHITE}] (?:[{_WHITE}]|\z)"
 _BEFORE_WHITE = rf"([^{_WHITE}])([{_WHITE}])"
 #: Texts that go to the tokenizer whole go in runs of so many characters, cut before a space between ASCII marks, letters or digits.
 RUN = 1 << 16
+#: New words that go to the tokenizer as one text; its time grows faster than the text.
+LINES = 100
 _RUN_END = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
 
@@ -210,11 +212,32 @@ def byte_encoder(path: str) -> PieceEncoder:
         tokenizer = Tokenizer.from_file(path)
         specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-        def encode(pieces: list[str]) -> list[list[int]]:
+        (end,) = tokenizer.encode("\n", add_special_tokens=False).ids
+
+        def one_by_one(pieces: list[str]) -> list[list[int]]:
             texts = [p[1:] if p.startswith(_LITERAL) else f" {p}" for p in pieces]
             return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        own = PieceEncoder(_byte_pieces(specials), encode)
+        def encode(pieces: list[str]) -> list[list[int]]:
+            """Words as the lines of a text, whose ends are ids of their own; a lone line end in a word is one more. A call for each costs more than its work."""
+            plain = [p if p.isprintable() else p.replace("\n", "") for p in pieces]
+            words = [x.isprintable() and " " not in x and (x is p or p[0] != "\n" != p[-1] and "\n\n" not in p) for x, p in zip(plain, pieces, strict=True)]
+            own = [p for p, x in zip(pieces, words, strict=True) if x]
+            found = []
+            for k in range(0, len(own), LINES):
+                (coded,) = tokenizer.encode_batch_fast(["\n".join([f" {p}" for p in own[k : k + LINES]])], add_special_tokens=False)
+                ids, at = coded.ids, 0
+                cuts = [*(j for j, i in enumerate(ids) if i == end), len(ids)]
+                ends = np.cumsum([1 + p.count("\n") for p in own[k : k + LINES]]) - 1
+                if ends[-1] != len(cuts) - 1:
+                    return one_by_one(pieces)
+                for b in ends.tolist():
+                    found.append(ids[at : cuts[b]])
+                    at = cuts[b] + 1
+            found, rest = iter(found), iter(one_by_one([p for p, x in zip(pieces, words, strict=True) if not x]))
+            return [next(found if x else rest) for x in words]
+
+        own = PieceEncoder(_byte_pieces(specials), encode, limit=900_000)
         ids, n = own(pa.array(_BYTE_PROBES))
         if [x.ids for x in tokenizer.encode_batch_fast(_BYTE_PROBES, add_special_tokens=False)] != [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]:
             raise ValueError(f"{path} does not cut texts before white space")
