@@ -5,14 +5,17 @@ Files are made from the given tables, in a new folder of the shared one; a folde
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.jobs import views as v
-from lociforge.jobs.queries import _COUNTS, _RAW, _SEQS
-from lociforge.jobs.registry import new_folder, query, rounded
-from lociforge.operators import counts, qc_tables, sequences
-from lociforge.sources import readers, schemas, writers
+from lociforge.jobs.queries import _COUNTS, _INFO, _RAW, _SEQS, _SITES
+from lociforge.jobs.registry import new_folder, query, rounded, sample_count
+from lociforge.operators import cohort, counts, qc_tables, sequences, sites
+from lociforge.operators.stored import stored
+from lociforge.sources import hub, readers, schemas, writers
 
 
 def _text(df: DataFrame, line: Column, path: str, ending: str = "", compression: str = "none") -> str:
@@ -26,8 +29,8 @@ def _tabs(*columns: str) -> Column:
     return F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in columns])
 
 
-@query(f"""{_RAW} select sample::varchar as sample, chrom, pos, ref || case kind when 'indel' then 'A' when 'block' then 'CG' when 'mnv' then 'CT' else '' end as ref,
-    case kind when 'indel' then ref when 'block' then '' when 'mnv' then alt || 'CA' when 'two' then alt || ',' || alt2 else case when has_alt then alt else '' end end as alt,
+@query(f"""{_RAW} select sample::varchar as sample, chrom, pos, ref || case kind when 'indel' then 'A' when 'block' then 'CG' when 'mnv' then 'CT' when 'complex' then 'CTA' else '' end as ref,
+    case kind when 'indel' then ref when 'block' then '' when 'mnv' then alt || 'CA' when 'complex' then alt || 'GA' when 'two' then alt || ',' || alt2 else case when has_alt then alt else '' end end as alt,
     qual::double as qual, case when code = 'miss' then './.' when kind = 'block' then '0/0' when kind = 'two' then '1/2' when code = 'het' then '0/1' when code = 'alt' then '1/1' else '0/0' end as gt,
     dp1::int as dp, gq::double as gq, ro::int as ro, ao || case when kind = 'two' then ',' || ro else '' end as ao from raw""")
 def vcf_files(spark, d):
@@ -57,6 +60,45 @@ def fasta_files(spark, d):
     return rows.select(F.col("locus").alias("sample"), F.col("sample").alias("locus"), "seq")
 
 
+@query(f"""{_SEQS}, whole as (select locus, sample, seq from seqs), runs as (select locus, sample, unnest(range(0, length(seq), 7)) as start, seq from whole)
+select locus::varchar as sample, sample::varchar as locus, start::bigint as start, substr(seq, start::bigint + 1, 7) as seq from runs""")
+def fasta_runs(spark, d):
+    """The same files read in runs of letters, as chromosomes are (S3)."""
+    path = new_folder(spark, "fasta")
+    seqs = sequences.consensus(v.calls(spark, d), v.loci(spark, d), v.samples(spark, d)).withColumn("locus", F.col("locus").cast("string"))
+    writers.write_fasta_by_locus(seqs, path)
+    return readers.read_fasta_runs(spark, f"{path}/file_name=*/part-*", run=7, key="file_name")
+
+
+def _hub(spark, d) -> str:
+    """A hub of all calls, made in two lots of samples, one of which comes twice."""
+    name, own = f"hub_{uuid.uuid4().hex}", v.calls(spark, d)
+    path = new_folder(spark, "hub")
+    for lot in ("sample % 2 = 0", "sample % 2 = 0 or sample % 3 = 0", "true"):
+        hub.add_samples(own.filter(lot), name, path, buckets=16)
+    return name
+
+
+@query(f"{_SITES} select locus, chrom, pos, n_het, n - called as n_miss, called, round(f, 6) as f from scored")
+def hub_sites(spark, d):
+    """Sites of a hub to which samples were added in lots."""
+    name = _hub(spark, d)
+    rows = stored(cohort.per_site_het(hub.read_hub(spark, name), sample_count(spark, d)), "sites")
+    hub.drop(spark, name)
+    return rounded(rows)
+
+
+@query(f"{_SITES}, {_INFO} select s.locus, s.n_sites, s.n_excess, s.total_het, i.n_scored, i.n_variable, i.n_pi from locus_stats s join info i on s.locus = i.locus")
+def hub_loci(spark, d):
+    """Excess het and informative sites by locus from the hub."""
+    name, n = _hub(spark, d), sample_count(spark, d)
+    own, loci = hub.read_hub(spark, name), v.loci(spark, d)
+    het = cohort.excess_het_loci(own, loci, n).select("locus", "n_sites", "n_excess", "total_het")
+    rows = stored(het.join(sites.locus_informativeness(own, loci, n).select("locus", "n_scored", "n_variable", "n_pi"), "locus"), "loci")
+    hub.drop(spark, name)
+    return rows
+
+
 @query("select query::varchar as query, subject::varchar as subject, pident::double as pident, evalue::double as evalue, bitscore, qcov::double as qcov, sstart, send from hits")
 def hit_files(spark, d):
     """Hits through a table of 18 columns."""

@@ -106,16 +106,18 @@ def locus_blacklist(spark, d):
 
 
 #: The raw records, then the chain step by step: a genotype is h1, h2 (null: missing, '': REF), atoms are records of one ALT and one base.
-_RAW = """raw as (select c.*, raw_dp + coalesce(a, 0) as dp1, kind in ('indel', 'mnv', 'two') or (kind in ('plain', 'twice') and code in ('het', 'alt')) as has_alt, case when kind = 'indel' then 1 else 0 end as more
+_RAW = """raw as (select c.*, raw_dp + coalesce(a, 0) as dp1, kind in ('indel', 'mnv', 'two', 'complex') or (kind in ('plain', 'twice') and code in ('het', 'alt')) as has_alt, case kind when 'indel' then 1 when 'complex' then 3 else 0 end as more
     from calls c left join (values ('twice', 0), ('twice', 1)) w(again, a) on c.kind = w.again),
-hits5 as (select distinct a.sample, a.chrom, a.pos from raw a join raw b on a.sample = b.sample and a.chrom = b.chrom and b.kind = 'indel' and a.pos between b.pos - 5 and b.pos + 1 + 5 where a.has_alt and a.kind <> 'indel'),
-tagged as (select r.*, r.has_alt and r.kind <> 'indel' and h.pos is not null as near from raw r left join hits5 h on r.sample = h.sample and r.chrom = h.chrom and r.pos = h.pos),
+hits5 as (select distinct a.sample, a.chrom, a.pos from raw a join raw b on a.sample = b.sample and a.chrom = b.chrom and b.more > 0 and a.pos between b.pos - 5 and b.pos + b.more + 5 where a.has_alt and a.more = 0),
+tagged as (select r.*, r.has_alt and r.more = 0 and h.pos is not null as near from raw r left join hits5 h on r.sample = h.sample and r.chrom = h.chrom and r.pos = h.pos),
 masked as (select *, near or dp1 < 5 or gq < 20 or (has_alt and qual < 30) or code = 'miss' as gone from tagged),
 atoms as (select sample, chrom, pos, locus, ref, case when has_alt then alt end as alt, dp1, gq, qual, ro, ao, near, case when gone then null when code = 'alt' then alt else '' end as h1, case when gone then null when code in ('het', 'alt') then alt else '' end as h2 from masked where kind in ('plain', 'twice')
     union all select sample, chrom, pos + o, locus, case o when 0 then ref when 1 then 'C' else 'G' end, null, dp1, gq, qual, ro, ao, near, case when not gone then '' end, case when not gone then '' end from masked, range(0, 3) r(o) where kind = 'block'
     union all select sample, chrom, pos, locus, ref, alt, dp1, gq, qual, ro, ao, near, case when not gone then alt end, case when not gone then '' end from masked where kind = 'two'
     union all select sample, chrom, pos, locus, ref, alt2, dp1, gq, qual, ro, ro, near, case when not gone then '' end, case when not gone then alt2 end from masked where kind = 'two'
     union all select sample, chrom, pos, locus, ref, alt, dp1, gq, qual, ro, ao, near, case when gone then null when code = 'alt' then alt else '' end, case when gone then null when code in ('het', 'alt') then alt else '' end from masked where kind = 'mnv'
+    union all select sample, chrom, pos, locus, ref, alt, dp1, gq, qual, ro, ao, near, case when gone then null when code = 'alt' then alt else '' end, case when gone then null when code in ('het', 'alt') then alt else '' end from masked where kind = 'complex'
+    union all select sample, chrom, pos + 1, locus, 'C', 'G', dp1, gq, qual, ro, ao, near, case when gone then null when code = 'alt' then 'G' else '' end, case when gone then null when code in ('het', 'alt') then 'G' else '' end from masked where kind = 'complex'
     union all select sample, chrom, pos + 2, locus, 'T', 'A', dp1, gq, qual, ro, ao, near, case when gone then null when code = 'alt' then 'A' else '' end, case when gone then null when code in ('het', 'alt') then 'A' else '' end from masked where kind = 'mnv'),
 judged as (select *, h1 <> h2 and ao + ro > 0 and abs(ao + ro - dp1) <= 2 and (ao / (ao + ro) < 0.25 or ao / (ao + ro) > 0.75) as out_ from atoms),
 balanced as (select * exclude (h1, h2, out_), case when not coalesce(out_, false) then h1 end as h1, case when not coalesce(out_, false) then h2 end as h2, count(*) over (partition by sample, chrom, pos) as k from judged),
@@ -156,11 +158,12 @@ def block_bases(spark, d):
 @query("""select sample, pos, ref, alt, gt, ao, count(*) as n from (
     select sample, pos, ref, alt, case code when 'miss' then '.' when 'het' then '0/1' when 'alt' then '1/1' else '0/0' end as gt, ao from calls where kind = 'mnv'
     union all select sample, pos + 2, 'T', 'A', case code when 'miss' then '.' when 'het' then '0/1' when 'alt' then '1/1' else '0/0' end, ao from calls where kind = 'mnv'
+    union all select sample, pos + least(o, 1), case o when 0 then ref when 1 then 'C' else 'CT' end, case o when 0 then alt when 1 then 'G' else 'C' end, case code when 'miss' then '.' when 'het' then '0/1' when 'alt' then '1/1' else '0/0' end, ao from calls, range(0, 3) r(o) where kind = 'complex'
     union all select sample, pos, ref, alt, case code when 'miss' then '.' else '1/0' end, ao from calls where kind = 'two'
     union all select sample, pos, ref, alt2, case code when 'miss' then '.' else '0/1' end, ro from calls where kind = 'two') group by all""")
 def split_alleles(spark, d):
-    """Records of two ALTs or of several bases become one of each."""
-    raw = v.raw_calls(spark, d).filter((F.size("alt") > 1) | ((F.size("alt") == 1) & (F.length("ref") == 3)))
+    """Records of two ALTs or of several bases become one of each, those of unequal length SNPs and an indel."""
+    raw = v.raw_calls(spark, d).filter((F.size("alt") > 1) | ((F.size("alt") == 1) & (F.length("ref") >= 3)))
     rows = oc.atomize(oc.split_multiallelic(raw))
     gt = F.coalesce(F.array_join("gt", "/"), F.lit("."))
     return rows.groupBy("sample", "pos", "ref", F.get("alt", F.lit(0)).alias("alt"), gt.alias("gt"), F.get("ao", F.lit(0)).alias("ao")).agg(F.count("*").alias("n"))
@@ -195,7 +198,7 @@ def variable_counters(spark, d):
     return rounded(counts.variable_counters(v.calls(spark, d), v.loci(spark, d)))
 
 
-@query(f"{_RAW} select sample, chrom, count(*) as n_records, count(*) filter (where kind = 'indel') as n_indels, count(*) filter (where near) as n_near from masked group by all")
+@query(f"{_RAW} select sample, chrom, count(*) as n_records, count(*) filter (where more > 0) as n_indels, count(*) filter (where near) as n_near from masked group by all")
 def near_indels(spark, d):
     rows = oc.tag_near_indel(v.raw_calls(spark, d))
     indel = oc.is_indel(F.col("ref"), F.col("alt"))
@@ -220,7 +223,7 @@ def position_loci(spark, d):
 @query("select c.sample, c.pos, l.locus from calls c join loci l on c.chrom = l.chrom and c.pos > l.start and c.pos <= l.\"end\"")
 def position_loci_binned(spark, d):
     """The same through bins, as for more intervals than can be broadcast."""
-    rows = intervals.assign_locus(v.calls(spark, d).select("sample", "chrom", "pos"), v.loci(spark, d), bin=16, limit=0)
+    rows = intervals.assign_locus(v.calls(spark, d).select("sample", "chrom", "pos"), v.loci(spark, d), bin=16, limit=0, hot=50)
     return rows.select("sample", "pos", "locus")
 
 
@@ -238,7 +241,7 @@ def on_target(spark, d):
 @query(f"{_TARGET} select sample, count(*) as n, sum(overlap)::bigint as bp from pairs group by sample")
 def overlaps_binned(spark, d):
     """Window and target overlaps through bins (J2); targets cross bin edges."""
-    rows = intervals.overlaps(v.windows(spark, d), v.targets(spark, d), bin=64, limit=0)
+    rows = intervals.overlaps(v.windows(spark, d), v.targets(spark, d), bin=64, limit=0, hot=20)
     return rows.groupBy("sample").agg(F.count("*").alias("n"), F.sum("overlap").alias("bp"))
 
 
@@ -539,9 +542,31 @@ def locus_stages(spark, d):
     return qc_tables.count_by(qc_tables.stage_locus(rows), "stage")
 
 
-@query("select chrom, pos, ref, count(*) as n_samples, string_agg(sample || ':' || code, ',' order by sample) as genotypes from calls group by all")
+_NUMBERS = "num as (select sample, (row_number() over (order by sample) - 1)::int as k from samples)"
+
+
+def _listed(merged):
+    """Merged sites as text: number:code of each called sample."""
+    text = F.zip_with("carriers", "codes", lambda k, c: F.concat(k.cast("string"), F.lit(":"), F.get(F.array(*map(F.lit, sites.CODES)), c.cast("int"))))
+    return merged.select("chrom", "pos", "ref", F.size("carriers").cast("long").alias("n_samples"), F.array_join(text, ",").alias("genotypes"))
+
+
+@query(f"{_NUMBERS} select chrom, pos, ref, count(*) filter (where code <> 'miss') as n_samples, coalesce(string_agg(k || ':' || code, ',' order by k) filter (where code <> 'miss'), '') as genotypes from calls join num on calls.sample = num.sample group by all")
 def merged_sites(spark, d):
-    """Sites of all samples with their genotypes."""
-    rows = sites.merge_samples(v.calls(spark, d))
-    text = F.array_join(F.transform(F.map_entries("genotypes"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"])), ",")
-    return rows.select("chrom", "pos", "ref", F.size("genotypes").cast("long").alias("n_samples"), text.alias("genotypes"))
+    """Sites of all samples with the numbers and codes of those called there."""
+    return _listed(sites.merge_samples(v.calls(spark, d), sites.numbered(v.samples(spark, d))))
+
+
+_ONE_EACH = """one as (select sample, chrom, pos, ref, max(case when h1 is null then -1 when h1 <> h2 then 1 when h1 <> '' then 2 else 0 end) as c from balanced group by all),
+listed as (select chrom, pos, ref, count(*) filter (where c >= 0) as n_samples, coalesce(string_agg(k || ':' || (['ref', 'het', 'alt'])[c + 1], ',' order by k) filter (where c >= 0), '') as genotypes from one join num on one.sample = num.sample group by all)"""
+
+
+@query(f"{_RAW}, {_NUMBERS}, {_ONE_EACH} select * from listed")
+def merged_repeats(spark, d):
+    """Sites of records that repeat, as the chain leaves them before repeats are dropped, merged in two lots of samples."""
+    raw = v.raw_calls(spark, d)
+    steps = oc.mask_low_qual(oc.mask_low_gt(oc.split_blocks(raw)))
+    steps = oc.mask_allele_balance(oc.drop_indels(oc.atomize(oc.split_multiallelic(oc.mask_snp_gap(steps)))))
+    calls, numbers = oc.with_code(steps), sites.numbered(v.samples(spark, d))
+    lots = [sites.merge_samples(calls.filter(F.col("sample") % 2 == k), numbers) for k in (0, 1)]
+    return _listed(sites.join_sites(*lots))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.jobs import views as v
+from lociforge.operators.stored import new_folder
+
+__all__ = ["ORACLE_SQL", "QUERIES", "new_folder", "query", "rounded", "sample_count"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,11 +36,3 @@ def sample_count(spark: SparkSession, d: str) -> int:
     return v.samples(spark, d).count()
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see, under spark.checkpoint.dir; one of this machine in local runs alone."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        shared = "file://" + tempfile.mkdtemp(prefix="lociforge-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lociforge.functions import genotypes as g
@@ -65,6 +64,22 @@ def sex_calls(spark, d):
     return rounded(_sexed(spark, d).select("sample", "sex", "depth_ratio", "het_density", "n_gametolog_het", "flags", "confident"))
 
 
+@query(f"""{_CALLED}, hemi as (select c.sample, sum(mean_dp * n_dp) / sum(n_dp) filter (where mean_dp is not null) as depth from counts c join classes2 k on c.locus = k.locus where class = 'hemizygous' group by c.sample)
+select x.sample, round(auto_depth, 6) as auto_depth, round(coalesce(h.depth, 0), 6) as hemi_depth, round(depth_ratio, 6) as depth_ratio, round(het_density, 6) as het_density, n_gametolog_het, sex, f = '' as confident, case when f = '' then '-' else f end as flags from sexed x left join hemi h on x.sample = h.sample""")
+def sex_table(spark, d):
+    """The table of sexes with the depth of hemizygous loci, 0 where there are none."""
+    rows = _sexed(spark, d).select("sample", "auto_depth", "hemi_depth", "depth_ratio", "het_density", "n_gametolog_het", "sex", "confident", "flags")
+    return rounded(rows)
+
+
+@query(f"""{_PASSES}, more as (select t.*, l.len, coalesce(a.n_sites, 0) as an, coalesce(b.n_sites, 0) as bn from two2 t join loci l on t.locus = l.locus left join agg2 a on a.locus = t.locus and a.sex = 'hetero' left join agg2 b on b.locus = t.locus and b.sex = 'homo')
+select m.locus, len as length, an as hetero_n_sites, ae as hetero_n_excess, bn as homo_n_sites, be as homo_n_excess, round(af, 6) as hetero_site_frac, round(bf, 6) as homo_site_frac, round(ah / len, 6) as hetero_het_density, round(bh / len, 6) as homo_het_density,
+    round(case when bh > 0 then ah / bh when ah > 0 then 999 else 1 end, 6) as het_ratio, class from more m join classes2 c on m.locus = c.locus""")
+def sex_class_table(spark, d):
+    """The table of locus classes after the second pass, with its counts and densities."""
+    return rounded(_passes(spark, d)[2])
+
+
 @query(f"{_PASSES} select count(*) filter (where a.sex <> b.sex) as n_switched from sexes1 a join sexes2 b on a.sample = b.sample")
 def switched_sexes(spark, d):
     """Samples whose sex the second pass changes."""
@@ -173,8 +188,8 @@ def probe_lengths(spark, d):
 @query(f"{_LOCUS_MISS} select sample, round(mean_pct_n, 6) as mean_pct_n, (row_number() over (order by mean_pct_n desc, sample))::int as place from sm")
 def samples_by_missingness(spark, d):
     """Samples, the most incomplete first (K5)."""
-    rows = sequences.samples_by_missingness(sequences.missingness_per_sample(_seqs(spark, d)))
-    return rounded(rows.select("sample", "mean_pct_n", F.row_number().over(Window.orderBy(F.desc("mean_pct_n"), "sample")).alias("place")))
+    rows = sequences.samples_by_missingness(sequences.missingness_per_sample(_seqs(spark, d)), place="place")
+    return rounded(rows.select("sample", "mean_pct_n", F.col("place").cast("int").alias("place")))
 
 
 @query("select sample, count(*) as n from calls where sample in (select sample from samples order by sample limit 5) group by sample")
@@ -204,6 +219,14 @@ def depth_by_region(spark, d):
     return rounded(sites.depth_profile(v.calls(spark, d), _probes(spark, d), by_region=True, long_from=12))
 
 
+@query("""pr as (select chrom, start + 5 as s, "end" - 5 as e, locus from loci), near as (select c.*, least(c.pos - p.s, p.e - c.pos + 1) as dist, p.e - p.s as len from calls c join pr p on c.chrom = p.chrom and c.pos > p.s - 300 and c.pos <= p.e + 300),
+k as (select *, case when len < 12 then 'short' else 'long' end as class, case when dist > 0 then 'probe' else 'flank' end as region, (case when dist > 0 then floor((dist - 1) / 5) * 5 else -floor(-dist / 5) * 5 - 5 end)::int as bin from near)
+select class, region, bin, count(*) as n_pos, count(*) filter (where code <> 'miss') as n_called, round(avg(dp) filter (where code <> 'miss'), 6) as mean_dp, round(count(*) filter (where code <> 'miss') / count(*), 6) as call_frac from k group by grouping sets ((class, bin), (class, region))""")
+def depth_levels(spark, d):
+    """Depth by distance and by region from one join."""
+    return rounded(sites.depth_profiles(v.calls(spark, d), _probes(spark, d), bin=5, long_from=12))
+
+
 def _probes(spark, d):
     return v.loci(spark, d).withColumns({"start": F.col("start") + 5, "end": F.col("end") - 5})
 
@@ -446,7 +469,11 @@ def balance_by_tolerance(spark, d):
     return rounded(sites.balance_by_tolerance(v.het_ab(spark, d)))
 
 
-@query(None)
+@query("""drawn as (select sample, row_number() over (order by md5('0:' || sample), sample) as r from samples), sizes as (select unnest([2, 4, 8])::int as n),
+seen as (select n, locus, pos, count(*) filter (where code in ('het', 'alt')) as a, count(*) filter (where code <> 'miss') as called from calls c join drawn d on c.sample = d.sample join sizes on r <= n group by all),
+scored as (select *, called - a as r from seen where called > 0 and called >= 0.25 * n),
+totals as (select n, count(*) as n_scored, count(*) filter (where a > 0 and r > 0) as n_variable, count(*) filter (where a >= 2 and r >= 2) as n_pi from scored group by n)
+select s.n, coalesce(n_scored, 0) as n_scored, coalesce(n_variable, 0) as n_variable, coalesce(n_pi, 0) as n_pi, round(100 * n_variable / n_scored, 6) as pct_variable, round(100 * n_pi / n_scored, 6) as pct_pi from sizes s left join totals t on s.n = t.n""")
 def rarefaction(spark, d):
-    """Informative sites of growing random sets of samples (D3); the order of samples is a hash that SQL elsewhere lacks."""
+    """Informative sites of growing random sets of samples, from one pass (D3)."""
     return rounded(sites.rarefaction(v.calls(spark, d), v.loci(spark, d), v.samples(spark, d), (2, 4, 8)))

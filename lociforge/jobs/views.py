@@ -3,7 +3,7 @@
 A supplier is a sample, a part number modulo 40 a locus; the k-th line of a supplier and locus
 is a call at its k-th position, so every line is a record. Quantities give the genotype. Loci
 36-39 play the sex chromosome; every third sample has half depth there. Before the filter
-chain some records are deletions, blocks, changes of several bases, records with two
+chain some records are deletions, blocks, changes of several bases or of bases and length, records with two
 alleles, or come twice. Every order is a coverage window, every part a target.
 
 The expressions are SQL that Spark and other engines read alike.
@@ -43,7 +43,7 @@ CALLS = {
     "gq": "cast(12 + (c + q) % 50 as int)",
     "qual": "cast(20 + c % 200 as int)",
     "is_indel": "c % 53 = 0",
-    "kind": "case when c % 53 = 0 then 'indel' when c % 17 = 3 then 'block' when c % 19 = 4 then 'mnv' when c % 23 = 5 then 'two' when c % 29 = 6 then 'twice' else 'plain' end",
+    "kind": "case when c % 53 = 0 then 'indel' when c % 17 = 3 then 'block' when c % 19 = 4 then 'mnv' when c % 23 = 5 then 'two' when c % 29 = 6 then 'twice' when c % 31 = 7 then 'complex' else 'plain' end",
     "w": "case when loc % 10 = 5 then 2 + d % 4 else 2 + d end",
     "t": "t",
 }
@@ -91,7 +91,7 @@ def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls before the filter chain, by kind.
 
     indel: a deletion of one base; block: three bases without ALT, ref or missing; mnv: three bases of which the
-    first and last change; two: two ALTs, a genotype of both unless it is missing; twice: the record
+    first and last change; complex: four bases of which the first two change and the third is deleted; two: two ALTs, a genotype of both unless it is missing; twice: the record
     again with one more read. Others have an ALT where it is called.
     """
     rows = calls(spark, sf_dir)
@@ -102,9 +102,9 @@ def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(miss, none).when(is_("block"), F.array(F.lit(0), F.lit(0))).when(is_("two"), F.array(F.lit(1), F.lit(2)))
         .when(F.col("code") == "het", F.array(F.lit(0), F.lit(1))).when(F.col("code") == "alt", F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(0)))
     )
-    ref = F.when(is_("indel"), F.concat("ref", F.lit("A"))).when(is_("block"), F.concat("ref", F.lit("CG"))).when(is_("mnv"), F.concat("ref", F.lit("CT"))).otherwise(F.col("ref"))
+    ref = F.when(is_("indel"), F.concat("ref", F.lit("A"))).when(is_("block"), F.concat("ref", F.lit("CG"))).when(is_("mnv"), F.concat("ref", F.lit("CT"))).when(is_("complex"), F.concat("ref", F.lit("CTA"))).otherwise(F.col("ref"))
     alt = (
-        F.when(is_("indel"), F.array("ref")).when(is_("block"), F.array().cast("array<string>")).when(is_("mnv"), F.array(F.concat("alt", F.lit("CA"))))
+        F.when(is_("indel"), F.array("ref")).when(is_("block"), F.array().cast("array<string>")).when(is_("mnv"), F.array(F.concat("alt", F.lit("CA")))).when(is_("complex"), F.array(F.concat("alt", F.lit("GA"))))
         .when(is_("two"), F.array("alt", "alt2")).when(F.col("code").isin("het", "alt"), F.array("alt")).otherwise(F.array().cast("array<string>"))
     )
     ao = F.when(is_("two"), F.array(F.col("ao"), F.col("ro"))).otherwise(F.array("ao"))

@@ -43,24 +43,20 @@ def is_indel(ref: Column, alt: Column) -> Column:
 def tag_near_indel(calls: DataFrame, gap: int = 5, by: tuple[str, ...] = ("sample", "chrom")) -> DataFrame:
     """calls with near_indel: an ALT-bearing record without indel, within gap of an indel's bases.
 
-    Every indel is spread over the bins that its bases and the gap reach, so the join is on
-    equal keys, and only rows of one sample and bin meet.
+    One scan and one shuffle: in order of place a running maximum tells how far the indels before a
+    record reach, and a frame of gap places whether one begins after it. Windows by (sample, chrom, pos) that
+    follow, as in drop_multi_record, need no further shuffle.
     """
     if not gap:
         return calls.withColumn("near_indel", F.lit(False))
-    width = max(64, 4 * gap)
-    indel = is_indel(F.col("ref"), F.col("alt"))
-    first, last = F.col("pos") - gap, F.col("pos") + F.length("ref") - 1 + gap
-    indels = calls.filter(indel).select(
-        *by, first.alias("_first"), last.alias("_last"), F.explode(F.sequence(F.floor(first / width), F.floor(last / width))).alias("_bin")
-    )
-    judged = (F.size("alt") > 0) & ~indel
-    rows = calls.filter(judged).select(*by, "pos").distinct().withColumn("_bin", F.floor(F.col("pos") / width))
-    near = rows.join(indels, [*by, "_bin"]).filter(F.col("pos").between(F.col("_first"), F.col("_last")))
-    near = near.select(*by, "pos").distinct().withColumn("_near", F.lit(True))
-    return calls.join(near, [*by, "pos"], "left").withColumn("near_indel", judged & F.coalesce("_near", F.lit(False))).drop("_near").select(
-        *calls.columns, "near_indel"
-    )
+    indel = F.coalesce(is_indel(F.col("ref"), F.col("alt")), F.lit(False))
+    reach = F.when(F.col("_indel"), F.col("pos") + F.length("ref") - 1 + gap)
+    place = Window.partitionBy(*by).orderBy("pos")
+    before = F.coalesce(F.max(reach).over(place.rangeBetween(Window.unboundedPreceding, 0)) >= F.col("pos"), F.lit(False))
+    after = F.coalesce(F.max(F.col("_indel")).over(place.rangeBetween(0, gap)), F.lit(False))
+    rows = calls.withColumn("_indel", indel).withColumns({"_before": before, "_after": after})
+    near = (F.size("alt") > 0) & ~F.col("_indel") & (F.col("_before") | F.col("_after"))
+    return rows.withColumn("near_indel", near).select(*calls.columns, "near_indel")
 
 
 def mask_snp_gap(calls: DataFrame, gap: int = 5) -> DataFrame:
@@ -84,21 +80,33 @@ def split_multiallelic(calls: DataFrame) -> DataFrame:
 
 
 def atomize(calls: DataFrame) -> DataFrame:
-    """One row per differing base of one-ALT records whose REF and ALT are equally long; others stay."""
+    """One row per differing base of one-ALT records of several bases, and one for their indel if REF and ALT are of unequal length.
+
+    Alleles are aligned at their ends: of unequal ones what they share at the right goes first, so the
+    indel lies as far left in them as it can; then bases are compared from the left, and the indel
+    stands with the last REF base before it, which is a row of its own if it differs. Records of one base, of no or several
+    ALTs, and of symbols (``*``, ``<DEL>``) stay.
+    """
     alt = F.get("alt", F.lit(0))
-    several = (F.size("alt") == 1) & (F.length("ref") > 1) & (F.length("ref") == F.length(alt))
-    places = F.filter(F.sequence(F.lit(0), F.length("ref") - 1), lambda i: F.substr("ref", i + 1, F.lit(1)) != F.substr(alt, i + 1, F.lit(1)))
-    at = F.explode(F.when(several, places).otherwise(F.array(F.lit(-1))))
-    rows = calls.withColumn("_i", at)
-    own = F.col("_i") >= 0
-    return rows.select(*[
-        {
-            "pos": F.when(own, F.col("pos") + F.col("_i")).otherwise(F.col("pos")),
-            "ref": F.when(own, F.substr("ref", F.col("_i") + 1, F.lit(1))).otherwise(F.col("ref")),
-            "alt": F.when(own, F.array(F.substr(alt, F.col("_i") + 1, F.lit(1)))).otherwise(F.col("alt")),
-        }.get(c, F.col(c)).alias(c)
-        for c in calls.columns
-    ])
+    several = (F.size("alt") == 1) & (F.greatest(F.length("ref"), F.length(alt)) > 1) & alt.rlike("^[A-Za-z]+$")
+    rows = calls.withColumns({"_alt": alt, "_short": F.when(several, F.least(F.length("ref"), F.length(alt)))})
+    at = lambda x, i: F.substr(x, i, F.lit(1))
+    back = lambda x, i: at(x, F.length(x) - i + 1)
+    shared = F.aggregate(
+        F.when(F.col("_short") > 1, F.sequence(F.lit(1), F.col("_short") - 1)).otherwise(F.array().cast("array<int>")), F.lit(0),
+        lambda k, i: F.when((k == i - 1) & (back(F.col("ref"), i) == back(F.col("_alt"), i)), i).otherwise(k),
+    )
+    rows = rows.withColumn("_cut", F.when(F.length("ref") == F.length("_alt"), 0).otherwise(shared))
+    m, rest = F.col("_short") - F.col("_cut"), lambda x: F.substr(x, F.col("_short") - F.col("_cut") + 1, F.length(x) - F.col("_short"))
+    bases = F.filter(F.sequence(F.lit(1), m), lambda i: at(F.col("ref"), i) != at(F.col("_alt"), i))
+    atom = lambda i, r, a: F.struct(i.cast("int").alias("i"), r.alias("ref"), F.array(a).alias("alt"))
+    single = F.transform(bases, lambda i: atom(i - 1, at(F.col("ref"), i), at(F.col("_alt"), i)))
+    indel = F.array(atom(m - 1, F.concat(at(F.col("ref"), m), rest(F.col("ref"))), F.concat(at(F.col("ref"), m), rest(F.col("_alt")))))
+    atoms = F.when(F.length("ref") == F.length("_alt"), single).otherwise(F.concat(single, indel))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.col("ref").alias("ref"), F.col("alt").alias("alt")))
+    rows = rows.withColumn("_atom", F.explode(F.when(F.col("_short").isNotNull(), atoms).otherwise(whole)))
+    parts = {"pos": F.col("pos") + F.col("_atom.i"), "ref": F.col("_atom.ref"), "alt": F.col("_atom.alt")}
+    return rows.select(*[parts.get(c, F.col(c)).alias(c) for c in calls.columns])
 
 
 def drop_indels(calls: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.operators.counts import with_length
+from lociforge.operators.ranks import with_rank
 
 
 def per_site_het(calls: DataFrame, n_samples: int) -> DataFrame:
@@ -89,7 +90,7 @@ def drop_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 def percentiles_floor(df: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """(share, value): the value with floor(n * share) smaller ones, of a table with a row for each locus."""
-    ranked = df.select(F.col(column).alias("value"), (F.row_number().over(Window.orderBy(column)) - 1).alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
+    """(share, value): the value with floor(n * share) smaller ones."""
+    ranked = with_rank(df.select(F.col(column).alias("value")), "value", total="n").withColumn("k", F.col("rank") - 1)
     wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
     return ranked.withColumn("share", wanted).filter(F.col("k") == F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1)).select("share", "value")

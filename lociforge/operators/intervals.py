@@ -1,28 +1,75 @@
-"""Positions and intervals. Intervals are 0-based and half-open, positions 1-based."""
+"""Positions and intervals. Intervals are 0-based and half-open, positions 1-based.
+
+Joins meet in bins. An interval goes by its length to a level, whose bins are at least as wide,
+so it lies in two of them at most whatever its length; the other side looks into the bins of each level there
+is. Bins that hold far more than others are told from their counts and split: one side is dealt over the
+parts, the other copied to each.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Intervals up to which a join broadcasts them. Both sides meet in bins either way, so a point is
-#: compared with the intervals near it, not with all of its chromosome.
+from lociforge.operators.stored import stored
+
+#: Intervals up to which a join broadcasts them.
 MAX_BROADCAST = 100_000
+#: Bins of a level are so many times as wide as those of the one below.
+STEP = 8
+#: Rows of a bin from which it is split, and a share of all rows: so few bins are split that their list can be broadcast.
+HOT, HOT_SHARE = 1_000_000, 1 / 10_000
+
+
+def _level(length: Column, bin: int) -> Column:
+    """The number of the first level whose bins are as wide as length."""
+    return F.greatest(F.ceil(F.log(F.greatest(length, F.lit(1)) / bin) / F.log(F.lit(float(STEP))) - 1e-9), F.lit(0)).cast("int")
+
+
+def _width(level: Column, bin: int) -> Column:
+    return F.lit(bin) * F.pow(F.lit(STEP), level).cast("bigint")
+
+
+def _levels(df: DataFrame, bin: int) -> tuple[list[int], int]:
+    """The levels of the intervals in df and how many intervals there are: one row a level."""
+    rows = df.groupBy(_level(F.col("end") - F.col("start"), bin).alias("level")).count().collect()
+    return sorted(r["level"] for r in rows), sum(r["count"] for r in rows)
+
+
+def _binned(df: DataFrame, start: Column, end: Column, others: list[int], bin: int, first: bool) -> DataFrame:
+    """df with the bins in which it meets intervals of the levels of others: _a and _b, the levels of the left and the right side, and _bin."""
+    own = _level(end - start, bin)
+    pairs = F.explode(F.array(*[F.lit(x) for x in others]).cast("array<int>"))
+    rows = df.withColumns({"_own": own, "_other": pairs})
+    width = _width(F.greatest("_own", "_other"), bin)
+    bins = F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width)))
+    return rows.withColumn("_bin", bins).withColumnsRenamed({"_own": "_a", "_other": "_b"} if first else {"_own": "_b", "_other": "_a"})
 
 
-def _few(df: DataFrame, limit: int) -> bool:
-    return df.limit(limit + 1).count() <= limit
+_KEYS = ["chrom", "_a", "_b", "_bin"]
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width)))
+def _met(left: DataFrame, right: DataFrame, few: bool, hot: int = HOT) -> DataFrame:
+    """left and right, both binned, joined on their bins; right is broadcast if few."""
+    if few:
+        return left.join(F.broadcast(right), _KEYS)
+    counts = stored(left.groupBy(*_KEYS).agg(F.count("*").alias("_n")), "bins")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    most = max(hot, int(total * HOT_SHARE))
+    split = counts.filter(F.col("_n") > most).select(*_KEYS, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    left = left.join(F.broadcast(split), _KEYS, "left")  # total / most rows at most
+    told = [F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t]  # a hash, so that a task that is run again deals alike
+    left = left.withColumn("_part", F.pmod(F.xxhash64(*told), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    right = right.join(F.broadcast(split), _KEYS, "left")
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*_KEYS, "_part"]).drop("_part")
 
 
 def within(pos: Column, start: Column, end: Column) -> Column:
     return (pos > start) & (pos <= end)
 
 
-def assign_locus(points: DataFrame, loci: DataFrame, bin: int = 5000, every: bool = False, limit: int = MAX_BROADCAST) -> DataFrame:
+def assign_locus(points: DataFrame, loci: DataFrame, bin: int = 5000, every: bool = False, limit: int = MAX_BROADCAST, hot: int = HOT) -> DataFrame:
     """points (chrom, pos, ...) with the locus that holds each; points outside of all are dropped.
 
     Of several loci a point gets the one with the least (start, locus), or with every=True all.
@@ -31,11 +78,10 @@ def assign_locus(points: DataFrame, loci: DataFrame, bin: int = 5000, every: boo
     if not every:
         # loci that overlap an earlier one give up their shared positions to it
         loci = _without_shadowed(loci)
-    few = _few(loci, limit)
-    binned = loci.withColumn("_bin", _bins(F.col("start"), F.col("end"), bin))
-    keyed = points.withColumn("_bin", F.floor((F.col("pos") - 1) / bin))
-    joined = keyed.join(F.broadcast(binned) if few else binned, ["chrom", "_bin"])
-    return joined.filter(within(F.col("pos"), F.col("start"), F.col("end"))).drop("_bin", "start", "end")
+    levels, n = _levels(loci, bin)
+    left = _binned(points, F.col("pos") - 1, F.col("pos"), levels, bin, first=True)
+    joined = _met(left, _binned(loci, F.col("start"), F.col("end"), [0], bin, first=False), n <= limit, hot)
+    return joined.filter(within(F.col("pos"), F.col("start"), F.col("end"))).drop("_a", "_b", "_bin", "start", "end")
 
 
 def _without_shadowed(loci: DataFrame) -> DataFrame:
@@ -45,18 +91,18 @@ def _without_shadowed(loci: DataFrame) -> DataFrame:
     return moved.filter("start < `end`")
 
 
-def overlaps(a: DataFrame, b: DataFrame, bin: int = 100_000, limit: int = MAX_BROADCAST) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, bin: int = 100_000, limit: int = MAX_BROADCAST, hot: int = HOT) -> DataFrame:
     """Rows of a (chrom, start, end, ...) with those of b (chrom, start, end, ...) they overlap, and ``overlap`` in bases.
 
     b's columns but chrom get the prefix b_. A pair is given once, in the first bin it shares.
     """
+    (left, _), (right, n) = _levels(a, bin), _levels(b, bin)
     b = b.select("chrom", *[F.col(c).alias(f"b_{c}") for c in b.columns if c != "chrom"])
     length = F.least("end", "b_end") - F.greatest("start", "b_start")
-    few = _few(b, limit)
-    a = a.withColumn("_bin", _bins(F.col("start"), F.col("end"), bin))
-    b = b.withColumn("_bin", _bins(F.col("b_start"), F.col("b_end"), bin))
-    joined = a.join(F.broadcast(b) if few else b, ["chrom", "_bin"]).filter(length > 0)
-    return joined.filter(F.col("_bin") == F.floor(F.greatest("start", "b_start") / bin)).withColumn("overlap", length).drop("_bin")
+    a = _binned(a, F.col("start"), F.col("end"), right, bin, first=True)
+    joined = _met(a, _binned(b, F.col("b_start"), F.col("b_end"), left, bin, first=False), n <= limit, hot).filter(length > 0)
+    once = F.col("_bin") == F.floor(F.greatest("start", "b_start") / _width(F.greatest("_a", "_b"), bin))
+    return joined.filter(once).withColumn("overlap", length).drop("_a", "_b", "_bin")
 
 
 def count_overlaps(loci: DataFrame, points: DataFrame) -> DataFrame:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociforge.functions.genotypes import iupac, percent, safe_name
 from lociforge.operators.counts import small, with_length
+from lociforge.operators.ranks import with_rank
+
+#: Positions of a run of a consensus sequence that is put together at once.
+RUN = 10_000
 
 
 def consensus(calls: DataFrame, loci: DataFrame, samples: DataFrame) -> DataFrame:
     """(sample, locus, seq) of every sample and locus: REF, ALT or the IUPAC code of both, N where nothing is called.
 
-    calls: sample, locus, pos, ref, alt (strings of one base), code. A group is as long as its locus.
+    calls: sample, locus, pos, ref, alt (strings of one base), code. Several records of a position count as one if
+    those that are called agree on the letter, else the position is N. Positions outside of their locus are left out.
+    Called letters are sorted and joined in runs of RUN positions, then the runs, so no array is longer than that.
     """
     base = (
         F.when(F.col("code") == "ref", F.col("ref"))
@@ -21,11 +27,32 @@ def consensus(calls: DataFrame, loci: DataFrame, samples: DataFrame) -> DataFram
         .otherwise("N")
     )
     places = loci.select("locus", F.col("start").alias("_start"), (F.col("end") - F.col("start")).cast("int").alias("_n"))
-    own = calls.select("sample", "locus", "pos", F.coalesce(base, F.lit("N")).alias("base"))
-    own = own.groupBy("sample", "locus").agg(F.map_from_entries(F.collect_list(F.struct("pos", "base"))).alias("_bases"))
+    own = calls.select("sample", "locus", "pos", base.alias("base")).filter("base <> 'N'")
+    own = own.groupBy("sample", "locus", F.floor(F.col("pos") / RUN).alias("_run")).agg(F.sort_array(F.collect_set(F.struct(F.col("pos").alias("at"), F.col("base").alias("text")))).alias("_items"))
+    own = own.select("sample", "locus", F.struct(F.col("_items")[0]["at"].alias("at"), _assembled(F.col("_items")).alias("text")).alias("_item"))
+    own = own.groupBy("sample", "locus").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+    own = own.select("sample", "locus", F.col("_items")[0]["at"].alias("_at"), _assembled(F.col("_items")).alias("_text"))
     rows = samples.select("sample").join(F.broadcast(places) if small(places) else places).join(own, ["sample", "locus"], "left")
-    letters = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: F.coalesce(F.try_element_at("_bases", F.col("_start") + i), F.lit("N")))
-    return rows.select("sample", "locus", F.array_join(letters, "").alias("seq"))
+    first = F.col("_start") + 1
+    inside = F.when(F.col("_at") < first, F.substr("_text", (first - F.col("_at") + 1).cast("int"))).otherwise(
+        F.concat(F.repeat(F.lit("N"), F.least(F.col("_at") - first, F.col("_n")).cast("int")), "_text")
+    )
+    return rows.select("sample", "locus", F.rpad(F.coalesce(inside, F.lit("")), F.col("_n"), F.lit("N")).alias("seq"))
+
+
+def _assembled(items: Column) -> Column:
+    """Texts at places, in order, joined with N for each place between them; several letters at one place give N."""
+    n = F.size(items)
+    none = F.array(F.lit(None).cast("struct<at:bigint,text:string>"))
+    shifted = F.arrays_zip(items.alias("it"), F.slice(F.concat(none, items), 1, n).alias("last"), F.concat(F.slice(items, 2, n), none).alias("next"))
+
+    def part(x: Column) -> Column:
+        it, last, after = x["it"], x["last"], x["next"]
+        gap = F.coalesce(it["at"] - last["at"] - F.length(last["text"]), F.lit(0)).cast("int")
+        text = F.when(it["at"] == after["at"], "N").otherwise(it["text"])
+        return F.when(it["at"] == last["at"], "").otherwise(F.concat(F.repeat(F.lit("N"), gap), text))
+
+    return F.array_join(F.transform(shifted, part), "")
 
 
 def pct_n(seq) -> object:
@@ -117,9 +144,10 @@ def seq_lengths(seqs: DataFrame, key: str = "locus") -> DataFrame:
     return seqs.select(key, F.length("seq").alias("length"))
 
 
-def samples_by_missingness(stats: DataFrame) -> DataFrame:
-    """Samples with their missingness, the most incomplete first."""
-    return stats.orderBy(F.desc("mean_pct_n"), "sample")
+def samples_by_missingness(stats: DataFrame, place: str | None = None) -> DataFrame:
+    """Samples with their missingness, the most incomplete first; place: a column for the places, of rows in no order."""
+    order = (F.desc("mean_pct_n"), F.col("sample"))
+    return stats.orderBy(*order) if place is None else with_rank(stats, *order, into=place)
 
 
 def length_summary(seqs: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociforge.operators.ranks import with_rank
+from lociforge.operators.stored import stored
+
 
 def depth_long(counts: DataFrame, sex_loci: DataFrame) -> DataFrame:
     """(sample, locus, is_sex, mean_dp, n_dp): sex loci one by one, all others as one row weighted by sites (locus null)."""
@@ -34,18 +37,16 @@ def depth_ratio(counts: DataFrame, sex_loci: DataFrame, only: DataFrame | None =
 def split_at_gap(ratios: DataFrame, column: str = "depth_ratio") -> DataFrame:
     """ratios with sex: samples below the largest gap in the middle 60 % are hetero, the others homo.
 
-    Of equal gaps the first counts. The window is over a row for each sample.
+    Of equal gaps the first counts.
     """
-    rows = ratios.filter(F.col(column).isNotNull())
-    w = Window.orderBy(column, "sample")
-    ranked = rows.withColumns({
-        "_i": F.row_number().over(w), "_gap": F.lead(column).over(w) - F.col(column), "_n": F.count("*").over(Window.partitionBy()),
-    })
+    ranked = with_rank(ratios.filter(F.col(column).isNotNull()), column, "sample", into="_i", total="_n")
+    after = ranked.select((F.col("_i") - 1).alias("_i"), F.col(column).alias("_next"))
+    ranked = ranked.join(after, "_i", "left").withColumn("_gap", F.col("_next") - F.col(column)).drop("_next")
     low = F.greatest(F.floor(0.2 * F.col("_n")), F.lit(1))
     high = F.least(F.floor(0.8 * F.col("_n")), F.col("_n") - 1)
     cut = ranked.filter(F.col("_i").between(low, high)).agg(F.max_by("_i", F.struct("_gap", -F.col("_i"))).alias("_cut"))
     sex = F.when(F.col("_i") <= F.col("_cut"), "hetero").otherwise("homo")
-    return ranked.join(F.broadcast(cut)).withColumn("sex", sex).drop("_i", "_gap", "_n", "_cut")
+    return ranked.join(F.broadcast(cut)).withColumn("sex", sex).select(*ratios.columns, "sex")
 
 
 def classify_sex_loci(
@@ -111,16 +112,17 @@ def robust_z(df: DataFrame, columns: list[str], by: str) -> DataFrame:
 
 
 def sex_statistics(counts: DataFrame, loci: DataFrame, sexes: DataFrame, classes: DataFrame) -> DataFrame:
-    """sexes with het_density over hemizygous loci (of their length) and n_gametolog_het; 0 where there is no such locus."""
+    """sexes with het_density over hemizygous loci (of their length), hemi_depth, their mean depth, and n_gametolog_het; 0 where there is no such locus."""
     length = F.col("end") - F.col("start")
     own = counts.join(classes.filter(F.col("class").isin("hemizygous", "gametolog")).select("locus", "class"), "locus")
     own = own.join(loci.select("locus", length.alias("_length")), "locus")
     hemi, het = F.col("class") == "hemizygous", F.col("n_het")
     rows = own.groupBy("sample").agg(
         F.try_divide(F.sum(F.when(hemi, het)), F.sum(F.when(hemi, F.col("_length")))).alias("het_density"),
+        F.try_divide(F.sum(F.when(hemi, F.col("mean_dp") * F.col("n_dp"))), F.sum(F.when(hemi & F.col("mean_dp").isNotNull(), F.col("n_dp")))).alias("hemi_depth"),
         F.sum(F.when(~hemi, het)).alias("n_gametolog_het"),
     )
-    return sexes.join(rows, "sample", "left").fillna(0, ["het_density", "n_gametolog_het"])
+    return sexes.join(rows, "sample", "left").fillna(0, ["het_density", "hemi_depth", "n_gametolog_het"])
 
 
 #: Statistics that flag a sample far from the rest of its sex, with the names of their flags.
@@ -144,13 +146,17 @@ def n_switched(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def two_passes(counts: DataFrame, calls: DataFrame, sex_loci: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
-    """Sexes and locus classes: from all sex loci, then again from those the first pass finds hemizygous, if any."""
+    """Sexes and locus classes: from all sex loci, then again from those the first pass finds hemizygous, if any.
+
+    Both are stored, and so is what the passes share; nothing stays cached.
+    """
     own_calls = calls.join(sex_loci.select("locus"), "locus", "left_semi")
-    depths = depth_long(counts, sex_loci).persist()  # sex loci only, and one row a sample for the rest
-    first = split_at_gap(ratio_of(depths)).persist()  # a row a sample
-    classes = classify_sex_loci(own_calls, sex_loci, first, **limits).persist()  # a row a sex locus
+    own_calls = stored(own_calls.select("sample", "locus", "chrom", "pos", "code"), "sex-calls")
+    depths = stored(depth_long(counts, sex_loci), "depths")  # sex loci only, and one row a sample for the rest
+    first = stored(split_at_gap(ratio_of(depths)), "sexes")  # a row a sample
+    classes = stored(classify_sex_loci(own_calls, sex_loci, first, **limits), "classes")  # a row a sex locus
     only = classes.filter(F.col("class") == "hemizygous").select("locus")
     if only.isEmpty():
         return first, classes
-    second = split_at_gap(ratio_of(depths, only)).persist()
-    return second, classify_sex_loci(own_calls, sex_loci, second, **limits).persist()
+    second = stored(split_at_gap(ratio_of(depths, only)), "sexes")
+    return second, stored(classify_sex_loci(own_calls, sex_loci, second, **limits), "classes")

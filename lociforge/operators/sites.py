@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociforge.functions.genotypes import balance, distance_bin, is_transition, judged, length_class
 from lociforge.operators.counts import with_length
 from lociforge.operators.intervals import overlaps, restrict_to
+from lociforge.operators.ranks import with_rank
 
 #: Bases of a bin in which positions and probes meet.
 OVERLAP_BIN = 2_000
@@ -36,9 +37,9 @@ def informativeness_totals(loci: DataFrame) -> DataFrame:
 
 def cumulative_share(loci: DataFrame, column: str = "n_pi") -> DataFrame:
     """(locus, rank, share): loci by descending count, and the share of the total up to each."""
-    w = Window.orderBy(F.desc(column), "locus")
-    upto = F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return loci.select("locus", F.row_number().over(w).alias("rank"), F.try_divide(upto, F.sum(column).over(Window.partitionBy())).alias("share"))
+    ranked = with_rank(loci.select("locus", column), F.desc(column), "locus", running={column: "_upto"})
+    whole = loci.agg(F.sum(column).alias("_whole"))
+    return ranked.join(F.broadcast(whole)).select("locus", F.col("rank").cast("int").alias("rank"), F.try_divide("_upto", "_whole").alias("share"))
 
 
 def allele_counts(calls: DataFrame) -> DataFrame:
@@ -71,20 +72,61 @@ def sample_variant_stats(calls: DataFrame, samples: DataFrame, bed: DataFrame |
     return rows.withColumn("ts_tv", F.try_divide("n_ts", "n_tv"))
 
 
-def merge_samples(calls: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """(chrom, pos, ref, genotypes): sites of all samples with a map from sample to code; absent samples are missing.
+#: Codes in a site's vector, by their number; missing ones are not stored.
+CODES = ("ref", "het", "alt")
 
-    For small cohorts; everything else works on the long form.
+
+def numbered(samples: DataFrame) -> DataFrame:
+    """(sample, number): each sample once, numbered from 0 by name."""
+    return with_rank(samples.select("sample").distinct(), "sample").select("sample", (F.col("rank") - 1).cast("int").alias("number"))
+
+
+def merge_samples(calls: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(chrom, pos, ref, carriers, codes): each site once, with the numbers of the samples called there, ascending, and their codes.
+
+    calls: sample, chrom, pos, ref, code; numbers is numbered() samples, calls of others are left out. codes has places
+    in CODES. Samples that are missing at a site are in neither array; a site where all are missing
+    has empty arrays. Of several records of a sample and REF each allele place takes an ALT if one
+    has it there, so alt is before het and het before ref; records of several ALTs or REFs are made one
+    by calls.merge_records before. A site holds an integer for each called sample.
     """
-    rows = calls if samples is None else calls.join(samples.select("sample"), "sample", "left_semi")
-    return rows.groupBy("chrom", "pos", "ref").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sample", "code")))).alias("genotypes"))
+    code = F.array_position(F.array(*map(F.lit, CODES)), F.col("code")) - 1  # -1: missing
+    own = calls.select("sample", "chrom", "pos", "ref", code.cast("int").alias("code")).join(numbers, "sample")
+    own = own.groupBy("chrom", "pos", "ref", "number").agg(F.max("code").alias("code"))
+    cell = F.when(F.col("code") >= 0, F.col("number") * len(CODES) + F.col("code"))
+    return _vectors(own.groupBy("chrom", "pos", "ref").agg(F.sort_array(F.collect_list(cell)).alias("cells")))
 
 
-def depth_profile(calls: DataFrame, probes: DataFrame, buffer: int = 300, bin: int = 50, long_from: int = 600, by_region: bool = False) -> DataFrame:
-    """Records, called ones, their mean depth and share by probe class and distance to the nearer probe edge.
+def _vectors(rows: DataFrame) -> DataFrame:
+    k = len(CODES)
+    carriers = F.transform("cells", lambda x: F.floor(x / k).cast("int"))
+    return rows.select("chrom", "pos", "ref", carriers.alias("carriers"), F.transform("cells", lambda x: (x % k).cast("tinyint")).alias("codes"))
+
+
+def join_sites(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Sites of two sets of merged samples with one numbering as one, so samples can be added to a cohort without their calls."""
+    cells = F.zip_with("carriers", "codes", lambda x, c: x * len(CODES) + c)
+    rows = a.unionByName(b).select("chrom", "pos", "ref", cells.alias("cells"))
+    rows = rows.groupBy("chrom", "pos", "ref").agg(F.sort_array(F.flatten(F.collect_list("cells"))).alias("cells"))
+    # of a sample that both have, the greatest code is last
+    follows = F.concat(F.slice("cells", 2, F.size("cells")), F.array(F.lit(None).cast("int")))
+    kept = F.filter(F.arrays_zip(F.col("cells").alias("x"), follows.alias("y")), lambda z: z["x"].isNotNull() & (z["y"].isNull() | (F.floor(z["x"] / len(CODES)) != F.floor(z["y"] / len(CODES)))))
+    return _vectors(rows.withColumn("cells", F.transform(kept, lambda z: z["x"])))
+
+
+def site_calls(merged: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(sample, chrom, pos, ref, code): the called genotypes of merged sites, one row each."""
+    pairs = F.explode(F.arrays_zip(F.col("carriers").alias("number"), F.col("codes").alias("code")))
+    rows = merged.select("chrom", "pos", "ref", pairs.alias("_c")).select("chrom", "pos", "ref", "_c.number", "_c.code")
+    return rows.join(numbers, "number").select("sample", "chrom", "pos", "ref", F.get(F.array(*map(F.lit, CODES)), F.col("code").cast("int")).alias("code"))
+
 
-    calls: chrom, pos, code, dp. Distances are 1 and up inside the probe, 0 and down outside.
-    A position near several probes counts for the one whose edge is nearest, then the first.
+def depth_profiles(calls: DataFrame, probes: DataFrame, buffer: int = 300, bin: int = 50, long_from: int = 600) -> DataFrame:
+    """(class, region, bin, n_pos, n_called, mean_dp, call_frac): records, called ones, their mean depth and share.
+
+    By probe class and distance to the nearer probe edge (region null), and by class and region,
+    probe or flank (bin null), from one join. calls: chrom, pos, code, dp. Distances are 1 and up inside the probe,
+    0 and down outside. A position near several probes counts for the one whose edge is nearest, then the first.
     """
     wide = probes.select("chrom", F.greatest(F.col("start") - buffer, F.lit(0)).alias("start"), (F.col("end") + buffer).alias("end"), "locus",
                          F.col("start").alias("_s"), F.col("end").alias("_e"))
@@ -95,11 +137,19 @@ def depth_profile(calls: DataFrame, probes: DataFrame, buffer: int = 300, bin: i
     nearest = rows.groupBy("chrom", "pos").agg(F.min_by(F.struct("dist", "class"), F.struct(F.abs("dist"), "b_start", "b_locus")).alias("_r"))
     nearest = calls.select("chrom", "pos", "code", "dp").join(nearest, ["chrom", "pos"]).select("_r.*", "code", "dp")
     called = (F.col("code") != "miss") & F.col("dp").isNotNull()
-    key = F.when(F.col("dist") > 0, "probe").otherwise("flank").alias("region") if by_region else distance_bin(F.col("dist"), bin).alias("bin")
-    out = nearest.groupBy("class", key).agg(F.count("*").alias("n_pos"), F.count_if(called).alias("n_called"), F.avg(F.when(called, F.col("dp"))).alias("mean_dp"))
+    region = F.when(F.col("dist") > 0, "probe").otherwise("flank")
+    nearest = nearest.select("class", region.alias("region"), distance_bin(F.col("dist"), bin).alias("bin"), called.alias("_called"), F.when(called, F.col("dp")).alias("dp"))
+    c, r, b = (F.col(x) for x in ("class", "region", "bin"))
+    out = nearest.groupingSets([[c, b], [c, r]], c, r, b).agg(F.count("*").alias("n_pos"), F.count_if("_called").alias("n_called"), F.avg("dp").alias("mean_dp"))
     return out.withColumn("call_frac", F.col("n_called") / F.col("n_pos"))
 
 
+def depth_profile(calls: DataFrame, probes: DataFrame, buffer: int = 300, bin: int = 50, long_from: int = 600, by_region: bool = False) -> DataFrame:
+    """depth_profiles by distance, or by region only."""
+    rows = depth_profiles(calls, probes, buffer, bin, long_from)
+    return rows.filter("bin is null").drop("bin") if by_region else rows.filter("region is null").drop("region")
+
+
 def thin_bins(profile: DataFrame, share: float = 0.1) -> DataFrame:
     """Bins with at least a share of the median number of positions of their class."""
     mid = profile.groupBy("class").agg(F.median("n_pos").alias("_mid"))
@@ -163,19 +213,37 @@ def blanked_by_gap(sites: DataFrame, gaps: tuple[int, ...] = (0, 3, 5, 10)) -> D
     return rows.groupBy("gap").agg(F.count("*").alias("n_sites"), F.count_if(near).alias("n_blanked"))
 
 
+def _drawn(sample: Column, seed: int) -> Column:
+    """A hash that other engines have too: md5 of ``<seed>:<sample>``."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), sample.cast("string")))
+
+
 def rarefied(samples: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n samples in the order of a seeded hash."""
-    return samples.select("sample").orderBy(F.xxhash64(F.lit(seed), F.col("sample").cast("string")), "sample").limit(n)
+    return samples.select("sample").orderBy(_drawn(F.col("sample"), seed), "sample").limit(n)
 
 
 def rarefaction(calls: DataFrame, loci: DataFrame, samples: DataFrame, sizes: tuple[int, ...], seed: int = 0, min_call_frac: float = 0.25) -> DataFrame:
-    """(n, pct_variable, pct_pi): informativeness of the first n samples in the order of a seeded hash, for each of a few sizes."""
-    out = None
-    for n in sizes:
-        own = calls.join(rarefied(samples, n, seed), "sample", "left_semi")
-        total = informativeness_totals(locus_informativeness(own, loci, n, min_call_frac)).select(F.lit(n).alias("n"), "pct_variable", "pct_pi")
-        out = total if out is None else out.union(total)
-    return out
+    """(n, n_scored, n_variable, n_pi, pct_variable, pct_pi): informative sites of the first n samples in the order of a seeded hash.
+
+    The sets are nested, so one pass does: calls are counted by site and band (samples that a size
+    adds to the one before), and a size's counts are those of its bands. Sizes beyond the samples count as asked for.
+    """
+    sizes = sorted(set(sizes))
+    band = F.size(F.filter(F.array(*map(F.lit, sizes)), lambda n: n < F.col("rank"))).alias("band")
+    drawn = with_rank(samples.select("sample").distinct().withColumn("_h", _drawn(F.col("sample"), seed)), "_h", "sample").filter(F.col("rank") <= sizes[-1])
+    own = calls.join(loci.select("locus").distinct(), "locus", "left_semi").join(drawn.select("sample", band), "sample")
+    alt = F.col("code").isin("het", "alt")
+    bands = own.filter("code <> 'miss'").groupBy("locus", "pos", "band").agg(F.count_if(alt).alias("a"), F.count("*").alias("called"))
+    of = lambda c: [F.sum(F.when(F.col("band") <= k, F.col(c)).otherwise(0)) for k in range(len(sizes))]
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, sizes)).alias("n"), F.col("a").alias("a"), F.col("called").alias("called"))).alias("s")
+    rows = bands.groupBy("locus", "pos").agg(F.array(*of("a")).alias("a"), F.array(*of("called")).alias("called")).select(each).select("s.*")
+    rows = rows.filter((F.col("called") > 0) & (F.col("called") >= min_call_frac * F.col("n")))
+    r = F.col("called") - F.col("a")
+    totals = rows.groupBy("n").agg(F.count("*").alias("n_scored"), F.count_if((F.col("a") > 0) & (r > 0)).alias("n_variable"), F.count_if((F.col("a") >= 2) & (r >= 2)).alias("n_pi"))
+    asked = calls.sparkSession.createDataFrame([(n,) for n in sizes], "n int")
+    totals = asked.join(totals, "n", "left").fillna(0, ["n_scored", "n_variable", "n_pi"])
+    return totals.select("*", *[F.try_divide(100 * F.col(f"n_{x}"), F.col("n_scored")).alias(f"pct_{x}") for x in ("variable", "pi")])
 
 
 def balance_by_tolerance(hets: DataFrame, tolerances: tuple[int, ...] = (0, 1, 2, 3), low: float = 0.25, high: float = 0.75) -> DataFrame:

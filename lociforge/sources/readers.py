@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociforge.functions.genotypes import short_sample
+from lociforge.operators.stored import stored
 from lociforge.sources import schemas
 
 
@@ -55,12 +56,81 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, suffix: str = r"\.fa(sta)?(\.gz)?", key: str = "sample") -> DataFrame:
-    """(sample, locus, seq): file and record of each sequence; white space inside is dropped. key: of a folder key=... that names its files."""
-    records = spark.read.option("lineSep", ">").text(path).select("value", _sample(suffix, key).alias("sample")).filter(F.trim("value") != "")
+    """(sample, locus, seq): file and record of each sequence; white space inside is dropped. key: of a folder key=... that names its files.
+
+    Records begin with ``>`` at the start of a line; one that stands elsewhere belongs to the header. A record is one
+    value: for chromosomes see read_fasta_runs.
+    """
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"), _sample(suffix, key).alias("sample"))
+    records = records.filter(F.trim("value") != "")
     parts = F.split("value", "\n", 2)
     return records.select("sample", F.trim(parts[0]).alias("locus"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
 
 
+_RUNS = "sample string, file string, block long, segment int, header string, at long, seq string"
+
+
+def _runs(run: int):
+    """Joins the lines of each block of a file to runs of letters; a record that began in an earlier block has no header."""
+
+    def join(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, header, segment, at, held, size = None, None, 0, 0, [], 0
+
+        def row(final: bool):
+            nonlocal at, held, size
+            text = "".join(held)
+            rows = [(*place, segment, header, at + k, text[k : k + run]) for k in range(0, len(text) if final else len(text) - len(text) % run, run)]
+            if final and not text and at == 0:
+                rows = [(*place, segment, header, at, "")]
+            done = sum(len(r[-1]) for r in rows)
+            at, held = at + done, [text[done:]]
+            size = len(held[0])
+            return rows
+
+        for part in parts:
+            out = []
+            for sample, file, block, line in part.itertuples(index=False):
+                if (sample, file, block) != place:
+                    out += row(True) if place else []
+                    place, header, segment, at, held, size = (sample, file, block), None, 0, 0, [], 0
+                if line.startswith(">"):
+                    out += row(True)
+                    header, segment, at, held, size = line[1:].strip(), segment + 1, 0, [], 0
+                else:
+                    line = "".join(line.split())
+                    held.append(line)
+                    size += len(line)
+                    if size >= 4 * run:
+                        out += row(False)
+            if out:
+                yield pd.DataFrame(out, columns=[f.split()[0] for f in _RUNS.split(", ")])
+        if place:
+            yield pd.DataFrame(row(True), columns=[f.split()[0] for f in _RUNS.split(", ")])
+
+    return join
+
+
+def read_fasta_runs(spark: SparkSession, path: str, suffix: str = r"\.fa(sta)?(\.gz)?", run: int = 1_000_000, key: str = "sample") -> DataFrame:
+    """(sample, locus, start, seq): the sequences of FASTA files in runs of at most ``run`` letters, at start (from 0) of their record.
+
+    Files are read in blocks, by as many tasks as they have; which record a block goes on with and at which
+    letter comes from the blocks before it, a row each. A record without letters has one empty run; lines before the first header are an error.
+    """
+    lines = spark.read.text(path).select(_sample(suffix, key).alias("sample"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    runs = stored(lines.mapInPandas(_runs(run), _RUNS), "runs")
+    ends = F.struct("segment", "at")
+    blocks = runs.groupBy("file", "block").agg(F.max_by("header", ends).alias("last"), F.max_by(F.col("at") + F.length("seq"), ends).alias("n"))
+    w = Window.partitionBy("file").orderBy("block")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file", "_since").orderBy("block")  # a block and those it goes on from
+    blocks = blocks.withColumns({"carried": F.last("last", ignorenulls=True).over(before), "_since": F.count("last").over(w)})
+    blocks = blocks.withColumn("_upto", F.sum("n").over(upto)).withColumn("had", F.coalesce(F.lag("_upto").over(w), F.lit(0)))
+    rows = runs.join(blocks.select("file", "block", "carried", "had"), ["file", "block"])
+    rows = rows.filter(F.col("header").isNotNull() | (F.length("seq") > 0))
+    locus = F.coalesce("header", "carried", F.raise_error(F.concat(F.lit("letters before the first header of "), F.col("file"))).cast("string"))
+    return rows.select("sample", locus.alias("locus"), (F.col("at") + F.when(F.col("header").isNull(), F.col("had")).otherwise(0)).alias("start"), "seq")
+
+
 def read_hits(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     return read_tsv(spark, path, schemas.HITS, header=header)
 

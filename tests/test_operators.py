@@ -2,14 +2,15 @@
 
 import gzip
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lociforge.functions import genotypes as g
 from lociforge.operators import calls as oc
-from lociforge.operators import cohort, counts, hits, intervals, qc_tables, sequences, sex, sites
-from lociforge.sources import readers, schemas, writers
+from lociforge.operators import cohort, counts, hits, intervals, qc_tables, ranks, sequences, sex, sites
+from lociforge.sources import hub, readers, schemas, writers
 from lociforge.streaming.site_counts import count_arrivals
 
 RAW = {"sample": "s1", "chrom": "c", "pos": 1, "ref": "A", "alt": [], "qual": 50.0, "filter": [], "gt": [0, 0], "dp": 10, "gq": 40.0, "ro": 5, "ao": [5]}
@@ -274,3 +275,231 @@ def test_nearest_indels_in_both_directions(spark):
     for r in got:
         before, after = max((p for p in at if p <= r["pos"]), default=None), min((p for p in at if p >= r["pos"]), default=None)
         assert r["indel_dist"] == min(abs(r["pos"] - x) for x in (before, after) if x is not None)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+BASES = "sample string, locus string, pos long, ref string, alt string, code string"
+
+
+def test_consensus_of_repeats_gaps_and_places_outside(spark):
+    loci = spark.createDataFrame([("c", 0, 4, "l"), ("c", 10, 14, "m"), ("c", 3, 6, "none")], schemas.LOCI)
+    samples = spark.createDataFrame([("a",), ("b",)], "sample string")
+    rows = [("a", "l", 2, "A", "G", "het"), ("a", "l", 2, "A", "G", "het"), ("a", "l", 3, "C", "T", "alt"), ("a", "l", 3, "C", None, "miss"), ("b", "l", 2, "A", "G", "ref"), ("b", "l", 2, "A", "C", "alt"), ("b", "l", 3, "C", None, "ref")]
+    rows += [("a", "m", p, "T", None, "ref") for p in (8, 10, 12, 15, 99)] + [("b", "m", 14, "T", "T", "miss")]
+    got = {(r["sample"], r["locus"]): r["seq"] for r in sequences.consensus(spark.createDataFrame(rows, BASES), loci, samples).collect()}
+    assert got == {("a", "l"): "NRTN", ("b", "l"): "NNCN", ("a", "m"): "NTNN", ("b", "m"): "NNNN", ("a", "none"): "NNN", ("b", "none"): "NNN"}
+
+
+def test_consensus_of_a_long_locus(spark):
+    n = 400_000
+    loci, one = spark.createDataFrame([("c", 5, 5 + n, "l")], schemas.LOCI), spark.createDataFrame([("a",)], "sample string")
+    at = spark.range(1, n + 1).filter("id % 7 <> 0 and (id < 120000 or id > 170000)")  # whole runs without a call
+    calls = at.select(F.lit("a").alias("sample"), F.lit("l").alias("locus"), (F.col("id") + 5).alias("pos"), F.substring(F.lit("ACGT"), (F.col("id") % 4 + 1).cast("int"), F.lit(1)).alias("ref"), F.lit(None).cast("string").alias("alt"), F.lit("ref").alias("code"))
+    assert sequences.consensus(calls, loci, one).first()["seq"] == "".join("N" if i % 7 == 0 or 120000 <= i <= 170000 else "ACGT"[i % 4] for i in range(1, n + 1))
+
+
+def test_merged_sites_of_repeats_and_of_two_lots(spark):
+    rows = [("b", 1, "A", "ref"), ("b", 1, "A", "het"), ("a", 1, "A", "alt"), ("a", 1, "A", "het"), ("c", 1, "A", "miss"), ("c", 1, "G", "ref"), ("a", 2, "T", "miss"), ("x", 3, "T", "ref")]
+    calls = spark.createDataFrame([(s, "c", p, r, k) for s, p, r, k in rows], "sample string, chrom string, pos long, ref string, code string")
+    numbers = sites.numbered(spark.createDataFrame([("c",), ("a",), ("b",), ("b",)], "sample string"))
+    assert sorted(map(tuple, numbers.collect())) == [("a", 0), ("b", 1), ("c", 2)]
+    want = {(1, "A"): ([0, 1], [2, 1]), (1, "G"): ([2], [0]), (2, "T"): ([], [])}
+    merged = sites.merge_samples(calls, numbers)
+    lots = sites.join_sites(sites.merge_samples(calls.filter("sample = 'a'"), numbers), sites.merge_samples(calls.filter("sample <> 'x'"), numbers))  # a twice
+    for got in (merged, lots):
+        assert {(r["pos"], r["ref"]): (r["carriers"], r["codes"]) for r in got.collect()} == want
+    long = {tuple(r) for r in sites.site_calls(merged, numbers).collect()}
+    assert long == {("a", "c", 1, "A", "alt"), ("b", "c", 1, "A", "het"), ("c", "c", 1, "G", "ref")}
+    assert {tuple(r) for r in sites.site_calls(sites.merge_samples(spark.createDataFrame(long, calls.schema), numbers), numbers).collect()} == long
+
+
+def test_a_site_of_a_large_cohort_is_one_vector(spark):
+    n = 100_000
+    calls = spark.range(n).select(F.col("id").alias("sample"), F.lit("c").alias("chrom"), F.lit(1).cast("long").alias("pos"), F.lit("A").alias("ref"), F.when(F.col("id") % 3 == 0, "miss").when(F.col("id") % 3 == 1, "ref").otherwise("het").alias("code"))
+    r = sites.merge_samples(calls, sites.numbered(calls.select("sample"))).first()
+    assert r["carriers"] == [i for i in range(n) if i % 3] and r["codes"] == [i % 3 - 1 for i in range(n) if i % 3]
+
+
+def test_rarefaction_is_that_of_each_set(spark):
+    rng = random.Random(3)
+    loci = spark.createDataFrame([("c", 0, 30, "l"), ("c", 50, 60, "m")], schemas.LOCI)
+    samples = spark.createDataFrame([(f"s{i}",) for i in range(12)], "sample string")
+    calls = [(f"s{i}", "c", p, "l" if p <= 30 else "m" if p < 60 else "gone", rng.choice(["ref", "ref", "het", "alt", "miss"]), 9) for i in range(12) for p in [*range(1, 31), 55, 70] if rng.random() < 0.7]
+    df, sizes = spark.createDataFrame(calls, CALLS), (7, 3, 12, 40)
+    got = {r["n"]: r for r in sites.rarefaction(df, loci, samples, sizes, seed=5).collect()}
+    assert set(got) == set(sizes)
+    for n in sizes:
+        own = df.join(sites.rarefied(samples, n, 5), "sample", "left_semi")
+        total = sites.informativeness_totals(sites.locus_informativeness(own, loci, n)).first()
+        assert [got[n][c] or 0 for c in ("n_scored", "n_variable", "n_pi", "pct_pi")] == [total[c] or 0 for c in ("n_scored", "n_variable", "n_pi", "pct_pi")]
+
+
+def test_complex_alleles_become_snps_and_one_indel(spark):
+    def atoms(ref, alt):
+        rows = oc.atomize(raw(spark, {"pos": 10, "ref": ref, "alt": [alt], "gt": [0, 1]})).collect()
+        return sorted((r["pos"], r["ref"], r["alt"][0]) for r in rows)
+
+    assert atoms("ACTA", "CGA") == [(10, "A", "C"), (11, "C", "G"), (11, "CT", "C")]
+    assert atoms("AC", "T") == [(10, "A", "T"), (10, "AC", "A")]  # the base before the indel differs too
+    assert atoms("CAATT", "CATT") == [(10, "CA", "C")]  # what both share at the right goes, so the indel is on the left
+    assert atoms("G", "GTT") == [(10, "G", "GTT")]
+    assert atoms("GAT", "GATT") == [(11, "A", "AT")]
+    assert atoms("A", "*") == [(10, "A", "*")] and atoms("ACC", "<DEL>") == [(10, "ACC", "<DEL>")]
+    left = oc.drop_indels(oc.atomize(raw(spark, {"pos": 10, "ref": "ACTA", "alt": ["CGA"], "gt": [1, 1], "ao": [9]})))
+    assert [(r["pos"], r["ref"], r["alt"], r["gt"], r["ao"]) for r in left.orderBy("pos").collect()] == [(10, "A", ["C"], [1, 1], [9]), (11, "C", ["G"], [1, 1], [9])]
+    rng, pairs = random.Random(9), []
+    for i in range(300):
+        a, b = ("".join(rng.choices("AC", k=rng.randint(1, 6))) for _ in "ab")
+        if a != b and max(len(a), len(b)) > 1:
+            pairs.append((f"s{i}", a, b))
+    df = raw(spark, *[{"sample": s, "ref": a, "alt": [b], "gt": [0, 1]} for s, a, b in pairs])
+    found = {}
+    for r in oc.atomize(df).collect():
+        found.setdefault(r["sample"], []).append((r["pos"] - 1, r["ref"], r["alt"][0]))
+    for s, a, b in pairs:  # putting the rows into REF gives ALT
+        own = sorted(found[s], key=lambda x: (-x[0], -len(x[1]) - len(x[2])))
+        assert sum(len(r) != len(x) for _, r, x in own) == (len(a) != len(b))
+        made = a
+        for at, r, x in own:
+            assert a[at : at + len(r)] == r
+            made = made[:at] + x + made[at + len(r) :]
+        assert made == b, (a, b, own)
+
+
+def test_near_indels_as_pair_by_pair(spark):
+    rng, rows = random.Random(4), []
+    for s in ("s1", "s2"):
+        for p in rng.choices(range(1, 400), k=150):
+            rows.append({"sample": s, "pos": p} | rng.choice([{"ref": "ACGTT", "alt": ["A"]}, {"alt": ["AT"]}, {"alt": ["C"]}, {"alt": ["C"]}, {"alt": ["*"]}, {}, {}]))
+    long = {"sample": "s1", "pos": 500, "ref": "A" * 90, "alt": ["A"]}
+    rows += [long, *[{"sample": "s1", "pos": p, "alt": ["C"]} for p in (494, 495, 588, 594, 595)]]
+    df = raw(spark, *rows)
+    ends = [(r["sample"], r["pos"], r["pos"] + len(r.get("ref", "A")) - 1) for r in rows if any(len(a) != len(r.get("ref", "A")) and a != "*" for a in r.get("alt", []))]
+    for gap in (1, 5, 30):
+        want = Counter()
+        for r in rows:
+            a = r.get("alt", [])
+            judged = a and not any(len(x) != len(r.get("ref", "A")) and x != "*" for x in a)
+            want[r["sample"], r["pos"], len(r.get("ref", "A")), bool(judged and any(s == r["sample"] and b - gap <= r["pos"] <= e + gap for s, b, e in ends))] += 1
+        assert Counter((r["sample"], r["pos"], len(r["ref"]), r["near_indel"]) for r in oc.tag_near_indel(df, gap).collect()) == want
+
+
+def test_the_chain_shuffles_once(spark, tmp_path):
+    raw(spark, {"pos": 10, "ref": "AT", "alt": ["A"], "gt": [0, 1]}, {"pos": 13, "alt": ["C"]}).write.parquet(str(tmp_path / "raw"))
+    text = plan(oc.filter_chain(spark.read.parquet(str(tmp_path / "raw"))))
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text and text.count("FileScan") == 1
+
+
+def test_joins_where_one_bin_has_most_and_lengths_differ(spark):
+    rng = random.Random(12)
+    loci = [("c", a := rng.randint(0, 90_000), a + rng.choice([1, 5, 40, 900, 30_000]), f"l{k}") for k in range(70)] + [("c", 100, 140, "dense"), ("d", 0, 5, "end")]
+    points = [("c", rng.randint(101, 128), k) for k in range(2700)] + [("c", rng.randint(1, 120_000), -k) for k in range(300)]  # nine in ten in one bin
+    bed = spark.createDataFrame(loci, schemas.LOCI)
+    at = spark.createDataFrame(points, "chrom string, pos long, k int").withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    want = sorted((k, n) for c, p, k in points for d, s, e, n in loci if c == d and s < p <= e)
+    for limit, hot in ((0, 50), (0, 10**6), (1000, 50)):
+        got = intervals.assign_locus(at, bed, bin=32, every=True, limit=limit, hot=hot)
+        assert sorted((r["k"], r["locus"]) for r in got.collect()) == want
+    spans = [("c", a := rng.randint(0, 90_000), a + rng.choice([1, 60, 20_000]), float(k)) for k in range(40)] + [("c", 100 + k % 20, 130, 1000.0 + k) for k in range(400)]
+    expected = sorted((k, n, min(b, e) - max(a, s)) for c, a, b, k in spans for d, s, e, n in loci if c == d and min(b, e) > max(a, s))
+    for limit in (0, 1000):
+        got = intervals.overlaps(spark.createDataFrame(spans, schemas.WINDOWS), bed, bin=32, limit=limit, hot=50)
+        assert sorted((r["depth"], r["b_locus"], r["overlap"]) for r in got.collect()) == expected
+    assert intervals.assign_locus(at, bed.limit(0)).count() == 0 and intervals.overlaps(bed.limit(0), bed).count() == 0
+
+
+def test_ranks_without_one_task_for_all(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 101).alias("v"), (F.col("id") % 3 / 4).alias("x"))
+    ranked = ranks.with_rank(df, F.desc("v"), "id", total="n", running={"v": "upto", "x": "xs"})
+    assert "SinglePartition" not in plan(ranked)
+    upto = xs = 0
+    for k, (r, i) in enumerate(zip(ranked.orderBy("rank").collect(), sorted(range(1000), key=lambda i: (-(i * 7919 % 101), i)), strict=True)):
+        upto, xs = upto + i * 7919 % 101, xs + i % 3 / 4
+        assert (r["id"], r["rank"], r["upto"], r["xs"], r["n"]) == (i, k + 1, upto, xs, 1000)
+    assert ranks.with_rank(df.limit(0), "id", total="n", running={"v": "upto"}).count() == 0
+    ratios = df.select(F.col("id").alias("sample"), F.col("x").alias("depth_ratio"))
+    shares = df.select(F.col("id").alias("locus"), F.col("v").alias("n_pi"))
+    stats = df.select(F.col("id").alias("sample"), F.col("x").alias("mean_pct_n"))
+    for rows in (sex.split_at_gap(ratios), cohort.percentiles_floor(df, "v"), sites.cumulative_share(shares), sequences.samples_by_missingness(stats, place="p")):
+        windows = rows._jdf.queryExecution().optimizedPlan().toString().split("windowspecdefinition(")[1:]
+        assert windows and all(w.startswith("_part") for w in windows)
+    assert {r["sex"]: r["count"] for r in sex.split_at_gap(ratios).groupBy("sex").count().collect()} == {"hetero": 334, "homo": 666}
+
+
+def test_depth_by_distance_and_region_from_one_join(spark, tmp_path):
+    probes = spark.createDataFrame([("c", 10, 20, "l"), ("c", 40, 900, "m")], schemas.LOCI)
+    calls = spark.createDataFrame([("a", "c", p, "l", "miss" if p % 5 == 0 else "ref", p % 7) for p in range(1, 60)], CALLS)
+    calls.write.parquet(str(tmp_path / "calls"))
+    both = sites.depth_profiles(spark.read.parquet(str(tmp_path / "calls")), probes, buffer=8, bin=4, long_from=100)
+    assert "Expand" in plan(both)
+    levels = {(r["class"], r["region"], r["bin"]): (r["n_pos"], r["n_called"]) for r in both.collect()}
+    for name, by in (("bin", False), ("region", True)):
+        one = sites.depth_profile(calls, probes, buffer=8, bin=4, long_from=100, by_region=by)
+        assert {(r["class"], r[name]): (r["n_pos"], r["n_called"]) for r in one.collect()} == {(c, r if by else b): v for (c, r, b), v in levels.items() if (b is None) == by}
+    assert levels["short", "probe", None] == (10, 8) and levels["long", None, -4] == (4, 3)
+
+
+def test_two_passes_leave_nothing_cached(spark):
+    rng = random.Random(2)
+    loci = spark.createDataFrame([("chrZ", 10 * k, 10 * k + 9, f"z{k}") for k in range(4)] + [("c", 0, 9, "a")], schemas.LOCI)
+    calls = [(f"s{i}", "chrZ" if k < 4 else "c", (10 * k if k < 4 else 0) + p, f"z{k}" if k < 4 else "a", rng.choice(["ref", "het"]) if i % 2 else "ref", 10 if i % 2 == 0 and k < 4 else 20) for i in range(10) for k in range(5) for p in range(1, 9)]
+    df, samples = spark.createDataFrame(calls, CALLS), spark.createDataFrame([(f"s{i}",) for i in range(10)], "sample string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    own = counts.counts_per_locus(df, loci, samples)
+    sexes, classes = sex.two_passes(own, df, sex.sex_loci(loci, "chrZ"))
+    assert {r["class"] for r in classes.collect()} == {"hemizygous"} and {r["sex"] for r in sexes.filter("sample in ('s0', 's2')").collect()} == {"hetero"}
+    told = {r["sample"]: r for r in sex.sex_statistics(own, loci, sexes, classes).collect()}
+    assert told["s0"]["hemi_depth"] == 10 and told["s1"]["hemi_depth"] == 20
+    assert {r["hemi_depth"] for r in sex.sex_statistics(own, loci, sexes, classes.filter("false")).collect()} == {0}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_hub_is_read_without_a_shuffle(spark, tmp_path):
+    rng = random.Random(8)
+    calls = [(f"s{i}", "c", 100 * k + p, f"l{k}", rng.choice(["ref", "het", "alt", "miss"]), 9) for i in range(9) for k in range(7) for p in range(1, 20)]
+    df = spark.createDataFrame(calls, CALLS)
+    loci = spark.createDataFrame([("c", 100 * k, 100 * k + 19, f"l{k}") for k in range(7)], schemas.LOCI)
+    hub.drop(spark, "hub_t")
+    for lot in ("sample < 's3'", "sample < 's6'", "true"):
+        hub.add_samples(df.filter(lot), "hub_t", f"file://{tmp_path}/hub", buckets=4)
+    own = hub.read_hub(spark, "hub_t")
+    assert sorted(map(tuple, own.collect())) == sorted(calls)
+    het, info = cohort.per_site_het(own, 9), sites.locus_informativeness(own, loci, 9)
+    assert "Exchange" not in plan(het)
+    assert "Exchange hashpartitioning" not in plan(cohort.per_locus_het(het, F.broadcast(loci), 9)) and "hashpartitioning(locus" not in plan(own.groupBy("locus", "pos").count().groupBy("locus").count())
+    assert sorted(map(tuple, het.collect())) == sorted(map(tuple, cohort.per_site_het(df, 9).collect()))
+    assert sorted(map(tuple, info.collect())) == sorted(map(tuple, sites.locus_informativeness(df, loci, 9).collect()))
+    hub.drop(spark, "hub_t")
+
+
+def test_fasta_with_marks_in_headers_and_in_runs(spark, tmp_path):
+    rng = random.Random(1)
+    want = {"l1 a>b": "ACGT", "l2": "", "chr>1": "".join(rng.choices("ACGTN", k=5000)), "l4": "T" * 31}
+    text = "".join(f">{k} \n" + "".join(v[i : i + 31] + "\r\n" for i in range(0, len(v), 31)) for k, v in want.items())
+    (tmp_path / "x_s1.fa").write_bytes(text.encode())
+    (tmp_path / "x_s2.fa").write_text(">only\nAC G\n\nT")
+    read = lambda: {(r["sample"], r["locus"]): r["seq"] for r in readers.read_fasta(spark, f"{tmp_path}/*.fa").collect()}
+    all_ = {("s1", k): v for k, v in want.items()} | {("s2", "only"): "ACGT"}
+    assert read() == all_
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("700", "40", kept):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1" if size != kept else "4194304")
+        try:
+            rows = readers.read_fasta_runs(spark, f"{tmp_path}/*.fa", run=100).collect()
+            assert read() == all_
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+            spark.conf.set("spark.sql.files.openCostInBytes", "4194304")
+        found = {}
+        for r in sorted(rows, key=lambda r: r["start"]):
+            seq = found.setdefault((r["sample"], r["locus"]), "")
+            assert len(r["seq"]) <= 100 and r["start"] == len(seq)
+            found[r["sample"], r["locus"]] = seq + r["seq"]
+        assert found == all_
+    (tmp_path / "bad_s3.fasta").write_text("ACGT\n>x\nA\n")
+    with pytest.raises(Exception, match="before the first header"):
+        readers.read_fasta_runs(spark, f"{tmp_path}/*.fasta").collect()
