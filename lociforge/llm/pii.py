@@ -52,7 +52,9 @@ CONTEXT = {
     "ssn": "ssn|social|security",
 }
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4}
-_CONTEXT_SCORE, _CONTEXT_CHARS, _BLOCK = 0.3, 40, 256
+_CONTEXT_SCORE, _CONTEXT_CHARS = 0.3, 40
+#: Lengths that are summed at once, and levels of such sums: 64 ** 4 matches of a text cost a few dozen additions each.
+_BLOCK, _DEPTH = 64, 3
 
 
 def _let(value: Column, use) -> Column:
@@ -63,19 +65,28 @@ def _let(value: Column, use) -> Column:
 def _places(gaps: Column, found: Column) -> Column:
     """Start and text of each match, from the texts between the matches and the matches.
 
-    Sums of lengths by blocks: no fold that copies a growing array.
+    Running sums without a fold that copies a growing array for each match: sums of blocks, of blocks of blocks
+    and so on are each summed from the level above, so a match costs a few additions of _BLOCK numbers at most.
     """
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
 
-    def with_steps(s: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(s) / _BLOCK).cast("int")), lambda k: total(F.slice(s, 1, k * _BLOCK)))
-        return _let(blocks, lambda b: F.transform(found, lambda m, i: F.struct(
-            (b[F.floor(i / _BLOCK).cast("int")] + total(F.slice(s, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)) + F.length(F.get(gaps, i))).alias("start"),
-            m.alias("match"),
-        )))
+    def before(xs: Column, depth: int, use) -> Column:
+        """use(f) where f(i) is the sum of the first i of xs."""
 
-    return _let(steps, with_steps)
+        def near(i: Column) -> Column:
+            return total(F.slice(xs, block(i) * _BLOCK + 1, (i % _BLOCK).cast("int")))
+
+        if not depth:
+            return use(lambda i: total(F.slice(xs, 1, i)))
+        sums = F.transform(F.sequence(F.lit(0), block(F.size(xs))), lambda k: total(F.slice(xs, k * _BLOCK + 1, F.lit(_BLOCK))))
+        return _let(sums, lambda own: before(own, depth - 1, lambda f: use(lambda i: f(block(i)) + near(i))))
+
+    def starts(f) -> Column:
+        return F.transform(found, lambda m, i: F.struct((f(i) + F.length(F.get(gaps, i))).cast("int").alias("start"), m.alias("match")))
+
+    return _let(steps, lambda s: before(s, _DEPTH, starts))
 
 
 def _valid(kind: str, m: Column) -> Column:

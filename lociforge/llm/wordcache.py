@@ -159,6 +159,9 @@ _WHITE = r"\s\x0b\x{85}\p{Z}"
 _LITERAL, _CUT = "\x01", "\x02"
 #: A space with white space (or the end) on both sides: the pattern may join it with what is before it.
 _JOINED = rf"[{_WHITE}] (?:[{_WHITE}]|\z)"
+#: Further borders of the pattern: between a letter and a mark, and beside a lone line end.
+_MARK, _LINE = r"([A-Za-z])([!-/:-@\[-`{-~])", r"([!-~])(\n)"
+_LITERALS = rf"\1 {_LITERAL}\2"
 _BEFORE_WHITE = rf"([^{_WHITE}])([{_WHITE}])"
 #: Texts that go to the tokenizer whole go in runs of so many characters, cut before a space between ASCII marks, letters or digits.
 RUN = 1 << 16
@@ -188,13 +191,14 @@ def _byte_pieces(specials: list[str]) -> Callable[[pa.Array], pa.Array]:
             whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         joined = ~whole & pc.match_substring_regex(texts, _JOINED).to_numpy(zero_copy_only=False)
         marked = lambda x: pc.binary_join_element_wise(pa.scalar(_LITERAL), x, "")
+        finer = lambda x: pc.replace_substring_regex(pc.replace_substring_regex(x, _MARK, _LITERALS), _LINE, _LITERALS)
         if not (whole | joined).any():
-            return pc.split_pattern(marked(texts), " ")
+            return pc.split_pattern(finer(marked(texts)), " ")
         rows = [np.flatnonzero(x) for x in (~whole & ~joined, joined, whole)]
         plain, cut, rest = (texts.take(pa.array(x)) for x in rows)
         cut = pc.replace_substring_regex(marked(cut), _BEFORE_WHITE, rf"\1{_CUT}{_LITERAL}\2")
         own = pa.array([_runs(x) for x in rest.to_pylist()], pa.list_(pa.string()))
-        lists = pa.concat_arrays([pc.split_pattern(marked(plain), " "), pc.split_pattern(cut, _CUT), own])
+        lists = pa.concat_arrays([pc.split_pattern(finer(marked(plain)), " "), pc.split_pattern(cut, _CUT), own])
         return lists.take(pa.array(np.argsort(np.concatenate(rows), kind="stable")))
 
     return split
@@ -215,27 +219,24 @@ def byte_encoder(path: str) -> PieceEncoder:
         (end,) = tokenizer.encode("\n", add_special_tokens=False).ids
 
         def one_by_one(pieces: list[str]) -> list[list[int]]:
-            texts = [p[1:] if p.startswith(_LITERAL) else f" {p}" for p in pieces]
+            texts = [p[1:] if p[:1] == _LITERAL else f" {p}" for p in pieces]
             return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
         def encode(pieces: list[str]) -> list[list[int]]:
-            """Words as the lines of a text, whose ends are ids of their own; a lone line end in a word is one more. A call for each costs more than its work."""
-            plain = [p if p.isprintable() else p.replace("\n", "") for p in pieces]
-            words = [x.isprintable() and " " not in x and (x is p or p[0] != "\n" != p[-1] and "\n\n" not in p) for x, p in zip(plain, pieces, strict=True)]
-            own = [p for p, x in zip(pieces, words, strict=True) if x]
+            """LINES pieces at a time as lines of a text, whose ends are ids of their own: a call for each costs more than its work."""
             found = []
-            for k in range(0, len(own), LINES):
-                (coded,) = tokenizer.encode_batch_fast(["\n".join([f" {p}" for p in own[k : k + LINES]])], add_special_tokens=False)
-                ids, at = coded.ids, 0
-                cuts = [*(j for j, i in enumerate(ids) if i == end), len(ids)]
-                ends = np.cumsum([1 + p.count("\n") for p in own[k : k + LINES]]) - 1
-                if ends[-1] != len(cuts) - 1:
-                    return one_by_one(pieces)
-                for b in ends.tolist():
-                    found.append(ids[at : cuts[b]])
-                    at = cuts[b] + 1
-            found, rest = iter(found), iter(one_by_one([p for p, x in zip(pieces, words, strict=True) if not x]))
-            return [next(found if x else rest) for x in words]
+            for k in range(0, len(pieces), LINES):
+                own = pieces[k : k + LINES]
+                text = "\n".join([p[1:] if p[:1] == _LITERAL else f" {p}" for p in own])
+                spaces = len(own) - sum(p[:1] == _LITERAL for p in own)
+                if text.count("\n") < len(own) and text.count(" ") == spaces and text.replace("\n", "").isprintable():  # no other white space
+                    ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                    cuts = [-1, *[j for j, i in enumerate(ids) if i == end], len(ids)]
+                    if len(cuts) == len(own) + 1:
+                        found += [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                        continue
+                found += one_by_one(own)
+            return found
 
         own = PieceEncoder(_byte_pieces(specials), encode, limit=900_000)
         ids, n = own(pa.array(_BYTE_PROBES))
