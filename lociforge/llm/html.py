@@ -14,6 +14,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -26,9 +27,9 @@ from lociforge.llm.shared import staged
 MIN_PAGES, MIN_SHARE = 5, 0.5
 #: Pages of a host that are many at any size of the host: no share is needed then.
 MANY = 100
-#: Recurring subtrees (host and hash) up to which the list of them is broadcast.
+#: Recurring subtrees (host and hash) up to which their keys are sent to all tasks.
 MAX_BROADCAST = 500_000
-#: Tasks over which the pages of a host are spread where it is not.
+#: Tasks over which the pages with a subtree are spread where they are not.
 SALTS = 32
 
 _TOKEN = re.compile(
@@ -86,13 +87,18 @@ _NAME = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"
 
 def _signed(text: str) -> int:
     h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
-    return h - (1 << 64) if h >> 63 else h
+    return (h - (1 << 64) if h >> 63 else h) or 1  # 0 stands for no hash
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, list[int], bool]], list[int]]:
-    """Blocks (text, hashes of the subtrees around it that may be furniture, whether markup tells that it is), and all such hashes of the page.
+Node = tuple[int, int | None, int | None]
 
-    By markup furniture is also what lies outside of the articles of a page, or else of its main elements.
+
+def parse(page: str | None) -> tuple[list[tuple[str, int, bool]], list[Node]]:
+    """Blocks (text, least node around it or -1, whether markup tells that it is furniture), and the nodes of the page.
+
+    A node is an element that may be furniture: the node around it or -1, the hashes of its text and of its structure,
+    if these tell about it. By markup furniture is also what lies outside of the articles of a page, or else
+    of its main elements. Time and memory grow with the page, however deep its elements are.
     """
     page = page or ""
     stack = [_Element("html", "", False, "", 0)]
@@ -169,7 +175,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int], bool]], list[int
             continue
         if tag in _VOID or m[3].endswith("/") and tag not in _CORE:
             continue
-        if tag not in _INLINE:  # a block ends an open paragraph, a list item the one before it
+        if tag not in _INLINE and (opened.get("p") or tag in _ENDS_SELF and opened.get(tag)):  # a block ends an open paragraph, a list item the one before it
             for k in range(len(stack) - 1, 0, -1):
                 kind = stack[k].tag
                 if kind == "p" or kind == tag and tag in _ENDS_SELF:
@@ -193,11 +199,39 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int], bool]], list[int
     judged = _beside_text(parents, sizes, {b[1] for b in blocks if core and b[2] == core})
     # without an article text and furniture may look alike, so there only lists of links are told by their structure
     shapes = [h if h is not None and judged[i] and (core or linked[i]) else None for i, h in enumerate(shapes)]
-    around: dict[int, list[int]] = {-1: []}
-    for i, up in enumerate(parents):
-        own = [h for h in (texts[i], shapes[i]) if h is not None]
-        around[i] = around[up] + own if own else around[up]
-    return [(s, around[i], furniture or kind != core) for s, i, kind, furniture in blocks], sorted({h for x in (texts, shapes) for h in x if h is not None})
+    nodes, at = [], {-1: -1}
+    for i, up in enumerate(parents):  # parents come before their children
+        at[i] = at[up]
+        if texts[i] is not None or shapes[i] is not None:
+            at[i] = len(nodes)
+            nodes.append((at[up], texts[i], shapes[i]))
+    return [(s, at[i], furniture or kind != core) for s, i, kind, furniture in blocks], nodes
+
+
+def all_around(blocks: list[tuple[str, int, bool]], nodes: list[Node]) -> set[int]:
+    """Hashes of nodes that together hold all blocks but those that markup tells to be furniture (all blocks, if it tells so of each)."""
+    own = [k for _, k, marked in blocks if not marked] or [k for _, k, _ in blocks]
+    held = [0] * len(nodes)
+    for k in own:
+        if k >= 0:
+            held[k] += 1
+    of: dict[int, int] = {}
+    for k in range(len(nodes) - 1, -1, -1):
+        up, *hashes = nodes[k]
+        if up >= 0:
+            held[up] += held[k]
+        for h in hashes:
+            if h is not None:
+                of[h] = of.get(h, 0) + held[k]
+    return {h for h, n in of.items() if n >= len(own) > 0}
+
+
+def without(texts: list[str], around: list[int], marked: list[bool] | None, nodes: list[tuple[int, bool]]) -> str:
+    """The blocks outside of deleted nodes and not marked, joined. nodes: node around it, whether it is deleted."""
+    gone: list[bool] = []
+    for up, hit in nodes:
+        gone.append(hit or up >= 0 and gone[up])
+    return "\n".join(t for i, (t, k) in enumerate(zip(texts, around, strict=True)) if not (k >= 0 and gone[k]) and not (marked is not None and marked[i]))
 
 
 def _beside_text(parents: list[int], sizes: list[int | None], core: set[int]) -> list[bool]:
@@ -222,28 +256,49 @@ def _beside_text(parents: list[int], sizes: list[int | None], core: set[int]) ->
     return [not a and not b for a, b in zip(inside, holds, strict=True)]
 
 
+_INTS, _LONGS = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
 _PARSED = T.StructType([
-    T.StructField("texts", T.ArrayType(T.StringType())),
-    T.StructField("owners", T.ArrayType(T.ArrayType(T.IntegerType()))),
-    T.StructField("marked", T.ArrayType(T.BooleanType())),
-    T.StructField("subtrees", T.ArrayType(T.LongType())),
+    T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("around", _INTS), T.StructField("marked", T.ArrayType(T.BooleanType())),
+    T.StructField("up", _INTS), T.StructField("words", _LONGS), T.StructField("shapes", _LONGS), T.StructField("subtrees", _LONGS),
 ])
 
 
 @F.pandas_udf(_PARSED)
 def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Blocks of each page, the subtrees around each (by place) but not around all of its text, and all subtrees."""
+    """Blocks and nodes of each page, and the distinct hashes of its nodes; a node has only hashes for which it may be deleted."""
+
+    def one(page: str | None) -> tuple:
+        blocks, nodes = parse(page)
+        every = all_around(blocks, nodes)
+        may = lambda c: [0 if n[c] is None or n[c] in every else n[c] for n in nodes]
+        texts, around, marked = zip(*blocks, strict=True) if blocks else ((), (), ())
+        return list(texts), list(around), list(marked), [n[0] for n in nodes], may(1), may(2), sorted({h for n in nodes for h in n[1:] if h is not None})
+
     for part in pages:
-        rows = [parse(x) for x in part]
-        own = [[set(h) for _, h, marked in blocks if not marked] or [set(h) for _, h, _ in blocks] for blocks, _ in rows]
-        whole = [set.intersection(*x) if x else set() for x in own]
-        places = [{h: i for i, h in enumerate(trees)} for _, trees in rows]
-        yield pd.DataFrame({
-            "texts": [[s for s, _, _ in blocks] for blocks, _ in rows],
-            "owners": [[[at[x] for x in h if x not in every] for _, h, _ in blocks] for (blocks, _), every, at in zip(rows, whole, places, strict=True)],
-            "marked": [[m for _, _, m in blocks] for blocks, _ in rows],
-            "subtrees": [trees for _, trees in rows],
-        })
+        rows = [one(x) for x in part]
+        yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype="object") for k, c in enumerate(_PARSED.names)})
+
+
+def _left(known: np.ndarray | None, markup: bool):
+    """The main text of parsed pages; known has the keys of recurring subtrees, or else each page brings those of its own."""
+
+    @F.pandas_udf(T.StringType())
+    def left(pages: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for part in pages:
+            out = []
+            for r in part.itertuples(index=False):
+                if known is None:
+                    hit = set() if r.hits is None else set(r.hits.tolist())
+                elif len(known) and r.keys is not None and len(r.keys):
+                    k = np.searchsorted(known, r.keys)
+                    hit = set(np.asarray(r.subtrees)[known[np.minimum(k, len(known) - 1)] == r.keys].tolist())
+                else:
+                    hit = set()
+                nodes = [(u, w in hit or x in hit) for u, w, x in zip(r.up.tolist(), r.words.tolist(), r.shapes.tolist(), strict=True)]
+                out.append(without(r.texts, r.around, r.marked if markup else None, nodes))
+            yield pd.Series(out, dtype="object")
+
+    return left
 
 
 def host_of(url: Column) -> Column:
@@ -253,7 +308,7 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, recurring): hashes of the subtrees that recur on a host's pages, from pages (host, body, subtrees).
+    """(host, subtree): hashes of the subtrees that recur on a host's pages, from pages (host, body, subtrees).
 
     Pages of one body count once. A subtree recurs on min_pages and on min_share of the
     host's pages or MANY of them.
@@ -261,8 +316,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     pages = pages.filter("host is not null").dropDuplicates(["host", "body"])
     seen = pages.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
     total = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    often = seen.filter(F.col("n") >= min_pages).join(total, "host").filter(F.col("n") >= F.least(min_share * F.col("pages"), F.lit(float(MANY))))
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("recurring"))
+    often = seen.filter(F.col("n") >= min_pages).join(total, "host")
+    return often.filter(F.col("n") >= F.least(min_share * F.col("pages"), F.lit(float(MANY)))).select("host", "subtree")
 
 
 def main_text(
@@ -271,24 +326,26 @@ def main_text(
 ) -> DataFrame:
     """The columns of pages but for the page itself, and ``into``: blocks of the main text in page order, joined by \\n.
 
-    Pages are parsed once; their blocks are stored. markup=False leaves everything to the templates.
+    Pages are parsed once; their blocks are stored. What recurs is told to the tasks as sorted keys if there are few (max_broadcast),
+    else joined by host and subtree. Pages may be as deep as they are long. markup=False leaves everything to the templates.
     Null and empty pages have an empty text; pages whose URL has no host keep what markup
     doesn't tell to be furniture; repeated rows are pages of their own; an empty table gives
     an empty result; a column of pages named as ``into`` is replaced; other columns may have any name.
     """
     other = [c for c in pages.columns if c not in (page, into)]
     row = F.struct(*[F.col(f"`{c}`") for c in other] or [F.lit(True).alias("none")])
-    rows = staged(pages.select(row.alias("row"), host_of(F.col(url)).alias("host"), parsed(F.col(page)).alias("p")), "blocks")
+    rows = pages.select(row.alias("row"), host_of(F.col(url)).alias("host"), parsed(F.col(page)).alias("p"), F.monotonically_increasing_id().alias("page"))
+    rows = staged(rows, "blocks")
     found = staged(templates(rows.select("host", F.xxhash64("p.texts").alias("body"), "p.subtrees"), min_pages, min_share), "templates")
-    n = found.agg(F.sum(F.size("recurring"))).first()[0] or 0
-    if n <= max_broadcast:
-        rows = rows.join(F.broadcast(found), "host", "left")
-    else:  # a host may have a large share of all pages, so its templates go to several tasks
+    parts = [F.col(f"p.{c}").alias(c) for c in _PARSED.names]
+    no_keys, no_hits = F.lit(None).cast("array<bigint>").alias("keys"), F.lit(None).cast("array<bigint>").alias("hits")
+    if found.limit(max_broadcast + 1).count() <= max_broadcast:
+        known = np.sort(found.select(F.xxhash64("host", "subtree").alias("key")).toArrow()["key"].to_numpy())  # max_broadcast numbers at most
+        keys = F.when(F.col("host").isNotNull(), F.transform("p.subtrees", lambda x: F.xxhash64(F.col("host"), x))).alias("keys")
+        rows = rows.select("row", _left(known, markup)(F.struct(*parts, keys, no_hits)).alias("text"))
+    else:  # each page gets the recurring ones of its own; a subtree of a large host is on many pages, so it goes to several tasks
+        own = rows.select("page", "host", F.explode("p.subtrees").alias("subtree")).withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
         spread = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("p.texts"), F.lit(SALTS)).cast("int")).join(found.withColumn("salt", spread), ["host", "salt"], "left")
-    blocks = F.arrays_zip(F.col("p.texts").alias("text"), F.col("p.owners").alias("owners"), F.col("p.marked").alias("marked"))
-    rows = rows.withColumn("hit", F.filter(F.sequence(F.lit(0), F.size("p.subtrees")), lambda i: F.coalesce(F.array_contains("recurring", F.get("p.subtrees", i)), F.lit(False))))
-    gone = lambda b: F.arrays_overlap(b["owners"], F.col("hit")) | (b["marked"] & F.lit(markup))
-    text = F.array_join(F.transform(F.filter(blocks, lambda b: ~gone(b)), lambda b: b["text"]), "\n")
-    rows = rows.select("row", F.coalesce(text, F.lit("")).alias("text"))  # apart, so that no name of the user's is in sight
+        hits = own.join(found.withColumn("salt", spread), ["host", "subtree", "salt"]).groupBy("page").agg(F.collect_list("subtree").alias("hits"))
+        rows = rows.join(hits, "page", "left").select("row", _left(None, markup)(F.struct(*parts, no_keys, "hits")).alias("text"))
     return rows.select(*[F.col("row")[c].alias(c) for c in other], F.col("text").alias(into))
