@@ -5,8 +5,9 @@ documents are counted by pattern (at most 3 ** rules of them, whatever the corpu
 expectation-maximisation over these counts estimates how often each rule is right and how
 many documents are good; a document is kept if its posterior probability of being good is
 at least ``threshold``. The posterior decides about every pattern, opposed or not. That rules
-are rarely wrong about good documents is a prior: a rule that opposes a few documents alone is
-believed, one that opposes a large share of otherwise clean documents is not.
+are rarely wrong about good documents is a prior worth a few documents. Where some documents have labels,
+a bounded sample of them keeps its labels in the estimate. Some rules are strict and often wrong
+about good documents; what each is worth, the estimate tells.
 """
 
 from __future__ import annotations
@@ -28,9 +29,14 @@ MEASURES = (
 )
 #: Words of a window in which distinct words are counted.
 WINDOW = 100
-#: Priors (worth so many times the documents, mean) of a rule's accuracy on bad and on good ones, and of the share of
-#: good ones. Chosen on the vote patterns of labelled documents, a few thousand.
-BAD, GOOD, SHARE = (0.6, 0.4), (20.0, 0.9998), (1.0, 0.92)
+#: The prior: so many documents, of which a share is good, and on which each rule is right so often if they are bad or good.
+#: Strict rules are wrong about good documents more often.
+PRIOR = {"documents": 20, "share": 0.9, "bad": 0.4, "good": 0.995, "strict": 0.9}
+STRICT = ("symbol_chars", "some_capitals", "some_marks", "some_bare", "some_lines", "brief", "line_size", "phrases", "wording", "long_words", "mean_word")
+#: Documents are kept from this probability of being good on: a good one lost counts for more than a bad one kept.
+KEPT = 0.01
+#: Labelled documents that a fit takes at most.
+LABELLED = 5000
 _SPACES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 #: Bytes that are neither letters nor digits of ASCII; a word of these alone is bare.
@@ -121,30 +127,50 @@ def rules(m: str = "measures") -> dict[str, Column]:
             (c("word_chars") / words < 2.0) | (c("word_chars") / words > 15.0) | (c("longest_word") > 1000),
             (c("word_chars") / words).between(3.0, 11.0),
         ),
+        # strict ones, several of which good documents fail one by one, and which say again what others say
+        "symbol_chars": _vote(c("n_symbols") / F.greatest(c("word_chars"), F.lit(1)) > 0.05, c("n_symbols") / F.greatest(c("word_chars"), F.lit(1)) < 0.005),
+        "some_capitals": _vote(share("n_upper") > 0.15, share("n_upper") < 0.03),
+        "some_marks": _vote(share("n_marks") > 0.08, share("n_marks") < 0.01),
+        "some_bare": _vote(share("n_bare_words") > 0.1, share("n_bare_words") < 0.01),
+        "some_lines": _vote(c("n_dup_lines") / lines > 0.3, c("n_dup_lines") / lines < 0.05),
+        "brief": _vote(c("n_words") < 100, c("n_words") >= 200),
+        "line_size": _vote((c("n_words") / lines < 12) | (c("n_words") / lines > 100), (c("n_words") / lines).between(20, 80)),
+        "phrases": _vote(share("n_repeat_words") > 0.05, share("n_repeat_words") < 0.01),
+        "wording": _vote((c("n_words") > 0) & (distinct < 0.75), distinct > 0.8),
+        "long_words": _vote(c("longest_word") > 25, c("longest_word") <= 18),
+        "mean_word": _vote((c("word_chars") / words < 4.4) | (c("word_chars") / words > 6.4), (c("word_chars") / words).between(4.8, 5.6)),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) -> tuple[float, np.ndarray]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], labelled: list[tuple[tuple[int, ...], int, int]] = (), strict: tuple[int, ...] = (), rounds: int = 500) -> tuple[float, np.ndarray]:
     """Share of good documents, and of each rule the share of right votes on bad and on good ones.
 
-    patterns: votes and how many documents cast them. Starts from: bad if any rule says so.
-    Rules miss most kinds of bad, so the two accuracies are apart; without
-    their priors the classes may become any two kinds of document.
+    patterns: votes and how many documents cast them; labelled: votes, label (1: good) and how many; strict: places
+    of strict rules. Labelled
+    documents keep their label and PRIOR stands for a few more, so both weigh less the larger the corpus is. Starts
+    from the labelled ones, or without any from: bad if any rule says so.
     """
     if not patterns:
         return 0.5, np.zeros((2, 0))
-    votes = np.array([p for p, _ in patterns])
-    n = np.array([k for _, k in patterns], float)[:, None]
+    votes, n = np.array([p for p, _ in patterns]), np.array([k for _, k in patterns], float)
     says = np.stack([votes == 0, votes == 1]).astype(float)
-    total = n.sum()
-    worth, mean = total * np.array([[BAD[0]], [GOOD[0]]]), np.array([[BAD[1]], [GOOD[1]]])
-    p = np.where((votes == 0).any(1)[:, None], 0.1, 0.95)
+    worth = PRIOR["documents"]
+    right0 = worth * np.repeat([[PRIOR["bad"]], [PRIOR["good"]]], votes.shape[1], axis=1)
+    right0[1, list(strict)] = worth * PRIOR["strict"]
+    cast0 = np.full_like(right0, worth)
+    good0, all0 = worth * PRIOR["share"], worth
+    for v, label, k in labelled:
+        v = np.array(v)
+        right0[label] += k * (v == label)
+        cast0[label] += k * (v >= 0)
+        good0, all0 = good0 + k * label, all0 + k
+    right, prior = right0 / cast0, good0 / all0
+    p = np.where((votes == 0).any(1), 0.1, 0.95) if not labelled else 1 / (1 + np.exp(-_odds(votes, prior, right)))
     for _ in range(rounds):
-        cast = np.stack([((1 - p) * n * (says[0] + says[1])).sum(0), (p * n * (says[0] + says[1])).sum(0)])
-        right = np.stack([((1 - p) * n * says[0]).sum(0), (p * n * says[1]).sum(0)])
-        right = (right + worth * mean) / (cast + worth)
-        prior = float(((p * n).sum() / total + SHARE[0] * SHARE[1]) / (1 + SHARE[0]))
-        new = (1 / (1 + np.exp(-_odds(votes, prior, right))))[:, None]
+        weight = np.stack([(1 - p) * n, p * n])
+        right = (np.stack([weight[k] @ says[k] for k in (0, 1)]) + right0) / (weight @ (says[0] + says[1]) + cast0)
+        prior = (float(weight[1].sum()) + good0) / (float(n.sum()) + all0)
+        new = 1 / (1 + np.exp(-_odds(votes, prior, right)))
         done, p = np.abs(new - p).max() < 1e-9, new
         if done:
             break
@@ -162,14 +188,26 @@ def _odds(votes: np.ndarray, prior: float, right: np.ndarray) -> np.ndarray:
     return math.log(prior / (1 - prior)) + ((votes == 0) * no + (votes == 1) * yes).sum(1)
 
 
-def verdicts(rows: DataFrame, measures: str = "measures", threshold: float = 0.5) -> DataFrame:
+def labelled_votes(rows: DataFrame, labels: DataFrame, measures: str = "measures", most: int = LABELLED) -> list[tuple[tuple[int, ...], int, int]]:
+    """Votes, label and number of documents, of at most ``most`` labelled documents, in the order of a hash of their doc_id."""
+    known = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("quality").alias("_most")).filter("_q = _most")
+    votes = F.array(*[v.cast("int") for v in rules(measures).values()])
+    sample = rows.select(F.col("doc_id").alias("_id"), votes.alias("votes")).join(known.select(F.col("doc_id").alias("_id"), "_q"), "_id")
+    found = sample.orderBy(F.xxhash64("_id"), "_id", "votes").limit(most).groupBy("votes", "_q").count().collect()
+    return sorted((tuple(r["votes"]), int(r["_q"]), r["count"]) for r in found)
+
+
+def verdicts(rows: DataFrame, measures: str = "measures", threshold: float = KEPT, labels: DataFrame | None = None) -> DataFrame:
     """rows with quality (the posterior), base_failed and kept, from their measures.
 
-    Reads rows twice: once to count vote patterns, once for the result.
+    Reads rows once or twice (with labels) to count vote patterns, once for the result. labels: doc_id, quality;
+    documents that it tells to be both count as unlabelled.
     """
     votes = F.array(*[v.cast("int") for v in rules(measures).values()])
-    counts = rows.select(votes.alias("votes")).groupBy("votes").count().collect()  # at most 3 ** rules rows
-    prior, right = fit(sorted((tuple(r["votes"]), r["count"]) for r in counts))
+    counts = rows.select(votes.alias("votes")).groupBy("votes").count().collect()  # at most 3 ** rules rows, in fact hundreds
+    known = labelled_votes(rows, labels, measures) if labels is not None else []
+    strict = tuple(k for k, name in enumerate(rules(measures)) if name in STRICT)
+    prior, right = fit(sorted((tuple(r["votes"]), r["count"]) for r in counts), known, strict)
     odds = F.lit(math.log(prior / (1 - prior)))
     for no, yes, vote in zip(*map(np.ndarray.tolist, _weights(right)), rules(measures).values(), strict=False):
         odds = odds + F.when(vote == 1, yes).when(vote == 0, no).otherwise(0.0)
@@ -179,7 +217,7 @@ def verdicts(rows: DataFrame, measures: str = "measures", threshold: float = 0.5
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
-def judged(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", threshold: float = KEPT, labels: DataFrame | None = None) -> DataFrame:
     """docs with the columns measures, quality, base_failed and kept.
 
     base_failed: under 50 words, or over half of the words in repeated windows of three.
@@ -187,13 +225,13 @@ def judged(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
     table gives an empty result; columns of docs with one of the four names are replaced.
     """
     docs = docs.drop("measures", "quality", "base_failed", "kept")
-    return verdicts(measured(docs, text), threshold=threshold)
+    return verdicts(measured(docs, text), threshold=threshold, labels=labels)
 
 
-def quality_table(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def quality_table(docs: DataFrame, threshold: float = KEPT, labels: DataFrame | None = None) -> DataFrame:
     """One row per document with its measures and verdict, without its text.
 
     The measures, a few numbers a document, are staged, so that the texts are read once.
     """
     rows = staged(measured(docs.select("doc_id", "text")).drop("text"), "quality")
-    return verdicts(rows, threshold=threshold).select("doc_id", "measures.*", "quality", "base_failed", "kept")
+    return verdicts(rows, threshold=threshold, labels=labels).select("doc_id", "measures.*", "quality", "base_failed", "kept")

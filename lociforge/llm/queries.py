@@ -28,7 +28,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_table(table(spark, sf_dir, "documents"))
+    rows = quality_table(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("quality", 6).alias("quality"),
