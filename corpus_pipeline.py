@@ -16,7 +16,7 @@ from lociforge.llm.pii import masked, with_spans
 from lociforge.llm.quality import measured, verdicts
 from lociforge.llm.queries import tokenizer_file
 from lociforge.llm.sentencepiece import encoded
-from lociforge.llm.shared import staged, table
+from lociforge.llm.shared import staged, table, table_if_any
 from lociforge.llm.similar import one_of_similar
 
 MODEL = "piece_bpe_32k.model"
@@ -34,9 +34,12 @@ def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; null and empty texts are rejected, repeated rows are judged alike."""
+    """Documents that the quality rules keep; null and empty texts are rejected, repeated rows are judged alike.
+
+    A bounded sample of the documents in labels, where there are some, is part of the estimate.
+    """
     rows = staged(measured(_packed(docs)), "measured")  # the votes are counted before any verdict
-    return _unpacked(verdicts(rows).filter("kept"), docs)
+    return _unpacked(verdicts(rows, labels=table_if_any(spark, sf_dir, "labels")).filter("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
