@@ -11,9 +11,10 @@ counted in two steps:
   fewest hard texts have, and of these only what several have can lead to another text.
 
 Texts that share a first shingle are compared: each with the text of the least key that it
-shares one with, then with that of each of its shingles, then those that are still in
-different components with each other. A large group of near copies so costs a comparison or a
-few a text, not all pairs, and no pair is left out.
+shares one with, then those that are still in different components with each other. Of a shingle that up to FEW
+texts have these pairs are joined. The texts of one that more have go to tasks in blocks with their whole sets; a
+task compares them with numpy and gives only links that join components. So rows grow with the
+texts, not with their pairs, and no pair is left out.
 
 A pair is judged by its sizes, then by parity sketches (a bit for each element of a set or
 more, which says whether an odd number fell on it): two sets differ in as many elements as
@@ -46,6 +47,8 @@ LEAST = (4, 5)
 SHOWN = (3, 10)
 #: Shingles that a task holds before it ships them; documents of a task that have a shingle, from which on it ships one of them.
 HELD, HOT = 4 << 20, 64
+#: Texts of a token whose pairs are joined; texts of a block where more have it, and elements of a block of bits.
+FEW, MEMBERS, COLUMNS = 8, 2048, 1 << 13
 #: Rows up to which a list of texts is broadcast.
 MAX_BROADCAST = 1_000_000
 
@@ -316,21 +319,85 @@ def similar_links(docs: DataFrame, text: str, own: DataFrame) -> DataFrame:
     slim = staged(own.join(few(hard.select("k")), "k", "left_semi").dropDuplicates(["k"]).select("k", "n", "sketch"), "sketches")
     shared = _shared(sets)
 
-    def parted(links: DataFrame) -> DataFrame:
-        parts = contracted(links).withColumnsRenamed({"a": "k", "b": "part"})
-        rows = shared.join(parts, "k", "left").select("token", "k", "n", "centre", F.coalesce("part", "k").alias("part"))
-        several = rows.groupBy("token").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.min_by("part", "k").alias("_of_centre")).filter("_a < _b")
-        return staged(rows.join(several.select("token", "_of_centre"), "token").filter("k > centre"), "left")
-
     one = shared.groupBy("k").agg(F.min("centre").alias("b")).filter("k > b").select(F.col("k").alias("a"), "b")
     links = _verified(sets, slim, one)
-    left = parted(links)
-    each = left.filter("part != _of_centre").select(F.col("k").alias("a"), F.col("centre").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
-    links = staged(links.union(_verified(sets, slim, each)), "links")
-    left = parted(links)
-    other = left.select("token", F.col("k").alias("b"), F.col("n").alias("_n"), F.col("part").alias("_part"))
-    both = left.join(other, "token").filter("k > b and part != _part").filter(_fits("n", "_n")).select(F.col("k").alias("a"), "b").distinct()
-    return links.union(_verified(sets, slim, both))
+    parts = contracted(links).withColumnsRenamed({"a": "k", "b": "part"})
+    rows = shared.join(parts, "k", "left").select("token", "k", "n", F.coalesce("part", "k").alias("part"))
+    several = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b")
+    left = staged(rows.join(several.select("token", "c"), "token"), "left")  # what shares a first shingle across components
+    few_, many = left.filter(F.col("c") <= FEW), left.filter(F.col("c") > FEW)
+    other = few_.select("token", F.col("k").alias("b"), F.col("n").alias("_n"), F.col("part").alias("_part"))
+    both = few_.join(other, "token").filter("k > b and part != _part").filter(_fits("n", "_n")).select(F.col("k").alias("a"), "b").distinct()
+    return links.union(_verified(sets, slim, both)).union(_among_many(many, sets))
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of some sets share, from bits or from lists of those that have an element, whichever is less work."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
+    kept = count[at] > 1
+    row, at = row[kept], (np.cumsum(count > 1) - 1)[at[kept]]
+    count = count[count > 1].astype(np.int64)
+    both = np.zeros((m, m), np.int32)
+    if m * m * len(count) / 64 < 8 * (count * count).sum():
+        for a in range(0, len(count), COLUMNS):
+            own = np.zeros((m, min(COLUMNS, -(-(len(count) - a) // 64) * 64)), np.uint8)
+            here = (at >= a) & (at < a + COLUMNS)
+            own[row[here], at[here] - a] = 1
+            bits = np.packbits(own, axis=1).view(np.uint64)
+            for i in range(m):
+                both[i] += np.bitwise_count(bits & bits[i]).sum(1, dtype=np.int32)
+        return both
+    order = np.argsort(at, kind="stable")
+    holders, start = row[order], np.cumsum(count) - count
+    for i in range(m):
+        own = at[row == i]
+        n = count[own]
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[own], n)
+        both[i] = np.bincount(holders[places], minlength=m)
+    return both
+
+
+def joining(keys: np.ndarray, parts: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of similar sets that join different parts, no more than needed: one fewer than the parts they join.
+
+    side: 0 all are compared with each other; 1 and 2 the ones with the others.
+    """
+    num, den = LEAST
+    n, both = np.array([len(x) for x in sets]), common(sets)
+    part, links = parts.copy(), []
+    for i in range(len(sets)):
+        near = den * both[i] >= num * (n + n[i] - both[i])
+        near &= (part != part[i]) & ((side != side[i]) | (side == 0))
+        for j in np.flatnonzero(near).tolist():
+            if part[j] != part[i]:
+                links.append((int(max(keys[i], keys[j])), int(min(keys[i], keys[j]))))
+                part[part == part[j]] = part[i]
+    return links
+
+
+def _among_many(left: DataFrame, sets: DataFrame, members: int | None = None) -> DataFrame:
+    """Links of the texts of tokens that many have, left (token, k, part, c): blocks of the texts of a token are compared in tasks.
+
+    A task has the whole sets of two blocks, or of one, and gives only links that join components, so the rows
+    are as many as the texts, not as their pairs; a token that more texts have goes to more tasks.
+    """
+    members = members or MEMBERS
+    n = F.ceil(F.col("c") / members).cast("int")
+    rows = left.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("k"), "_n").cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    rows = rows.select("token", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), side.alias("side"), "k", "part").join(sets, "k")
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        if part["part"].nunique() < 2:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        own = [np.frombuffer(x, np.uint64) for x in part["own"]]
+        links = joining(part["k"].to_numpy(np.int64), part["part"].to_numpy(np.int64), part["side"].to_numpy(np.int64), own)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return staged(rows.groupBy("token", "_a", "_b").applyInPandas(search, "a long, b long").distinct(), "links")
 
 
 def one_of_similar(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -91,12 +91,69 @@ def test_counts_of_tokens(spark, hot):
     assert all(min(n, hot) == min(plain[t], hot) for (_, t), n in got.items())
 
 
-@pytest.mark.parametrize("name,value", [("SHOWN", (1, 4)), ("SHOWN", (1, 1)), ("HOT", 2), ("HELD", 1), ("MAX_BROADCAST", 0)])
+@pytest.mark.parametrize("name,value", [("SHOWN", (1, 4)), ("SHOWN", (1, 1)), ("HOT", 2), ("HELD", 1), ("MAX_BROADCAST", 0), ("FEW", 2), ("FEW", 1000), ("MEMBERS", 3), ("COLUMNS", 64)])
 def test_bounds_move_no_result(spark, copies, monkeypatch, name, value):
     monkeypatch.setattr(similar, name, value)
+    if name in ("MEMBERS", "COLUMNS"):
+        monkeypatch.setattr(similar, "FEW", 2)
     assert _kept(spark, copies) == plain_kept(copies)
 
 
+@pytest.mark.parametrize("universe", [40, 4000])
+def test_common_elements_of_all_pairs(universe, monkeypatch):
+    monkeypatch.setattr(similar, "COLUMNS", 128)
+    rng = np.random.default_rng(universe)
+    sets = [np.unique(rng.integers(0, universe, rng.integers(0, 90)).astype(np.uint64)) for _ in range(60)]
+    both = similar.common(sets)
+    assert all(both[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j or len(a) == 0)
+    assert similar.common([]).shape == (0, 0)
+
+
+def test_blocks_join_what_is_similar_with_few_links():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 40, 140).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(140) < rng.choice([0.03, 0.1, 0.2]), rng.integers(1 << 41, 1 << 42, 140).astype(np.uint64), base)) for _ in range(120)]
+    keys, parts = rng.permutation(1000)[:120], np.arange(120)
+    links = similar.joining(keys, parts, np.zeros(120, int), sets)
+    label = dict(zip(keys.tolist(), keys.tolist()))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        assert a > b and root(a) != root(b)  # no link too many
+        label[root(a)] = root(b)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            x = len(np.intersect1d(a, b))
+            if 5 * x >= 4 * (len(a) + len(b) - x):
+                assert root(keys[i]) == root(keys[j])
+    side = np.repeat([1, 2], 60)
+    across = similar.joining(keys, parts, side, sets)
+    of = dict(zip(keys.tolist(), side.tolist()))
+    assert across and all(of[a] != of[b] for a, b in across)
+
+
+def test_rows_grow_with_the_copies_of_a_template(spark, words, monkeypatch):
+    """Copies of one text with words changed in each, most pairs too far apart: what is verified grows with the texts."""
+    rng = random.Random(21)
+    base = " ".join(rng.choices(words, k=150))
+    made, verified = {}, similar._verified
+
+    def counting(sets, slim, pairs):
+        made[n] = made.get(n, 0) + pairs.count()
+        return verified(sets, slim, pairs)
+
+    monkeypatch.setattr(similar, "_verified", counting)
+    for n in (150, 600):
+        texts = [_changed(rng, words, base, rng.choice([1, 3, 7])) for _ in range(n)]
+        kept = _kept(spark, texts)
+        assert kept == plain_kept(texts) if n == 150 else len(kept) < n
+        assert made[n] <= 6 * n
+
+
 def test_the_stage_drops_copies_with_a_few_words_changed(spark, tmp_path, words):
     rng = random.Random(3)
     base = [" ".join(rng.choices(words, k=150)) for _ in range(6)]
