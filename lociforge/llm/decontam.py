@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,23 +164,26 @@ def contaminated(
     other = [c for c in docs.columns if c not in (text, "hits")]
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in other] or [F.lit(True).alias("none")]).alias("row"))
 
-    def found_in(source: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
+    def found_in(source: DataFrame, items: list[tuple[str, str]]) -> tuple[DataFrame, Broadcast]:
         windows = Windows(items, size)
         shared = spark.sparkContext.broadcast(windows)
         keyed = windows.keyed(_counts(source, "text", shared) if windows.owners else {})
-        shared.unpersist()
-        return source.withColumn("hits", _finder(spark.sparkContext.broadcast((windows, keyed)))(F.col("text")))
+        shared.destroy()
+        found = spark.sparkContext.broadcast((windows, keyed))
+        find = _finder(found)
+        return source.withColumn("hits", (find if n == 1 else find.asNondeterministic())(F.col("text"))), found  # not again for a filter
 
     n = _n_blocks(benchmark, item, item_text, max_words)
     blocks = _blocks(benchmark, item, item_text, n)
     if n == 1:
-        rows = found_in(rows, next(blocks))
+        rows, _ = found_in(rows, next(blocks))
     else:
         rows = staged(rows.withColumn("id", F.monotonically_increasing_id()), "decontam")
         found = None
         for items in blocks:
-            own = found_in(rows.select("id", "text"), items).select("id", "hits").filter(F.size("hits.starts") > 0)
-            own = staged(own, "hits")
+            own, shared = found_in(rows.select("id", "text"), items)
+            own = staged(own.select("id", "hits").filter(F.size("hits.starts") > 0), "hits")
+            shared.destroy()
             found = own if found is None else found.union(own)
         all_ = lambda f: F.flatten(F.collect_list(f"hits.{f}"))
         found = found.groupBy("id").agg(all_("starts").alias("starts"), all_("ends").alias("ends"), F.array_distinct(all_("items")).alias("items"))

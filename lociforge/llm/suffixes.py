@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lociforge.llm.anchors import HELD as TOGETHER
 from lociforge.llm.anchors import anchors, batches_of, gram_hashes, mixed, shared_grams
-from lociforge.llm.shared import staged
+from lociforge.llm.shared import new_folder, staged
 
 WINDOW, GRAM = 50, 20
 #: k = _k in a form that is no key of a join, so that bucketed texts stay where they are.
@@ -112,7 +112,7 @@ def firsts(rows: DataFrame, least: int) -> DataFrame:
 
 
 def bucketed_texts(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """The texts of ``first`` as a table bucketed by doc_id: (doc_id, k, k1, k2, text)."""
+    """The texts of ``first``, bucketed by doc_id in the shared folder: (doc_id, k, k1, k2, text)."""
     spark = docs.sparkSession
     text = docs.select("doc_id", "text").filter("text is not null and doc_id is not null")
     rows = text.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit("k2"), F.col("text")))
@@ -123,8 +123,11 @@ def bucketed_texts(docs: DataFrame, first: DataFrame) -> DataFrame:
     # equality of columns would become a key too
     own = first.select("doc_id", "k", F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).repartition(n, "doc_id")
     kept = rows.repartition(n, "doc_id").join(own, "doc_id").filter("(k1 ^ _k1) = 0 and (k2 ^ _k2) = 0")
-    kept.select("doc_id", "k", "k1", "k2", "text").write.bucketBy(n, "doc_id").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    writer = kept.select("doc_id", "k", "k1", "k2", "text").write.bucketBy(n, "doc_id").format("parquet")
+    writer.option("path", new_folder(spark, "texts")).saveAsTable(name)
+    texts = spark.table(name)  # which knows its files and buckets, so the name can go
+    spark.sql(f"drop table {name}")
+    return texts
 
 
 def _repeated(first: DataFrame, docs: DataFrame) -> bool:
