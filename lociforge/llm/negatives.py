@@ -27,8 +27,8 @@ from lociforge.llm.shared import staged
 PIVOTS, PIVOT_SAMPLE = 16, 4096
 #: Rows of a page, pages beyond which pages get larger instead, and rows of the sample for each leaf of the tree that orders the rows.
 PAGE, PAGES, A_LEAF = 2048, 32_768, 16
-#: Rows of anchors that visit a page together.
-VISITORS = 1024
+#: Anchors that visit pages together, and pairs of anchors and pages that are bracketed at once.
+VISITORS, BRACKETS = 1024, 1 << 22
 #: Components are whole parts of the vector's by so much.
 SCALE = 256.0
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
@@ -195,9 +195,10 @@ def search(anchors: DataFrame, pages: DataFrame, bounds: tuple[np.ndarray, np.nd
     numbers, least, most = bounds
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(VISITORS, BRACKETS // len(numbers)))
         for whole in batches:
-            for at in range(0, len(whole), VISITORS):
-                batch = whole.slice(at, VISITORS)
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
                 x, wishes = _matrix(batch["vec"], dim), _Wishes(batch["wishes"])
                 q = space.of_anchors(x)
                 near, far = np.zeros((len(x), len(numbers))), np.full((len(x), len(numbers)), np.inf)

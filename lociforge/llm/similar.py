@@ -12,7 +12,7 @@ counted in two steps:
 
 Texts that share a first shingle are compared: each with the text of the least key that it
 shares one with, then those that are still in different components with each other. Of a shingle that up to FEW
-texts have these pairs are joined. The texts of one that more have go to tasks in blocks with their whole sets; a
+texts have these pairs are joined. The texts of those that more have go to tasks in blocks with their whole sets; a
 task compares them with numpy and gives only links that join components. So rows grow with the
 texts, not with their pairs, and no pair is left out.
 
@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from lociforge.llm.anchors import gram_hashes
 from lociforge.llm.shared import staged
 from lociforge.llm.simhash import RADIUS, contracted, fingerprint, linked
+from lociforge.llm.suffixes import names_of
 from lociforge.llm.wordcache import slices
 
 SHINGLE = 5
@@ -47,8 +48,10 @@ LEAST = (4, 5)
 SHOWN = (3, 10)
 #: Shingles that a task holds before it ships them; documents of a task that have a shingle, from which on it ships one of them.
 HELD, HOT = 4 << 20, 64
-#: Texts of a token whose pairs are joined; texts of a block where more have it, and elements of a block of bits.
-FEW, MEMBERS, COLUMNS = 8, 2048, 1 << 13
+#: Texts of a token whose pairs are joined; texts of a block where more have one, and elements of a block of bits.
+FEW, MEMBERS, COLUMNS = 8, 1024, 1 << 13
+#: Texts that are compared with each other because common tokens join them, at most; else token by token.
+GROUP = 32 * MEMBERS
 #: Rows up to which a list of texts is broadcast.
 MAX_BROADCAST = 1_000_000
 
@@ -323,14 +326,32 @@ def similar_links(docs: DataFrame, text: str, own: DataFrame) -> DataFrame:
     links = _verified(sets, slim, one)
     parts = contracted(links).withColumnsRenamed({"a": "k", "b": "part"})
     rows = shared.join(parts, "k", "left").select("token", "k", "n", F.coalesce("part", "k").alias("part"))
-    several = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b")
+    marks = [F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")]
+    several = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("part").alias("_a"), F.max("part").alias("_b"), *marks).filter("_a < _b")
+    several = several.groupBy("c", "x", "y").agg(F.min("token").alias("token"))  # of shingles that the same texts have one does
     left = staged(rows.join(several.select("token", "c"), "token"), "left")  # what shares a first shingle across components
-    few_, many = left.filter(F.col("c") <= FEW), left.filter(F.col("c") > FEW)
+    few_, many = left.filter(F.col("c") <= FEW), _gathered(left.filter(F.col("c") > FEW).select("token", "k", "part", "c"))
     other = few_.select("token", F.col("k").alias("b"), F.col("n").alias("_n"), F.col("part").alias("_part"))
     both = few_.join(other, "token").filter("k > b and part != _part").filter(_fits("n", "_n")).select(F.col("k").alias("a"), "b").distinct()
     return links.union(_verified(sets, slim, both)).union(_among_many(many, sets))
 
 
+def _gathered(left: DataFrame, most: int | None = None) -> DataFrame:
+    """(name, k, part, c): groups in which texts of common tokens, left (token, k, part, c), are to be compared, and their sizes.
+
+    A text mostly has many tokens in common with the same others, so texts that tokens join, however far, are one group,
+    with which a text goes once; but the tokens of groups of over ``most`` texts are groups themselves.
+    """
+    stars = left.join(left.groupBy("token").agg(F.min("k").alias("b")), "token").filter("k > b").select(F.col("k").alias("a"), "b").distinct()
+    roots = contracted(stars).withColumnsRenamed({"a": "k", "b": "root"})
+    rows = staged(left.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), "groups")
+    own = rows.select("root", "k", "part").distinct()
+    sizes = own.groupBy("root").agg(F.count("*").alias("size"))
+    fits = F.col("size") <= (most or GROUP)
+    whole = own.join(sizes, "root").filter(fits).select(F.col("root").alias("name"), "k", "part", F.col("size").alias("c"))
+    return whole.union(rows.join(sizes, "root").filter(~fits).select(F.col("token").alias("name"), "k", "part", "c"))
+
+
 def common(sets: list[np.ndarray]) -> np.ndarray:
     """How many elements each two of some sets share, from bits or from lists of those that have an element, whichever is less work."""
     m = len(sets)
@@ -378,26 +399,30 @@ def joining(keys: np.ndarray, parts: np.ndarray, side: np.ndarray, sets: list[np
 
 
 def _among_many(left: DataFrame, sets: DataFrame, members: int | None = None) -> DataFrame:
-    """Links of the texts of tokens that many have, left (token, k, part, c): blocks of the texts of a token are compared in tasks.
+    """Links of the texts of groups, left (name, k, part, c): blocks of the texts of a group are compared in tasks.
 
     A task has the whole sets of two blocks, or of one, and gives only links that join components, so the rows
-    are as many as the texts, not as their pairs; a token that more texts have goes to more tasks.
+    are as many as the texts, not as their pairs; a group of more texts goes to more tasks.
     """
     members = members or MEMBERS
     n = F.ceil(F.col("c") / members).cast("int")
     rows = left.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("k"), "_n").cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
-    rows = rows.select("token", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), side.alias("side"), "k", "part").join(sets, "k")
-
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        if part["part"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        own = [np.frombuffer(x, np.uint64) for x in part["own"]]
-        links = joining(part["k"].to_numpy(np.int64), part["part"].to_numpy(np.int64), part["side"].to_numpy(np.int64), own)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return staged(rows.groupBy("token", "_a", "_b").applyInPandas(search, "a long, b long").distinct(), "links")
+    name = F.xxhash64("name", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("name")  # two that clash are compared together
+    rows = rows.select(name, side.alias("side"), "k", "part").join(sets, "k")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in names_of(x.select(["name", "side", "k", "part", "own"]) for x in batches):
+            name, side, k, part = (b[c].to_numpy().astype(np.int64) for c in ("name", "side", "k", "part"))
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in b["own"]]
+            cuts = [*np.flatnonzero(np.append(True, name[1:] != name[:-1])).tolist(), len(name)]
+            links = [x for i, j in zip(cuts, cuts[1:], strict=False) if (part[i:j] != part[i]).any() for x in joining(k[i:j], part[i:j], side[i:j], own[i:j])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "name").sortWithinPartitions("name").mapInArrow(search, "a long, b long")
+    return staged(rows.distinct(), "links")
 
 
 def one_of_similar(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
