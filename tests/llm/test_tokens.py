@@ -139,3 +139,24 @@ def test_counts_of_awkward_documents_and_clashing_names(spark, tokenizer, tokeni
 def test_other_tokenizers_are_refused(tokenizers_dir):
     with pytest.raises(ValueError):
         word_encoder(tokenizers_dir.path("byte_bpe_50k.json"))
+
+
+def test_numbers_in_folder_names_and_long_documents(spark, docs, texts, tokenizer, tokenizers_dir, tmp_path, monkeypatch):
+    """The number of a file is in its own name; a segment of many bytes counts as several; files of two runs are refused."""
+    from lociforge.llm import planes
+
+    path, want = tokenizers_dir.path("word_bpe_49k.json"), {}
+    for k, x in enumerate(texts):
+        want[k] = len(tokenizer.encode(x or "", add_special_tokens=False).ids) + 1
+    monkeypatch.setattr(planes, "UNIT", 2000)
+    folder = f"file://{tmp_path}/part-7/part-00009-c1/planes"
+    write_planes(docs, folder, path, end_id=1, segment_ids=500, file_segments=3)
+    rows = {r["doc_id"]: r for r in read_documents(spark, folder).collect()}
+    assert {k: r["n_tokens"] for k, r in rows.items()} == want
+    assert [rows[k]["start"] for k in sorted(rows)] == np.cumsum([0, *[want[k] for k in sorted(rows)]]).tolist()[:-1]
+    sizes = [f.stat().st_size for f in (tmp_path / "part-7/part-00009-c1/planes").glob("part-*")]
+    assert sizes.count(12) >= 3  # files of empty segments alone, after a long one
+    first = sorted((tmp_path / "part-7/part-00009-c1/planes").glob("part-*"))[0]
+    (first.parent / first.name.replace("part-", "part-", 1).replace(first.name[11:19], "ffffffff")).write_bytes(first.read_bytes())
+    with pytest.raises(ValueError, match="several runs"):
+        read_documents(spark, folder)
