@@ -192,6 +192,15 @@ def test_spans_against_python(spark):
             assert r[f"n_{kind}"] == sum(s[3] == kind for s in spans)
 
 
+def test_a_text_of_many_matches(spark):
+    """Places by running sums: time grows with the matches."""
+    n, card = 120_000, "4111 1111 1111 1111"
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{card} x "), F.repeat(F.lit("12 ,"), n), F.lit(card), F.repeat(F.lit("x3,"), n), F.lit(f"+{card}")).alias("text"))
+    began, at = time.perf_counter(), 4 * n + 22
+    (r,) = pii_table(df).collect()
+    assert r["spans"] == f"card:0:19,card:{at}:{at + 19},card:{at + 20 + 3 * n}:{at + 39 + 3 * n}" and time.perf_counter() - began < 90
+
+
 def test_validators_and_context_of_added_kinds(spark):
     texts = ["IBAN GB82 WEST 1234 5698 7654 32 end", "IBAN GB82 WEST 1234 5698 7654 33 end", "ssn: 123-45-6789", "part 123-45-6789", "DE89370400440532013000"]
     rows = with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
