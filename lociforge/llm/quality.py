@@ -31,10 +31,10 @@ MEASURES = (
 WINDOW = 100
 #: The prior: so many documents, of which a share is good, and on which each rule is right so often if they are bad or good.
 #: Strict rules are wrong about good documents more often.
-PRIOR = {"documents": 20, "share": 0.9, "bad": 0.4, "good": 0.995, "strict": 0.9}
+PRIOR = {"documents": 20, "share": 0.9, "bad": 0.1, "good": 0.995, "strict": 0.9}
 STRICT = ("symbol_chars", "some_capitals", "some_marks", "some_bare", "some_lines", "brief", "line_size", "phrases", "wording", "long_words", "mean_word")
-#: Documents are kept from this probability of being good on: a good one lost counts for more than a bad one kept.
-KEPT = 0.01
+#: Documents are kept from this probability of being good on.
+KEPT = 0.5
 #: Labelled documents that a fit takes at most.
 LABELLED = 5000
 _SPACES = b" \t\n\x0b\x0c\r"
