@@ -49,7 +49,7 @@ SHOWN = (3, 10)
 #: Shingles that a task holds before it ships them; documents of a task that have a shingle, from which on it ships one of them.
 HELD, HOT = 4 << 20, 64
 #: Texts of a token whose pairs are joined; texts of a block where more have one, and elements of a block of bits.
-FEW, MEMBERS, COLUMNS = 8, 1024, 1 << 13
+FEW, MEMBERS, COLUMNS = 8, 512, 1 << 13
 #: Texts that are compared with each other because common tokens join them, at most; else token by token.
 GROUP = 32 * MEMBERS
 #: Rows up to which a list of texts is broadcast.
@@ -413,7 +413,7 @@ def _among_many(left: DataFrame, sets: DataFrame, members: int | None = None) ->
     rows = rows.select(name, side.alias("side"), "k", "part").join(sets, "k")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in names_of(x.select(["name", "side", "k", "part", "own"]) for x in batches):
+        for b in names_of((x.select(["name", "side", "k", "part", "own"]) for x in batches), least=64):
             name, side, k, part = (b[c].to_numpy().astype(np.int64) for c in ("name", "side", "k", "part"))
             own = [np.frombuffer(x.as_buffer(), np.uint64) for x in b["own"]]
             cuts = [*np.flatnonzero(np.append(True, name[1:] != name[:-1])).tolist(), len(name)]
