@@ -508,7 +508,7 @@ def test_the_pipeline_against_its_plain_version(spark, tmp_path, words, model):
     rng = np.random.default_rng(4)
     clean = [" ".join(rng.choice(words, 90)) for _ in range(40)]
     item, alone = " ".join(rng.choice(words, 14)), " ".join(rng.choice(words, 70))
-    texts = [*clean, clean[0], clean[1] + "\n", clean[2] + " " + item, alone + " mail me@here.org or 10.1.2.3", "short", None, *[" ".join(f"{w}***" for w in clean[k].split()) for k in range(4, 10)]]
+    texts = [*clean, clean[0], clean[1] + "\n", clean[2] + " " + item, alone + " mail me@here.org or 10.1.2.3", "short", None, *[" | ".join(f"{w.upper()}***!" for w in clean[k].split()) for k in range(4, 10)]]
     pd.DataFrame({"doc_id": [*range(3, 15), 46, 47, 48], "quality": [1] * 12 + [0] * 3}).to_parquet(tmp_path / "labels.parquet")
     docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": "x", "source": "s", "n_chars": [len(t or "") for t in texts]})
     docs.to_parquet(tmp_path / "documents.parquet")
