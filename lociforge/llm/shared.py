@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +53,23 @@ def table_if_any(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | Non
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with memory given back before and after: workers serve one stage after another, and what each has freed would add up."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociforge.llm.anchors import gram_hashes
-from lociforge.llm.shared import staged
+from lociforge.llm.shared import lean, staged
 from lociforge.llm.simhash import RADIUS, contracted, fingerprint, linked
 from lociforge.llm.suffixes import names_of
 from lociforge.llm.wordcache import slices
@@ -47,7 +47,7 @@ LEAST = (4, 5)
 #: Share of its shingles that a text shows at first, as a fraction.
 SHOWN = (3, 10)
 #: Shingles that a task holds before it ships them; documents of a task that have a shingle, from which on it ships one of them.
-HELD, HOT = 4 << 20, 64
+HELD, HOT = 1 << 20, 64
 #: Texts of a token whose pairs are joined; texts of a block where more have one, and elements of a block of bits.
 FEW, MEMBERS, COLUMNS = 8, 512, 1 << 13
 #: Texts that are compared with each other because common tokens join them, at most; else token by token.
@@ -129,13 +129,13 @@ def _shipped(rows: DataFrame, sets_of, buckets: int, hot: int) -> DataFrame:
                 ks.append(k)
                 sets.append(own)
                 held += len(own)
-            if held >= HELD:
-                yield from flush(ks, sets)
-                ks, sets, held = [], [], 0
+                if held >= HELD:
+                    yield from flush(ks, sets)
+                    ks, sets, held = [], [], 0
         if held:
             yield from flush(ks, sets)
 
-    return rows.mapInArrow(run, "k long, tokens binary, counts binary, bucket long, data binary")
+    return rows.mapInArrow(lean(run), "k long, tokens binary, counts binary, bucket long, data binary")
 
 
 def _by_text(t: np.ndarray, k: np.ndarray, n: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -149,33 +149,76 @@ def _by_text(t: np.ndarray, k: np.ndarray, n: np.ndarray, names: list[str]) -> I
     yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(ends), kind) for kind in (pa.int64(), pa.binary())][: len(names) - 3]], names)
 
 
-def _counted(rows: DataFrame, sets_of, hot: int) -> DataFrame:
+def _mixed(k: np.ndarray) -> np.ndarray:
+    """Keys with their high bits brought low, so that buckets of them differ from those of tokens."""
+    x = k.view(np.uint64)
+    return x ^ (x >> np.uint64(33))
+
+
+def _packed(k: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, data), one for each bucket of keys k: columns there, one after the other."""
+    bucket = (_mixed(k) % np.uint64(buckets)).astype(np.int64)
+    o = np.argsort(bucket, kind="stable")
+    columns = [x[o] for x in columns]
+    cuts = np.searchsorted(bucket[o], np.arange(buckets + 1)).tolist()
+    ends = [(b, i, j) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+    data = [b"".join(x[i:j].tobytes() for x in columns) for _, i, j in ends]
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in ends], pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> list[np.ndarray]:
+    """The columns of _packed again, of all rows (bucket, data) of a task."""
+    parts, width = [], sum(np.dtype(x).itemsize for x in kinds)
+    for batch in batches:
+        for x in batch["data"]:
+            data, at, own = x.as_buffer(), 0, []
+            m = len(data) // width
+            for kind in kinds:
+                own.append(np.frombuffer(data, kind, m, at))
+                at += m * own[-1].itemsize
+            parts.append(own)
+    return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, kind) for i, kind in enumerate(kinds)]
+
+
+def _counted(rows: DataFrame, sets_of, hot: int, numbers: bool = False) -> DataFrame:
     """(k, tokens, counts): for each text tokens that others have too and how many do; a text may have several rows, and a token two counts,
-    of which all are right up to ``hot`` or at least that."""
+    of which all are right up to ``hot`` or at least that. numbers: (k, c) instead, c being how many tokens a row would have.
+
+    What meets by token goes back to its texts packed by their buckets, a row for each two buckets and not for each text and
+    bucket; so a text has one row of that, however many buckets there are.
+    """
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for x in batch["data"]:
-                data, m = x.as_buffer(), len(x.as_buffer()) // 17
-                parts.append((np.frombuffer(data, "<u8", m), np.frombuffer(data, "<i8", m, 8 * m), np.frombuffer(data, "u1", m, 16 * m)))
-        if not parts:
-            return
-        t, k, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        n = n.astype(np.int64)
+        t, k, n = _unpacked(batches, ["<u8", "<i8", "u1"])
         o = np.lexsort((n, k, t))
         t, k, n = t[o], k[o], n[o]
         last = np.append((t[1:] != t[:-1]) | (k[1:] != k[:-1]), True) if len(t) else np.empty(0, bool)
-        t, k, n = t[last], k[last], n[last]  # a text that several tasks have counts once
+        t, k, n = t[last], k[last], n[last].astype(np.int64)  # a text that several tasks have counts once
         at, size = _runs(t)
         total = np.repeat(np.add.reduceat(np.maximum(n, 1), at), size[at]) if len(at) else size
         several = total > 1
-        yield from _by_text(t[several], k[several], total[several], ["k", "tokens", "counts"])
+        if numbers:
+            k, c = np.unique(k[several], return_counts=True)
+            yield from _packed(k, [k, c.astype("<i8")], buckets)
+        else:
+            yield from _packed(k[several], [t[several], k[several], np.minimum(total[several], 1 << 30).astype("<i4")], buckets)
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if numbers:
+            k, c = _unpacked(batches, ["<i8", "<i8"])
+            k, at = np.unique(k, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(at, c, len(k)).astype(np.int64))], ["k", "c"])
+        else:
+            t, k, n = _unpacked(batches, ["<u8", "<i8", "<i4"])
+            yield from _by_text(t, k, n, ["k", "tokens", "counts"])
 
     dealt = _shipped(rows, sets_of, buckets, hot)  # run twice: stored, the tokens would be as large as the texts
-    among = dealt.filter("bucket is not null").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(meet, "k long, tokens binary, counts binary")
-    return dealt.filter("bucket is null").select("k", "tokens", "counts").unionByName(among)
+    among = dealt.filter("bucket is not null").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(lean(meet), "bucket long, data binary")
+    among = among.repartition(buckets, "bucket").mapInArrow(lean(of_texts), "k long, c long" if numbers else "k long, tokens binary, counts binary")
+    settled = dealt.filter("bucket is null").select("k", "tokens", "counts")
+    return (settled.select("k", (F.length("tokens") / 8).cast("long").alias("c")) if numbers else settled).unionByName(among)
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -210,7 +253,7 @@ def _slim(docs: DataFrame, text: str) -> DataFrame:
                 cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["h"], *cols], ["doc_id", "h", "k", "fp", "n", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64(text).alias("h"), text).mapInArrow(run, _OWN)
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), text).mapInArrow(lean(run), _OWN)
 
 
 def _hard(docs: DataFrame, text: str, own: DataFrame) -> DataFrame:
@@ -223,10 +266,9 @@ def _hard(docs: DataFrame, text: str, own: DataFrame) -> DataFrame:
             words = _words(x)
             if words:
                 all_ = shingles(words)
-                yield key_of(words), all_[: n_shown(len(all_), share)]
+                yield key_of(words), all_[: n_shown(len(all_), share)].copy()  # a view would hold the others too
 
-    found = _counted(docs.select(text), shown, HOT).select("k", (F.length("tokens") / 8).cast("long").alias("c"))
-    seen = found.groupBy("k").agg(F.sum("c").alias("c"))
+    seen = _counted(docs.select(text), shown, HOT, numbers=True).groupBy("k").agg(F.sum("c").alias("c"))
     num, den = LEAST
     first = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den) + 1
     show = F.least("n", F.ceil(F.lit(share[0]) * F.col("n") / share[1]) + 2)
@@ -272,7 +314,7 @@ def _shared(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["token", "k", "n"])
 
     counted = _counted(sets, whole, hot).groupBy("k").agg(F.collect_list(F.struct("tokens", "counts")).alias("counted"))
-    rows = staged(sets.join(counted, "k").mapInArrow(first, "token long, k long, n long"), "first")
+    rows = staged(sets.join(counted, "k").mapInArrow(lean(first), "token long, k long, n long"), "first")
     centres = rows.groupBy("token").agg(F.min("k").alias("centre"), F.max("k").alias("most")).filter("centre < most").drop("most")
     return staged(rows.join(centres, "token").select("token", "k", "n", "centre"), "shared")
 
@@ -421,7 +463,7 @@ def _among_many(left: DataFrame, sets: DataFrame, members: int | None = None) ->
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "name").sortWithinPartitions("name").mapInArrow(search, "a long, b long")
+    rows = rows.repartition(n, "name").sortWithinPartitions("name").mapInArrow(lean(search), "a long, b long")
     return staged(rows.distinct(), "links")
 
 

@@ -1,6 +1,7 @@
 """The near-duplicate stage of the pipeline against a plain look at all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -91,6 +92,44 @@ def test_counts_of_tokens(spark, hot):
     assert all(min(n, hot) == min(plain[t], hot) for (_, t), n in got.items())
 
 
+def test_counts_take_a_row_for_each_text_however_many_partitions(spark):
+    """What meets by token comes back as a row for a text, not one for each text and partition."""
+    rng = np.random.default_rng(4)
+    sets = {k: np.unique(rng.integers(0, 90, 40).astype(np.uint64) << np.uint64(20)) for k in range(50)}
+    rows = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in sets.items()], "k long, own binary")
+    of = lambda b: ((k, np.frombuffer(x, np.uint64)) for k, x in zip(b["k"].to_pylist(), b["own"].to_pylist()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        got = similar._counted(rows, of, 64).collect()
+        numbers = {r["k"]: r["c"] for r in similar._counted(rows, of, 64, numbers=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r["k"] for r in got) == sorted(sets) and numbers == {r["k"]: len(r["tokens"]) // 8 for r in got}
+
+
+class _Task:
+    """Stands for a DataFrame whose one task is run here."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_a_task_that_counts_holds_a_bounded_part_of_its_tokens():
+    def sets_of(batch):
+        return ((k, np.random.default_rng(k).integers(0, 1 << 63, 10_000, np.uint64)) for k in range(400))
+
+    task = similar._shipped(_Task(), sets_of, 12, 64)
+    tracemalloc.start()
+    try:
+        rows = sum(len(b) for b in task.run(iter([None] * 1)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows >= 12 and peak < 256 << 20  # of 4 million tokens
+
+
 @pytest.mark.parametrize("name,value", [("SHOWN", (1, 4)), ("SHOWN", (1, 1)), ("HOT", 2), ("HELD", 1), ("MAX_BROADCAST", 0), ("FEW", 1000), ("MEMBERS", 3), ("GROUP", 3)])
 def test_bounds_move_no_result(spark, copies, monkeypatch, name, value):
     monkeypatch.setattr(similar, name, value)
