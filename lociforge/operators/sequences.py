@@ -62,8 +62,15 @@ def pct_n(seq) -> object:
 
 
 def missingness_per_sample(seqs: DataFrame) -> DataFrame:
-    """Mean of the percentages over loci, not pooled."""
-    return seqs.groupBy("sample").agg(F.avg(pct_n(F.col("seq"))).alias("mean_pct_n"), F.count("*").alias("n_loci"))
+    """Mean of the percentages over loci, not pooled.
+
+    Percentages are summed with 26 decimals and the mean is rounded to a double once, so it does not depend on the order
+    of the loci, and samples of equal missingness have equal values.
+    """
+    n = F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))
+    share = F.when(F.length("seq") > 0, (100 * n.cast("long")).cast("decimal(38,26)") / F.length("seq").cast("decimal(10,0)")).otherwise(F.lit(100))
+    mean = F.sum(share.cast("decimal(38,26)")) / F.count("*").cast("decimal(20,0)")
+    return seqs.groupBy("sample").agg(mean.cast("double").alias("mean_pct_n"), F.count("*").alias("n_loci"))
 
 
 def missingness_per_locus(seqs: DataFrame) -> DataFrame:

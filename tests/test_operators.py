@@ -3,6 +3,7 @@
 import gzip
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -429,6 +430,22 @@ def test_ranks_without_one_task_for_all(spark):
     assert {r["sex"]: r["count"] for r in sex.split_at_gap(ratios).groupBy("sex").count().collect()} == {"hetero": 334, "homo": 666}
 
 
+def test_equal_missingness_in_any_order_of_loci(spark):
+    shares = [(k, 7 + 3 * (k % 11)) for k in range(1, 40)]  # missing letters and length of each locus
+    rng = random.Random(5)
+    rows = []
+    for sample in range(40):
+        rng.shuffle(shares)
+        rows += [(sample, locus, "N" * min(k, n) + "A" * (n - min(k, n))) for locus, (k, n) in enumerate(shares)]
+    rows += [(40, locus, "") for locus in range(39)]
+    seqs = spark.createDataFrame(rows, "sample int, locus int, seq string").coalesce(1)
+    stats = sequences.missingness_per_sample(seqs)
+    exact = float(sum(Fraction(100 * min(k, n), n) for k, n in shares) / 39)
+    assert {r["sample"]: (r["mean_pct_n"], r["n_loci"]) for r in stats.collect()} == {i: (exact if i < 40 else 100.0, 39) for i in range(41)}
+    placed = sequences.samples_by_missingness(stats, place="p")
+    assert {r["sample"]: r["p"] for r in placed.collect()} == {40: 1} | {i: i + 2 for i in range(40)}
+
+
 def test_depth_by_distance_and_region_from_one_join(spark, tmp_path):
     probes = spark.createDataFrame([("c", 10, 20, "l"), ("c", 40, 900, "m")], schemas.LOCI)
     calls = spark.createDataFrame([("a", "c", p, "l", "miss" if p % 5 == 0 else "ref", p % 7) for p in range(1, 60)], CALLS)
