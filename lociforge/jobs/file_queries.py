@@ -203,7 +203,8 @@ def fastq_names(spark, d):
     """Sequencing batches from the first read name of gzip files."""
     s = F.col("sample")
     name = F.concat(F.lit("@M"), s % 3, F.lit(":"), s % 5, F.lit(":FC"), s % 2, F.lit(":1:2:3:4 1:N\nACGT\n+\nIIII\n@other:1\n"))
-    return readers.read_seq_batch(spark, _text(v.samples(spark, d), name, new_folder(spark, "fastq"), ".gz", "gzip"))
+    files = writers.write_texts(v.samples(spark, d).select("sample", name.alias("value")), new_folder(spark, "fastq"), ".fastq.gz")
+    return readers.read_seq_batch(spark, files)
 
 
 @query("select 's' || sample as patient, 's' || sample as sample, 1 as lane, '/d/x_s' || sample || '_R1.fastq.gz' as fastq_1, '/d/x_s' || sample || '_R2.fastq.gz' as fastq_2 from samples where sample % 10 <> 4")

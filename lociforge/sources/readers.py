@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,41 @@ def _sample_of(path: Column, suffix: str, key: str = "sample") -> Column:
     return F.when(folder != "", folder).otherwise(short_sample(F.regexp_replace(F.url_decode(name), rf"{suffix}$", "")))
 
 
+def file_system(uri: str) -> tuple:
+    """The client for a file's or folder's path as Spark and Hadoop print it (names are not decoded), and the path in it."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":/")
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest[1:] if rest.startswith('/') else f'/{rest}', safe='/:@')}")
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts of the files in tables of paths, some MB at a time."""
+
+    def batch(paths: list[str], texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["path", "value"])
+
+    for part in batches:
+        paths, texts, size = [], [], 0
+        for path in part["path"].to_pylist():
+            store, place = file_system(path)
+            with store.open_input_stream(place, compression="gzip" if place.endswith(".gz") else None) as stream:
+                texts.append(stream.read().decode("utf-8", "replace"))
+            paths.append(path)
+            size += len(texts[-1])
+            if size > 4 << 20:
+                yield batch(paths, texts)
+                paths, texts, size = [], [], 0
+        yield batch(paths, texts)
+
+
+def _whole(spark: SparkSession, files: str | DataFrame, suffix: str) -> DataFrame:
+    """(value, sample) of each file: of a path or glob, or of a table (path), whose files tasks open without any list of them in the driver."""
+    if isinstance(files, DataFrame):
+        return files.select("path").mapInArrow(_contents, "path string, value string").select("value", _sample_of(F.col("path"), suffix).alias("sample"))
+    return spark.read.text(files, wholetext=True).select(F.col("value"), _sample(suffix).alias("sample"))
+
+
 def _list(values: Column) -> Column:
     return F.filter(F.split(values, ","), lambda x: x != ".")
 
@@ -185,17 +222,22 @@ def with_rates(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"pct_mapped": pct("n_mapped"), "pct_paired": pct("n_paired"), "pct_mq0": pct("n_mq0")})
 
 
-def read_duplication(spark: SparkSession, path: str, suffix: str = r"\..*") -> DataFrame:
+def read_duplication(spark: SparkSession, path: str | DataFrame, suffix: str = r"\..*") -> DataFrame:
     """Per sample the percentage in the ninth field of the row after the LIBRARY header."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("value"), _sample(suffix).alias("sample"))
+    whole = _whole(spark, path, suffix)
     row = F.regexp_extract("value", r"(?m)^LIBRARY\t[^\n]*\n([^\n]*)", 1)
     return whole.select("sample", (100 * F.get(F.split(row, "\t"), F.lit(8)).try_cast("double")).alias("pct_duplication"))
 
 
-def read_depth_summary(spark: SparkSession, path: str, suffix: str = r"\..*") -> DataFrame:
+def read_depth_summary(spark: SparkSession, path: str | DataFrame, suffix: str = r"\..*") -> DataFrame:
     """Per sample the genome's mean depth: bases by length of the row named total."""
-    rows = spark.read.schema("chrom string, length long, bases long").csv(path, sep="\t", header=True)
-    rows = rows.select("*", _sample(suffix).alias("sample")).filter("chrom = 'total'")
+    fields = "chrom string, length long, bases long"
+    if isinstance(path, DataFrame):
+        rows = _whole(spark, path, suffix).select("sample", F.posexplode(F.split("value", "\r?\n")).alias("_line", "value")).filter("_line > 0")
+        rows = rows.select("sample", F.from_csv("value", fields, {"sep": "\t"}).alias("f")).select("sample", "f.*").filter("chrom = 'total'")
+    else:
+        rows = spark.read.schema(fields).csv(path, sep="\t", header=True)
+        rows = rows.select("*", _sample(suffix).alias("sample")).filter("chrom = 'total'")
     return rows.select("sample", F.coalesce(F.try_divide("bases", "length"), F.lit(0.0)).alias("genome_dp"))
 
 
@@ -205,18 +247,16 @@ def read_windows(spark: SparkSession, path: str, suffix: str = r"\..*", partitio
     return rows.repartition(partitions, "sample", "chrom") if partitions else rows.repartition("sample", "chrom")
 
 
-def read_flagstat(spark: SparkSession, path: str, suffix: str = r"\..*") -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.col("value"), _sample(suffix).alias("sample"))
+def read_flagstat(spark: SparkSession, path: str | DataFrame, suffix: str = r"\..*") -> DataFrame:
+    whole = _whole(spark, path, suffix)
     return whole.select("sample", F.regexp_extract("value", r"(\d+) \+ \d+ primary mapped", 1).try_cast("long").alias("n_primary_mapped"))
 
 
 def _first_names(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
     for part in parts:
         lines = []
         for path in part["path"]:
-            store, place = fs.FileSystem.from_uri(path if "://" in path else path.replace(":/", ":///", 1))
+            store, place = file_system(path)
             with store.open_input_stream(place, compression="gzip" if place.endswith(".gz") else None, buffer_size=1 << 16) as stream:
                 data = b""
                 while b"\n" not in data and (more := stream.read(1 << 12)):
@@ -225,13 +265,14 @@ def _first_names(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"sample": part["sample"], "name": lines})
 
 
-def read_seq_batch(spark: SparkSession, path: str, suffix: str = r"[_.]R?1?.*") -> DataFrame:
+def read_seq_batch(spark: SparkSession, path: str | DataFrame, suffix: str = r"[_.]R?1?.*") -> DataFrame:
     """(sample, instrument, run, flowcell, run_flowcell) from the first read name of each FASTQ file.
 
-    Only the head of each file is read, in tasks. A file without reads, or a name with under seven fields, fails;
-    files of no bytes at all are not listed by Spark and have no row.
+    path: a path or glob, or a table (path) of files, of which the driver then makes no list. Only the head of each file is read, in tasks.
+    A file without reads, or a name with under seven fields, fails; files of no bytes at all are not listed by Spark and have no row.
     """
-    files = spark.read.format("binaryFile").load(path).select(_sample_of(F.col("path"), suffix).alias("sample"), "path")
+    files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)
+    files = files.select(_sample_of(F.col("path"), suffix).alias("sample"), "path")
     names = files.mapInPandas(_first_names, "sample string, name string")
     f = F.split(F.regexp_replace("name", "^@", ""), ":")
     checked = F.when(F.size(f) >= 7, f).otherwise(F.raise_error(F.concat(F.lit("read name with under 7 fields: "), F.col("name"))))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.operators.sequences import locus_file_names
+from lociforge.operators.stored import stored
+from lociforge.sources.readers import file_system
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
@@ -52,3 +59,41 @@ def write_vcf(calls: DataFrame, path: str) -> None:
     )
     rows = rows.unionByName(heads).repartition("sample").sortWithinPartitions("sample", "chrom", "pos", "value")
     rows.select("sample", "value").write.partitionBy("sample").text(path)
+
+
+def write_texts(df: DataFrame, path: str, ending: str = "") -> DataFrame:
+    """A file of text for each sample of df (sample, value), a line for each row, in a folder sample=...; returns the table (path) of the files.
+
+    Tasks write the files themselves, through the file system's client, and the table of their paths is stored: no commit,
+    listing or list of files in the driver grows with the samples. A task that runs again writes the same files. ending: .gz compresses.
+    """
+    spark = df.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (store, place), attempt = file_system(root), TaskContext.get().taskAttemptId()
+        sample, stream, done = None, None, []
+
+        def close() -> None:
+            if stream:
+                stream.close()
+                store.move(f"{place}/{folder}/.{attempt}{ending}", f"{place}/{folder}/part-0{ending}")
+                done.append(f"{root}/{folder}/part-0{ending}")
+
+        for batch in batches:
+            for name, line in zip(batch["sample"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                if stream is None or name != sample:
+                    close()
+                    sample, folder = name, f"sample={quote(name, safe='')}"
+                    store.create_dir(f"{place}/{folder}")
+                    stream = store.open_output_stream(f"{place}/{folder}/.{attempt}{ending}", compression="gzip" if ending.endswith(".gz") else None)
+                stream.write(f"{line}\n".encode())
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
+            done.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
+
+    name = F.coalesce(F.nullif(F.col("sample").cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))  # as Spark's writer names it
+    rows = df.select(name.alias("sample"), F.coalesce("value", F.lit("")).alias("value")).repartition("sample").sortWithinPartitions("sample")
+    return stored(rows.mapInArrow(write, "path string"), "files")

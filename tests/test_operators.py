@@ -446,6 +446,20 @@ def test_equal_missingness_in_any_order_of_loci(spark):
     assert {r["sample"]: r["p"] for r in placed.collect()} == {40: 1} | {i: i + 2 for i in range(40)}
 
 
+def test_a_file_a_sample_without_a_list_in_the_driver(spark, tmp_path):
+    rows = [(f"s_{i} +%/{i}", f"@M{i % 3}:{i}:FC:1:2:3:4 1:N\nACGT") for i in range(300)] + [("twice", "@M1:7:FC:1:2:3:4 1:N")] * 2
+    files = writers.write_texts(spark.createDataFrame(rows, "sample string, value string"), str(tmp_path / "fq"), ".fastq.gz")
+    got = readers.read_seq_batch(spark, files)
+    assert "binaryFile" not in plan(got) and got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert len(files.inputFiles()) < 20  # tables of paths, not the 301 files
+    want = {name: (f"M{i % 3}", str(i), "FC", f"{i}_FC") for i, (name, _) in enumerate(rows[:300])} | {"twice": ("M1", "7", "FC", "7_FC")}
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
+    names = sorted(p.relative_to(tmp_path / "fq").parts[-1] for p in (tmp_path / "fq").rglob("*") if p.is_file())
+    assert names == ["part-0.fastq.gz"] * 301 and gzip.open(tmp_path / "fq/sample=twice/part-0.fastq.gz", "rt").read() == (rows[-1][1] + "\n") * 2
+    assert {r[0] for r in readers.read_seq_batch(spark, f"{tmp_path}/fq/*/part-*.gz").collect()} >= {"twice"}  # Spark's readers find them too
+    assert writers.write_texts(spark.createDataFrame([], "sample string, value string"), str(tmp_path / "none")).count() == 0
+
+
 def test_depth_by_distance_and_region_from_one_join(spark, tmp_path):
     probes = spark.createDataFrame([("c", 10, 20, "l"), ("c", 40, 900, "m")], schemas.LOCI)
     calls = spark.createDataFrame([("a", "c", p, "l", "miss" if p % 5 == 0 else "ref", p % 7) for p in range(1, 60)], CALLS)
