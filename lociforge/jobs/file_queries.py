@@ -163,15 +163,16 @@ def mapping_files(spark, d):
 @query("select sample::varchar as sample, round(100 * n_duplicate / n_reads, 6) as pct_duplication, round(n_reads / 1000, 6) as genome_dp, n_mapped as n_primary_mapped from mapping")
 def duplicate_depth_flagstat_files(spark, d):
     """Duplicate metrics, depth summaries and flagstat files, joined."""
-    own = v.mapping(spark, d)
+    own = stored(v.mapping(spark, d), "mapping")
+    files = lambda name, text: writers.write_texts(own.select("sample", text.alias("value")), new_folder(spark, name))
     share = F.format_string("%.15f", F.col("n_duplicate") / F.col("n_reads"))
     metrics = F.concat(F.lit("## METRICS\nLIBRARY\tA\tB\nlib\t1\t2\t3\t4\t5\t6\t7\t"), share, F.lit("\t9\n"))
-    a = readers.read_duplication(spark, _text(own, metrics, new_folder(spark, "dup")))
+    a = readers.read_duplication(spark, files("dup", metrics))
     depth = F.concat(F.lit("chrom\tlength\tbases\nchr1\t10\t99\ntotal\t1000\t"), F.col("n_reads").cast("string"), F.lit("\ntotal_region\t5\t5"))
-    b = readers.read_depth_summary(spark, _text(own, depth, new_folder(spark, "depth")))
+    b = readers.read_depth_summary(spark, files("depth", depth))
     flagstat = F.concat(F.col("n_reads").cast("string"), F.lit(" + 0 mapped (1%)\n"), F.col("n_mapped").cast("string"), F.lit(" + 0 primary mapped (2%)\n"))
-    c = readers.read_flagstat(spark, _text(own, flagstat, new_folder(spark, "flagstat")))
-    return rounded(a.join(b, "sample").join(c, "sample"))
+    c = readers.read_flagstat(spark, files("flagstat", flagstat))
+    return rounded(a.join(b.hint("merge"), "sample").join(c.hint("merge"), "sample"))  # a table of paths is small where its texts are not: no broadcast
 
 
 @query("select sample::varchar as sample, count(*) as n, sum(\"end\" - start)::bigint as bp, round(sum(depth), 6) as depth from windows group by sample")

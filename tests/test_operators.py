@@ -460,6 +460,18 @@ def test_a_file_a_sample_without_a_list_in_the_driver(spark, tmp_path):
     assert writers.write_texts(spark.createDataFrame([], "sample string, value string"), str(tmp_path / "none")).count() == 0
 
 
+def test_summaries_of_many_samples_from_tables_of_paths(spark, tmp_path):
+    write = lambda name, *lines: writers.write_texts(spark.createDataFrame([(f"x_{i}", line.format(i=i)) for i in range(50) for line in lines], "sample string, value string"), str(tmp_path / name))
+    dup = write("dup", "## METRICS\nLIBRARY\tA\nlib\t1\t2\t3\t4\t5\t6\t7\t0.{i:02d}\t9\n")
+    depth = write("depth", "chrom\tlength\tbases\nchr1\t10\t99\ntotal\t100\t{i}\ntotal_region\t5\t5")
+    flagstat = write("flagstat", "9 + 0 mapped (1%)\n{i} + 1 primary mapped (5%)\n")
+    for read, table, names in ((readers.read_duplication, dup, "dup"), (readers.read_depth_summary, depth, "depth"), (readers.read_flagstat, flagstat, "flagstat")):
+        got, listed = read(spark, table), read(spark, f"{tmp_path}/{names}/*/part-*")
+        assert len(got.inputFiles()) < 20 < len(listed.inputFiles())
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, listed.collect())) and got.count() == 50
+    assert {r["sample"]: r["genome_dp"] for r in readers.read_depth_summary(spark, depth).collect()} == {f"x_{i}": i / 100 for i in range(50)}
+
+
 def test_depth_by_distance_and_region_from_one_join(spark, tmp_path):
     probes = spark.createDataFrame([("c", 10, 20, "l"), ("c", 40, 900, "m")], schemas.LOCI)
     calls = spark.createDataFrame([("a", "c", p, "l", "miss" if p % 5 == 0 else "ref", p % 7) for p in range(1, 60)], CALLS)
