@@ -76,3 +76,25 @@ def test_brackets_hold():
     assert ((q[:, None] + d[None]).min(2) >= true - space.slack).all()
     hopeless = np.abs(q[:, None] - d[None]).max(2) > space.distance((rows[:20] ** 2).sum(1)[:, None].astype(float), np.sort(scores, 1)[:, -5:-4])
     assert hopeless.mean() > 0.5  # rows that are never scored, where rows lie in clusters
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_and_anchors_meet_in_shares(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).round(1).tolist(), int(rng.integers(50)) if i % 3 else 7) for i in range(1500)]  # many labels, many equal scores
+    rows += [(i, [0.5] * 6, i % 5) for i in range(1500, 2000)]  # one common vector
+    monkeypatch.setattr(m, "ANCHORS", 30)
+    monkeypatch.setattr(m, "TASKS", 3)
+    searched = []
+    search = m.search
+    monkeypatch.setattr(m, "search", lambda *a: searched.append((a[0], search(*a))) or searched[-1][1])
+    assert _rows(spark, rows, every=10, page=16, pivots=4) == _brute(rows, every=10)
+    assert len(searched) == 2
+    for anchors, found in searched:
+        assert "Join" not in _plan(found)  # pages are neither joined nor broadcast
+        shares = 2  # 200 anchors are 7 blocks, and 12 tasks are asked for
+        wishes = anchors.selectExpr("sum(aggregate(wishes, 0, (a, x) -> a + x.k))").first()[0]
+        assert 0 < found.count() <= shares * wishes  # the best of a share, not of each of 125 pages
